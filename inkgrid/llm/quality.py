@@ -15,6 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bounds of what the classifier is fitted on: labelled texts of each class, and the longest text taken.
 SAMPLE_PER_CLASS = 2000
@@ -131,7 +132,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             predicted = (s >= THRESHOLD).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array(predicted)], names=[*fields, "score", "predicted"])
 
-    schema = docs.schema.add("score", "double").add("predicted", "integer")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -77,6 +77,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(data) else np.zeros(0, np.uint8), offsets - offsets[0]
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `limit` bytes of text, or one row: what is held at once stays bounded."""
+    for batch in batches:
+        _, offsets = text_bytes(batch.column(column))
+        at = 0
+        while at < batch.num_rows:
+            to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def blocks(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
     """Cuts a batch into blocks of mapped bytes: (block, row starts in it, its first byte). A cut falls between rows or words."""
     at, end = 0, len(data)
