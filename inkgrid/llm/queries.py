@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgrid.llm import decontaminate, fingerprints, license_scan, quality, sentencepiece_codec, sharding, url_filter, warc
+from inkgrid.llm import decontaminate, fingerprints, license_scan, ngram_join, quality, sentencepiece_codec, sharding, url_filter, warc
 from inkgrid.llm.common import table
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digests(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sentencepiece, op3_quality, op4_license_scan, op5_fingerprints, op6_decontamination, op7_warc, op8_url_filter, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_quality, op4_license_scan, op5_fingerprints, op6_decontamination, op7_warc, op8_url_filter, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
