@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -52,3 +52,26 @@ def bucket_of(value: Column, splits: list) -> Column:
         F.lit(0),
         lambda at, s: F.when(F.get(points, at + s - 1) <= value, at + s).otherwise(at),
     )
+
+
+def plain_ids(docs: DataFrame) -> bool:
+    """Whether doc_id is different in every row and never null."""
+    return not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
+
+
+def numbered(docs: DataFrame, out: str = "gid") -> DataFrame:
+    """Adds a long that is different in every row and never null, ordered as (doc_id, nulls first; text).
+
+    Where doc_id is that already, which one pass over the ids tells, it is taken as it is. Else rows are numbered: within
+    ranges of doc_id, plus the rows of the ranges before.
+    """
+    spark = docs.sparkSession
+    if plain_ids(docs):
+        return docs.filter("doc_id is not null").withColumn(out, F.col("doc_id"))
+    splits = range_splits(docs, "doc_id", partitions(spark))
+    rows = docs.withColumn("__piece", bucket_of(F.col("doc_id"), splits))
+    sizes = {r["__piece"]: r["count"] for r in rows.groupBy("__piece").count().collect()}
+    before = [sum(sizes.get(k, 0) for k in range(p)) for p in range(len(splits) + 1)]
+    at = Window.partitionBy("__piece").orderBy(F.asc_nulls_first("doc_id"), "text")
+    first = F.get(F.array(*[F.lit(x).cast("long") for x in before]), F.col("__piece"))
+    return rows.withColumn(out, F.row_number().over(at) - 1 + first).drop("__piece").filter(F.col(out).isNotNull())

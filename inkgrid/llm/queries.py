@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from inkgrid.llm import decontaminate, fingerprints, license_scan, ngram_join, quality, sentencepiece_codec, sharding, url_filter, warc
+from inkgrid.llm import decontaminate, fingerprints, license_scan, ngram_join, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
 from inkgrid.llm.common import table
 
 
@@ -40,9 +40,13 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digests(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_quality, op4_license_scan, op5_fingerprints, op6_decontamination, op7_warc, op8_url_filter, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_quality, op4_license_scan, op5_fingerprints, op6_decontamination, op7_warc, op8_url_filter, op9_suffix_dedup, op10_sharding)}
 ORACLE_SQL: dict[str, str] = {}
