@@ -299,61 +299,70 @@ def removed_mask(size: int, spans: np.ndarray) -> np.ndarray:
     return np.cumsum(turn[:-1]) > 0
 
 
-MADE = (("kept", T.BinaryType(), pa.binary()), ("n_bytes", T.LongType(), pa.int64()), ("n_removed", T.LongType(), pa.int64()), ("n_spans", T.LongType(), pa.int64()))
+MADE = (("kept", T.BinaryType(), pa.binary()), ("kept_text", T.StringType(), pa.string()), ("n_bytes", T.LongType(), pa.int64()), ("n_removed", T.LongType(), pa.int64()), ("n_spans", T.LongType(), pa.int64()))
 
 
-def _cleared(rows: DataFrame) -> DataFrame:
-    """Rows with unique gids, and a text, with the columns MADE added."""
+def _cleared(rows: DataFrame, *wanted: str) -> DataFrame:
+    """Rows with unique gids, and a text, with those columns of MADE added that are wanted."""
+    made_fields = [f for f in MADE if f[0] in wanted]
     spans = repeats(rows).select("gid", F.struct("start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end")).alias("span"))
     spans = spans.groupBy("gid").agg(F.collect_list("span").alias("spans"))
     joined = rows.join(spans, "gid", "left").select(*rows.columns, "spans")
-    out = T.StructType([*rows.schema.fields, *(T.StructField(name, kind) for name, kind, _ in MADE)])
+    out = T.StructType([*rows.schema.fields, *(T.StructField(name, kind) for name, kind, _ in made_fields)])
     text = rows.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
-            made = []
+            made = {name: [] for name, _, _ in MADE}
             for value, found in zip(batch.column(text).to_pylist(), batch.columns[-1].to_pylist()):
-                raw = (value or "").encode()
-                if not found:
-                    made.append((raw, len(raw), 0, 0))
-                    continue
-                gone = removed_mask(len(raw), np.array([(s["start"], s["end"]) for s in found]))
-                runs = int(np.count_nonzero(gone & ~np.r_[False, gone[:-1]]))
-                kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-                made.append((kept, len(raw), len(raw) - len(kept), runs))
-            columns = list(zip(*made)) or [()] * len(MADE)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(c, k) for c, (_, _, k) in zip(columns, MADE))], names=out.names)
+                raw = kept = (value or "").encode()
+                runs = 0
+                if found:
+                    gone = removed_mask(len(raw), np.array([(s["start"], s["end"]) for s in found]))
+                    runs = int(np.count_nonzero(gone & ~np.r_[False, gone[:-1]]))
+                    kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+                made["kept"].append(kept)
+                made["kept_text"].append(kept.decode(errors="ignore") if found else value)
+                for name, count in (("n_bytes", len(raw)), ("n_removed", len(raw) - len(kept)), ("n_spans", runs)):
+                    made[name].append(count)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array(made[name], k) for name, _, k in made_fields)], names=out.names)
 
     return joined.mapInArrow(run, out)
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """`docs` with kept (bytes left), n_bytes, n_removed, n_spans in every row; columns of these names, or `gid`, are replaced.
+    """`docs` with the columns MADE in every row; columns of these names, or `gid`, are replaced.
+
+    kept is what is left of the text, in bytes; kept_text is the same as text, without the rest of a character that a cut
+    splits; n_bytes, n_removed and n_spans count the bytes, those gone, and the maximal runs of these.
 
     A byte goes if a WINDOW-byte string over it also starts earlier: in a row of smaller doc_id (null ids come first, rows
     that share an id are ordered by text; of equal rows one is the earlier) or further left in the same text. Strings are
     taken from the input, not from what is left, and never cross texts. Null texts count as empty.
     """
-    return _cleared(numbered(docs.drop("gid", "spans", *(name for name, _, _ in MADE)))).drop("gid")
+    names = [name for name, _, _ in MADE]
+    return _cleared(numbered(docs.drop("gid", "spans", *names)), *names).drop("gid")
 
 
 def dedup_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of `docs`, by the rules of dedup."""
     rows = numbered(docs.select("doc_id", "text"))
     # Where doc_id itself numbers the rows it need not travel twice, and both joins with the texts share one exchange.
-    found = _cleared(rows.select("gid", "text")).withColumnRenamed("gid", "doc_id") if plain_ids(rows) else _cleared(rows)
+    wanted = ("kept", "n_bytes", "n_removed", "n_spans")
+    found = _cleared(rows.select("gid", "text"), *wanted).withColumnRenamed("gid", "doc_id") if plain_ids(rows) else _cleared(rows, *wanted)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def dedup_texts(docs: DataFrame) -> DataFrame:
     """The rows of `docs`, with their columns, whose texts are cut to what is left; rows that lose all their text go.
 
-    Where a cut splits a character, its rest goes too. n_chars, if there, is counted anew.
+    n_chars, if there, is counted anew where a text is cut.
     """
-    found = dedup(docs).filter((F.col("n_removed") == 0) | (F.octet_length("kept") > 0))
-    left = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.regexp_replace(F.decode("kept", "UTF-8"), "�", ""))
-    found = found.withColumn("text", left)
+    extra = [c for c in ("gid", "spans", *(name for name, _, _ in MADE)) if c in docs.columns]
+    hidden = {c: f"__own_{c}" for c in extra}
+    found = _cleared(numbered(docs.withColumnsRenamed(hidden)), "kept_text", "n_removed")
+    cut_ = F.col("n_removed") > 0
+    found = found.filter(~cut_ | (F.col("kept_text") != "")).withColumn("text", F.when(cut_, F.col("kept_text")).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        found = found.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.char_length("text")).cast(docs.schema["n_chars"].dataType))
-    return found.select(*docs.columns)
+        found = found.withColumn("n_chars", F.when(cut_, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return found.drop("gid", "kept_text", "n_removed").withColumnsRenamed({v: k for k, v in hidden.items()}).select(*docs.columns)
