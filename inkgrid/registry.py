@@ -1,10 +1,5 @@
 """Every query of the core library by name, with its SQL counterpart where there is one."""
 
-from __future__ import annotations
+from inkgrid.queries import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
