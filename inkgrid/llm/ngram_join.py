@@ -114,7 +114,7 @@ def _compare(ids: list[bytes], blocks: list[int], sets: list[np.ndarray]) -> lis
     return out
 
 
-LINKS = "id binary, root binary, links bigint"
+LINKS = "id binary, root binary, links bigint, split boolean"
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,8 +124,9 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unique = {r[1]: r for r in rows}
         rows = list(unique.values())
         found = _compare([r[1] for r in rows], [r[2] for r in rows], [np.frombuffer(r[3], U) for r in rows]) if len(rows) > 1 else []
-        columns = list(zip(*found)) or [()] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.binary(), pa.int64()))], names=["id", "root", "links"])
+        columns = [*(list(zip(*found)) or [()] * 3), [rows[0][4] > 1] * len(found)]
+        kinds = (pa.binary(), pa.binary(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["id", "root", "links", "split"])
 
     cell, rows = None, []
     for batch in batches:
@@ -164,13 +165,16 @@ def links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = texts.mapInArrow(_sets, "id binary, shingles binary, `group` bigint, block int, blocks int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = sets.withColumn("other", other).select(
-        F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "id", "block", "shingles"
+        F.xxhash64("group", F.least("block", "other"), F.greatest("block", "other")).alias("cell"), "id", "block", "shingles", "blocks"
     )
     found = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells, LINKS)
-    found = cut(found.groupBy("id", "root").agg(F.sum("links").alias("links")))
-    roots = components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
-    counts = found.groupBy("id").agg(F.sum("links").alias("n_links"))
-    return classes.drop("trees"), counts.join(roots.withColumnRenamed("node", "id"), "id")
+    found = cut(found)
+    # A group that is one cell is settled there; only the cells of larger groups are joined to components.
+    whole = found.filter("not split").select("id", "root", F.col("links").alias("n_links"))
+    parts = found.filter("split")
+    roots = components(parts.select(F.col("id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "id")
+    counts = parts.groupBy("id").agg(F.sum("links").alias("n_links"))
+    return classes.drop("trees"), whole.unionByName(counts.join(roots, "id").select("id", "root", "n_links"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
