@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.functions import text as t
+from inkgrid.functions.once import computed_once
 from inkgrid.operators.rules import repaired_range
 
 REVIEW_REASON = "需人工复核"
@@ -88,9 +89,10 @@ def local_clean(pages: DataFrame, fields: DataFrame, candidates: DataFrame, prov
             "model": F.lit(model),
         }
     )
+    rows = computed_once(rows)
     review = F.coalesce("assignment.needs_review", F.lit(False)) | ~some | (F.col("confidence") < 0.45)
     rows = rows.withColumns({"normalized_value": normal_value(F.col("value")), "needs_review": review})
-    return rows.withColumn("review_reason", F.when(F.col("needs_review"), REVIEW_REASON).otherwise(""))
+    return computed_once(rows.withColumn("review_reason", F.when(F.col("needs_review"), REVIEW_REASON).otherwise("")))
 
 
 def sections(rows: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from inkgrid.config import Settings
 from inkgrid.functions import geometry as g
 from inkgrid.functions import text as t
+from inkgrid.functions.once import computed_once
 from inkgrid.operators import rules
 from inkgrid.operators.clean import normal_value
 
@@ -34,7 +35,7 @@ def ambiguity(cands: Column) -> Column:
 
 
 def with_ambiguity(rows: DataFrame) -> DataFrame:
-    rows = rows.withColumn("__why", ambiguity(F.col("cands")))
+    rows = computed_once(rows.withColumn("__why", ambiguity(F.col("cands"))))
     rows = rows.withColumn("needs_review", F.col("needs_review") | (F.col("__why") != ""))
     return rows.withColumn("review_reason", t.first_filled(F.col("review_reason"), F.col("__why"))).drop("__why")
 
@@ -63,7 +64,7 @@ def priority() -> Column:
 
 def budgeted(checks: DataFrame, settings: Settings) -> DataFrame:
     """Adds eligible, priority, review_turn (in a page, by priority) and selected (within the page's budget)."""
-    checks = checks.withColumns({"eligible": wants_review(settings), "priority": priority()})
+    checks = computed_once(checks.withColumns({"eligible": wants_review(settings), "priority": priority()}))
     turn = Window.partitionBy("page_id", "eligible").orderBy(F.desc("priority"), "field_seq")
     checks = checks.withColumn("review_turn", F.when(F.col("eligible"), F.row_number().over(turn)))
     within = F.lit(True) if settings.reviews == 0 else F.col("review_turn") <= settings.reviews
@@ -93,10 +94,11 @@ def merge(checks: DataFrame, reviews: DataFrame, settings: Settings) -> DataFram
     """
     new = reviews.select("page_id", "field_id", F.lit(True).alias("__seen"), *[F.col(c).alias(f"__{c}") for c in ("value", "normalized_value", "confidence", "provider", "model", "error")])
     rows = checks.join(new, ["page_id", "field_id"], "left")
-    rows = rows.withColumn("__normal", normal_value(t.first_filled(F.col("__normalized_value"), F.col("__value"))))
+    rows = computed_once(rows.withColumn("__normal", normal_value(t.first_filled(F.col("__normalized_value"), F.col("__value")))))
     seen = F.col("selected") & F.coalesce("__seen", F.lit(False))
     fault = seen & F.col("__error").isNotNull()
-    rows = rows.withColumn("__passed", rules.passed(t.normalized(t.first_filled(F.col("__normal"), F.col("__value"))), settings))
+    rows = computed_once(rows.withColumn("__read", t.normalized(t.first_filled(F.col("__normal"), F.col("__value")))))
+    rows = computed_once(rows.withColumn("__passed", rules.passed(F.col("__read"), settings)))
     sure = F.coalesce("__confidence", F.lit(0.0)) >= settings.confidence
     before, after = t.compact(t.first_filled(F.col("normalized_value"), F.col("value"))), t.compact(t.first_filled(F.col("__normal"), F.col("__value")))
     rows = rows.withColumns(

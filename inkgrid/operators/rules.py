@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkgrid.config import Settings
 from inkgrid.functions import text as t
+from inkgrid.functions.once import computed_once
 from inkgrid.sources.catalog import OIL_QUANTITIES
 
 Rule = Callable[[Column, Settings], Column]
@@ -127,6 +128,6 @@ def passed(value: Column, settings: Settings) -> Column:
 
 def validate(recognitions: DataFrame, settings: Settings) -> DataFrame:
     """Adds passed and message to recognitions that carry their field's catalogue columns."""
-    df = recognitions.withColumn("__value", t.normalized(t.first_filled(F.col("normalized_value"), F.col("value"))))
-    df = df.withColumn("passed", passed(F.col("__value"), settings)).drop("__value")
+    df = computed_once(recognitions.withColumn("__value", t.normalized(t.first_filled(F.col("normalized_value"), F.col("value")))))
+    df = computed_once(df.withColumn("passed", passed(F.col("__value"), settings)).drop("__value"))
     return df.withColumn("message", F.when(F.col("passed"), "").otherwise(F.col("fail_msg")))

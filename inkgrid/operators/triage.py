@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkgrid.config import Settings
 from inkgrid.functions import text as t
+from inkgrid.functions.once import computed_once
 
 RISKY_LABEL = "授权号|执照号|APU|滑油|日期"
 PLAIN_REASONS = ("需人工复核", "needs_review")
@@ -54,7 +55,7 @@ def review_message() -> Column:
 
 
 def with_risk(checks: DataFrame) -> DataFrame:
-    checks = checks.withColumn("risk", risk_score())
+    checks = computed_once(checks.withColumn("risk", risk_score()))
     return checks.withColumns({"risk_level": risk_level(F.col("risk")), "evidence_state": evidence_state(), "review_state": review_state()})
 
 
@@ -63,7 +64,7 @@ def issues(checks: DataFrame) -> DataFrame:
     checks = with_risk(checks)
     kind = F.when(~F.col("passed"), 0).when(F.col("needs_review"), 1)
     text = F.when(F.col("passed"), review_message()).otherwise(F.col("message"))
-    rows = checks.withColumns({"kind": kind, "text": text}).filter("kind is not null and text <> ''")
+    rows = computed_once(checks.withColumns({"kind": kind, "text": text})).filter("kind is not null and text <> ''")
     rank = Window.partitionBy("page_id", "kind").orderBy(F.desc("risk"), "label", "field_seq")
     return rows.withColumn("kind_rank", F.row_number().over(rank))
 

@@ -243,10 +243,31 @@ def normal(v: str) -> str:
     )
 
 
-CLEANED = f"""cands AS (SELECT page_id, field_id, list({{'text': text, 'score': cand_score}} ORDER BY rank) AS cs FROM resolved GROUP BY page_id, field_id),
+def _digits(x: str) -> str:
+    return f"(CASE WHEN {full(compact(x), '[0-9]+')} THEN {compact(x)} ELSE '' END)"
+
+
+def merged() -> str:
+    """The first candidate's digits, lengthened by fragments to its right, as a fold."""
+    start, tall, two = _digits("cs[1].text"), "greatest(cs[1].y2 - cs[1].y1, CAST(1 AS DOUBLE))", "CAST(2.2 AS DOUBLE)"
+    fits = (
+        f"{_digits('c.text')} <> '' AND c.x1 >= cs[1].x2 - {tall} * CAST(0.2 AS DOUBLE) AND abs(c.cy - cs[1].cy) <= greatest({tall}, c.y2 - c.y1, CAST(1 AS DOUBLE)) * CAST(0.75 AS DOUBLE) "
+        "AND c.score >= cs[1].score * CAST(0.25 AS DOUBLE)"
+    )
+    entry = f"{{'x1': c.x1, 'rank': c.rank, 'x2': c.x2, 'd': {_digits('c.text')}}}"
+    fragments = f"list_sort(list_transform(list_filter(cs[2:8], lambda c: {fits}), lambda c: {entry}))"
+    first = f"{{'x1': cs[1].x1, 'rank': cs[1].rank, 'x2': cs[1].x2, 'd': {start}}}"
+    joined = (
+        f"CASE WHEN length(s.d) + length(c.d) <= max_digits AND c.x1 - s.x2 <= greatest({tall} * {two}, CAST(55 AS DOUBLE)) "
+        "THEN {'x1': s.x1, 'rank': s.rank, 'x2': greatest(s.x2, c.x2), 'd': s.d || c.d} ELSE s END"
+    )
+    return f"(CASE WHEN {start} = '' OR length({start}) >= least(max_digits, enough) THEN {start} ELSE list_reduce(list_prepend({first}, {fragments}), lambda s, c: {joined}).d END)"
+
+
+CLEANED = f"""cands AS (SELECT page_id, field_id, list({{'text': text, 'score': cand_score, 'rank': rank, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'cy': cy}} ORDER BY rank) AS cs FROM resolved GROUP BY page_id, field_id),
 base AS (SELECT p.page_id, f.*, coalesce(cs, []) AS cs FROM (SELECT DISTINCT page_id FROM blocks) p CROSS JOIN fields f LEFT JOIN cands c ON c.page_id = p.page_id AND c.field_id = f.field_id),
 best AS (
-  SELECT *, CASE WHEN len(cs) = 0 THEN ''
+  SELECT *, CASE WHEN len(cs) = 0 THEN '' WHEN validator IN ('digit_length', 'number_less_than') THEN coalesce(nullif({merged()}, ''), cs[1].text)
       WHEN validator IN ('english_text', 'contains_english') THEN coalesce(array_to_string(list_filter(list_transform(cs[1:6], lambda c: {english('c.text')}), lambda x: x <> ''), ' '), '')
       WHEN validator = 'bilingual_text' OR (validator = 'present' AND kind = 'free_text') THEN coalesce(array_to_string(list_transform(list_filter(cs[1:8], lambda c: {body('c.text')}), lambda c: trim(c.text)), ' '), '')
       ELSE cs[1].text END AS value,

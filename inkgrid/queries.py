@@ -97,16 +97,15 @@ def full_candidates(spark, sf_dir):
     return inspection.candidates_of(tables.form_blocks(spark, sf_dir), _fields(spark), SETTINGS).select("page_id", "field_id", "rank", "block_seq", _r("cand_score"), "reason")
 
 
-@query(f"{o.UPTO_CHECKS} SELECT page_id, field_id, value, normalized_value, round(confidence, 6) AS confidence, needs0 AS needs_review FROM messaged WHERE validator NOT IN ('digit_length', 'number_less_than')")
+@query(f"{o.UPTO_CHECKS} SELECT page_id, field_id, value, normalized_value, round(confidence, 6) AS confidence, needs0 AS needs_review FROM messaged")
 def local_clean(spark, sf_dir):
     pages = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id")).distinct()
-    rows = clean.local_clean(pages, _fields(spark), _resolved(spark, sf_dir)).filter(~F.col("validator").isin("digit_length", "number_less_than"))
+    rows = clean.local_clean(pages, _fields(spark), _resolved(spark, sf_dir))
     return rows.select("page_id", "field_id", "value", "normalized_value", _r("confidence"), "needs_review")
 
 
-@query()
+@query(f"{o.UPTO_CHECKS} SELECT page_id, field_id, {o.merged()} AS digits FROM messaged WHERE validator IN ('digit_length', 'number_less_than') AND len(cs) > 0")
 def digit_merge(spark, sf_dir):
-    """A fold over ordered fragments: tested against a plain program instead of SQL."""
     rows = clean.gathered(_resolved(spark, sf_dir)).join(F.broadcast(_fields(spark)), "field_id").filter(F.col("validator").isin("digit_length", "number_less_than"))
     return rows.select("page_id", "field_id", clean.merged_digits(F.col("cands")).alias("digits"))
 
