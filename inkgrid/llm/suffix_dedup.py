@@ -33,10 +33,10 @@ from inkgrid.llm.words import BLOCK, Powers, U, slices, text_bytes
 WINDOW, GRAM = 100, 32
 SPAN = WINDOW - GRAM + 1
 #: Bytes whose suffixes are sorted at once, unless one anchor's stretches are more.
-SORTED_BYTES = 1 << 20
+SORTED_BYTES = 1 << 19
 #: Anchors with more than this share of all stretches are heavy; there are fewer than 1 / HEAVY_SHARE of them.
 HEAVY_SHARE = 1e-5
-HEAVY_LEAST = 2_000
+HEAVY_LEAST = 10_000
 SAMPLE_ONE_IN = 16
 
 FOUND, REPEAT, OPEN = 0, 1, 2
@@ -44,6 +44,7 @@ STRETCH_SCHEMA = "kind tinyint, bucket int, gid bigint, start int, n int, anchor
 _names = [f.split()[0] for f in STRETCH_SCHEMA.split(", ")]
 _kinds = (pa.int8(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
 _record = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("gid", "<i8"), ("start", "<i4"), ("n", "u1")])
+_long = np.dtype([(name, "<i4" if name == "n" else _record[name]) for name in _record.names])
 _made: dict[int, Powers] = {}
 
 
@@ -129,6 +130,18 @@ def _ordered(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return records, np.r_[np.ones(min(1, len(records)), bool), ~same]
 
 
+def _joined(records: np.ndarray) -> np.ndarray:
+    """Stretches of a text that follow each other as one (anchor and whole lose their meaning)."""
+    if not len(records):
+        return records.astype(_long)
+    records = records[np.lexsort((records["start"], records["gid"]))]
+    fresh = np.r_[True, (records["gid"][1:] != records["gid"][:-1]) | (records["start"][1:] != records["start"][:-1] + records["n"][:-1])]
+    first = np.flatnonzero(fresh)
+    out = records[first].astype(_long)
+    out["n"] = np.add.reduceat(records["n"].astype(np.int32), first)
+    return out
+
+
 def _rows(kind: int, records: np.ndarray, bucket: np.ndarray | None = None, data: list[bytes] | None = None) -> pa.RecordBatch:
     n = len(records)
     columns = (np.full(n, kind, np.int8), np.zeros(n, np.int32) if bucket is None else bucket, records["gid"], records["start"], records["n"].astype(np.int32), records["anchor"].view(np.int64))
@@ -140,10 +153,10 @@ def _find(buckets: int, by_window: np.ndarray):
     """From rows (gid, text): a batch's stretches packed for each bucket, and the repeats that show within the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 32 * BLOCK):
+        for batch in slices(batches, 1, 64 * BLOCK):
             gids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             records, first = _ordered(_records(batch.column(1), gids, by_window))
-            repeats = records[~first]
+            repeats = _joined(records[~first])
             yield _rows(REPEAT, repeats, (repeats["gid"].astype(U) % U(buckets)).astype(np.int32))
             records = records[first]
             bucket = (records["anchor"] % U(buckets)).astype(np.int32)
@@ -171,7 +184,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settled(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         records, first = _ordered(np.concatenate([_unpack(p) for p in parts]))
-        yield _rows(REPEAT, records[~first])
+        yield _rows(REPEAT, _joined(records[~first]))
         records = records[first]
         again = records["anchor"][1:] == records["anchor"][:-1]
         yield _rows(OPEN, records[np.r_[False, again] | np.r_[again, False]])
@@ -264,7 +277,7 @@ def heavy_anchors(rows: DataFrame) -> np.ndarray:
     schema = "anchor bigint"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, 4 * BLOCK):
+        for batch in slices(batches, 1):
             gids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             records, first = _ordered(_records(batch.column(1), gids, np.zeros(0, U)))
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(records["anchor"][first]).view(np.int64))], names=["anchor"])

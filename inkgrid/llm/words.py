@@ -13,7 +13,7 @@ import pyarrow as pa
 
 SHINGLE = 5
 #: Bytes handled at once; longer texts are cut between words.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 U = np.uint64
 
 
@@ -77,7 +77,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]] if len(data) else np.zeros(0, np.uint8), offsets - offsets[0]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, limit: int = 16 * BLOCK) -> Iterator[pa.RecordBatch]:
     """The batches in slices of at most `limit` bytes of text, or one row: what is held at once stays bounded."""
     for batch in batches:
         _, offsets = text_bytes(batch.column(column))
