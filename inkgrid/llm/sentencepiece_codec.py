@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with a given model; the ids are the library's.
 
 The public model merges pairs by rank (BPE). Its result is not the path of the greatest score sum, so a max-plus product
-over chunks gives other ids (see the README for figures). What holds instead: no piece of the model has a blank behind
+over chunks gives other ids (README has figures; maxplus.py has the scan, for models whose scores add up). What holds instead: no piece of the model has a blank behind
 another character, so at every blank that follows another character the only boundary state is "no piece crosses" and
 chunks join by mere concatenation. Texts are cut there into units, equal units are encoded once, and giant texts need
 no more memory than their ids.
