@@ -49,4 +49,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_quality, op4_license_scan, op5_fingerprints, op6_decontamination, op7_warc, op8_url_filter, op9_suffix_dedup, op10_sharding)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_ngram_join": r"""
+WITH RECURSIVE t AS (SELECT text, min(doc_id) AS k, count(*) AS n_copies FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) GROUP BY text),
+w AS (SELECT k, list_filter(regexp_split_to_array(text, '[\x00-\x20]+'), lambda x: x <> '') AS ws FROM t),
+s AS (
+  SELECT DISTINCT k, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+      ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS g FROM w),
+c AS (SELECT k, count(*) AS m FROM s GROUP BY k),
+p AS (SELECT x.k AS a, y.k AS b, count(*) AS n FROM s x JOIN s y ON x.g = y.g AND x.k < y.k GROUP BY x.k, y.k),
+l AS (SELECT a, b FROM p JOIN c x ON x.k = a JOIN c y ON y.k = b WHERE 10 * n >= 8 * (x.m + y.m - n)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT k AS node, k AS root FROM t UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+g AS (SELECT node, min(root) AS class_id FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, class_id, coalesce(n_links, 0) AS n_links, n_copies, t.k AS first_copy
+FROM documents d JOIN t ON t.text = coalesce(d.text, '') JOIN g ON g.node = t.k LEFT JOIN n ON n.a = t.k""",
+}
