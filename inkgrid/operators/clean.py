@@ -102,6 +102,21 @@ def sections(rows: DataFrame) -> DataFrame:
     return asked.groupBy("page_id", "section").agg(F.min("field_seq").alias("first_seq"), ids.alias("field_ids"))
 
 
+def asked_candidates(cands: Column) -> Column:
+    """The candidates that a cleaning model is shown: six, for free text those that read like a body, if any do."""
+    free = F.col("validator").isin("bilingual_text", "contains_english") | F.coalesce(F.col("assignment.value_type") == "free_text", F.lit(False))
+    bodies = F.filter(F.slice(cands, 1, 10), lambda c: t.is_body(c["text"]))
+    return F.slice(F.when(free & (F.size(bodies) > 0), bodies).otherwise(cands), 1, 6)
+
+
+def requests(rows: DataFrame) -> DataFrame:
+    """page_id, section, payload: what a model is sent for each section, as JSON."""
+    shown = F.transform(asked_candidates(F.col("cands")), lambda c: F.struct(c["text"].alias("text"), F.round(c["cand_score"], 4).alias("score")))
+    asked = rows.filter((F.col("recognizer") != "checkbox") & (F.size("cands") > 0)).withColumn("__shown", shown)
+    entry = F.struct("field_seq", F.col("field_id").alias("id"), "label", "validator", F.col("__shown").alias("candidates"))
+    return asked.groupBy("page_id", "section").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("payload"))
+
+
 def overlay(local: DataFrame, cleaned: DataFrame) -> DataFrame:
     """Puts a model's values (page_id, field_id, value, normalized_value, confidence, error) over the local ones.
 

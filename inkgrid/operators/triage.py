@@ -103,6 +103,15 @@ def attributed(problems: DataFrame, checks: DataFrame) -> DataFrame:
     return rows.select("page_id", "pos", "text", pick("field_id", ""), pick("label", ""), kind, pick("risk_level", "low"), pick("evidence_state", "summary"))
 
 
+def requests(checks: DataFrame) -> DataFrame:
+    """page_id, payload: the issues that a model may choose from, as JSON."""
+    entry = F.struct(
+        "field_seq", F.col("field_id").alias("id"), "label", F.when(F.col("kind") == 0, "failure").otherwise("review_pending").alias("kind"), F.col("text").alias("message"),
+        t.first_filled(F.col("normalized_value"), F.col("value")).alias("value"), "validator", "confidence", "risk_level", F.col("risk").alias("risk_score"), "evidence_state", "review_state",
+    )
+    return issues(checks).groupBy("page_id").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("payload"))
+
+
 def accepted_items(items: DataFrame, checks: DataFrame, settings: Settings) -> DataFrame:
     """Items (page_id, pos, field_id, kind, text) of a model's answer that name a known issue of the right kind: first of a field, up to the limit."""
     known = issues(checks).select("page_id", F.col("field_id"), F.col("kind").alias("own_kind"), F.col("text").alias("own_text"), "label", "risk_level", "evidence_state")

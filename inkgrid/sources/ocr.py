@@ -57,6 +57,16 @@ def image_urls(results: DataFrame) -> DataFrame:
     return rows.filter("ocr.ocrImage <> ''").select("page_id", "page_no", F.col("ocr.ocrImage").alias("url"))
 
 
+LAYOUT = "struct<layoutParsingResults:array<struct<markdown:struct<text:string>,outputImages:map<string,string>>>>"
+
+
+def layout_pages(results: DataFrame) -> DataFrame:
+    """(page_id, record_no, result of LAYOUT) to page_id, page_no, markdown, images (name to url)."""
+    rows = results.select("page_id", "record_no", F.posexplode("result.layoutParsingResults").alias("pos", "p"))
+    order = Window.partitionBy("page_id").orderBy("record_no", "pos")
+    return rows.select("page_id", (F.row_number().over(order) - 1).alias("page_no"), F.coalesce("p.markdown.text", F.lit("")).alias("markdown"), F.col("p.outputImages").alias("images"))
+
+
 def block_json(blocks: DataFrame) -> DataFrame:
     """page_id, block_seq, json of each block."""
     box, center = F.array("x1", "y1", "x2", "y2").alias("box"), F.array("cx", "cy").alias("center")
