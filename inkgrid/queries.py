@@ -31,8 +31,16 @@ def query(sql: str | None = None):
     return add
 
 
+_held: dict[str, DataFrame] = {}
+
+
 def _fields(spark: SparkSession) -> DataFrame:
-    return catalog.from_fields(spark, catalog.SAMPLE)
+    """The sample catalogue, worked out once in a session: some tens of rows."""
+    session = spark.sparkContext.applicationId
+    if session not in _held or _held[session].sparkSession is not spark:
+        made = catalog.from_fields(spark, catalog.SAMPLE)
+        _held[session] = spark.createDataFrame(made.collect(), made.schema)
+    return _held[session]
 
 
 def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
