@@ -19,7 +19,7 @@ RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www
 SAMPLE = 20_000
 TREES, DEPTH, STEP = 12, 3, 0.3
 BLOCK_FROM = 0.5
-FEATURES = ["url_len", "host_len", "path_len", "depth", "dots", "hyphens", "digit_ratio", "params", "has_fragment", "entropy", "word_len", "suffix_rate", "suffix_n"]
+FEATURES = ["url_len", "host_len", "path_len", "depth", "dots", "hyphens", "digit_ratio", "params", "has_fragment", "entropy", "word_len", "host_share", "extension_share"]
 
 
 def with_parts(pages: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def rule_columns(rules=RULES) -> tuple[Column, Column]:
 
 
 def with_features(pages: DataFrame) -> DataFrame:
-    """Lexical features of url, host and path; `suffix` is the host's last label with the path's first segment."""
+    """Lexical features of url, host and path; `extension` is that of the path's last segment."""
     url = F.coalesce(F.col("url"), F.lit(""))
     count = lambda text, pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     size = F.char_length("__url").cast("double")
@@ -62,18 +62,25 @@ def with_features(pages: DataFrame) -> DataFrame:
             "has_fragment": F.col("__url").contains("#").cast("double"),
             "entropy": entropy,
             "word_len": F.array_max(F.transform(F.split("host", "[.]"), lambda w: F.char_length(w))).cast("double"),
-            "suffix": F.concat_ws("/", F.regexp_extract("host", r"([^.]*)\z", 1), F.regexp_extract("path", r"\A/([^/]*)", 1)),
+            "extension": F.lower(F.regexp_extract("path", r"[^/.]\.([A-Za-z0-9]{1,8})\z", 1)),
         }
     ).drop("__url")
 
 
+def shares(rows: DataFrame, key: str) -> DataFrame:
+    """key and `<key>_share`, its share of all rows: counted over every page, no label among them."""
+    counts = cut(rows.groupBy(key).count())
+    total = counts.agg(F.sum("count")).first()[0] or 1
+    return counts.select(key, (F.col("count") / F.lit(total)).alias(f"{key}_share"))
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the trees' chance of `block`) of every row.
 
     A fitting rule's verdict stands, the longest rule's first. Other URLs are judged by trees fitted on at most SAMPLE
-    rule-labelled URLs; suffix statistics come from that sample, unknown suffixes get its mean. If all labels agree or
-    there are none, the verdict of the rest is the labels' (allow without labels) and score is null. Null and odd URLs
-    have empty parts and are judged like any other; repeated rows stay; other columns are ignored.
+    rule-labelled URLs; what they see of whole hosts and path extensions is their share of all rows, never a label. If
+    all labels agree or there are none, the verdict of the rest is the labels' (allow without labels) and score is null.
+    Null and odd URLs have empty parts and are judged like any other; repeated rows stay; other columns are ignored.
     """
     rows = with_parts(pages.select("page_id", "url"))
     rule, verdict = rule_columns(rules)
@@ -84,11 +91,11 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     if not total["n"] or total["mean"] in (0.0, 1.0):
         rest = F.lit("block" if total["mean"] == 1.0 else "allow")
         return rows.select("page_id", "host", "path", "rule", F.coalesce("by_rule", rest).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    suffixes = sample.groupBy("suffix").agg(((F.sum("label") + total["mean"]) / (F.count("*") + 1)).alias("suffix_rate"), F.log1p(F.count("*")).alias("suffix_n"))
+    known = {key: shares(with_features(rows), key) for key in ("host", "extension")}
 
     def assembled(df: DataFrame) -> DataFrame:
-        df = df.join(F.broadcast(suffixes), "suffix", "left")  # at most SAMPLE rows
-        df = df.fillna({"suffix_rate": float(total["mean"]), "suffix_n": 0.0})
+        for key, found in known.items():  # as many keys as the pages have: whether one side is broadcast is left to Spark
+            df = df.join(found, key)
         return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
 
     trees = GBTClassifier(labelCol="label", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=3).fit(assembled(sample).select("features", "label"))

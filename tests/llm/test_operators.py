@@ -277,6 +277,25 @@ def test_url_rules_and_trees(spark):
     assert {r["verdict"] for r in url_filter.judge(made.filter("page_id < 4")).collect()} == {"allow"}
 
 
+def test_url_trees_judge_by_lexical_features(spark):
+    """Every URL has a host of its own, so only its shape tells; the rules' suffixes do not occur among the unruled."""
+    plain = lambda k, tld: f"http://site{k:03}.{tld}/en/{k:03}"
+    odd = lambda k, tld, first: f"http://very-cheap-pills-{k:03}.{tld}/{first}/{k:03}?a=1&b=2"
+    urls = [plain(k, "com") for k in range(150)] + [odd(k, "net", "es") for k in range(150)]
+    urls += [plain(k, "org") for k in range(50)] + [odd(k, "org", "en") for k in range(50)]
+    made = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], PAGES)
+    got = {r["page_id"]: r for r in url_filter.judge(made).collect()}
+    assert len(got) == len(urls) and all(got[k]["rule"] is None for k in range(300, 400))
+    assert {got[k]["verdict"] for k in range(300, 350)} == {"allow"} and {got[k]["verdict"] for k in range(350, 400)} == {"block"}
+
+
+def test_url_shares_count_all_pages(spark):
+    urls = ["http://a.b.com/x.HTML", "http://b.com/y.html", "http://c.net/", "http://C.net/v1.2/z", None]
+    rows = url_filter.with_features(url_filter.with_parts(spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], PAGES)))
+    assert {r[0]: r[1] for r in url_filter.shares(rows, "host").collect()} == {"a.b.com": 0.2, "b.com": 0.2, "c.net": 0.4, "": 0.2}
+    assert {r[0]: r[1] for r in url_filter.shares(rows, "extension").collect()} == {"html": 0.4, "": 0.6}
+
+
 def brute_removed(rows):
     """By row: the bytes that stay, and the runs that go; rows in order."""
     seen, out = set(), []
