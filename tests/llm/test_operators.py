@@ -192,6 +192,32 @@ def test_licenses_against_plain_containment(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def test_related_licenses_are_told_apart(spark):
+    gnu = "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {} Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version."
+    whole = {license_: text for name, license_, text in license_scan.TEMPLATES if name.endswith("-text")}
+    rows = {
+        "GPL-2.0-or-later": gnu.format("General", "2"),
+        "GPL-3.0-or-later": gnu.format("General", "3"),
+        "LGPL-2.1-or-later": gnu.format("Lesser General", "2.1"),
+        "AGPL-3.0-or-later": gnu.format("Affero General", "3"),
+        "GPL": gnu.format("General", "4"),
+        "GPL-2.0": "This work is licensed under the GNU General Public License, version 2.",
+        "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "EPL-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0 and so on",
+        **{k: whole[k] for k in ("BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "MIT", "Zlib", "Unlicense")},
+    }
+    made = spark.createDataFrame([(k, f"start of it\n{t}\nend of it", None, None, None) for k, t in enumerate(rows.values())], DOCS)
+    found = {}
+    for r in license_scan.scan(made).collect():
+        found.setdefault(list(rows)[r["doc_id"]], set()).add(r["license"])
+    assert found == {k: {k} for k in rows}
+    both = [(1, whole["GPL-3.0"], None, None, None), (2, whole["LGPL-2.1"], None, None, None), (3, whole["MIT"] + whole["BSD-3-Clause"], None, None, None), (4, gnu.format("Foo General", "3"), None, None, None)]
+    found = {}
+    for r in license_scan.scan(spark.createDataFrame(both, DOCS)).collect():
+        found.setdefault(r["doc_id"], set()).add(r["license"])
+    assert found == {1: {"GPL-3.0"}, 2: {"LGPL-2.1"}, 3: {"MIT", "BSD-3-Clause"}}
+
+
 def test_fingerprints(spark, docs, doubled):
     got = {r["doc_id"]: r for r in fingerprints.fingerprint_edits(docs).collect()}
     rows = sorted(((i, t or "") for i, t in texts()), reverse=True)
