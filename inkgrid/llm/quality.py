@@ -7,6 +7,7 @@ ratio that tells mere repetition, goes through a logistic calibration that is fi
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds of what the classifier is fitted on: labelled texts of each class, and the longest text taken.
+#: Bounds of what the classifier is fitted on: labelled texts of each class, and characters of a text, from all its length.
 SAMPLE_PER_CLASS = 2000
 SAMPLE_CHARS = 20_000
 PIECE = 512
@@ -79,18 +80,29 @@ def held_out(doc_id) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def sampled(text) -> F.Column:
+    """The text, or pieces of one longer than SAMPLE_CHARS, spread evenly from its start to its end."""
+    size, n = F.char_length(text), SAMPLE_CHARS // PIECE
+    start = lambda k: (k.cast("long") * (size - PIECE) / (n - 1)).cast("int") + 1
+    pieces = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.substring(text, start(k), F.lit(PIECE)))
+    return F.when(size <= SAMPLE_CHARS, text).otherwise(F.array_join(pieces, ""))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Fits on at most SAMPLE_PER_CLASS labelled texts of each class (1 good, 0 bad), by hash of the id; never on held-out rows.
 
-    Null labels and ids are ignored; of several labels of an id the worst counts. One half of the sample makes the
+    Only labels of rows with a text count; long texts are sampled over all their length. Null labels and ids are
+    ignored; of several labels of an id the worst counts. One half of the sample makes the
     dictionaries, the other the calibration. If either class is missing or too small for a dictionary, every score is
     the share of good labels in the sample (0.5 without labels).
     """
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    docs = docs.filter(F.char_length("text") > 0).select("doc_id", "text")
+    known = known.join(docs.select("doc_id"), "doc_id", "left_semi")
     picked = [known.filter(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_PER_CLASS) for q in (0, 1)]
     ids = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * SAMPLE_PER_CLASS rows
-    texts = docs.select("doc_id", "text").filter(F.char_length("text").between(1, SAMPLE_CHARS)).join(ids, "doc_id")
+    texts = docs.join(ids, "doc_id").withColumn("text", sampled(F.col("text")))
     got = texts.groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     got = [(r["quality"], r["text"]) for r in sorted(got, key=lambda r: (r["doc_id"] * 2654435761) % (1 << 32))]
     share = sum(q for q, _ in got) / len(got) if got else 0.5
@@ -137,8 +149,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the classifier does not reject, with their columns."""
-    return score(docs, fit(docs, labels)).filter(F.col("predicted") == 1).select(*docs.columns)
+    """The rows of `docs` that the classifier does not reject, with their columns; all rows if none could be fitted."""
+    model = fit(docs, labels)
+    if not model.weights:
+        logging.getLogger(__name__).warning("too few labelled texts of both classes for a classifier: no document is rejected")
+        return docs
+    return score(docs, model).filter(F.col("predicted") == 1).select(*docs.columns)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -178,6 +178,36 @@ def test_quality_on_held_out_rows(spark, docs):
     assert quality.judge(empty(spark), labels).count() == 0
 
 
+def test_quality_without_a_model_rejects_nothing(spark, docs):
+    _, labels = labelled(spark, 90)
+    for some in (labels.limit(0), labels.filter("quality = 0"), labels.limit(3), labels.withColumn("doc_id", F.lit(-5))):
+        assert quality.keep_good(docs, some).count() == docs.count()
+
+
+def test_quality_learns_from_long_texts(spark):
+    d, labels = labelled(spark, 90)
+    long = d.withColumn("text", F.expr("repeat(text || ' ', 100)"))
+    assert long.agg(F.min(F.char_length("text"))).first()[0] > quality.SAMPLE_CHARS
+    assert quality.fit(long, labels).weights
+    kept = {r["doc_id"] for r in quality.keep_good(long, labels).collect()}
+    good = {k for k in range(90) if k % 3}
+    assert kept <= good and len(kept) >= 0.95 * len(good)
+
+
+def test_quality_samples_all_of_a_text(spark):
+    n, piece = quality.SAMPLE_CHARS, quality.PIECE
+    rows = [("s" * n,), ("a" * piece + "b" * (3 * n) + "é" * piece,)]
+    short, long = [r[0] for r in spark.createDataFrame(rows, "text string").coalesce(1).select(quality.sampled(F.col("text"))).collect()]
+    assert short == rows[0][0] and long[:piece] == "a" * piece and long[-piece:] == "é" * piece and n - piece < len(long) <= n
+
+
+def test_quality_replaces_labels_without_text(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_PER_CLASS", 40)
+    d, labels = labelled(spark, 300)
+    lost = spark.createDataFrame([(k, q, 0) for k in range(1000, 9000) for q in (k % 2,)], labels.schema)
+    assert quality.fit(d, labels.unionByName(lost)) == quality.fit(d, labels)
+
+
 def test_licenses_against_plain_containment(spark):
     rng = random.Random(4)
     rows, want = [], set()
