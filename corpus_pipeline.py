@@ -38,8 +38,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of the documents left, and whether decoding gives the text again."""
-    return sentencepiece_codec.digests(docs)
+    """Text and piece ids of the documents left, their digests, and whether decoding gives the text again."""
+    return sentencepiece_codec.encoded(docs, shown="text")
 
 
 STAGES = [

@@ -13,7 +13,7 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.digests(table(spark, sf_dir, "documents"))
+    return sentencepiece_codec.encoded(table(spark, sf_dir, "documents"))
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -90,28 +90,36 @@ def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "de
     return _appended(rows, out, T.StringType(), ids, ("decode", model))
 
 
-def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, n_pieces, ids_sha256, decoded_sha256, round_trip of each row: encoded, decoded and compared.
+def encoded(docs: DataFrame, model: str = MODEL, shown: str = "decoded") -> DataFrame:
+    """doc_id, n_pieces, ids, the text `shown` (`decoded`, or `text` as it came), ids_sha256, decoded_sha256, round_trip.
 
-    The ids count as little-endian 32-bit numbers. A null text has no pieces and counts as empty. A text that holds the
-    model's blank sign U+2581 itself decodes to a space there, so it is no round trip.
+    Encoded, decoded and compared in one pass, a row for each row of `docs`. For the digest the ids count as little-endian
+    32-bit numbers. A null text has no pieces and counts as empty, but `text` stays null. A text that holds the model's
+    blank sign U+2581 itself decodes to a space there, so it is no round trip.
     """
-    schema = "doc_id bigint, n_pieces int, ids_sha256 string, decoded_sha256 string, round_trip boolean"
+    schema = f"doc_id bigint, n_pieces int, ids array<int>, {shown} string, ids_sha256 string, decoded_sha256 string, round_trip boolean"
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
         for batch in slices(batches, 1):
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            ids = [codec.encode(t) for t in texts]
-            back = [codec.decode(i) for i in ids]
+            ids = [np.array(codec.encode(t), "<i4") for t in texts]
+            back = [codec.decode(i.tolist()) for i in ids]
             columns = [
                 batch.column(0),
                 pa.array(map(len, ids), pa.int32()),
-                pa.array([hashlib.sha256(np.array(i, "<i4").tobytes()).hexdigest() for i in ids], pa.string()),
+                pa.array(ids, pa.list_(pa.int32())),
+                batch.column(1) if shown == "text" else pa.array(back, pa.string()),
+                pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),
                 pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string()),
                 pa.array([t == b for t, b in zip(texts, back)], pa.bool_()),
             ]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:
+    """What `encoded` gives, without the ids and the text."""
+    return encoded(docs, model).drop("ids", "decoded")

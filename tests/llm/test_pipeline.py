@@ -8,6 +8,7 @@ import sentencepiece
 
 import corpus_pipeline
 from inkgrid.llm import quality, sentencepiece_codec
+from inkgrid.llm.queries import op2_sentencepiece
 from tests.llm.test_operators import DOCS, brute_groups, brute_removed, labelled, words
 
 
@@ -52,6 +53,24 @@ def test_pipeline_is_its_plain_version(spark, tmp_path):
     assert 1000 not in got and 1004 not in got and 1005 in got and len(got) > 150
 
 
+def test_pipeline_ends_in_texts_and_ids(spark):
+    rows = [(1, "some text, é"), (2, "x\u2581y"), (3, ""), (4, None)]
+    made = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    want = {i: (t, model.encode(t or "")) for i, t in rows}
+    got = corpus_pipeline.encode(spark, made, "").collect()
+    assert {r["doc_id"]: (r["text"], r["ids"]) for r in got} == want
+
+
+def test_codec_query_gives_ids_and_decoded_texts(spark, tmp_path):
+    rows = [(1, "some text, é"), (2, "x\u2581y"), (3, ""), (4, None)]
+    spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
+    got = {r["doc_id"]: r for r in op2_sentencepiece(spark, str(tmp_path)).collect()}
+    assert {i: (r["ids"], r["decoded"]) for i, r in got.items()} == {i: (ids := model.encode(t or ""), model.decode(ids)) for i, t in rows}
+    assert {i: r["round_trip"] for i, r in got.items()} == {1: True, 2: False, 3: True, 4: True}
+
+
 def test_stages_keep_the_columns(spark, tmp_path):
     d, labels = labelled(spark, 90)
     for name, df in (("labels", labels), ("benchmark", spark.createDataFrame([(1, None)], "item_id bigint, text string"))):
