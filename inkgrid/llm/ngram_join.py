@@ -1,10 +1,10 @@
-"""N-gram Jaccard self-join: a MinHash LSH forest finds candidates, shingle sets decide.
+"""N-gram Jaccard self-join: fixed MinHash banding finds candidates, shingle sets decide.
 
-Each of TREES trees labels a text by a sequence of MinHash values and sorts texts by label, so that equal prefixes stand
-together. The prefix that must match starts at the full label and is shortened until a pair at the threshold is missed
-with probability 1 - TARGET at most; what matches a longer prefix matches the shorter one too. Texts that share a prefix
-are joined to candidate groups, in which every pair is compared exactly: groups of any size are cut into blocks, and a
-task compares one block with another, so that no pair is ever a row.
+TREES bands of matched_prefix() rows each: the number of rows is the longest prefix of a forest's label of LABEL levels by
+which a pair at the threshold is missed with probability 1 - TARGET at most. It hangs on constants alone, so levels below
+it are never hashed and no trie is built. Texts that share a band's key are joined to candidate groups, in which every
+pair is compared exactly: groups of any size are cut into blocks, and a task compares one block with another, so that no
+pair is ever a row.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ STRIP = 4096
 
 
 def matched_prefix(threshold: float = THRESHOLD, target: float = TARGET) -> int:
-    """The longest prefix by which the forest still finds a pair at the threshold with probability `target`."""
+    """Rows of a band: the longest prefix by which the bands still find a pair at the threshold with probability `target`."""
     depth = LABEL
     while depth > 1 and 1 - (1 - threshold**depth) ** TREES < target:
         depth -= 1
@@ -38,7 +38,7 @@ def matched_prefix(threshold: float = THRESHOLD, target: float = TARGET) -> int:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, doc_id and the hash of the matched prefix in each tree (none for a text without words)."""
+    """id, doc_id and the key of each band (none for a text without words)."""
     depth = matched_prefix()
     turn, shift = splitmix(TREES * LABEL, 21) | U(1), splitmix(TREES * LABEL, 22)
     for batch in slices(batches, 2):
