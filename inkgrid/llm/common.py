@@ -11,11 +11,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder; the cluster's setting wins, a local default serves tests only."""
-    held = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder for checkpoints and for what lies between stages, as the session's spark.checkpoint.dir names it.
+
+    Without that setting there is no folder that all executors share, and none is made up: the call fails.
+    """
+    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not held:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(held or "/tmp/checkpoints")
-    return held or "/tmp/checkpoints"
+        spark.sparkContext.setCheckpointDir(held)
+    return held
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -24,6 +29,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key with at least this many rows, and this share of all, is hot; so there are at most 1 / HOT_SHARE hot keys.
+HOT_LEAST, HOT_SHARE = 1000, 1 / 500
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of `rows` with `table`, which has each key once and in `size` how many of the `total` rows have it.
+
+    The table's rows of hot keys, 1 / HOT_SHARE at most, are broadcast, so that no task gets all rows of a hot key; the
+    other keys are shuffled as usual. `size` is dropped.
+    """
+    hot = F.col(size) >= max(HOT_LEAST, int(total * HOT_SHARE))
+    few = F.broadcast(table.filter(hot).drop(size))
+    rest = rows.join(F.broadcast(table.filter(hot).select(key)), key, "left_anti").join(table.filter(~hot).drop(size), key)
+    return rest.unionByName(rows.join(few, key))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,10 +8,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from inkgrid.llm import decontaminate, fingerprints, license_scan, ngram_join, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
+from inkgrid.llm import common, decontaminate, fingerprints, license_scan, ngram_join, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
 from inkgrid.llm.common import numbered
 from inkgrid.llm.components import components
 
@@ -114,10 +115,79 @@ def test_join_cuts_large_groups_into_cells(spark, monkeypatch):
         assert (r["class_id"], r["n_links"], r["n_copies"]) == want[rows[r["doc_id"]][1]]
 
 
-def test_forest_prefix_reaches_its_target():
-    depth = ngram_join.matched_prefix()
-    found = lambda d: 1 - (1 - 0.8**d) ** ngram_join.TREES
-    assert found(depth) >= ngram_join.TARGET > found(depth + 1)
+def test_forest_stops_where_its_target_is_met():
+    """The stop hangs on the text: no partner of a set of n shingles can have less than least_similarity(n)."""
+    for n in range(1, 60):
+        values = [c / (n + m - c) for m in range(1, 80) for c in range(1, min(n, m) + 1) if (n, m) != (c, c)]
+        least = min([v for v in values if v >= 0.8 - 1e-12], default=1.0)
+        assert abs(ngram_join.least_similarity(n) - least) < 1e-12, n
+        depth = ngram_join.stop_depth(n)
+        found = lambda d: 1 - (1 - least**d) ** ngram_join.TREES  # noqa: B023, E731
+        assert found(depth) >= ngram_join.TARGET and (depth == ngram_join.LABEL or found(depth + 1) < ngram_join.TARGET)
+    assert [ngram_join.stop_depth(n) for n in (3, 7, 6, 500)] == [8, 7, 6, 5]
+
+
+def test_tries_shorten_prefixes_down_to_the_stop():
+    """Entries that stop at 8 meet at a full label only, those that stop at 5 meet at 5; trees do not mix."""
+    label = np.array([[1] * 8, [1] * 8, [1, 1, 1, 1, 1, 1, 1, 2], [1, 1, 1, 1, 1, 2, 2, 2], [1, 1, 1, 1, 3, 3, 3, 3], [1] * 8, [9] * 8], np.uint16)
+    tree, stop = np.array([0, 0, 0, 0, 0, 1, 1], np.int32), np.array([8, 8, 5, 5, 5, 5, 5], np.int32)
+    pad = np.zeros((1, 8), np.uint16)
+    label = np.concatenate([pad, label, pad + 7])
+    tree, stop = np.r_[-1, tree, 9].astype(np.int32), np.r_[5, stop, 5].astype(np.int32)
+    groups = {}
+    for rows, gid in ngram_join.shared_prefixes(tree, label, stop):
+        for row, g in zip(rows.tolist(), gid.tolist()):
+            groups.setdefault(g, []).append(row - 1)
+    assert sorted(g for g in groups.values() if len(g) > 1) == [[0, 1], [2, 3]]
+
+
+@pytest.mark.parametrize("n", [4, 6, 9, 40, 300])
+def test_forest_finds_pairs_at_the_threshold(spark, n):
+    """Pairs of sets of about n shingles, of the least similarity that is a link, and as many just below it."""
+    rng, rows = random.Random(n), []
+    size = lambda k: [f"w{n}x{k}x{rng.randrange(10**9)}" for _ in range(n + 4)]
+    for k in range(60):
+        w = size(k)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w, *(f"e{k}x{j}" for j in range(n // 4 + k % 2))]))]
+    want = brute_groups(rows)
+    made = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.near_duplicates(made).collect()}
+    assert got == {i: want[t][:2] for i, t in rows} and sum(v[1] for v in got.values()) >= 2 * 30
+
+
+def test_join_of_texts_with_one_shingle_set(spark):
+    """Texts that differ in white space only are different texts of one set: each is a link of the others."""
+    rng = random.Random(21)
+    base = words(rng, 40)
+    rows = [(k, base.replace(" ", " " * (k + 1), 1)) for k in range(4)] + [(9, base + " end")]
+    made = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    assert {(r["class_id"], r["n_links"], r["n_copies"]) for r in ngram_join.near_duplicates(made).collect()} == {(0, 4, 1)}
+
+
+def test_one_of_each_is_the_same_in_every_run(spark):
+    rows = [(1, "a b c d e f", "x", "s", 1), (1, "a b c d e f", None, "s", 2), (1, "a b c d e f", "b", None, 3)]
+    kept = {tuple(r) for part in (1, 2, 5) for order in (rows, rows[::-1]) for r in ngram_join.one_of_each(spark.createDataFrame(order, DOCS).repartition(part)).collect()}
+    assert len(kept) == 1
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_LEAST", 3)
+    rows = spark.createDataFrame([(k % 4 if k % 2 else 7, k) for k in range(40)] + [(None, -1)], "k int, v int")
+    table = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("v").alias("least"))
+    got = sorted(tuple(r) for r in common.hot_join(rows, table, "k", "n", 41).collect())
+    assert got == sorted(tuple(r) for r in rows.join(table.drop("n"), "k").collect()) and len(got) == 40
+
+
+def test_no_folder_is_made_up():
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: default)
+
+        class sparkContext:
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session)
 
 
 def test_components(spark):
