@@ -1,7 +1,9 @@
 """Benchmark decontamination: pigeonhole pieces found exactly, then Myers' bit-parallel edit distance.
 
-An item that occurs in a text with at most k edits leaves at least one of its k+1 pieces untouched. The pieces of all
-items, in blocks of bounded size, are searched at once (Aho-Corasick); around each hit the item's distance is computed.
+An item that occurs in a text with at most k edits leaves at least one of its k+1 pieces untouched. The pieces of all items
+of a small benchmark are searched at once (Aho-Corasick) in one pass over the texts. Those of a large one are joined: pieces
+have few lengths, so the texts' substrings of these lengths are hashed, sieved, and matched with the pieces by a shuffle.
+Either way the item's distance is computed around each hit, and both ways give the same rows.
 """
 
 from __future__ import annotations
@@ -10,13 +12,20 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from inkgrid.llm.common import cut, hot_join, numbered
+from inkgrid.llm.words import U, mixed, slices, splitmix
 
 #: Edits allowed, as a share of an item's length.
 EDITS = 0.05
-#: Characters of items that are searched for at once; more items are searched in further passes over the texts.
+#: A benchmark of at most so many characters is broadcast.
 BLOCK_CHARS = 4_000_000
+#: Bits of the sieve that a large benchmark's pieces are put in, and code points of a text that are hashed at once.
+SIEVE_BITS, STRETCH = 28, 1 << 18
 HIT_SCHEMA = "doc_id bigint, item_id bigint, first_char int, last_char int, distance int"
 
 
@@ -64,11 +73,44 @@ def _masks(text: str) -> dict[str, int]:
     return dict(masks)
 
 
+class Item:
+    """A text to be found within its budget."""
+
+    def __init__(self, text: str):
+        self.size, self.most = len(text), budget(len(text))
+        self.masks, self.back = _masks(text), _masks(text[::-1])
+
+    def closest(self, spans: list[tuple[int, str]]) -> tuple[int, int, int] | None:
+        """(distance, first, last character) of the closest occurrence in stretches (place, text) in order; the first of equals."""
+        best = None
+        for at, text in spans:
+            d, end = _scan(self.masks, self.size, text, False, self.most)
+            if d <= self.most and (best is None or d < best[0]):
+                best = (d, at, end, text)
+        if best is None:
+            return None
+        d, at, end, text = best
+        _, size = _scan(self.back, self.size, text[max(0, end - self.size - self.most) : end][::-1], True, self.most)
+        return d, at + end - size, at + end - 1
+
+
+def stretches(starts: list[int], size: int, most: int, length: int) -> list[tuple[int, int]]:
+    """What of a text of some length is looked at when an item may start at these places: joined where they overlap."""
+    out: list[tuple[int, int]] = []
+    for s in sorted(set(starts)):
+        a, b = max(0, s - most), min(length, s + size + most)
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
 class Finder:
-    """Searches texts for a block of items."""
+    """Searches texts for some items at once."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = [(i, t, budget(len(t)), _masks(t), _masks(t[::-1])) for i, t in items]
+        self.items = [(i, Item(t)) for i, t in items]
         where = defaultdict(list)
         for k, (_, t) in enumerate(items):
             for piece, at in pieces(t):
@@ -90,77 +132,160 @@ class Finder:
                 near[k].append(end + 1 - size - at)
         out = []
         for k, starts in near.items():
-            item, t, most, masks, back = self.items[k]
-            best = (most + 1, 0)
-            lo = hi = None
-            spans = []
-            for s in sorted(set(starts)):
-                a, b = max(0, s - most), min(len(text), s + len(t) + most)
-                if lo is not None and a <= hi:
-                    hi = max(hi, b)
-                else:
-                    if lo is not None:
-                        spans.append((lo, hi))
-                    lo, hi = a, b
-            spans.append((lo, hi))
-            for a, b in spans:
-                d, end = _scan(masks, len(t), text[a:b], False, most)
-                if d < best[0]:
-                    best = (d, a + end)
-            if best[0] <= most:
-                d, end = best
-                _, size = _scan(back, len(t), text[max(0, end - len(t) - most) : end][::-1], True, most)
-                out.append((item, end - size, end - 1, d))
+            number, item = self.items[k]
+            if found := item.closest([(a, text[a:b]) for a, b in stretches(starts, item.size, item.most, len(text))]):
+                d, first, last = found
+                out.append((number, first, last, d))
         return sorted(out)
 
 
-def item_blocks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of at most BLOCK_CHARS characters (or one item), by id; null and empty texts are left out."""
-    block, size = [], 0
-    for r in items.select("item_id", "text").filter("text <> ''").orderBy("item_id", "text").toLocalIterator():
-        if block and size + len(r["text"]) > BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-        block.append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    if block:
-        yield block
+def _is_small(items: DataFrame, limit: int) -> bool:
+    return (items.agg(F.sum(F.char_length("text"))).first()[0] or 0) <= limit
+
+
+def _held(items: DataFrame):
+    """The items of a small benchmark, broadcast; null and empty texts are left out."""
+    rows = items.select("item_id", "text").filter("text <> ''").orderBy("item_id", "text").collect()  # BLOCK_CHARS characters at most
+    return items.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in rows])
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+
+
+def piece_hashes(codes: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all stretches of `size` code points."""
+    n = len(codes) - size + 1
+    turn = splitmix(size, 91) | U(1)
+    with np.errstate(over="ignore"):
+        total = np.full(n, U(size))
+        spread = mixed(codes)
+        for k in range(size):
+            total += spread[k : k + n] * turn[k]
+    return mixed(total)
+
+
+PIECES = "piece bigint, size int, key binary, at int, length int"
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+    for batch in slices(batches, 1):
+        made = [
+            (int(piece_hashes(_codes(p), len(p)).view(np.int64)[0]), len(p), key, at, len(text))
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            for p, at in pieces(text)
+        ]
+        columns = list(zip(*made)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[f.split()[0] for f in PIECES.split(", ")])
+
+
+def _joined(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """gid, item_id, first_char, last_char, distance for rows (gid, text), by joining pieces; nothing but a sieve is broadcast."""
+    spark = rows.sparkSession
+    items = items.select("item_id", "text").filter("text <> ''").withColumn("key", F.unhex(F.md5("text")))
+    texts = cut(items.select("key", "text").distinct())
+    known = cut(texts.mapInArrow(_pieces_of, PIECES))
+    sizes = sorted(r["size"] for r in known.select("size").distinct().collect())  # an item of 20 characters or more has pieces of 10 to 20
+    # A sieve of 2 ** SIEVE_BITS bits, as rows of 4 KiB that have any.
+    number = F.col("piece").bitwiseAND((1 << SIEVE_BITS) - 1)
+    bits = known.select(F.bitmap_bucket_number(number).alias("b"), F.bitmap_bit_position(number).alias("p")).groupBy("b").agg(F.bitmap_construct_agg("p").alias("m"))
+    sieve = np.zeros(1 << (SIEVE_BITS - 3), np.uint8)
+    for r in bits.toLocalIterator():
+        part = np.frombuffer(r["m"], np.uint8)
+        first = (r["b"] - 1) * len(part)
+        # Bucket numbers start at 1 for bit 1, so bit 0 is the last of the bucket before.
+        sieve[max(first, 0) : first + len(part)] |= part[max(-first, 0) :]
+    held = spark.sparkContext.broadcast(sieve.tobytes())  # 2 ** (SIEVE_BITS - 3) bytes, whatever the benchmark
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(held.value, np.uint8)
+        for batch in slices(batches, 1):
+            for gid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                codes = _codes(text or "")
+                for size in sizes:
+                    for a in range(0, len(codes) - size + 1, STRETCH):
+                        hashes = piece_hashes(codes[a : a + STRETCH + size - 1], size)
+                        low = (hashes & U((1 << SIEVE_BITS) - 1)).astype(np.int64) - 1
+                        near = np.flatnonzero((low < 0) | (table[low >> 3] >> (low & 7).astype(np.uint8) & 1).astype(bool))
+                        if len(near):
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(hashes[near].view(np.int64)), pa.array(np.full(len(near), size, np.int32)), pa.array(np.full(len(near), gid, np.int64)), pa.array((near + a).astype(np.int32))],
+                                names=["piece", "size", "gid", "pos"],
+                            )
+
+    found = rows.select("gid", "text").mapInArrow(grams, "piece bigint, size int, gid bigint, pos int")
+    starts = found.join(known, ["piece", "size"]).select("gid", "key", "length", (F.col("pos") - F.col("at")).alias("start"))
+    near = starts.groupBy("gid", "key", "length").agg(F.collect_set("start").alias("starts")).groupBy("gid").agg(F.collect_list(F.struct("key", "length", "starts")).alias("near"))
+    names, kinds = ["gid", "key", "no", "at", "part"], (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string())
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1):
+            made = [
+                (gid, n["key"], no, a, text[a:b])
+                for gid, text, near in zip(*(c.to_pylist() for c in batch.columns))
+                for n in near
+                for no, (a, b) in enumerate(stretches(n["starts"], n["length"], budget(n["length"]), len(text)))
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*made)) or [()] * 5, kinds)], names=names)
+
+    spans = cut(rows.join(near, "gid").select("gid", "text", "near").mapInArrow(parts, "gid bigint, key binary, no int, at int, part string"))
+    total = spans.count()
+    counts = spans.groupBy("key").agg(F.count("*").alias("rows"))
+    named = hot_join(spans, texts.join(counts, "key"), "key", "rows", total)
+
+    @F.pandas_udf("struct<distance:int,first_char:int,last_char:int>")
+    def closest(text, at, part):
+        import pandas as pd
+
+        made: dict[str, Item] = {}
+        found = [made.setdefault(t, made.get(t) or Item(t)).closest([(a, p)]) for t, a, p in zip(text, at, part)]
+        return pd.DataFrame([f or (None, None, None) for f in found], columns=["distance", "first_char", "last_char"]).astype("Int32")
+
+    best = named.select("gid", "key", "no", closest("text", "at", "part").alias("c")).filter("c.distance is not null")
+    best = cut(best.groupBy("gid", "key").agg(F.min_by("c", F.struct("c.distance", "no")).alias("c")))
+    total, counts = best.count(), best.groupBy("key").agg(F.count("*").alias("rows"))
+    found = items.select("key", "item_id").join(counts.select("key"), "key", "left_semi").groupBy("key").agg(F.collect_list("item_id").alias("ids"))
+    return hot_join(best, found.join(counts, "key"), "key", "rows", total).select("gid", F.explode("ids").alias("item_id"), "c.first_char", "c.last_char", "c.distance")
+
+
+def leaks(docs: DataFrame, items: DataFrame, broadcast_chars: int | None = None) -> DataFrame:
     """doc_id, item_id, first_char, last_char, distance: each row's closest occurrence of each item within the budget.
 
-    Texts are whole and compared as they are, by code points. The budget is EDITS of the item's length, rounded down.
-    Null and empty texts have no occurrences; repeated rows repeat theirs; items that share a text are found alike.
+    Texts are whole and compared as they are, by code points. The budget is EDITS of the item's length, rounded down; of
+    equally close occurrences the first counts. Null and empty texts have no occurrences; repeated rows repeat theirs, and
+    repeated items too; items that share a text are found alike. Empty tables give no rows, other columns are ignored.
+    A benchmark of more than broadcast_chars characters (BLOCK_CHARS) is joined instead of broadcast.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "text")
-    out = spark.createDataFrame([], HIT_SCHEMA)
-    for block in item_blocks(items):
-        held = spark.sparkContext.broadcast(block)  # at most BLOCK_CHARS characters, or one item
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            finder = Finder(held.value)
-            for batch in batches:
-                hits = [(d, *h) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) if t.is_valid for h in finder.find(t.as_py())]
-                columns = list(zip(*hits)) or [()] * 5
-                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "first_char", "last_char", "distance"])
-
-        out = out.unionByName(rows.mapInArrow(run, HIT_SCHEMA))
-    return out
+    if not _is_small(items, BLOCK_CHARS if broadcast_chars is None else broadcast_chars):
+        rows = numbered(docs.select("doc_id", "text"))
+        return _joined(rows, items).join(rows.select("gid", "doc_id"), "gid").select("doc_id", "item_id", "first_char", "last_char", "distance")
+    held = _held(items)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder, kinds = Finder(held.value), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        for batch in slices(batches, 1):
+            hits = [(d, *h) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) if t.is_valid for h in finder.find(t.as_py())]
+            columns = list(zip(*hits)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "item_id", "first_char", "last_char", "distance"])
 
-def drop_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of `docs`, with their columns, in which no item occurs within its budget."""
-    at = docs.columns.index("text")
-    for block in item_blocks(items):
-        held = docs.sparkSession.sparkContext.broadcast(block)
+    return docs.select("doc_id", "text").mapInArrow(run, HIT_SCHEMA)
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, broadcast_chars: int | None = None) -> DataFrame:
+    """The rows of `docs`, with their columns, in which no item occurs within its budget.
+
+    Rows with null or empty texts stay, repeated rows stay or go together, no items drop nothing.
+    """
+    if not _is_small(items, BLOCK_CHARS if broadcast_chars is None else broadcast_chars):
+        rows = numbered(docs, "__gid")
+        found = _joined(rows.select(F.col("__gid").alias("gid"), "text"), items).select(F.col("gid").alias("__gid")).distinct()
+        return rows.join(found, "__gid", "left_anti").select(*docs.columns)
+    held, at = _held(items), docs.columns.index("text")
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            finder = Finder(held.value)
-            for batch in batches:
-                yield batch.filter(pa.array([not (t.is_valid and finder.find(t.as_py())) for t in batch.column(at)], pa.bool_()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(held.value)
+        for batch in slices(batches, at):
+            yield batch.filter(pa.array([not (t.is_valid and finder.find(t.as_py())) for t in batch.column(at)], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.mapInArrow(run, docs.schema)

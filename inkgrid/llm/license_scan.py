@@ -9,12 +9,14 @@ related licenses fit the same place, what sets their texts apart decides.
 from __future__ import annotations
 
 import pkgutil
-from collections import defaultdict
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from inkgrid.llm.words import SHINGLE, U, Words, mixed, plain_table, slices, splitmix
 
@@ -22,6 +24,10 @@ BANDS, ROWS = 8, 2
 #: Shingles of a window; templates with fewer have windows of their own length.
 WINDOW = 4
 CONTAINED = 0.8
+#: A place may be longer than its template by one part in so many, and a shingle.
+SLACK = 4
+#: Characters of templates that are sent to the tasks.
+TEMPLATE_CHARS = 32_000_000
 SCHEMA = "doc_id bigint, template string, license string, first_word int, last_word int, containment double, n_matches int"
 
 # The texts of public license notices.
@@ -196,22 +202,50 @@ class Library:
         return self.apart[k, other]
 
 
-def _matches(library: Library, found: dict[int, list[int]], shingles: np.ndarray) -> Iterator[tuple[int, int, int, float, np.ndarray]]:
-    """(template, first, last shingle, containment, shingles found) of all places that contain a template and its marks."""
-    for k, places in found.items():
-        want, n, end = library.sets[k], len(library.shingles[k]), -1
+def places(at: list[int], ids: list[int], need: float, lead: int, reach: int) -> Iterator[tuple[int, int]]:
+    """(first, last hit) of separate places that hold `need` different ids within `reach`, from left to right.
+
+    at and ids are the places and shingles of a template's hits. Of the starts within `lead` of the first that will do the best
+    counts; a place ends with the hit that completes what its start can reach.
+    """
+    shares, ends, held, end = [], [], Counter(), 0
+    for first in range(len(at)):
+        while end < len(at) and at[end] < at[first] + reach:
+            held[ids[end]] += 1
+            end += 1
+        shares.append(len(held))
+        ends.append(end)
+        held[ids[first]] -= 1
+        if not held[ids[first]]:
+            del held[ids[first]]
+    k = 0
+    while k < len(at):
+        if shares[k] < need:
+            k += 1
+            continue
+        near = range(k, bisect_left(at, at[k] + lead + 1))
+        best = max(near, key=lambda j: (shares[j], -j))
+        last, seen = best, {ids[best]}
+        while len(seen) < shares[best]:
+            last += 1
+            seen.add(ids[last])
+        yield best, last
+        k = last + 1
+
+
+def _matches(library: Library, found: Iterable[int], shingles: np.ndarray) -> Iterator[tuple[int, int, int, float, np.ndarray]]:
+    """(template, first, last shingle, containment, shingles found) of all places that contain a template and its marks.
+
+    A place is at most a SLACK-th longer than the template, so that parts of different places never add up to one.
+    """
+    for k in sorted(found):
+        want, n = library.sets[k], len(library.shingles[k])
         at = np.flatnonzero(np.isin(shingles, want))
-        for p in sorted(places):
-            if p < end:
-                continue
-            hits = at[np.searchsorted(at, max(0, p - n)) : np.searchsorted(at, p + 2 * n)]
-            if len(hits) < CONTAINED * len(want):
-                continue
-            got = np.unique(shingles[hits])
-            share = len(got) / len(want)
-            if share >= CONTAINED and all(np.isin(m, got).all() for m in library.marks.get(k, ())):
-                end = int(hits[-1]) + 1
-                yield k, int(hits[0]), int(hits[-1]), share, got
+        lead = n // SLACK + SHINGLE
+        for first, last in places(at.tolist(), np.searchsorted(want, shingles[at]).tolist(), CONTAINED * len(want), lead, n + lead):
+            got = np.unique(shingles[at[first : last + 1]])
+            if all(np.isin(m, got).all() for m in library.marks.get(k, ())):
+                yield k, int(at[first]), int(at[last]), len(got) / len(want), got
 
 
 def _outdone(library: Library, match: tuple, rival: tuple) -> bool:
@@ -227,7 +261,7 @@ def _outdone(library: Library, match: tuple, rival: tuple) -> bool:
     return bool(share < CONTAINED and len(rest) and np.isin(rest, theirs).mean() > share)
 
 
-def _verify(library: Library, found: dict[int, list[int]], shingles: np.ndarray) -> Iterator[tuple[int, int, int, float, int]]:
+def _verify(library: Library, found: Iterable[int], shingles: np.ndarray) -> Iterator[tuple[int, int, int, float, int]]:
     """(template, first, last shingle, containment, matches) of the templates that the text around a window contains."""
     every = list(_matches(library, found, shingles))
     kept: dict[int, list[tuple]] = defaultdict(list)
@@ -239,12 +273,26 @@ def _verify(library: Library, found: dict[int, list[int]], shingles: np.ndarray)
         yield k, best[1], best[2], best[3], len(matches)
 
 
+def from_table(templates: DataFrame) -> tuple[tuple[str, str, str], ...]:
+    """A table (template, license, text) as scan takes it; more than TEMPLATE_CHARS characters are refused, null texts left out."""
+    rows = templates.select("template", "license", "text").filter("text is not null")
+    size = rows.agg(F.sum(F.char_length("text"))).first()[0] or 0
+    if size > TEMPLATE_CHARS:
+        raise ValueError(f"templates have {size} characters, of which a task holds {TEMPLATE_CHARS}")
+    return tuple(tuple(r) for r in rows.orderBy("template", "license", "text").collect())
+
+
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """A row for each row of `docs` and template that its text contains (at least CONTAINED of its five-word shingles).
 
-    first_word and last_word frame the best match, n_matches counts separate ones. Whole texts are scanned; texts shorter
-    than five words are compared as they are; of related licenses that fit one place the nearer one stays; null and empty texts contain nothing; repeated rows repeat their matches.
+    Templates come as tuples, or as a table, of (template, license, text); tables are taken up to TEMPLATE_CHARS characters.
+    first_word and last_word frame the best match (the first of equals), n_matches counts separate ones. Whole texts are
+    scanned; texts shorter than five words are compared as they are; of related licenses that fit one place the nearer one
+    stays; null and empty texts contain nothing; repeated rows repeat their matches; no documents or no templates give no
+    rows; other columns are ignored.
     """
+    if isinstance(templates, DataFrame):
+        templates = from_table(templates)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library, table = Library(templates), plain_table()
@@ -252,11 +300,10 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
             words = Words(batch.column(1), table)
             shingles, counts, _ = words.shingles()
             ends = np.cumsum(counts)
-            by_row: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+            by_row: dict[int, set[int]] = defaultdict(set)
             # A window that spans two rows is retrieved in vain; verification looks at one row only.
             for p, k in library.retrieve(shingles) if library.templates and len(shingles) else ():
-                row = int(np.searchsorted(ends, p, "right"))
-                by_row[row][k].append(p - int(ends[row] - counts[row]))
+                by_row[int(np.searchsorted(ends, p, "right"))].add(k)
             out = []
             ids = batch.column(0)
             for row, found in sorted(by_row.items()):

@@ -32,7 +32,7 @@ TARGET = 0.9999
 #: Sets of more shingles stop where a pair at the threshold itself is found.
 SMALL = 200
 #: Texts, and bytes of shingle sets, of a group that one task compares with as many others.
-BLOCK_TEXTS, BLOCK_BYTES = 512, 8 << 20
+BLOCK_TEXTS, BLOCK_BYTES = 256, 8 << 20
 #: Columns of the shingle-by-text table that are multiplied at once; shingles of fewer texts than RARE are counted pair by pair.
 STRIP, RARE = 4096, 6
 WIDTH = 2 * LABEL

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkgrid.llm.words import slices
+
 #: Bounds of what the classifier is fitted on: labelled texts of each class, and characters of a text, from all its length.
 SAMPLE_PER_CLASS = 2000
 SAMPLE_CHARS = 20_000
@@ -124,40 +126,46 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(good, bad, tuple(w), share)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
+def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
     """Adds score (0 to 1, higher: likelier good) and predicted (1 from THRESHOLD up) to every row; keeps all columns.
 
-    A null or empty text gets the score of an empty piece. Columns of these names in `docs` are replaced.
+    A null or empty text gets the score of an empty piece; equal texts get equal scores. Columns that have the two names
+    in `docs` are replaced; other names can be given. No rows give no rows.
     """
-    docs = docs.drop("score", "predicted")
+    docs = docs.drop(*names)
     fields = docs.schema.names
+    at = fields.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = _Sizes(model) if model.weights else None
-        for batch in batches:
-            texts = batch.column(fields.index("text")).to_pylist()
+        for batch in slices(batches, at):
+            texts = batch.column(at).to_pylist()
             if sizes:
                 x = np.array([sizes.features(t) for t in texts]).reshape(len(texts), 2)
                 s = _squash(_expand(x) @ np.array(model.weights))
             else:
                 s = np.full(len(texts), model.constant)
             predicted = (s >= THRESHOLD).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array(predicted)], names=[*fields, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(s, pa.float64()), pa.array(predicted)], names=[*fields, *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
     return docs.mapInArrow(run, schema)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that the classifier does not reject, with their columns; all rows if none could be fitted."""
+    """The rows of `docs` that the classifier does not reject, with all their columns as they are; all rows if none could be fitted.
+
+    Repeated rows stay or go together; a null or an empty text goes by the score of an empty piece.
+    """
+    names = ("__score", "__predicted")
     model = fit(docs, labels)
     if not model.weights:
         logging.getLogger(__name__).warning("too few labelled texts of both classes for a classifier: no document is rejected")
         return docs
-    return score(docs, model).filter(F.col("predicted") == 1).select(*docs.columns)
+    return score(docs, model, names).filter(F.col(names[1]) == 1).select(*docs.columns)
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of `docs`."""
+    """doc_id, held_out, score, predicted for every row of `docs`, repeated ones and null ids (never held out) too."""
     scored = score(docs.select("doc_id", "text"), fit(docs, labels))
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -292,6 +293,70 @@ def test_licenses_against_plain_containment(spark):
     assert license_scan.scan(empty(spark)).count() == 0
 
 
+def brute_licenses(text, templates):
+    """template: best containment in any stretch of words as long as the template and a little more, for templates without marks."""
+    split = lambda t: "".join(c.lower() if c.isalnum() or ord(c) > 127 else " " for c in t).split()
+    grams = lambda w: [tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))] if w else []
+    own, out = grams(split(text)), {}
+    for name, _, t in templates:
+        want = grams(split(t))
+        reach = len(want) + len(want) // license_scan.SLACK + 5
+        best = max((len(set(own[k : k + reach]) & set(want)) / len(set(want)) for k in range(len(own))), default=0.0)
+        if best >= license_scan.CONTAINED:
+            out[name] = best
+    return out
+
+
+def test_licenses_against_brute_containment(spark):
+    """Damaged, repeated and interleaved notices of invented templates, the templates from a table."""
+    rng = random.Random(14)
+    templates = [(f"t{k}", f"L{k}", words(rng, n)) for k, n in enumerate((5, 9, 25, 60, 200))]
+    rows = []
+    for k in range(60):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(templates)[2].split()
+            for _ in range(rng.choice((0, 0, 1, 1, 2, 5))):
+                w[rng.randrange(len(w))] = "changed"
+            cut = rng.choice((len(w), len(w), len(w) * 9 // 10, len(w) // 2))
+            parts += [" ".join(w[:cut]), words(rng, rng.choice((0, 1, 30)))]
+        rows.append((k, " ".join(parts), None, None, None))
+    table = spark.createDataFrame(templates, "template string, license string, text string")
+    got = {}
+    for r in license_scan.scan(spark.createDataFrame(rows, DOCS), table).collect():
+        got.setdefault(r["doc_id"], {})[r["template"]] = round(r["containment"], 9)
+    want = {k: {n: round(v, 9) for n, v in found.items()} for k, t, *_ in rows if (found := brute_licenses(t, templates))}
+    pairs = [(got[k][n], v) for k, found in want.items() for n, v in found.items()]
+    assert {k: set(v) for k, v in got.items()} == {k: set(v) for k, v in want.items()} and len(pairs) > 50
+    # Places are separate, so a stretch over two damaged copies can hold more than either place.
+    assert all(license_scan.CONTAINED <= a <= b for a, b in pairs) and sum(a == b for a, b in pairs) > 0.95 * len(pairs)
+    assert license_scan.scan(spark.createDataFrame(rows, DOCS), table.limit(0)).count() == 0
+
+
+def test_refuses_more_templates_than_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(license_scan, "TEMPLATE_CHARS", 10)
+    with pytest.raises(ValueError, match="characters"):
+        license_scan.from_table(spark.createDataFrame([("a", "b", "x" * 11)], "template string, license string, text string"))
+
+
+@pytest.mark.parametrize("times", [1, 2, 3, 6])
+def test_adjacent_notices_are_separate_matches(spark, times):
+    text = dict((t[0], t[2]) for t in license_scan.TEMPLATES)["mit-grant"]
+    made = spark.createDataFrame([(1, "\n".join([text] * times), None, None, None)], DOCS)
+    row = license_scan.scan(made).filter("template = 'mit-grant'").first()
+    assert row["n_matches"] == times and (row["first_word"], row["last_word"]) == (0, len(re.findall(r"[A-Za-z0-9]+", text)) - 1)
+
+
+def test_scan_of_a_text_of_many_blocks(spark):
+    """A text of over 256 KiB is hashed in blocks cut between words: a notice over a cut is found."""
+    rng = random.Random(15)
+    notice = license_scan.NOTICES[1][2]
+    at = (1 << 18) - 60
+    long = ("word " * (at // 5 + 1))[:at] + " " + notice + " " + "x" * 300_000 + " " + notice + " " + words(rng, 60_000)
+    row = license_scan.scan(spark.createDataFrame([(1, long, None, None, None)], DOCS)).filter("template = 'apache-2.0-notice'").first()
+    assert row["n_matches"] == 2
+
+
 def test_related_licenses_are_told_apart(spark):
     gnu = "This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU {} Public License as published by\n# the Free Software Foundation, either version {} of the License, or\n# (at your option) any later version."
     whole = {license_: text for name, license_, text in license_scan.TEMPLATES if name.endswith("-text")}
@@ -352,13 +417,51 @@ def test_leaks_against_plain_distance(spark):
     assert decontaminate.leaks(made, items.limit(0)).count() == 0 and decontaminate.leaks(empty(spark), items).count() == 0
 
 
-def test_leaks_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 50)
-    rng = random.Random(7)
-    items = [(k, words(rng, 8)) for k in range(6)]
-    rows = [(k, f"{words(rng, 5)} {t} {words(rng, 5)}", None, None, None) for k, t in items]
-    got = decontaminate.leaks(spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id bigint, text string")).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in got} >= {(k, k) for k, _ in items}
+def edit_table(item, text):
+    """Least edit distance of the item to any stretch of the text, by the plain table."""
+    row = [0] * (len(text) + 1)
+    for i, c in enumerate(item):
+        old, row = row, [i + 1]
+        for j, d in enumerate(text):
+            row.append(min(old[j] + (c != d), old[j + 1] + 1, row[j] + 1))
+    return min(row)
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_leaks_are_those_of_the_edit_table(spark, limit):
+    """Items of many lengths with random edits, in texts of other characters too; both ways of searching."""
+    rng = random.Random(16)
+    letters = "abcde é"
+    draw = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    items = [(k, draw(n)) for k, n in enumerate((1, 3, 9, 15, 19, 20, 25, 39, 40, 41, 60, 90, 130))] + [(50, None), (51, "")]
+    rows = []
+    for k in range(80):
+        t = list(rng.choice(items[3:13])[1])
+        for _ in range(rng.randint(0, 1 + len(t) // 15)):
+            at = rng.randrange(len(t))
+            t[at : at + rng.randint(0, 1)] = [rng.choice(letters + "Z")] * rng.randint(0, 1)
+        rows.append((k, draw(rng.randint(0, 30)) + "".join(t) + draw(rng.randint(0, 30)), None, None, None))
+    rows += [(90, None, None, None, None), (91, "", None, None, None), (91, rows[0][1], None, None, None)]
+    want = Counter((i, j, d) for i, t, *_ in rows for j, item in items if t and item and (d := edit_table(item, t)) <= decontaminate.budget(len(item)))
+    made, table = spark.createDataFrame(rows, DOCS), spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.leaks(made, table, limit).collect()
+    assert Counter((r["doc_id"], r["item_id"], r["distance"]) for r in got) == want and len(want) > 40
+    texts_of, by_item = {(i, t) for i, t, *_ in rows}, dict(items)
+    for r in got:
+        assert any(edit_table(by_item[r["item_id"]], t[r["first_char"] : r["last_char"] + 1]) == r["distance"] for i, t in texts_of if i == r["doc_id"] and t)
+    kept = decontaminate.drop_leaks(made, table, limit)
+    gone = {t for i, t, *_ in rows if any(i == k[0] for k in want) and t}
+    assert kept.columns == made.columns and Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, t, *_ in rows if t not in gone)
+
+
+def test_both_searches_give_the_same_rows(spark):
+    rng = random.Random(17)
+    item = words(rng, 60)
+    rows = [(k, words(rng, 20) + item[k : len(item) - k] + words(rng, 20) + item, None, None, None) for k in range(12)] * 2
+    items = spark.createDataFrame([(1, item), (2, item), (3, item[:40]), (1, item)], "item_id bigint, text string")
+    made = spark.createDataFrame(rows, DOCS)
+    one, two = (Counter(map(tuple, decontaminate.leaks(made, items, limit).collect())) for limit in (None, 0))
+    assert one == two and len(one) == 36
 
 
 PAGES = "page_id bigint, url string, html string"
@@ -382,6 +485,67 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derive(warc.responses(made.limit(0))).count() == 0
 
 
+def parse_warc(data):
+    """An independent reader of WARC/1.1 bytes: (headers, block) by Content-Length alone."""
+    at, out = 0, []
+    while at < len(data):
+        assert data.startswith(b"WARC/1.1\r\n", at)
+        end = data.index(b"\r\n\r\n", at)
+        headers = dict(line.split(": ", 1) for line in data[at:end].decode().split("\r\n")[1:])
+        size = int(headers["Content-Length"])
+        block = data[end + 4 : end + 4 + size]
+        assert len(block) == size and data[end + 4 + size : end + 8 + size] == b"\r\n\r\n"
+        out.append((headers, block))
+        at = end + 8 + size
+    return out
+
+
+def test_warc_files_are_warc(spark, tmp_path):
+    """Pages with NUL, with version lines in the text, ending in line ends, repeated: whole records, read by any reader and by ours."""
+    pages = ["<p>a\x00b</p>", "<p>x</p><pre>WARC/1.1\r\n\r\nWARC/1.1\r\n</pre>", "", "é<br>" * 5000, None, "<p>x\r\n\r\n"]
+    made = spark.createDataFrame([(k % 5, f"http://h/{k % 5}", p) for k, p in enumerate(pages * 2)], PAGES)
+    rows = warc.derive(warc.responses(made))
+    got = rows.collect()
+    assert len(got) == 4 * len(pages) and len({r["record_id"] for r in got}) == len(got)
+    warc.write(rows, str(tmp_path / "w"))
+    plain = [r for f in sorted((tmp_path / "w").glob("part-*")) for r in parse_warc(f.read_bytes())]
+    assert Counter((h["WARC-Record-ID"], h["WARC-Refers-To"], b) for h, b in plain) == Counter((r["record_id"], r["refers_to"], r["block"].encode()) for r in got)
+    assert all(warc.digest(b) == h["WARC-Block-Digest"] for h, b in plain)
+    back = warc.read(spark, str(tmp_path / "w")).collect()
+    assert Counter((r["headers"]["WARC-Record-ID"], bytes(r["block"])) for r in back) == Counter((h["WARC-Record-ID"], b) for h, b in plain) and all(r["complete"] for r in back)
+
+
+def test_warc_keeps_what_the_source_says(spark, tmp_path):
+    """A response read from a file keeps its identifier, date, headers and digests; whatever is null is made or counts as empty."""
+    body = "HTTP/1.1 200 OK\r\nServer: x\r\nX-Y: a: b\r\n\r\n<title>T</title>hello"
+    head = f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Target-URI: http://a/\r\nWARC-Date: 2020-02-02T02:02:02Z\r\nWARC-Block-Digest: sha1:B\r\nWARC-Payload-Digest: sha1:P\r\nContent-Length: {len(body)}\r\n\r\n"
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.warc").write_bytes((head + body + "\r\n\r\n" + head[:-4] + "\r\nX: cut\r\n\r\nHTTP/1.1 2").encode())
+    read = warc.read(spark, str(tmp_path / "in"))
+    assert sorted(r["complete"] for r in read.collect()) == [False, True]
+    for r in warc.derive(warc.responses_of(read.filter("complete"))).collect():
+        assert (r["refers_to"], r["warc_date"], r["target_uri"], r["source_block_digest"], r["source_payload_digest"]) == ("<urn:uuid:1>", "2020-02-02T02:02:02Z", "http://a/", "sha1:B", "sha1:P")
+        assert r["block"] == "T\nhello" if r["record_type"] == "conversion" else all(x in r["block"] for x in ("source-http-Server: x", "source-http-X-Y: a: b", "title: T", "source-block-digest: sha1:B"))
+    nothing = spark.createDataFrame([(1, None, None, None, None, None, None, None), (2, None, None, None, "<p>x", None, "sha1:B", None), (1, None, None, None, None, None, None, None)],
+        "page_id bigint, target_uri string, warc_date string, http_headers string, payload string, record_id string, block_digest string, payload_digest string")
+    got = warc.derive(nothing).collect()
+    assert len({r["record_id"] for r in got}) == 6 and {r["warc_date"] for r in got} == {warc.NO_DATE} and sum(r["source_block_digest"] == "sha1:B" for r in got) == 2
+
+
+def test_many_equal_responses_have_identifiers_of_their_own(spark):
+    made = spark.createDataFrame([(1, "http://a/", "<p>same")] * 300 + [(2, "http://a/", "<p>same")], PAGES).repartition(7)
+    got = [r["record_id"] for r in warc.derive(warc.responses(made)).collect()]
+    assert len(set(got)) == len(got) == 602
+    assert sorted(got) == sorted(r["record_id"] for r in warc.derive(warc.responses(made.repartition(3))).collect())
+
+
+@pytest.mark.parametrize("part", ["<script>", "<p ", '<a "', "<!--", "<title>", "<a href='", "</script", "<style><script>"])
+def test_pages_are_read_in_linear_time(part):
+    began = time.process_time()
+    warc.parsed(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 5
+
+
 def parts(url):
     m = re.match(r"(?s)(?:.*?)://([^/?#]*)([^?#]*)", url or "")
     return ("".join(c.lower() if "A" <= c <= "Z" else c for c in m[1]), m[2]) if m else ("", "")
