@@ -1,8 +1,9 @@
 """Quality by compression: zstandard dictionaries of good and of bad text, and a calibrated size difference.
 
 A text is cut into short pieces (all of it, so that a dictionary counts as much at the end of a long text as at its
-start); each piece is compressed with either dictionary. The normalised difference of the two sums, beside the plain
-ratio that tells mere repetition, goes through a logistic calibration that is fitted on texts no dictionary has seen.
+start); each piece is compressed with either dictionary. The difference of the two sums, as a share of the text's bytes,
+goes through a logistic calibration that is fitted on texts no dictionary has seen. Mere repetition is small under both
+dictionaries, so its difference is no good text's.
 """
 
 from __future__ import annotations
@@ -51,11 +52,11 @@ class _Sizes:
         held.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=held, write_checksum=False, write_content_size=False, write_dict_id=False)
 
-    def features(self, text: str | None) -> tuple[float, float]:
+    def difference(self, text: str | None) -> float:
         raw = (text or "").encode()
         pieces = [raw[k : k + PIECE] for k in range(0, len(raw), PIECE)] or [b""]
         good, bad = (sum(len(c.compress(p)) for p in pieces) for c in self.by)
-        return (bad - good) / (bad + good), good / max(1, len(raw))
+        return (bad - good) / max(1, len(raw))
 
 
 def _expand(x: np.ndarray) -> np.ndarray:
@@ -121,8 +122,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             return Model(constant=share)
     bad, good = dictionaries
     sizes = _Sizes(Model(good, bad))
-    rows = [(c, sizes.features(t)) for c in (0, 1) for t in halves[c][1]]
-    w = _logistic(np.array([f for _, f in rows]), np.array([c for c, _ in rows], dtype=float))
+    rows = [(c, sizes.difference(t)) for c in (0, 1) for t in halves[c][1]]
+    w = _logistic(np.array([[f] for _, f in rows]), np.array([c for c, _ in rows], dtype=float))
     return Model(good, bad, tuple(w), share)
 
 
@@ -141,7 +142,7 @@ def score(docs: DataFrame, model: Model, names: tuple[str, str] = ("score", "pre
         for batch in slices(batches, at):
             texts = batch.column(at).to_pylist()
             if sizes:
-                x = np.array([sizes.features(t) for t in texts]).reshape(len(texts), 2)
+                x = np.array([sizes.difference(t) for t in texts]).reshape(len(texts), 1)
                 s = _squash(_expand(x) @ np.array(model.weights))
             else:
                 s = np.full(len(texts), model.constant)

@@ -249,6 +249,34 @@ def test_quality_on_held_out_rows(spark, docs):
     assert quality.judge(empty(spark), labels).count() == 0
 
 
+def test_quality_leaves_callers_columns_alone(spark):
+    """keep_good returns the caller's score and predicted, values and types, and clean documents of any kind of column."""
+    d, labels = labelled(spark, 300)
+    own = d.withColumns({"score": F.concat(F.lit("s"), F.col("doc_id")), "predicted": F.array("doc_id")})
+    kept = quality.keep_good(own, labels)
+    assert kept.schema == own.schema and kept.count() > 150
+    assert kept.filter("score <> concat('s', doc_id) or predicted[0] <> doc_id").count() == 0
+
+
+def test_quality_is_the_difference_by_hand(spark):
+    """Scores are the calibrated differences of sizes that zstandard gives for the pieces; very long, empty and null texts too."""
+    import zstandard
+
+    d, labels = labelled(spark, 300)
+    model = quality.fit(d, labels)
+    rows = [(1, "x " * 400_000), (2, ""), (3, None), (4, d.first()["text"]), (4, d.first()["text"])]
+    made = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    packs = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_checksum=False, write_content_size=False, write_dict_id=False) for x in (model.good, model.bad)]
+    want = []
+    for i, t in rows:
+        raw = (t or "").encode()
+        good, bad = (sum(len(p.compress(raw[k : k + 512])) for k in range(0, max(1, len(raw)), 512)) for p in packs)
+        want.append((i, round(1 / (1 + np.exp(-(model.weights[0] + model.weights[1] * (bad - good) / max(1, len(raw))))), 6)))
+    got = quality.score(made, model).select("doc_id", "score", "predicted").collect()
+    assert sorted((r["doc_id"], round(r["score"], 6)) for r in got) == sorted(want)
+    assert all(r["predicted"] == int(r["score"] >= 0.7) for r in got)
+
+
 def test_quality_without_a_model_rejects_nothing(spark, docs):
     _, labels = labelled(spark, 90)
     for some in (labels.limit(0), labels.filter("quality = 0"), labels.limit(3), labels.withColumn("doc_id", F.lit(-5))):
