@@ -80,14 +80,14 @@ def plain_ids(docs: DataFrame) -> bool:
     return not docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").limit(1).count()
 
 
-def numbered(docs: DataFrame, out: str = "gid") -> DataFrame:
+def numbered(docs: DataFrame, out: str = "gid", plain: bool | None = None) -> DataFrame:
     """Adds a long that is different in every row and never null, ordered as (doc_id, nulls first; text).
 
-    Where doc_id is that already, which one pass over the ids tells, it is taken as it is. Else rows are numbered: within
+    Where doc_id is that already, which one pass over the ids tells if the caller does not know, it is taken as it is. Else rows are numbered: within
     ranges of doc_id, plus the rows of the ranges before.
     """
     spark = docs.sparkSession
-    if plain_ids(docs):
+    if plain_ids(docs) if plain is None else plain:
         return docs.filter("doc_id is not null").withColumn(out, F.col("doc_id"))
     splits = range_splits(docs, "doc_id", partitions(spark))
     rows = docs.withColumn("__piece", bucket_of(F.col("doc_id"), splits))
