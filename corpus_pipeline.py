@@ -1,7 +1,8 @@
 """Corpus pipeline: quality, near duplicates, repeated passages, benchmark leaks, pieces.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the stage before it kept, and is written as Parquet
-before the next one starts, so that a lost executor costs one stage at most.
+before the next one starts, so that a lost executor costs one stage at most. All stages take null and empty texts as texts
+without words, treat repeated rows alike, leave other columns as they are, and give no rows for an empty table.
 """
 
 from __future__ import annotations
@@ -18,27 +19,27 @@ ORACLE_SQL = None
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the quality classifier rejects."""
+    """Drops the documents that the quality classifier rejects, as quality.keep_good does; none without a classifier."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates."""
+    """Keeps one document of each group of near duplicates, the least doc_id; of equal rows one, as ngram_join.one_of_each does."""
     return ngram_join.one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts passages that also stand earlier; documents that are nothing else go."""
+    """Cuts passages that also stand earlier, by doc_id and text; documents that are nothing else go, null and empty ones stay."""
     return suffix_dedup.dedup_texts(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold a benchmark item within its edit budget."""
+    """Drops documents that hold a benchmark item within its edit budget; null and empty ones hold none."""
     return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Text and piece ids of the documents left, their digests, and whether decoding gives the text again."""
+    """Text (null stays null) and piece ids of the documents left, their digests, and whether decoding gives the text again."""
     return sentencepiece_codec.encoded(docs, shown="text")
 
 
@@ -51,11 +52,23 @@ STAGES = [
 ]
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; what lies between them is in the shared folder."""
+    """All stages over the documents.
+
+    What lies between them is in the shared folder; a stage's rows go once the next stage's are written. Those that the last
+    stage reads stay, since it is lazy.
+    """
     docs = table(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid4().hex}"
+    base, before = f"{shared_dir(spark)}/pipeline-{uuid4().hex}", None
     for k, (name, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(path := f"{base}/{k}-{name}")
         docs = spark.read.parquet(path)
+        if before:
+            _remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -75,17 +75,26 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def states(matrices: list[np.ndarray]) -> list[tuple[int, int]]:
-    """(state before, state after) of each chunk on the best path from state 0 to state 0."""
-    after = [np.where(np.arange(len(matrices[0])) == 0, 0.0, -np.inf)]
-    for m in reversed(matrices):
-        after.append((m + after[-1][None, :]).max(1))
-    after.reverse()
-    at, out = 0, []
-    for m, rest in zip(matrices, after[1:]):
-        to = int(np.argmax(m[at] + rest))
-        out.append((at, to))
-        at = to
-    return out
+    """(state before, state after) of each chunk on the best path from state 0 to state 0.
+
+    Neighbours are combined two by two up to the whole; from there down, the state between two halves hangs on nothing but
+    the states at their outer ends.
+    """
+    levels = [matrices]
+    while len(levels[-1]) > 1:
+        m = levels[-1]
+        levels.append([product(m[k], m[k + 1]) if k + 1 < len(m) else m[k] for k in range(0, len(m), 2)])
+    ends = [(0, 0)]
+    for level in reversed(levels[:-1]):
+        below = []
+        for k, (a, b) in enumerate(ends):
+            if 2 * k + 1 < len(level):
+                between = int(np.argmax(level[2 * k][a] + level[2 * k + 1][:, b]))
+                below += [(a, between), (between, b)]
+            else:
+                below.append((a, b))
+        ends = below
+    return ends
 
 
 def encode(docs: DataFrame, pieces: Pieces, chunk: int = CHUNK, text: str = "text") -> DataFrame:

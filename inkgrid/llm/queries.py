@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from inkgrid.llm import decontaminate, fingerprints, license_scan, ngram_join, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
 from inkgrid.llm.common import table
@@ -48,8 +49,48 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_sentencepiece, op3_quality, op4_license_scan, op5_fingerprints, op6_decontamination, op7_warc, op8_url_filter, op9_suffix_dedup, op10_sharding)}
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op5, what SQL can say too."""
+    return op5_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op8, what SQL can say too."""
+    rows = op8_url_filter(spark, sf_dir)
+    return rows.select("page_id", "host", "path", "rule", F.when(F.col("rule").isNotNull(), F.col("verdict")).alias("by_rule"))
+
+
+def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op10, what SQL can say too: sizes, and how many rows each shard has."""
+    rows = op10_sharding(spark, sf_dir)
+    return rows.groupBy("shard").agg(F.count("*").alias("rows"), (F.max("slot") + 1).alias("slots")).join(rows.agg(F.sum("size").alias("total_size")))
+
+
+PER_OPERATOR = (op1_ngram_join, op2_sentencepiece, op3_quality, op4_license_scan, op5_fingerprints, op6_decontamination, op7_warc, op8_url_filter, op9_suffix_dedup, op10_sharding)
+QUERIES = {f.__name__: f for f in (*PER_OPERATOR, edited_texts, url_rules, shard_sizes)}
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_FITS = [(what, host + path, f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')") for what, host, path in sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))]
 ORACLE_SQL: dict[str, str] = {
+    "edited_texts": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+e AS (SELECT doc_id, n, text, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS other FROM t)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, sha256(substr(text, 1, n - n // 2) || substr(other, 1, n // 2)) AS edited_sha256 FROM e""",
+    "url_rules": rf"""
+WITH p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), '{_UPPER}', '{_UPPER.lower()}') AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 2) AS path FROM pages)
+SELECT page_id, host, path, CASE {' '.join(f"WHEN {fits} THEN '{name}'" for _, name, fits in _FITS)} END AS rule, CASE {' '.join(f"WHEN {fits} THEN '{what}'" for what, _, fits in _FITS)} END AS by_rule FROM p""",
+    "shard_sizes": """
+WITH n AS (SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, '')) + 8) AS BIGINT) AS total_size FROM documents)
+SELECT CAST(s AS INTEGER) AS shard, CAST(n // 24 + CASE WHEN s < n % 24 THEN 1 ELSE 0 END AS BIGINT) AS rows, CAST(n // 24 + CASE WHEN s < n % 24 THEN 1 ELSE 0 END AS BIGINT) AS slots, total_size FROM n, range(24) r(s)""",
+    "op9_suffix_dedup": """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p - 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(1, n - 98)) AS p FROM t)),
+r AS (SELECT doc_id, p FROM w QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, p) > 1),
+s AS (SELECT doc_id, p, lag(p) OVER d AS before, lead(p) OVER d AS after FROM r WINDOW d AS (PARTITION BY doc_id ORDER BY p)),
+e AS (SELECT *, min(CASE WHEN after IS NULL OR after > p + 100 THEN p + 99 END) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS last FROM s),
+runs AS (SELECT doc_id, p AS first, last, lag(last) OVER (PARTITION BY doc_id ORDER BY p) AS ended FROM e WHERE before IS NULL OR p > before + 100),
+k AS (SELECT t.doc_id, count(*) AS n_spans, sum(last - first + 1) AS n_removed,
+    string_agg(substr(h, 2 * coalesce(ended, 0) + 1, 2 * (first - 1 - coalesce(ended, 0))), '' ORDER BY first) || substr(any_value(h), 2 * max(last) + 1) AS kept FROM t JOIN runs USING (doc_id) GROUP BY t.doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM t LEFT JOIN k USING (doc_id)""",
     "op1_ngram_join": r"""
 WITH RECURSIVE t AS (SELECT text, min(doc_id) AS k, count(*) AS n_copies FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents) GROUP BY text),
 w AS (SELECT k, list_filter(regexp_split_to_array(text, '[\x00-\x20]+'), lambda x: x <> '') AS ws FROM t),

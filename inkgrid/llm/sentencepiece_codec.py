@@ -1,10 +1,11 @@
 """SentencePiece encoding and decoding with a given model; the ids are the library's.
 
 The public model merges pairs by rank (BPE). Its result is not the path of the greatest score sum, so a max-plus product
-over chunks gives other ids (README has figures; maxplus.py has the scan, for models whose scores add up). What holds instead: no piece of the model has a blank behind
-another character, so at every blank that follows another character the only boundary state is "no piece crosses" and
-chunks join by mere concatenation. Texts are cut there into units, equal units are encoded once, and giant texts need
-no more memory than their ids.
+over chunks gives other ids (README has figures; maxplus.py has the scan, for models whose scores add up). What holds
+instead: no piece of the model has a blank behind another character, so at every blank that follows another character the
+only boundary state is "no piece crosses" and chunks join by mere concatenation. Giant texts are cut there into segments,
+which are dealt over tasks, encoded and decoded each by itself, and put together again. Within a segment, equal units are
+encoded once.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from inkgrid.llm.words import slices
@@ -24,8 +26,11 @@ from inkgrid.llm.words import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units whose ids a task remembers, and the longest unit that it does.
 REMEMBERED, UNIT_CHARS = 400_000, 64
+#: Characters from which on a text is cut into segments of about as many.
+SEGMENT = 1 << 20
 
 _units = re.compile(" +[^ ]*")
+_cuts = re.compile("(?<=[^ ]) ")
 BLANK = "▁"
 
 
@@ -39,12 +44,13 @@ class Codec:
         self.known: dict[str, list[int]] = {}
         self.blank = [pieces.index(BLANK)] if BLANK in pieces else []
 
-    def encode(self, text: str | None) -> list[int]:
+    def encode(self, text: str | None, inside: bool = False) -> list[int]:
+        """The ids of a text, or of a segment inside one, which begins with a blank."""
         if not text:
             return []
         if BLANK in text or not self.cuttable:
             return self.model.encode(text)
-        units = _units.findall(" " + text)
+        units = _units.findall(text if inside else " " + text)
         known = self.known
         new = [u for u in dict.fromkeys(units) if u not in known]
         if new:
@@ -66,6 +72,16 @@ class Codec:
         return self.model.decode(ids)
 
 
+def segments(text: str, size: int) -> Iterator[str]:
+    """The text cut at blanks behind other characters, into segments of `size` characters or the next such blank."""
+    at = 0
+    while at < len(text):
+        found = _cuts.search(text, at + size)
+        to = found.start() if found else len(text)
+        yield text[at:to]
+        at = to
+
+
 def _appended(df: DataFrame, out: str, kind: T.DataType, of: str, work) -> DataFrame:
     """`df` with the column `out`, made from the column `of`; a column of that name is replaced."""
     df = df.drop(out) if out != of else df
@@ -73,7 +89,7 @@ def _appended(df: DataFrame, out: str, kind: T.DataType, of: str, work) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(work[1])
-        for batch in batches:
+        for batch in slices(batches, at) if work[0] == "encode" else batches:
             made = [None if v is None else getattr(codec, work[0])(v) for v in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(pa.int32()) if work[0] == "encode" else pa.string())], names=names)
 
@@ -81,21 +97,34 @@ def _appended(df: DataFrame, out: str, kind: T.DataType, of: str, work) -> DataF
 
 
 def encode(docs: DataFrame, model: str = MODEL, text: str = "text", out: str = "ids") -> DataFrame:
-    """Adds the piece ids of each text; null for null, none for an empty text."""
+    """Adds the piece ids of each text; null for null, none for an empty text. All rows and other columns stay as they are."""
     return _appended(docs, out, T.ArrayType(T.IntegerType()), text, ("encode", model))
 
 
 def decode(rows: DataFrame, model: str = MODEL, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Adds the text of each list of ids; null for null."""
+    """Adds the text of each list of ids; null for null. All rows and other columns stay as they are."""
     return _appended(rows, out, T.StringType(), ids, ("decode", model))
 
 
-def encoded(docs: DataFrame, model: str = MODEL, shown: str = "decoded") -> DataFrame:
+def _finished(texts: list[str | None], ids: list[np.ndarray], back: list[str], shown: str) -> list[pa.Array]:
+    """The columns of `encoded` beside doc_id."""
+    return [
+        pa.array(map(len, ids), pa.int32()),
+        pa.array(ids, pa.list_(pa.int32())),
+        pa.array(texts if shown == "text" else back, pa.string()),
+        pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),
+        pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string()),
+        pa.array([(t or "") == b for t, b in zip(texts, back)], pa.bool_()),
+    ]
+
+
+def encoded(docs: DataFrame, model: str = MODEL, shown: str = "decoded", segment: int = SEGMENT) -> DataFrame:
     """doc_id, n_pieces, ids, the text `shown` (`decoded`, or `text` as it came), ids_sha256, decoded_sha256, round_trip.
 
-    Encoded, decoded and compared in one pass, a row for each row of `docs`. For the digest the ids count as little-endian
-    32-bit numbers. A null text has no pieces and counts as empty, but `text` stays null. A text that holds the model's
-    blank sign U+2581 itself decodes to a space there, so it is no round trip.
+    A row for each row of `docs`, repeated ones too; an empty table gives no rows, other columns are ignored. For the digest
+    the ids count as little-endian 32-bit numbers. A null text has no pieces and counts as empty, but `text` stays null. A
+    text that holds the model's blank sign U+2581 itself decodes to a space there, so it is no round trip. Texts of more
+    than `segment` characters are dealt over tasks in segments, if the model has cuts and the text is without that sign.
     """
     schema = f"doc_id bigint, n_pieces int, ids array<int>, {shown} string, ids_sha256 string, decoded_sha256 string, round_trip boolean"
     names = [f.split()[0] for f in schema.split(", ")]
@@ -103,21 +132,42 @@ def encoded(docs: DataFrame, model: str = MODEL, shown: str = "decoded") -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
         for batch in slices(batches, 1):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
             ids = [np.array(codec.encode(t), "<i4") for t in texts]
-            back = [codec.decode(i.tolist()) for i in ids]
-            columns = [
-                batch.column(0),
-                pa.array(map(len, ids), pa.int32()),
-                pa.array(ids, pa.list_(pa.int32())),
-                batch.column(1) if shown == "text" else pa.array(back, pa.string()),
-                pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()),
-                pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string()),
-                pa.array([t == b for t, b in zip(texts, back)], pa.bool_()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *_finished(texts, ids, [codec.decode(i.tolist()) for i in ids], shown)], names=names)
+
+    rows = docs.select("doc_id", "text")
+    if not Codec(model).cuttable:
+        return rows.mapInArrow(run, schema)
+    giant = F.coalesce((F.char_length("text") > segment) & ~F.contains("text", F.lit(BLANK)), F.lit(False))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, key, n, text in zip(*(c.to_pylist() for c in batch.columns)):
+                for no, part in enumerate(segments(text, segment)):
+                    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((doc, key, n, no, part), kinds)], names=["doc_id", "key", "n", "no", "part"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(model)
+        for batch in slices(batches, 4):
+            ids = [codec.encode(p, no > 0) for no, p in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            # Inside a text the blank that a segment begins with is a character, not the one put before the first word.
+            back = [(" " if no else "") + codec.decode(i) for no, i in zip(batch.column(3).to_pylist(), ids)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32())), pa.array(back, pa.string())], names=[*batch.schema.names, "ids", "back"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, n, parts in zip(*(c.to_pylist() for c in batch.columns)):
+                text, back, ids = "".join(p["part"] for p in parts), "".join(p["back"] for p in parts), np.concatenate([np.array(p["ids"], "<i4") for p in parts])
+                for _ in range(n):
+                    yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), *_finished([text], [ids], [back], shown)], names=names)
+
+    held = rows.filter(giant).groupBy("doc_id", F.md5("text").alias("key")).agg(F.count("*").alias("n"), F.any_value("text").alias("text"))
+    parts = held.mapInArrow(cut, "doc_id bigint, key string, n bigint, no int, part string").repartition("key", "no")
+    made = parts.mapInArrow(each, "doc_id bigint, key string, n bigint, no int, part string, ids array<int>, back string")
+    whole = made.groupBy("doc_id", "key", "n").agg(F.array_sort(F.collect_list(F.struct("no", "part", "ids", "back"))).alias("parts"))
+    return rows.filter(~giant).mapInArrow(run, schema).unionByName(whole.select("doc_id", "n", "parts").mapInArrow(joined, schema))
 
 
 def digests(docs: DataFrame, model: str = MODEL) -> DataFrame:

@@ -225,6 +225,30 @@ def test_codec_gives_the_librarys_ids(spark, docs):
     assert sentencepiece_codec.digests(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("segment", [1, 7, 60])
+def test_segments_of_giant_texts_join_to_the_librarys_ids(spark, segment):
+    """Texts in segments dealt over tasks: blanks in rows, no blanks, other signs, repeated rows, null ids, the blank sign itself."""
+    rng = random.Random(segment)
+    parts = ["a", " ", "  ", "the", "\n", "é", "①", "'s", "123", "...", "word", "　"]
+    rows = [(k, "".join(rng.choice(parts) for _ in range(rng.randint(0, 60)))) for k in range(80)]
+    rows += [(5, rows[5][1]), (None, rows[7][1]), (200, "x" * 300), (201, "▁ " * 40), (202, None), (203, " " * 50), (204, " lead and trail "), (204, " lead and trail ")]
+    model = sentencepiece_codec.Codec().model
+    made = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], DOCS)
+    got = Counter((r["doc_id"], tuple(r["ids"]), r["decoded"], r["round_trip"], r["ids_sha256"]) for r in sentencepiece_codec.encoded(made, segment=segment).collect())
+    want = Counter()
+    for i, t in rows:
+        ids = model.encode(t or "")
+        want[i, tuple(ids), model.decode(ids), model.decode(ids) == (t or ""), hashlib.sha256(np.array(ids, "<i4").tobytes()).hexdigest()] += 1
+    assert got == want
+
+
+def test_a_text_of_megabytes_is_one_row(spark):
+    rng = random.Random(3)
+    text = words(rng, 250_000)
+    row = sentencepiece_codec.encoded(spark.createDataFrame([(1, text, None, None, None)], DOCS), segment=1 << 18).first()
+    assert row["ids"] == sentencepiece_codec.Codec().model.encode(text) and row["round_trip"]
+
+
 def labelled(spark, n=600):
     rng = random.Random(1)
     rows, labels = [], []
