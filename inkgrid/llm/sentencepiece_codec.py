@@ -26,7 +26,7 @@ from inkgrid.llm.words import slices
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Units whose ids a task remembers, and the longest unit that it does.
 REMEMBERED, UNIT_CHARS = 400_000, 64
-#: Characters from which on a text is cut into segments of about as many.
+#: Bytes from which on a text is cut into segments of about as many characters.
 SEGMENT = 1 << 20
 
 _units = re.compile(" +[^ ]*")
@@ -124,7 +124,7 @@ def encoded(docs: DataFrame, model: str = MODEL, shown: str = "decoded", segment
     A row for each row of `docs`, repeated ones too; an empty table gives no rows, other columns are ignored. For the digest
     the ids count as little-endian 32-bit numbers. A null text has no pieces and counts as empty, but `text` stays null. A
     text that holds the model's blank sign U+2581 itself decodes to a space there, so it is no round trip. Texts of more
-    than `segment` characters are dealt over tasks in segments, if the model has cuts and the text is without that sign.
+    than `segment` bytes are dealt over tasks in segments, if the model has cuts and the text is without that sign.
     """
     schema = f"doc_id bigint, n_pieces int, ids array<int>, {shown} string, ids_sha256 string, decoded_sha256 string, round_trip boolean"
     names = [f.split()[0] for f in schema.split(", ")]
@@ -139,7 +139,7 @@ def encoded(docs: DataFrame, model: str = MODEL, shown: str = "decoded", segment
     rows = docs.select("doc_id", "text")
     if not Codec(model).cuttable:
         return rows.mapInArrow(run, schema)
-    giant = F.coalesce((F.char_length("text") > segment) & ~F.contains("text", F.lit(BLANK)), F.lit(False))
+    giant = F.coalesce((F.octet_length("text") > segment) & ~F.contains("text", F.lit(BLANK)), F.lit(False))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

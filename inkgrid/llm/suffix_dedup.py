@@ -6,8 +6,8 @@ The suffixes of a whole corpus do not fit a shuffle, so three steps narrow them
    anchors in the same place, so only windows whose anchor occurs again can repeat. The windows that follow each other
    with one anchor make a stretch.
 2. Stretches are dealt by their anchor. Of stretches that are equal altogether the first stays and the others' windows
-   are repeats; an anchor that then has one stretch left is done. Hashes only propose this: digests of the bytes, taken
-   from the texts over whole runs of such stretches, must confirm every one, or all is done again with other hashes.
+   are repeats; an anchor that then has one stretch left is done. Equal are those with one BLAKE2b digest of all their
+   bytes, a cryptographic one: hashes that texts can be made to collide in decide about work only.
 3. The stretches left of all other anchors are cut out of the texts, dealt by anchor and, some at a time, joined to one
    string, whose suffixes are sorted (two-stage, see suffix_sort); windows that stand next to each other and agree in
    WINDOW bytes are equal, and all but the first in the corpus are repeats.
@@ -18,8 +18,8 @@ window instead. That changes where work is done, never what is found.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -41,15 +41,13 @@ HEAVY_LEAST = 1000
 SAMPLE_ONE_IN = 16
 #: Bytes of stretch records that a task of step 2 holds at once, on average.
 BUCKET_BYTES = 32 << 20
-#: Sets of hashes that are tried before giving up.
-TRIES = 4
 
 FOUND, REPEAT, OPEN = 0, 1, 2
-STRETCH_SCHEMA = "kind tinyint, bucket int, gid bigint, start int, n int, anchor bigint, of_gid bigint, of_start int, data binary"
+STRETCH_SCHEMA = "kind tinyint, bucket int, gid bigint, start int, n int, anchor bigint, data binary"
 _names = [f.split()[0] for f in STRETCH_SCHEMA.split(", ")]
-_kinds = (pa.int8(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-_record = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("gid", "<i8"), ("start", "<i4"), ("n", "u1")])
-_run = np.dtype([("gid", "<i8"), ("start", "<i4"), ("n", "<i4"), ("of_gid", "<i8"), ("of_start", "<i4")])
+_kinds = (pa.int8(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+_record = np.dtype([("anchor", "<u8"), ("whole", "<u8"), ("whole2", "<u8"), ("gid", "<i8"), ("start", "<i4"), ("n", "u1")])
+_long = np.dtype([(name, "<i4" if name == "n" else _record[name]) for name in _record.names])
 _made: dict[int, Powers] = {}
 
 
@@ -59,17 +57,16 @@ def _powers(seed: int) -> Powers:
     return _made[seed]
 
 
-def _stretches_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray, by_window: np.ndarray, seed: int, bits: int) -> tuple[np.ndarray, ...]:
-    """(row, start in data, windows, anchor hash, hash of all) of the rows data[begin:end], in order of place.
+def _stretches_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray, by_window: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(row, start in data, windows, anchor hash, digest of all in two numbers) of the rows data[begin:end], in order of place.
 
-    Stretches of the anchors in `by_window` (sorted) are split into single windows, whose hash serves as anchor. The hash of
-    all is the seed's, cut to so many bits.
+    Stretches of the anchors in `by_window` (sorted) are split into single windows, whose hash serves as anchor.
     """
     lengths = end - begin
     some = np.flatnonzero(lengths >= WINDOW)
     if not len(some):
-        return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U, U))
-    one, two = _powers(3), _powers(4 + 2 * seed)
+        return (*(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, U)), np.zeros((0, 2), U))
+    one = _powers(3)
     sums = one.prefix(data)
     at = np.arange(len(data) - GRAM + 1)
     grams = one.stretch(sums, at, at + GRAM)
@@ -96,7 +93,9 @@ def _stretches_of(data: np.ndarray, begin: np.ndarray, end: np.ndarray, by_windo
         step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
         start, n, key, heavy = np.repeat(start, times) + step, np.where(np.repeat(heavy, times), 1, np.repeat(n, times)), np.repeat(key, times), np.repeat(heavy, times)
         key = np.where(heavy, one.stretch(sums, start, start + WINDOW), key)
-    whole = two.stretch(two.prefix(data), start, start + n + WINDOW - 1) & U((1 << bits) - 1)
+    raw = data.tobytes()
+    digests = b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), (start + n + WINDOW - 1).tolist())])
+    whole = np.frombuffer(digests, "<u8").reshape(-1, 2)
     return np.searchsorted(begin, start, "right") - 1, start, n, key, whole
 
 
@@ -116,60 +115,53 @@ def _blocks(offsets: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndar
             row += 1
 
 
-def _records(column: pa.Array, gids: np.ndarray, by_window: np.ndarray, seed: int = 0, bits: int = 64) -> np.ndarray:
+def _records(column: pa.Array, gids: np.ndarray, by_window: np.ndarray) -> np.ndarray:
     """The stretches of all rows of a batch."""
     data, offsets = text_bytes(column)
     out = []
     for first, last, ids, begin, end in _blocks(offsets):
-        row, start, n, key, whole = _stretches_of(data[first:last], begin, end, by_window, seed, bits)
+        row, start, n, key, whole = _stretches_of(data[first:last], begin, end, by_window)
         part = np.zeros(len(row), _record)
-        part["anchor"], part["whole"], part["gid"], part["n"] = key, whole, gids[ids[row]], n
+        part["anchor"], part["whole"], part["whole2"], part["gid"], part["n"] = key, whole[:, 0], whole[:, 1], gids[ids[row]], n
         part["start"] = start + first - offsets[ids[row]]
         out.append(part)
     return np.concatenate(out) if out else np.zeros(0, _record)
 
 
 def _ordered(records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The records by anchor, whole, length, gid, start; and which are the first of their anchor, whole and length."""
-    records = records[np.lexsort((records["start"], records["gid"], records["n"], records["whole"], records["anchor"]))]
-    same = np.logical_and.reduce([records[f][1:] == records[f][:-1] for f in ("anchor", "whole", "n")])
+    """The records by anchor, whole, gid, start; and which are the first of their anchor and whole."""
+    records = records[np.lexsort((records["start"], records["gid"], records["whole2"], records["whole"], records["anchor"]))]
+    same = np.logical_and.reduce([records[f][1:] == records[f][:-1] for f in ("anchor", "whole", "whole2")])
     return records, np.r_[np.ones(min(1, len(records)), bool), ~same]
 
 
-def _again(records: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """The ordered records that are not the first of their kind, and what they seem to repeat; what follows each other in both texts is one run."""
-    if first.all():
-        return np.zeros(0, _run)
-    source = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))[~first]
-    own, of = records[~first], records[source]
-    order = np.lexsort((own["start"], own["gid"]))
-    own, of = own[order], of[order]
-    goes_on = [(x["gid"][1:] == x["gid"][:-1]) & (x["start"][1:] == x["start"][:-1] + x["n"][:-1]) for x in (own, of)]
-    at = np.flatnonzero(np.r_[True, ~(goes_on[0] & goes_on[1])])
-    out = np.zeros(len(at), _run)
-    out["gid"], out["start"], out["of_gid"], out["of_start"] = own["gid"][at], own["start"][at], of["gid"][at], of["start"][at]
-    out["n"] = np.add.reduceat(own["n"].astype(np.int32), at)
+def _joined(records: np.ndarray) -> np.ndarray:
+    """Stretches of a text that follow each other as one (anchor and whole lose their meaning)."""
+    if not len(records):
+        return records.astype(_long)
+    records = records[np.lexsort((records["start"], records["gid"]))]
+    fresh = np.r_[True, (records["gid"][1:] != records["gid"][:-1]) | (records["start"][1:] != records["start"][:-1] + records["n"][:-1])]
+    first = np.flatnonzero(fresh)
+    out = records[first].astype(_long)
+    out["n"] = np.add.reduceat(records["n"].astype(np.int32), first)
     return out
 
 
 def _rows(kind: int, records: np.ndarray, bucket: np.ndarray | None = None, data: list[bytes] | None = None) -> pa.RecordBatch:
     n = len(records)
-    held = {"kind": np.full(n, kind, np.int8), "bucket": np.zeros(n, np.int32) if bucket is None else bucket}
-    held |= {f: records[f].astype(np.int32) if f == "n" else records[f] for f in records.dtype.names if f in _names}
-    if "anchor" in held:
-        held["anchor"] = np.ascontiguousarray(held["anchor"]).view(np.int64)
-    arrays = [pa.array(np.ascontiguousarray(held[c]), k) if c in held else pa.nulls(n, k) for c, k in zip(_names[:-1], _kinds)]
+    columns = (np.full(n, kind, np.int8), np.zeros(n, np.int32) if bucket is None else bucket, records["gid"], records["start"], records["n"].astype(np.int32), records["anchor"].view(np.int64))
+    arrays = [pa.array(np.ascontiguousarray(c), k) for c, k in zip(columns, _kinds)]
     return pa.RecordBatch.from_arrays([*arrays, pa.nulls(n, pa.binary()) if data is None else pa.array(data, pa.binary())], names=_names)
 
 
-def _find(buckets: int, by_window: np.ndarray, seed: int, bits: int):
+def _find(buckets: int, by_window: np.ndarray):
     """From rows (gid, text): a batch's stretches packed for each bucket, and the repeats that show within the batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1, 64 * BLOCK):
             gids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            records, first = _ordered(_records(batch.column(1), gids, by_window, seed, bits))
-            repeats = _again(records, first)
+            records, first = _ordered(_records(batch.column(1), gids, by_window))
+            repeats = _joined(records[~first])
             yield _rows(REPEAT, repeats, (repeats["gid"].astype(U) % U(buckets)).astype(np.int32))
             records = records[first]
             bucket = (records["anchor"] % U(buckets)).astype(np.int32)
@@ -197,7 +189,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def settled(parts: list[bytes]) -> Iterator[pa.RecordBatch]:
         records, first = _ordered(np.concatenate([_unpack(p) for p in parts]))
-        yield _rows(REPEAT, _again(records, first))
+        yield _rows(REPEAT, _joined(records[~first]))
         records = records[first]
         again = records["anchor"][1:] == records["anchor"][:-1]
         yield _rows(OPEN, records[np.r_[False, again] | np.r_[again, False]])
@@ -206,7 +198,7 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.asarray(batch.column(0)) == FOUND
         yield batch.filter(pa.array(~found))
-        for b, data in zip(batch.column(1).filter(pa.array(found)).to_pylist(), batch.column(len(_names) - 1).filter(pa.array(found)).to_pylist()):
+        for b, data in zip(batch.column(1).filter(pa.array(found)).to_pylist(), batch.column(6).filter(pa.array(found)).to_pylist()):
             if b != bucket and parts:
                 yield from settled(parts)
                 parts = []
@@ -216,11 +208,11 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from settled(parts)
 
 
-CUT_SCHEMA = "proof boolean, anchor bigint, gid bigint, start int, n int, bytes binary"
+CUT_SCHEMA = "anchor bigint, gid bigint, start int, n int, bytes binary"
 
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows (gid, text, wanted): the bytes of each stretch, or their digest where a proof is wanted (once for each key and digest)."""
+    """From rows (gid, text, open): the bytes of each open stretch."""
     names = [f.split()[0] for f in CUT_SCHEMA.split(", ")]
     for batch in slices(batches, 1):
         data, offsets = text_bytes(batch.column(1))
@@ -228,22 +220,11 @@ def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, sizes = held.flatten(), np.diff(held.offsets.to_numpy())
         row = np.repeat(np.arange(batch.num_rows), sizes)
         start, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("start", "n"))
-        proof = flat.field("proof").to_numpy(zero_copy_only=False)
         gid = batch.column(0).to_numpy(zero_copy_only=False)[row]
-        raw = memoryview(data.tobytes())
-        pieces, seen, kept = [], set(), []
-        for k, (a, m, p, anchor) in enumerate(zip((offsets[row] + start).tolist(), n.tolist(), proof.tolist(), flat.field("anchor").to_pylist())):
-            piece = raw[a : a + m + WINDOW - 1]
-            if p:
-                piece = hashlib.blake2b(piece, digest_size=32).digest()
-                if (anchor, piece) in seen:
-                    continue
-                seen.add((anchor, piece))
-            kept.append(k)
-            pieces.append(bytes(piece))
-        kept = pa.array(kept, pa.int64())
-        columns = (flat.field("proof"), flat.field("anchor"), pa.array(gid, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()))
-        yield pa.RecordBatch.from_arrays([*(c.take(kept) for c in columns), pa.array(pieces, pa.binary())], names=names)
+        raw = data.tobytes()
+        pieces = [raw[a : a + k + WINDOW - 1] for a, k in zip((offsets[row] + start).tolist(), n.tolist())]
+        columns = (flat.field("anchor"), pa.array(gid, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(pieces, pa.binary()))
+        yield pa.RecordBatch.from_arrays(list(columns), names=names)
 
 
 SPAN_SCHEMA = "gid bigint, start int, n int"
@@ -272,30 +253,22 @@ def repeated_windows(gid: np.ndarray, start: np.ndarray, n: np.ndarray, pieces:
 
 
 def _sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by (proof, anchor): whole anchors are gathered up to SORTED_BYTES and compared; a proof of two digests gives a row of nulls."""
+    """Rows come sorted by anchor; whole anchors are gathered up to SORTED_BYTES and compared."""
     names = [f.split()[0] for f in SPAN_SCHEMA.split(", ")]
-    kinds = (pa.int64(), pa.int32(), pa.int32())
 
     def compared(table: pa.Table) -> pa.RecordBatch:
-        gid, start, n = (table.column(k).to_numpy().astype(np.int64) for k in (2, 3, 4))
-        made = repeated_windows(gid, start, n, table.column(5).to_pylist())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, kinds)], names=names)
+        gid, start, n = (table.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3))
+        made = repeated_windows(gid, start, n, table.column(4).to_pylist())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(made, (pa.int64(), pa.int32(), pa.int32()))], names=names)
 
     held: list[pa.RecordBatch] = []
-    key = digest = None
     for batch in batches:
-        proof = batch.column(0).to_numpy(zero_copy_only=False)
-        for own_key, own in zip(batch.column(1).filter(pa.array(proof)).to_pylist(), batch.column(5).filter(pa.array(proof)).to_pylist()):
-            if own_key == key and own != digest:
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, k) for k in kinds], names=names)
-            key, digest = own_key, own
-        batch = batch.filter(pa.array(~proof))
         while batch.num_rows:
             held.append(batch)
             batch = batch.slice(batch.num_rows)
-            if sum(b.column(5).nbytes for b in held) >= SORTED_BYTES:
+            if sum(b.column(4).nbytes for b in held) >= SORTED_BYTES:
                 table = pa.Table.from_batches(held)
-                anchor = table.column(1).to_numpy()
+                anchor = table.column(0).to_numpy()
                 whole = int(np.flatnonzero(anchor != anchor[-1])[-1]) + 1 if (anchor != anchor[-1]).any() else 0
                 if whole:
                     yield compared(table.slice(0, whole))
@@ -322,30 +295,17 @@ def heavy_anchors(rows: DataFrame, total: int) -> np.ndarray:
     return np.sort(np.array(found, np.int64).view(U))
 
 
-def repeats(rows: DataFrame, bits: int = 64) -> DataFrame:
-    """(gid, start, n): windows start .. start+n-1 of a text repeat earlier ones; for rows (gid, text) with unique gids.
-
-    bits is how much the first try keeps of the hashes by which equal stretches are proposed.
-    """
+def repeats(rows: DataFrame) -> DataFrame:
+    """(gid, start, n): windows start .. start+n-1 of a text repeat earlier ones; for rows (gid, text) with unique gids."""
     texts = rows.select("gid", "text")
     total = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8 * partitions(rows.sparkSession), -(-total * 2 * _record.itemsize // ((SPAN + 1) * BUCKET_BYTES)))
-    heavy = heavy_anchors(texts, total)
-    for seed in range(TRIES):
-        found = texts.mapInArrow(_find(buckets, heavy, seed, 64 if seed else bits), STRETCH_SCHEMA)
-        settled = cut(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle, STRETCH_SCHEMA).drop("bucket", "data"))
-        runs = settled.filter(F.col("kind") == REPEAT)
-        wanted = lambda anchor, start, proof: F.struct(F.col(start).alias("start"), "n", anchor.alias("anchor"), F.lit(proof).alias("proof")).alias("w")
-        key = F.xxhash64("of_gid", "of_start", "n")
-        own = runs.select("gid", wanted(key, "start", True))
-        of = runs.select(F.col("of_gid").alias("gid"), wanted(key, "of_start", True)).distinct()
-        lists = settled.filter(F.col("kind") == OPEN).select("gid", wanted(F.col("anchor"), "start", False)).unionByName(own).unionByName(of)
-        lists = lists.groupBy("gid").agg(F.collect_list("w").alias("wanted"))
-        pieces = texts.join(lists, "gid").select("gid", "text", "wanted").mapInArrow(_cut_out, CUT_SCHEMA)
-        compared = cut(pieces.repartition("anchor").sortWithinPartitions("proof", "anchor").mapInArrow(_sort_suffixes, SPAN_SCHEMA))
-        if not compared.filter("gid is null").limit(1).count():
-            return runs.select("gid", "start", "n").unionByName(compared)
-    raise RuntimeError(f"{TRIES} sets of hashes each took different stretches for equal ones")
+    found = texts.mapInArrow(_find(buckets, heavy_anchors(texts, total)), STRETCH_SCHEMA)
+    settled = cut(found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_settle, STRETCH_SCHEMA).select("kind", "gid", "start", "n", "anchor"))
+    open_ = settled.filter(F.col("kind") == OPEN).groupBy("gid").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("open"))
+    pieces = texts.join(open_, "gid").select("gid", "text", "open").mapInArrow(_cut_out, CUT_SCHEMA)
+    compared = pieces.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort_suffixes, SPAN_SCHEMA)
+    return settled.filter(F.col("kind") == REPEAT).select("gid", "start", "n").unionByName(compared)
 
 
 def removed_mask(size: int, spans: np.ndarray) -> np.ndarray:
@@ -359,10 +319,10 @@ def removed_mask(size: int, spans: np.ndarray) -> np.ndarray:
 MADE = (("kept", T.BinaryType(), pa.binary()), ("kept_text", T.StringType(), pa.string()), ("n_bytes", T.LongType(), pa.int64()), ("n_removed", T.LongType(), pa.int64()), ("n_spans", T.LongType(), pa.int64()))
 
 
-def _cleared(rows: DataFrame, *wanted: str, bits: int = 64) -> DataFrame:
+def _cleared(rows: DataFrame, *wanted: str) -> DataFrame:
     """Rows with unique gids, and a text, with those columns of MADE added that are wanted."""
     made_fields = [f for f in MADE if f[0] in wanted]
-    spans = repeats(rows, bits).select("gid", F.struct("start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end")).alias("span"))
+    spans = repeats(rows).select("gid", F.struct("start", (F.col("start") + F.col("n") + WINDOW - 1).alias("end")).alias("span"))
     spans = spans.groupBy("gid").agg(F.collect_list("span").alias("spans"))
     joined = rows.join(spans, "gid", "left").select(*rows.columns, "spans")
     out = T.StructType([*rows.schema.fields, *(T.StructField(name, kind) for name, kind, _ in made_fields)])
@@ -401,14 +361,14 @@ def dedup(docs: DataFrame) -> DataFrame:
     return _cleared(numbered(docs.drop("gid", "spans", *names)), *names).drop("gid")
 
 
-def dedup_digests(docs: DataFrame, bits: int = 64) -> DataFrame:
+def dedup_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 for every row of `docs`, by the rules of dedup."""
     docs = docs.select("doc_id", "text")
     plain = plain_ids(docs)
     rows = numbered(docs, plain=plain)
     # Where doc_id itself numbers the rows it need not travel twice, and both joins with the texts share one exchange.
     wanted = ("kept", "n_bytes", "n_removed", "n_spans")
-    found = _cleared(rows.select("gid", "text"), *wanted, bits=bits).withColumnRenamed("gid", "doc_id") if plain else _cleared(rows, *wanted, bits=bits)
+    found = _cleared(rows.select("gid", "text"), *wanted).withColumnRenamed("gid", "doc_id") if plain else _cleared(rows, *wanted)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 

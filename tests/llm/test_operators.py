@@ -664,13 +664,17 @@ def test_suffix_dedup_is_brute_force(spark, docs, heavy, monkeypatch):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
 
 
-@pytest.mark.parametrize("bits", [0, 4])
-def test_suffix_dedup_survives_colliding_hashes(spark, docs, bits):
-    """Hashes that take different stretches for equal ones are found out by the bytes."""
-    rows = sorted(texts())
-    want = dict(zip((i for i, _ in rows), brute_removed([t for _, t in rows])))
-    got = suffix_dedup.dedup_digests(docs, bits).collect()
-    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got} == want
+def test_equal_stretches_are_told_by_their_bytes():
+    """Every stretch carries a digest of all its bytes; windows that follow each other with one anchor cover each text exactly once."""
+    rng = random.Random(18)
+    parts = [words(rng, 80).encode(), b"ab" * 300, b"x" * 99, words(rng, 300).encode()]
+    data, ends = np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
+    row, start, n, key, whole = suffix_dedup._stretches_of(data, ends - [len(p) for p in parts], ends, np.zeros(0, np.uint64))
+    seen = []
+    for r, a, k, w in zip(row.tolist(), start.tolist(), n.tolist(), whole):
+        assert hashlib.blake2b(data[a : a + k + 99].tobytes(), digest_size=16).digest() == w.tobytes()
+        seen += [(r, p) for p in range(a, a + k)]
+    assert seen == [(r, p) for r, (e, t) in enumerate(zip(ends.tolist(), parts)) for p in range(e - len(t), e - 99)]
 
 
 def test_suffix_dedup_orders_equal_ids_by_text(spark, doubled):
