@@ -9,6 +9,11 @@ def clamp(value: float, low: float, high: float) -> float:
     return max(low, min(high, value))
 
 
+def switched_on(text: str) -> bool:
+    """Whether a switch given as text is on: all but a few words for off."""
+    return text.strip().lower() not in ("0", "false", "no", "off")
+
+
 @dataclass(frozen=True)
 class Settings:
     """`today` is the date that same-day rules expect; it is a parameter so that reruns agree."""
@@ -23,6 +28,11 @@ class Settings:
     cache_ttl_s: float = 1800.0
     lease_s: float = 1800.0
     review_mode: str = "hybrid"
+    #: Whether caches are read and written, and whether issues are ranked by rule alone after a failed cleaning.
+    caches: bool = True
+    skip_triage_on_error: bool = True
+    #: The model that is asked when another fails; none if empty.
+    fallback_model: str = ""
 
     @property
     def reviews(self) -> int:

@@ -157,6 +157,11 @@ def session_id(c: Column) -> Column:
     return F.coalesce(F.nullif(F.substring(strip(c), 1, 80), F.lit("")), F.lit("default"))
 
 
+def unfenced(c: Column) -> Column:
+    """A model's answer without the fence of a code block around it."""
+    return strip(F.regexp_replace(strip(c), r"(?is)\A```(?:json)?|```\z", ""))
+
+
 def json_inside(c: Column) -> Column:
     """What a model's answer holds between its first and last brace; null without any."""
     return F.nullif(F.regexp_extract(c, r"(?s)([{].*[}])", 1), F.lit(""))

@@ -1,4 +1,4 @@
-"""Content-addressed caches as tables: keys from content, hits and misses as joins, entries that expire."""
+"""Content-addressed caches as tables: keys from content, hits and misses as joins, entries that expire, what may be saved."""
 
 from __future__ import annotations
 
@@ -17,21 +17,50 @@ def content_key(content: Column) -> Column:
     return F.sha2(content.cast("binary"), 256)
 
 
+def reading_key(provider: Column, model: Column, image: Column, version: str) -> Column:
+    """The key of a second reading: field, rule and parameters (columns of the catalogue), provider, model, image and prompt version."""
+    return key(F.col("field_id"), F.col("label"), F.col("validator"), F.to_json("params"), provider, F.coalesce(model, F.lit("")), content_key(image), F.lit(version))
+
+
 def live(cache: DataFrame, now: float, settings: Settings) -> DataFrame:
-    """Entries that count: good ones for ever, timeouts (cached_at set) for the time to live, none of these if it is 0."""
+    """Entries that count: good ones for ever, timeouts (cached_at set) for the time to live, none of these if it is 0; none at all if caches are off."""
+    if not settings.caches:
+        return cache.limit(0)
     if settings.cache_ttl_s <= 0:
         return cache.filter("cached_at is null")
     return cache.filter(F.col("cached_at").isNull() | (F.lit(now) - F.col("cached_at") <= settings.cache_ttl_s))
 
 
 def hits(requests: DataFrame, cache: DataFrame, on: str = "key") -> DataFrame:
-    return requests.join(cache.select(on).distinct(), on, "left_semi")
+    return requests.join(cache.select(on), on, "left_semi")
 
 
 def misses(requests: DataFrame, cache: DataFrame, on: str = "key") -> DataFrame:
-    return requests.join(cache.select(on).distinct(), on, "left_anti")
+    """Requests that have to be worked out: only these go to a connector."""
+    return requests.join(cache.select(on), on, "left_anti")
 
 
 def answered(requests: DataFrame, cache: DataFrame, on: str = "key") -> DataFrame:
-    """Requests with the cached answer and cache_hit."""
-    return requests.join(cache.select(on, "answer").dropDuplicates([on]), on, "left").withColumn("cache_hit", F.col("answer").isNotNull())
+    """Requests with the cached answer (of several the least) and cache_hit."""
+    known = cache.groupBy(on).agg(F.min("answer").alias("answer"), F.lit(True).alias("__hit"))
+    return requests.join(known, on, "left").withColumn("cache_hit", F.coalesce("__hit", F.lit(False))).drop("__hit")
+
+
+def entries(results: DataFrame, now: float, settings: Settings) -> DataFrame:
+    """What is saved of results (key, answer, value, normalized_value, error, timed_out): key, answer, cached_at.
+
+    Timeouts are saved with their time, so that they expire; other errors and empty readings never are; nothing is if caches
+    are off. A key that has a good answer is not saved as a timeout too.
+    """
+    filled = (F.coalesce("value", F.lit("")) != "") | (F.coalesce("normalized_value", F.lit("")) != "")
+    late = F.coalesce("timed_out", F.lit(False))
+    fine = ~late & (F.coalesce("error", F.lit("")) == "") & filled
+    kept = results.filter(F.lit(settings.caches) & (fine | (late & F.lit(settings.cache_ttl_s > 0))))
+    at = F.when(late, F.lit(float(now)))
+    best = F.min(F.struct(at.isNotNull().alias("late"), F.col("answer").alias("answer"), at.alias("at"))).alias("b")
+    return kept.groupBy("key").agg(best).select("key", "b.answer", F.col("b.at").alias("cached_at"))
+
+
+def save(results: DataFrame, now: float, settings: Settings, path: str) -> None:
+    """Adds what may be saved to a cache table."""
+    entries(results, now, settings).write.mode("append").parquet(path)

@@ -13,10 +13,13 @@ REVIEW_REASON = "需人工复核"
 SLOW_REASON = "Cleaner超时，使用本地候选兜底"
 
 
+def _entry() -> Column:
+    return F.struct("rank", "block_id", "text", F.col("score").alias("block_score"), "cand_score", "x1", "y1", "x2", "y2", "cx", "cy", "reason")
+
+
 def gathered(candidates: DataFrame) -> DataFrame:
     """One row for each field of a page with its candidates in order of rank (at most the few that matching keeps)."""
-    entry = F.struct("rank", "block_id", "text", F.col("score").alias("block_score"), "cand_score", "x1", "y1", "x2", "y2", "cx", "cy", "reason")
-    return candidates.groupBy("page_id", "field_id").agg(F.array_sort(F.collect_list(entry)).alias("cands"))
+    return candidates.groupBy("page_id", "field_id").agg(F.array_sort(F.collect_list(_entry())).alias("cands"))
 
 
 def merged_digits(cands: Column) -> Column:
@@ -75,11 +78,16 @@ def normal_value(value: Column) -> Column:
 
 
 def local_clean(pages: DataFrame, fields: DataFrame, candidates: DataFrame, provider: str = "local", model: str = "rules") -> DataFrame:
-    """A recognition for every field of every page, with the catalogue's columns; fields without candidates need review."""
-    none = gathered(candidates)
-    kind = none.schema["cands"].dataType.simpleString()
-    rows = pages.select("page_id").crossJoin(F.broadcast(fields)).join(none, ["page_id", "field_id"], "left")
-    rows = rows.withColumn("cands", F.coalesce("cands", F.array().cast(kind)))
+    """A recognition for every field of every page (repeated or not), with the catalogue's columns; fields without candidates need review.
+
+    Pages and candidates are grouped once, by page, where each field finds its own; what follows is local to a page.
+    """
+    found = candidates.select("page_id", F.struct("field_id", _entry().alias("c")).alias("found"))
+    kind = found.schema["found"].dataType.simpleString()
+    every = found.unionByName(pages.select("page_id", F.lit(None).cast(kind).alias("found")))
+    rows = every.groupBy("page_id").agg(F.collect_list("found").alias("found")).crossJoin(F.broadcast(fields))
+    own = F.transform(F.filter("found", lambda x: x["field_id"] == F.col("field_id")), lambda x: x["c"])
+    rows = rows.withColumn("cands", F.array_sort(own)).drop("found")
     some = F.size("cands") > 0
     rows = rows.withColumns(
         {

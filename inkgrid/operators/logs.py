@@ -1,4 +1,4 @@
-"""Structured logs: reading, tails with filters, redaction, and events without repetition."""
+"""Structured logs: reading, tails with filters, redaction, writing, and events without repetition."""
 
 from __future__ import annotations
 
@@ -9,15 +9,24 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Parts of key names whose values are never shown.
+# Parts of key names whose values are never shown, and the keys that every line may have.
 SENSITIVE = ("api_key", "authorization", "token", "password", "secret", "bearer")
 REDACTED = "[redacted]"
-SCHEMA = "line_no bigint, ts string, level string, event string, message string, request_id string, task_id string, run_id string, session_id string"
+KNOWN = ("ts", "level", "event", "message", "request_id", "task_id", "run_id", "session_id")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Log lines with their known columns; lines that are no JSON are left out."""
-    return spark.read.schema(SCHEMA).option("mode", "DROPMALFORMED").json(path)
+    """Log lines: line_no (orderable), the columns KNOWN, and `payload`, a map of all other keys; lines that are no JSON object go.
+
+    line_no follows the files by time of change, then the lines of each, so that rotated files come before the newest one.
+    """
+    line = F.struct(
+        F.col("_metadata.file_modification_time").alias("changed"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"),
+    )
+    rows = spark.read.text(path).select(line.alias("line_no"), F.from_json(F.when(F.col("value").rlike(r"^\s*\{"), F.col("value")), "map<string,string>").alias("m"))
+    rest = F.map_filter("m", lambda k, v: ~k.isin(*KNOWN))
+    return rows.filter("m is not null").select("line_no", *[F.col("m")[k].alias(k) for k in KNOWN], rest.alias("payload"))
 
 
 def tail(logs: DataFrame, limit: int = 200, **ids: str | None) -> DataFrame:
@@ -57,8 +66,21 @@ def redacted_json(values: pd.Series) -> pd.Series:
     return values.map(one, na_action="ignore")
 
 
+def lines(logs: DataFrame) -> DataFrame:
+    """Log rows (columns of KNOWN, payload) as JSON lines: `day` and `value`. Sensitive values are hidden, empty ones go, the payload wins."""
+    known = F.create_map(*[c for k in KNOWN for c in (F.lit(k), F.col(k).cast("string") if k in logs.columns else F.lit(None).cast("string"))])
+    payload = F.coalesce(redacted_map("payload"), F.create_map().cast("map<string,string>"))
+    whole = F.map_concat(F.map_filter(known, lambda k, v: ~F.map_contains_key(payload, k)), payload)
+    return logs.select(F.substring("ts", 1, 10).alias("day"), F.to_json(cleaned(whole)).alias("value"))
+
+
+def write(logs: DataFrame, path: str) -> None:
+    """Adds log rows to a folder of JSON lines, by day."""
+    lines(logs).write.partitionBy("day").mode("append").text(path)
+
+
 def without_repeats(events: DataFrame, by: str, order: str, payload: str) -> DataFrame:
-    """Events of each stream whose payload differs from the one before (null-safe); the first stays."""
+    """Events of each stream whose payload differs from the one before (null-safe); the first stays. streaming.queue has it for streams."""
     before = Window.partitionBy(by).orderBy(order)
     rows = events.withColumns({"__before": F.lag(payload).over(before), "__n": F.row_number().over(before)})
     return rows.filter((F.col("__n") == 1) | ~F.col("__before").eqNullSafe(F.col(payload))).drop("__before", "__n")

@@ -45,6 +45,17 @@ def judged(pages: DataFrame, template_width: int, template_height: int) -> DataF
     return rows.withColumn("reject_reason", reason).drop(*[f"__{axis}{k}" for k in range(4) for axis in "xy"])
 
 
+def record(pages: DataFrame, mode: str) -> DataFrame:
+    """page_id and `registration`, as JSON: what judged() says of a page; pages without a homography were not registered."""
+    tried = F.col("homography").isNotNull()
+    made = F.struct(
+        F.lit(mode).alias("mode"), tried.alias("enabled"), (tried & (F.col("reject_reason") == "")).alias("ok"), F.when(tried, F.col("inliers")).otherwise(0).alias("inliers"),
+        F.when(tried, F.col("rmse")).alias("reproj_rmse"), F.when(~tried, "REGISTRATION_MODE=off").when(F.col("reject_reason") != "", F.col("reject_reason")).alias("reject_reason"),
+        F.col("homography"),
+    )
+    return pages.select("page_id", F.to_json(made, {"ignoreNullFields": "false"}).alias("registration"))
+
+
 def ordered_corners(points: Column) -> Column:
     """An array of (x, y) structs as top left, top right, bottom right, bottom left: by x+y and y-x."""
     at = lambda key, end: end(F.transform(points, lambda q: F.struct(key(q).alias("k"), q.alias("q"))))["q"]

@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkgrid.config import Settings
+from inkgrid.operators import triage
+
 SUMMARY = ("field_count", "passed_count", "failed_count", "review_count")
 
 
-def summary(checks: DataFrame) -> DataFrame:
-    """A row for each page: how many fields, how many pass, fail and need review, and whether no failure has a message."""
-    return checks.groupBy("page_id").agg(
+def _counts() -> list[Column]:
+    return [
         F.count("*").alias("field_count"),
         F.count_if("passed").alias("passed_count"),
         F.count_if(~F.col("passed")).alias("failed_count"),
         F.count_if("needs_review").alias("review_count"),
         (F.count_if(~F.col("passed") & (F.col("message") != "")) == 0).alias("ok"),
-    )
+    ]
+
+
+def summary(checks: DataFrame) -> DataFrame:
+    """A row for each page: how many fields, how many pass, fail and need review, and whether no failure has a message."""
+    return checks.groupBy("page_id").agg(*_counts())
 
 
 def source_label(provider: Column, reviewed: Column) -> Column:
@@ -44,14 +51,19 @@ def candidates_json(candidates: DataFrame) -> DataFrame:
     return fields.groupBy("page_id").agg(F.to_json(F.map_from_entries(pairs)).alias("candidates"))
 
 
-def documents(checks: DataFrame, shown: DataFrame) -> DataFrame:
-    """One nested row for each page, ready for df.write.json: summary, problems and fields."""
+def documents(checks: DataFrame, settings: Settings) -> DataFrame:
+    """One nested row for each page, ready for df.write.json: summary, problems and fields, by one grouping of the checks."""
     field = F.struct(
         "field_seq", F.col("field_id").alias("id"), "label", "section", "bbox", "recognizer", "validator", "value", "normalized_value", "confidence", "provider", "model",
         source_label(F.col("provider"), F.col("reviewed")).alias("source_label"), "needs_review", "review_reason", "passed", F.when(F.col("passed"), "").otherwise(F.col("message")).alias("message"),
     )
-    fields = checks.groupBy("page_id").agg(F.array_sort(F.collect_list(field)).alias("fields"))
-    problems = shown.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "text"))), lambda p: p["text"]).alias("problems"))
-    rows = summary(checks).join(fields, "page_id").join(problems, "page_id", "left")
-    counts = F.struct(*SUMMARY)
-    return rows.select("page_id", "ok", counts.alias("summary"), F.coalesce("problems", F.array(F.lit("通过"))).alias("problems"), "fields")
+    problem = F.when(F.col("slot") <= settings.issues, F.struct("slot", "text"))
+    problems = F.transform(F.array_sort(F.collect_list(problem)), lambda p: p["text"]).alias("problems")
+    rows = triage.with_slots(checks).groupBy("page_id").agg(*_counts(), F.array_sort(F.collect_list(field)).alias("fields"), problems)
+    none = F.when(F.size("problems") > 0, F.col("problems")).otherwise(F.array(F.lit("通过")))
+    return rows.select("page_id", "ok", F.struct(*SUMMARY).alias("summary"), none.alias("problems"), "fields")
+
+
+def write(reports: DataFrame, path: str) -> None:
+    """The documents as JSON lines."""
+    reports.write.mode("overwrite").json(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from inkgrid.config import Settings
 from inkgrid.functions import geometry as g
 from inkgrid.functions import text as t
-from inkgrid.operators.match import BLOCK_COLUMNS, page_extent
+from inkgrid.operators.match import BLOCK_COLUMNS, with_extent
 from inkgrid.sources.catalog import OIL_ROW
 
 ROUNDS = 3
@@ -39,8 +39,8 @@ def oil_row(blocks: DataFrame, fields: DataFrame, settings: Settings) -> DataFra
     joins the first row whose mean middle is within 0.7 of the taller height.
     """
     target = F.broadcast(fields.filter(F.col("field_id").isin(*OIL_ROW)).agg(F.countDistinct("field_id").alias("known"), *(f(e).alias(n) for n, f, e in (("rx1", F.min, F.col("target.x")), ("ry1", F.min, F.col("target.y")), ("rx2", F.max, F.col("target.x") + F.col("target.w")), ("ry2", F.max, F.col("target.y") + F.col("target.h"))))))
-    spots = blocks.withColumns({"cx": (F.col("x1") + F.col("x2")) / 2.0, "cy": (F.col("y1") + F.col("y2")) / 2.0})
-    spots = spots.join(page_extent(blocks), "page_id").join(target, F.col("known") == len(OIL_ROW))
+    spots = with_extent(blocks).withColumns({"cx": (F.col("x1") + F.col("x2")) / 2.0, "cy": (F.col("y1") + F.col("y2")) / 2.0})
+    spots = spots.join(target, F.col("known") == len(OIL_ROW))
     sx, sy = F.col("page_w") / F.lit(settings.page_width), F.col("page_h") / F.lit(settings.page_height)
     region = (F.col("rx1") * sx, F.col("ry1") * sy, F.col("rx2") * sx, F.col("ry2") * sy)
     region = g.widened(region, F.lit(0.25), F.lit(0.15), F.lit(0.25), F.lit(0.35), least=1.0)
@@ -76,7 +76,8 @@ def with_oil_row(candidates: DataFrame, row: DataFrame, fields: DataFrame, setti
     keys = ["page_id", "field_id"]
     known = F.broadcast(fields.select("field_id", "field_seq", "validator"))
     first = row.join(known, "field_id").withColumns({"rank": F.lit(0), "cand_score": F.col("score") + 4.0, "reason": F.lit("oil_pf_row_sequence")})
-    rest = candidates.join(row.select(*keys, "block_id"), [*keys, "block_id"], "left_anti")
-    every = rest.unionByName(first.select(*rest.columns))
+    every = candidates.unionByName(first.select(*candidates.columns))
+    again = Window.partitionBy(*keys, "block_id").orderBy("rank")
+    every = every.withColumn("again", F.row_number().over(again)).filter("again = 1").drop("again")
     order = Window.partitionBy(*keys).orderBy("rank")
     return every.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.max_candidates)

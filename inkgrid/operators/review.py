@@ -86,14 +86,20 @@ def plan(checks: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
-def merge(checks: DataFrame, reviews: DataFrame, settings: Settings) -> DataFrame:
+_READING = {"__seen": "boolean", "__confidence": "double"} | dict.fromkeys(("__value", "__normalized_value", "__provider", "__model", "__error"), "string")
+
+
+def merge(checks: DataFrame, reviews: DataFrame | None, settings: Settings) -> DataFrame:
     """Takes a second reading (page_id, field_id, value, normalized_value, confidence, provider, model, error) of selected values into account.
 
     A reading that passes with enough confidence replaces the value; one that passes without leaves it and says so; one that
     fails leaves it. A selected value without a reading lacks its image. Adds reviewed, accepted, changed.
     """
-    new = reviews.select("page_id", "field_id", F.lit(True).alias("__seen"), *[F.col(c).alias(f"__{c}") for c in ("value", "normalized_value", "confidence", "provider", "model", "error")])
-    rows = checks.join(new, ["page_id", "field_id"], "left")
+    if reviews is None:
+        rows = checks.withColumns({c: F.lit(None).cast(kind) for c, kind in _READING.items()})
+    else:
+        new = reviews.select("page_id", "field_id", F.lit(True).alias("__seen"), *[F.col(c).alias(f"__{c}") for c in ("value", "normalized_value", "confidence", "provider", "model", "error")])
+        rows = checks.join(new, ["page_id", "field_id"], "left")
     rows = computed_once(rows.withColumn("__normal", normal_value(t.first_filled(F.col("__normalized_value"), F.col("__value")))))
     seen = F.col("selected") & F.coalesce("__seen", F.lit(False))
     fault = seen & F.col("__error").isNotNull()

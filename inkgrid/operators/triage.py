@@ -59,20 +59,34 @@ def with_risk(checks: DataFrame) -> DataFrame:
     return checks.withColumns({"risk_level": risk_level(F.col("risk")), "evidence_state": evidence_state(), "review_state": review_state()})
 
 
-def issues(checks: DataFrame) -> DataFrame:
-    """Failures with a message (kind 0) and passed values that need review (kind 1), ranked in their kind of a page."""
-    checks = with_risk(checks)
+def with_kind(checks: DataFrame) -> DataFrame:
+    """Adds kind and text: failures with a message (0) and passed values that need review (1); null for what is no issue."""
     kind = F.when(~F.col("passed"), 0).when(F.col("needs_review"), 1)
     text = F.when(F.col("passed"), review_message()).otherwise(F.col("message"))
-    rows = computed_once(checks.withColumns({"kind": kind, "text": text})).filter("kind is not null and text <> ''")
+    rows = computed_once(with_risk(checks).withColumns({"kind": kind, "text": text}))
+    return rows.withColumn("kind", F.when(F.col("text") != "", F.col("kind")))
+
+
+def issues(checks: DataFrame) -> DataFrame:
+    """The issues of with_kind, ranked in their kind of a page."""
     rank = Window.partitionBy("page_id", "kind").orderBy(F.desc("risk"), "label", "field_seq")
-    return rows.withColumn("kind_rank", F.row_number().over(rank))
+    return with_kind(checks).filter("kind is not null").withColumn("kind_rank", F.row_number().over(rank))
+
+
+def _in_order() -> Column:
+    """The place of a row among its page's: failures first, then review items, each by risk; what is no issue comes last."""
+    return F.row_number().over(Window.partitionBy("page_id").orderBy(F.asc_nulls_last("kind"), F.desc("risk"), "label", "field_seq"))
+
+
+def with_slots(checks: DataFrame) -> DataFrame:
+    """All checks with kind, text and slot, the place among the page's issues (null for what is no issue)."""
+    rows = with_kind(checks).withColumn("slot", _in_order())
+    return rows.withColumn("slot", F.when(F.col("kind").isNotNull(), F.col("slot")))
 
 
 def top_issues(checks: DataFrame, settings: Settings) -> DataFrame:
     """The issues shown for each page, in order: failures first, review items in the slots left."""
-    order = Window.partitionBy("page_id").orderBy("kind", "kind_rank")
-    rows = issues(checks).withColumn("slot", F.row_number().over(order)).filter(F.col("slot") <= settings.issues)
+    rows = with_kind(checks).filter("kind is not null").withColumn("slot", _in_order()).filter(F.col("slot") <= settings.issues)
     return rows.select("page_id", "slot", "kind", "text", "field_id", "field_seq", "label", "risk", "risk_level", "evidence_state")
 
 

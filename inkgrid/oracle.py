@@ -87,8 +87,11 @@ def body(x: str) -> str:
 
 BLOCKS = """blocks AS (
   SELECT user_id AS page_id, event_id AS block_seq, 'b' || event_id AS block_id,
-    CASE event_id % 8 WHEN 0 THEN CAST(event_id % 30 AS VARCHAR) WHEN 1 THEN 'N/A' WHEN 2 THEN '重庆' WHEN 3 THEN 'AMM' || event_id
+    CASE event_id % 16 WHEN 0 THEN CAST(event_id % 30 AS VARCHAR) WHEN 1 THEN 'N/A' WHEN 2 THEN '重庆' WHEN 3 THEN 'AMM' || event_id
       WHEN 4 THEN 'CAACML' || lpad(CAST(event_id AS VARCHAR), 8, '0') WHEN 5 THEN strftime(ts, '%Y.%m.%d') WHEN 6 THEN event_type
+      WHEN 7 THEN 'replaced oil pump 更换油泵并试车' WHEN 8 THEN CASE WHEN event_id % 3 = 0 THEN 'checked' ELSE '勾选' END WHEN 9 THEN ''
+      WHEN 10 THEN 'pump seal leaking at station ' || event_id WHEN 11 THEN '更换前轮胎并完成测试' WHEN 12 THEN CASE WHEN event_id % 3 = 0 THEN 'SIGN DATE' ELSE '报告者' END
+      WHEN 13 THEN '2024.01.02' WHEN 14 THEN CASE WHEN event_id % 3 = 0 THEN '李冬' ELSE 'A. Meyer' END
       ELSE lpad(CAST(event_id AS VARCHAR), 6, '0') END AS text,
     CAST(event_id % 1024 AS DOUBLE) / CAST(1024 AS DOUBLE) AS score,
     CAST((event_id * 37) % 2200 AS DOUBLE) AS x1, CAST((event_id * 53) % 1600 AS DOUBLE) AS y1,
@@ -333,6 +336,18 @@ tasks AS (
     CASE WHEN k % 5 <> 0 AND s = 'F' THEN created_at + 300 WHEN k % 5 <> 0 AND s = 'P' THEN created_at + 400 END AS finished_at,
     CASE WHEN k % 5 = 0 THEN 'pending' WHEN s = 'F' THEN 'done' WHEN s = 'P' THEN 'failed' ELSE 'running' END AS status,
     CASE WHEN k % 5 = 0 THEN 0 ELSE 1 END AS attempt_count,
+    CASE WHEN k % 5 = 0 THEN '{"stage": "pending", "status": "pending"}' WHEN s = 'F' THEN '{"stage": "final", "status": "done"}'
+      WHEN s = 'P' THEN '{"stage": "error", "status": "failed", "error": "un\\"readable"}' WHEN k % 7 = 1 THEN '{"stage": "reading"}' ELSE '{"stage": "started", "status": "running"}' END AS progress,
+    '/runs/' || task_id || '/upload.png' AS upload_url, CASE WHEN k % 5 <> 0 AND s = 'F' THEN '/runs/' || task_id || '/report.json' END AS report_url,
     CASE WHEN k % 5 = 0 OR s IN ('F', 'P') THEN NULL WHEN k % 7 = 1 THEN created_at + 90 + 1800 ELSE created_at + 60 + 1800 END AS lease_expires_at FROM o)"""
 
-FAMILY_COUNTS = ", ".join(f"count(*) FILTER ({has('text', p.replace(chr(92) + 's', ' '))}) AS n_{n}" for n, p in profile.FAMILIES.items())
+FAMILY_COUNTS = ", ".join(f"count(*) FILTER ({has('text', p)}) AS n_{n}" for n, p in profile.FAMILIES.items())
+
+
+def guess_sql(name: str) -> str:
+    family, x1, x2, y1, y2, _ = profile.GUESSES[name]
+    bounds = [f"cx > {x1}" if x1 is not None else "", f"cx < {x2}" if x2 is not None else "", f"cy > {y1}" if y1 is not None else "", f"cy < {y2}" if y2 is not None else ""]
+    return " AND ".join([has("text", profile.FAMILIES[family]), *filter(None, bounds)])
+
+
+GUESSES = "[" + ", ".join(f"CASE WHEN {guess_sql(n)} THEN '{n}' END" for n in profile.GUESSES) + "]"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -30,23 +31,24 @@ def candidates_of(blocks: DataFrame, fields: DataFrame, settings: Settings) -> D
     return resolve.with_oil_row(found, resolve.oil_row(blocks, fields, settings), fields, settings)
 
 
-def checked(pages: DataFrame, fields: DataFrame, candidates: DataFrame, settings: Settings) -> DataFrame:
+def checked(pages: DataFrame, fields: DataFrame, candidates: DataFrame, settings: Settings, cleaner: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """A checked value for every field of every page."""
-    rows = review.with_ambiguity(clean.local_clean(pages, fields, candidates))
-    return rules.validate(rows, settings)
+    rows = clean.local_clean(pages, fields, candidates)
+    rows = clean.overlay(rows, cleaner(rows)) if cleaner else rows
+    return rules.validate(review.with_ambiguity(rows), settings)
 
 
-def inspect(blocks: DataFrame, fields: DataFrame, settings: Settings, reviews: DataFrame | None = None) -> Inspection:
-    """Inspects all pages that have blocks; `reviews` are second readings, if there are any."""
-    pages = blocks.select("page_id").distinct()
+def inspect(blocks: DataFrame, fields: DataFrame, settings: Settings, reviews: DataFrame | None = None, cleaner: Callable[[DataFrame], DataFrame] | None = None) -> Inspection:
+    """Inspects all pages that have blocks; `reviews` are second readings, if there are any.
+
+    `cleaner` stands for a model: from the rows of clean.local_clean it makes values as clean.overlay takes them.
+    """
+    pages = blocks.select("page_id")
     candidates = candidates_of(blocks, fields, settings)
-    checks = checked(pages, fields, candidates, settings)
+    checks = checked(pages, fields, candidates, settings, cleaner)
     planned = review.budgeted(checks, settings)
-    if reviews is None:
-        reviews = blocks.sparkSession.createDataFrame([], f"page_id {blocks.schema['page_id'].dataType.simpleString()}, field_id string, value string, normalized_value string, confidence double, provider string, model string, error string")
     reviewed = review.merge(planned, reviews, settings)
-    shown = triage.top_issues(reviewed, settings)
-    return Inspection(candidates, checks, planned, reviewed, shown, report.summary(reviewed), report.documents(reviewed, shown))
+    return Inspection(candidates, checks, planned, reviewed, triage.top_issues(reviewed, settings), report.summary(reviewed), report.documents(reviewed, settings))
 
 
 def rejected(inspection: Inspection) -> DataFrame:

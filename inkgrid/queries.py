@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from inkgrid import oracle as o
 from inkgrid.config import Settings
 from inkgrid.functions import text as t
-from inkgrid.operators import caches, clean, logs, match, profile, report, resolve, review, rules, tasks, triage
+from inkgrid.operators import caches, clean, logs, match, policies, profile, report, resolve, review, rules, tasks, triage
 from inkgrid.plans import inspection
 from inkgrid.sources import catalog, ocr, tables
 
@@ -239,7 +239,7 @@ def triage_suppressed(spark, sf_dir):
     return triage.suppressed(_unread(spark, sf_dir), SETTINGS).select("page_id", "field_id", "text")
 
 
-_PROBLEM = "CASE page_id % 4 WHEN 0 THEN '地点不是重庆' WHEN 1 THEN 'APU累计使用时间 需要人工确认' WHEN 2 THEN 'nothing of the kind' ELSE '授权号不是6位' END"
+_PROBLEM = "CASE page_id % 4 WHEN 0 THEN '所在地不在名单内' WHEN 1 THEN 'APU累计小时 需要人工确认' WHEN 2 THEN 'nothing of the kind' ELSE '授权号不是六位' END"
 
 
 @query(
@@ -267,9 +267,30 @@ def page_report(spark, sf_dir):
     return inspection.inspect(tables.form_blocks(spark, sf_dir), _fields(spark), SETTINGS).reports
 
 
-@query()
+@query(
+    f"""{o.UPTO_ISSUES}, f AS (SELECT page_id, string_agg(field_id || ':' || passed || ':' || coalesce(normalized_value, ''), '|' ORDER BY field_seq) AS fields, count(*) AS field_count, count(*) FILTER (passed) AS passed_count,
+  count(*) FILTER (NOT passed) AS failed_count, count(*) FILTER (needs_review) AS review_count, count(*) FILTER (NOT passed AND message <> '') = 0 AS ok FROM risked GROUP BY page_id),
+p AS (SELECT page_id, string_agg(itext, '|' ORDER BY slot) AS problems FROM shown GROUP BY page_id)
+SELECT page_id, ok, field_count, passed_count, failed_count, review_count, coalesce(problems, '通过') AS problems, fields FROM f LEFT JOIN p USING (page_id)"""
+)
+def form_document(spark, sf_dir):
+    """The nested document of each form, taken apart; the checks are those before second readings and the row of numbers."""
+    made = report.documents(_unread(spark, sf_dir), SETTINGS)
+    field = F.transform("fields", lambda f: F.concat_ws(":", f["id"], f["passed"].cast("string"), F.coalesce(f["normalized_value"], F.lit(""))))
+    return made.select("page_id", "ok", "summary.*", F.array_join("problems", "|").alias("problems"), F.array_join(field, "|").alias("fields"))
+
+
+@query(
+    f"""{o.UPTO_RESOLVED}, l AS (SELECT page_id, field_id, min(field_seq) AS field_seq, string_agg(block_id || ':' || text || ':' || round(cand_score, 4), ',' ORDER BY rank) AS l FROM resolved GROUP BY page_id, field_id)
+SELECT page_id, string_agg(field_id || '=' || l, ';' ORDER BY field_seq) AS listed FROM l GROUP BY page_id"""
+)
 def candidate_json(spark, sf_dir):
-    return report.candidates_json(_resolved(spark, sf_dir))
+    """The candidates of each form as JSON, read back."""
+    made = report.candidates_json(_resolved(spark, sf_dir))
+    held = F.map_entries(F.from_json("candidates", "map<string,array<struct<block_id:string,text:string,assignment_score:double>>>"))
+    entry = lambda c: F.concat_ws(":", c["block_id"], c["text"], F.round(c["assignment_score"], 4).cast("string"))
+    listed = F.transform(held, lambda e: F.concat(e["key"], F.lit("="), F.array_join(F.transform(e["value"], entry), ",")))
+    return made.select("page_id", F.array_join(listed, ";").alias("listed"))
 
 
 @query(f"WITH {o.BLOCKS} SELECT page_id, count(*) AS blocks, {o.FAMILY_COUNTS} FROM blocks GROUP BY page_id")
@@ -277,22 +298,36 @@ def family_counts(spark, sf_dir):
     return profile.family_counts(tables.form_blocks(spark, sf_dir))
 
 
-@query(f"WITH {o.BLOCKS} SELECT block_seq, unnest(list_filter([" + ", ".join(f"CASE WHEN {o.has('text', p.replace(chr(92) + 's', ' '))} THEN '{n}' END" for n, p in profile.FAMILIES.items()) + "], lambda x: x IS NOT NULL)) AS family FROM blocks")
+@query(f"WITH {o.BLOCKS} SELECT block_seq, unnest(list_filter([" + ", ".join(f"CASE WHEN {o.has('text', p)} THEN '{n}' END" for n, p in profile.FAMILIES.items()) + "], lambda x: x IS NOT NULL)) AS family FROM blocks")
 def block_families(spark, sf_dir):
     return profile.families(tables.form_blocks(spark, sf_dir)).select("block_seq", "family")
 
 
-@query("SELECT doc_id, " + ", ".join(f"contains(text, '{p}') AS has_{k}" for k, p in enumerate(profile.PROBES)) + r", regexp_matches(text, '\|.*\|') AS table_like, CAST(length(text) AS INTEGER) AS chars, substr(text, 1, 500) AS preview FROM documents")
+@query("SELECT doc_id, " + ", ".join(f"contains(text, '{p}') AS has_{k}" for k, p in enumerate(profile.PROBES)) + ", contains(lower(text), '<table') AS table_like, CAST(length(text) AS INTEGER) AS chars, substr(text, 1, 500) AS preview FROM documents")
 def doc_probes(spark, sf_dir):
     return profile.probes(tables.table(spark, sf_dir, "documents"))
 
 
-_REGIONS = (("left_top", 0, 0, 700, 500), ("middle", 700, 500, 1500, 1100), ("right_bottom", 1500, 1100, 2400, 1784))
+@query(f"WITH {o.BLOCKS}, g AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM blocks) SELECT page_id, block_seq, unnest(list_filter({o.GUESSES}, lambda x: x IS NOT NULL)) AS guess FROM g")
+def positional_guess(spark, sf_dir):
+    return profile.guessed(tables.form_blocks(spark, sf_dir)).select("page_id", "block_seq", "guess")
 
 
-@query(f"WITH {o.BLOCKS}, regions AS (SELECT * FROM (VALUES {', '.join(map(str, _REGIONS))}) v(name, a1, b1, a2, b2)) SELECT page_id, name, block_seq, text FROM blocks, regions WHERE (x1 + x2) / 2 BETWEEN a1 AND a2 AND (y1 + y2) / 2 BETWEEN b1 AND b2 QUALIFY row_number() OVER (PARTITION BY page_id, name ORDER BY block_seq) = 1")
-def positional_guess(spark, sf_dir):
-    return profile.guessed(tables.form_blocks(spark, sf_dir), spark.createDataFrame(_REGIONS, "name string, x1 int, y1 int, x2 int, y2 int"))
+_SHOWN = "CASE guess " + " ".join(f"WHEN '{n}' THEN {g[-1]}" for n, g in profile.GUESSES.items()) + " END"
+
+
+@query(
+    f"""WITH {o.BLOCKS}, g AS (SELECT *, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM blocks), h AS (SELECT page_id, block_seq, text, unnest(list_filter({o.GUESSES}, lambda x: x IS NOT NULL)) AS guess FROM g),
+k AS (SELECT *, row_number() OVER (PARTITION BY page_id, guess ORDER BY block_seq) AS n FROM h), c AS (SELECT page_id, {o.FAMILY_COUNTS} FROM blocks GROUP BY page_id)
+SELECT page_id, n_refs, n_dates, fault_ref, awr_date FROM c LEFT JOIN (SELECT page_id, string_agg(text, '|' ORDER BY n) FILTER (guess = 'fault_ref') AS fault_ref, string_agg(text, '|' ORDER BY n) FILTER (guess = 'awr_date') AS awr_date FROM k WHERE n <= {_SHOWN} GROUP BY page_id) USING (page_id)"""
+)
+def comparison_document(spark, sf_dir):
+    """The comparison of recogniser output as JSON, read back."""
+    made = profile.comparison(tables.form_blocks(spark, sf_dir))
+    held = F.from_json("json", "counts map<string,bigint>, field_guesses map<string,array<struct<text:string>>>")
+    shown = lambda name: F.array_join(F.col("h.field_guesses")[name]["text"], "|").alias(name)
+    rows = made.withColumn("h", held)
+    return rows.select("page_id", F.col("h.counts")["refs"].alias("n_refs"), F.col("h.counts")["dates"].alias("n_dates"), shown("fault_ref"), shown("awr_date"))
 
 
 _MODELS = (("small",), ("medium",), ("large",))
@@ -361,6 +396,110 @@ def task_sessions(spark, sf_dir):
     return made.select("session_id", "task_id", F.col("place").cast("long").alias("place"))
 
 
+@query(f"{o.TASKS} SELECT task_id, progress, upload_url, report_url FROM tasks")
+def task_links(spark, sf_dir):
+    made = tasks.with_links(tasks.current(tables.task_events(spark, sf_dir), SETTINGS))
+    return made.select("task_id", "progress", "upload_url", "report_url")
+
+
+@query(
+    f"""{o.TASKS}, s AS (SELECT task_id, status FROM tasks WHERE NOT (status = 'running' AND lease_expires_at < {_NOW}) AND status NOT IN ('pending')
+  UNION ALL SELECT task_id, CASE WHEN row_number() OVER (ORDER BY created_at, task_id) <= 40 THEN CASE WHEN k % 2 = 0 THEN 'done' ELSE 'failed' END ELSE 'pending' END FROM tasks WHERE status = 'pending' OR (status = 'running' AND lease_expires_at < {_NOW}))
+SELECT status, count(*) AS n FROM s GROUP BY status"""
+)
+def task_transitions(spark, sf_dir):
+    """A worker's turn written as events: stale runs put back, forty tasks claimed and worked off, the state derived again."""
+    events = tables.task_events(spark, sf_dir)
+    before = tasks.recover_stale(tasks.current(events, SETTINGS), _NOW)
+    taken = tasks.claim(before, _NOW, SETTINGS, 40)
+    even = F.col("task_id").cast("long") % 2 == 0
+    done = tasks.finished(taken.filter(even).withColumn("report_path", F.lit("/r.json")), _NOW + 5)
+    lost = tasks.failed(taken.filter(~even).withColumn("error", F.lit("no page")), _NOW + 5)
+    for more in (tasks.recovered(before, _NOW), tasks.claimed(taken, _NOW), tasks.progressed(taken, _NOW + 1), done, lost):
+        events = events.unionByName(more)
+    return tasks.current(events, SETTINGS).groupBy("status").agg(F.count("*").alias("n"))
+
+
+@query(
+    """SELECT user_id AS page_id, max(event_id % 900) AS section_max_ms, CAST(sum(event_id % 900) AS BIGINT) AS section_sum_ms, count(*) FILTER (event_id % 5 = 0) AS fallback_count, bool_and(event_id % 7 <> 0) AS cache_hit, bool_or(event_id % 35 = 0) AS fallback_cached,
+coalesce(string_agg(CASE WHEN event_id % 10 = 0 THEN event_type ELSE 'late ' || event_id END, '; ' ORDER BY event_id) FILTER (event_id % 5 = 0), '') AS error FROM events GROUP BY user_id"""
+)
+def section_times(spark, sf_dir):
+    e = F.col("event_id")
+    rows = tables.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("page_id"), F.col("event_type").alias("section"), e.alias("first_seq"), (e % 900).alias("duration_ms"), (e % 7 != 0).alias("cache_hit"), (e % 5 == 0).alias("fallback"),
+        (e % 35 == 0).alias("fallback_cached"), F.when(e % 10 == 0, "").when(e % 5 == 0, F.concat(F.lit("late "), e.cast("string"))).alias("error"),
+    )
+    return policies.section_times(rows)
+
+
+_MODEL_ROWS = (
+    "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'aliyun' ELSE 'other' END AS provider, CASE event_id % 3 WHEN 0 THEN 'spare-ocr' WHEN 1 THEN 'big-vl' END AS model, "
+    "CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS value, CASE WHEN event_id % 4 = 0 THEN 'late' END AS error, CASE event_id % 6 WHEN 0 THEN '0.4' WHEN 1 THEN '0' WHEN 2 THEN 'high' WHEN 3 THEN NULL ELSE '-1' END AS stated FROM events"
+)
+_ASKING = Settings(fallback_model="spare-ocr")
+
+
+@query(
+    f"WITH r AS ({_MODEL_ROWS}) SELECT event_id, CASE WHEN coalesce(try_cast(stated AS DOUBLE), 0) <= 0 AND value <> '' AND contains(coalesce(model, ''), 'ocr') THEN CAST(0.72 AS DOUBLE) ELSE coalesce(try_cast(stated AS DOUBLE), CAST(0 AS DOUBLE)) END AS confidence, "
+    "CASE WHEN provider = 'aliyun' AND model IS DISTINCT FROM 'spare-ocr' THEN 'spare-ocr' ELSE '' END AS fallback, provider = 'aliyun' AND value = '' AND error IS NOT NULL AND model IS DISTINCT FROM 'spare-ocr' AS again FROM r"
+)
+def model_policies(spark, sf_dir):
+    """How sure an answer is, whom to ask next and whether to."""
+    events = tables.table(spark, sf_dir, "events")
+    rows = events.selectExpr(
+        "event_id", "CASE WHEN event_id % 2 = 0 THEN 'aliyun' ELSE 'other' END AS provider", "CASE event_id % 3 WHEN 0 THEN 'spare-ocr' WHEN 1 THEN 'big-vl' END AS model", "CASE WHEN event_id % 5 = 0 THEN '' ELSE event_type END AS value",
+        "CASE WHEN event_id % 4 = 0 THEN 'late' END AS error", "CASE event_id % 6 WHEN 0 THEN '0.4' WHEN 1 THEN '0' WHEN 2 THEN 'high' WHEN 3 THEN NULL ELSE '-1' END AS stated",
+    )
+    c = F.col
+    return rows.select(
+        "event_id",
+        policies.confidence(c("stated"), c("model"), c("value"), c("value")).alias("confidence"),
+        policies.fallback_model(c("provider"), c("model"), _ASKING).alias("fallback"),
+        policies.asks_again(c("provider"), c("model"), c("value"), c("value"), c("error"), _ASKING).alias("again"),
+    )
+
+
+@query(
+    "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN 'x' WHEN 2 THEN event_type ELSE '' END AS value, CASE event_id % 4 WHEN 0 THEN event_type WHEN 1 THEN 'X' WHEN 2 THEN event_type ELSE '' END AS normalized_value, "
+    "CASE event_id % 4 WHEN 1 THEN CAST(0.9 AS DOUBLE) WHEN 3 THEN CAST(0 AS DOUBLE) ELSE CAST(0.5 AS DOUBLE) END AS confidence, CASE WHEN event_id % 4 = 3 THEN 'unreadable answer' END AS error FROM events"
+)
+def model_answers(spark, sf_dir):
+    """Answers with fences, with words around them, without JSON and with broken JSON, read."""
+    e = F.col("event_id") % 4
+    answer = (
+        F.when(e == 0, F.concat(F.lit('```json\n{"value": "'), F.col("event_type"), F.lit('", "confidence": 0.5}\n```')))
+        .when(e == 1, 'so: {"value": " x ", "normalized_value": "X", "confidence": "0.9"} bye')
+        .when(e == 2, F.col("event_type"))
+        .otherwise("{broken}")
+    )
+    rows = tables.table(spark, sf_dir, "events").select("event_id", answer.alias("answer"), F.lit("m-vl").alias("model"))
+    return policies.readings(rows).select("event_id", "value", "normalized_value", "confidence", "error")
+
+
+@query(
+    """SELECT event_id, '/runs/r/' || CASE WHEN event_id % 3 = 0 THEN 'ppocr_rois/' WHEN event_id % 3 = 1 THEN 'rois/' ELSE '' END || event_id || '.png' AS url,
+event_id % 2 = 0 OR event_id % 5 = 0 AS skipped FROM events"""
+)
+def evidence_links(spark, sf_dir):
+    """Addresses of evidence images, and which pages' issues are ranked by rule alone."""
+    e = F.col("event_id")
+    path = F.concat(F.when(e % 3 == 0, "/o/r/ppocr_rois/").when(e % 3 == 1, "/o/r/rois/").otherwise("/o/r/"), e.cast("string"), F.lit(".png"))
+    skipped = policies.skips_triage(F.when(e % 2 == 0, "late").otherwise(""), F.when(e % 5 == 0, F.array(F.lit("oil"))), SETTINGS)
+    return tables.table(spark, sf_dir, "events").select("event_id", policies.evidence_url(F.lit("r"), path).alias("url"), skipped.alias("skipped"))
+
+
+@query(
+    """SELECT strftime(ts, '%Y-%m-%d') AS day, event_id AS line_no, event_type AS event, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, '[redacted]' AS token, NULL AS empty FROM events"""
+)
+def log_lines(spark, sf_dir):
+    """Log rows as the lines that are written, read back."""
+    payload = F.create_map(F.lit("n"), F.col("line_no").cast("string"), F.lit("my_Token"), F.col("event"), F.lit("empty"), F.lit(""))
+    made = logs.lines(tables.logs(spark, sf_dir).withColumn("payload", payload))
+    get = lambda k: F.get_json_object("value", f"$.{k}")
+    return made.select("day", get("n").cast("long").alias("line_no"), get("event").alias("event"), get("level").alias("level"), get("my_Token").alias("token"), get("empty").cast("int").alias("empty"))
+
+
 def _requests(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     docs = tables.table(spark, sf_dir, "documents").select("doc_id", caches.content_key(F.col("text")).alias("key"))
     at = F.when(F.col("doc_id") % 4 == 0, F.lit(None).cast("double")).otherwise(F.col("doc_id").cast("double"))
@@ -388,7 +527,20 @@ def cache_ttl(spark, sf_dir):
     return caches.hits(requests, caches.live(cache, 2000.0, SETTINGS)).select("doc_id")
 
 
-@query(f"WITH {o.BLOCKS} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY block_seq) - 1 AS block_seq, 'b' || lpad(CAST(row_number() OVER (PARTITION BY page_id ORDER BY block_seq) - 1 AS VARCHAR), 4, '0') AS block_id, text, score, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM blocks WHERE block_seq % 11 <> 0")
+@query(
+    f"""{_CACHE}, e AS (SELECT key, CASE WHEN doc_id % 3 = 0 THEN 5000 END AS since, doc_id FROM r WHERE doc_id % 3 = 0 OR (doc_id % 5 <> 0 AND doc_id % 7 <> 0))
+SELECT key, CAST(doc_id AS VARCHAR) AS answer, CAST(since AS DOUBLE) AS cached_at FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY since NULLS FIRST, CAST(doc_id AS VARCHAR)) AS n FROM e) WHERE n = 1"""
+)
+def cache_entries(spark, sf_dir):
+    """What is saved of results: good readings, timeouts with their time, no errors, nothing empty."""
+    docs, k = _requests(spark, sf_dir)[0], F.col("doc_id")
+    results = docs.select(
+        "key", k.cast("string").alias("answer"), F.when(k % 7 == 0, "").otherwise("v").alias("value"), F.lit(None).cast("string").alias("normalized_value"), F.when(k % 5 == 0, "bad").alias("error"), (k % 3 == 0).alias("timed_out"),
+    )
+    return caches.entries(results, 5000.0, SETTINGS)
+
+
+@query(f"WITH {o.BLOCKS} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY block_seq) - 1 AS block_seq, 'b' || lpad(CAST(row_number() OVER (PARTITION BY page_id ORDER BY block_seq) - 1 AS VARCHAR), 4, '0') AS block_id, text, score, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy FROM blocks WHERE block_seq % 11 <> 0 AND text <> ''")
 def nested_extract(spark, sf_dir):
     made = ocr.blocks(tables.recogniser_results(spark, sf_dir))
     return made.select("page_id", F.col("block_seq").cast("long").alias("block_seq"), "block_id", "text", "score", "cx", "cy")

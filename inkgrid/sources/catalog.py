@@ -74,27 +74,41 @@ def field(id: str, label: str, section: str, bbox: tuple, recognizer: str, valid
     return {"id": id, "label": label, "section": section, "bbox": bbox, "recognizer": recognizer, "validator": validator, "fail_msg": fail_msg, "params": params or {}, "assignment": {"search_bbox": search, **assignment}}
 
 
-#: A small catalogue for the queries over the driver's tables: every rule and kind of value once or more.
-SAMPLE = [
-    field("reg_no", "01 注册号", "header", (480, 55, 250, 90), "keyed_text", "digit_length", "注册号不合规", (300, 20, 600, 240), {"allow_lengths": [4, 6]}, value_type="numeric", roi_review=True),
-    field("oil_eng1_added", "02 发动机1加注量", "oil", (170, 635, 160, 58), "numeric_text", "int_range", "加注量1不在0-4", (170, 570, 160, 130), {"min": 0, "max": 4}, value_type="numeric", row="last"),
-    field("oil_eng1_qty", "03 发动机1滑油量", "oil", (310, 635, 155, 58), "numeric_text", "int_range", "滑油量1不在15-25", (310, 570, 170, 130), {"min": 15, "max": 25}, value_type="numeric", row="last"),
-    field("oil_eng2_added", "04 发动机2加注量", "oil", (470, 635, 130, 58), "numeric_text", "int_range", "加注量2不在0-4", (460, 570, 150, 130), {"min": 0, "max": 4}, value_type="numeric", row="last"),
-    field("oil_eng2_qty", "05 发动机2滑油量", "oil", (580, 635, 155, 58), "numeric_text", "int_range", "滑油量2不在15-25", (570, 570, 180, 130), {"min": 15, "max": 25}, value_type="numeric", row="last"),
-    field("oil_apu_added", "06 APU加注量", "oil", (700, 635, 135, 58), "numeric_text", "int_range", "APU加注量不在0-2", (680, 570, 170, 130), {"min": 0, "max": 2}, value_type="numeric", row="last"),
-    field("oil_sign", "07 滑油签名", "oil", (1000, 300, 400, 200), "signature_or_text", "name_not_place", "滑油签名不是姓名", (900, 250, 600, 300), {"not_allow": ["重庆", "渝", "Chongqing"]}, value_type="signature", prefer_roi_vlm=True, needs_review=True),
-    field("flight_no", "08 航班号", "fault_action", (28, 720, 170, 56), "keyed_text", "exact_text", "航班号不是N/A", (0, 660, 460, 250), {"allow": ["N/A", "NA"]}, value_type="closed"),
-    field("station", "09 地点", "fault_action", (198, 720, 305, 56), "keyed_text", "exact_text", "地点不是重庆", (0, 660, 520, 240), {"allow": ["重庆", "渝", "Chongqing"]}, value_type="closed"),
-    field("mechanic_box", "10 机组/机务", "fault_action", (765, 715, 110, 50), "checkbox", "checked", "未勾选", (700, 700, 200, 100)),
-    field("fault_text", "11 故障报告-英文内容", "fault_action", (28, 775, 875, 155), "free_text", "contains_english", "故障报告未填写英文", (0, 760, 880, 310), value_type="free_text"),
-    field("action_ref", "12 参考手册", "fault_action", (900, 700, 515, 72), "keyed_text", "prefix_or_exact", "参考手册不合规", (820, 680, 560, 240), {"prefixes": ["AMM", "TSM", "FLA"], "allow_exact": ["N/A", "NA"]}, value_type="ref"),
-    field("action_date", "13 处理日期", "fault_action", (1930, 720, 260, 56), "date_text", "same_day", "处理日期不是今天", (1580, 575, 640, 330), value_type="date"),
-    field("action_text", "14 处理措施-内容", "fault_action", (900, 775, 1260, 145), "free_text", "present", "处理措施未填写", (880, 735, 1280, 185), value_type="free_text"),
-    field("part_info", "15 拆下件信息", "fault_action", (900, 925, 560, 70), "keyed_text", "optional", "拆下件信息漏填", (860, 900, 640, 210), value_type="text", prefer_roi_vlm=True, needs_review=True),
-    field("authorization", "16 授权号", "fault_action", (1940, 910, 310, 58), "keyed_text", "regex", "授权号不是6位数字", (1690, 895, 560, 310), {"pattern": "^[0-9]{6}$"}, value_type="authorization", prefer_roi_vlm=True, needs_review=True),
-    field("apu_hours", "17 APU累计使用时间", "apu", (505, 1378, 230, 100), "numeric_text", "number_less_than", "APU时间不小于9999", (400, 1260, 520, 324), {"max": 9999}, value_type="numeric", roi_review=True),
-    field("apu_cycles", "18 APU累计使用循环", "apu", (690, 1378, 230, 100), "numeric_text", "number_less_than", "APU循环不小于9999", (590, 1260, 430, 324), {"max": 9999}, value_type="numeric", roi_review=True, roi_review_always=True),
-    field("both_languages", "19 双语说明", "release", (1100, 1200, 600, 200), "free_text", "bilingual_text", "双语说明不全", (1000, 1150, 800, 300), {"min_letters": 2, "min_cjk": 1}, value_type="free_text"),
-    field("english_note", "20 英文备注", "release", (200, 200, 500, 200), "free_text", "english_text", "备注不是英文", (100, 150, 700, 300)),
-    field("license", "21 执照号", "release", (1785, 1380, 330, 115), "keyed_text", "regex", "执照号不合规", (1600, 1250, 600, 370), {"pattern": "^CAACML[0-9]{8}$"}, value_type="license", prefer_roi_vlm=True, needs_review=True),
-]
+def _cell(column: int, row: int, wide: int = 1) -> dict:
+    """Box and search box of cells of a grid of six columns and five rows over the page."""
+    x, y, w = 40 + 390 * column, 50 + 345 * row, 390 * wide - 50
+    return {"bbox": (x, y, w, 260), "search": (max(0, x - 35), max(0, y - 45), w + 70, 345)}
+
+
+def _sample() -> list[dict]:
+    """An invented equipment sheet: every rule and kind of value once or more."""
+    number = {"recognizer": "numeric_text", "value_type": "numeric"}
+    keyed, free = {"recognizer": "keyed_text"}, {"recognizer": "free_text", "value_type": "free_text"}
+    added, level = {"min": 1, "max": 6}, {"min": 18, "max": 28}
+    oil = [
+        field(id, f"B{k + 1} {label}", "oil", validator="int_range", fail_msg=f"{label}超出范围", params=params, row="last", **_cell(k, 1), **number)
+        for k, (id, label, params) in enumerate(zip(OIL_ROW, ("左侧加油", "左侧油位", "右侧加油", "右侧油位", "APU加油"), (added, level, added, level, added)))
+    ]
+    return [
+        field("asset_tag", "A1 设备编号", "asset", validator="digit_length", fail_msg="设备编号位数不对", params={"allow_lengths": [5, 6]}, roi_review=True, **_cell(0, 0), **number),
+        field("site", "A2 所在地", "asset", validator="exact_text", fail_msg="所在地不在名单内", params={"allow": ["重庆", "渝", "Chongqing"]}, value_type="closed", **_cell(1, 0), **keyed),
+        field("shift_code", "A3 班次", "asset", validator="exact_text", fail_msg="班次应为空缺", params={"allow": ["N/A", "NA"]}, value_type="closed", **_cell(2, 0), **keyed),
+        field("ready_box", "A4 可用勾选", "asset", recognizer="checkbox", validator="checked", fail_msg="可用一栏没有勾选", **_cell(3, 0)),
+        field("holder", "A5 保管人签名", "asset", recognizer="signature_or_text", validator="name_not_place", fail_msg="保管人没有签名", params={"not_allow": ["重庆", "渝", "Chongqing"]}, value_type="signature", prefer_roi_vlm=True, **_cell(4, 0, 2)),
+        *oil,
+        field("spare_note", "B6 备件", "oil", validator="optional", fail_msg="备件", value_type="text", **_cell(5, 1), **keyed),
+        field("job_ref", "C1 依据", "work", validator="prefix_or_exact", fail_msg="依据文件不明", params={"prefixes": ["AMM", "TSM"], "allow_exact": ["N/A"]}, value_type="ref", **_cell(0, 2), **keyed),
+        field("done_on", "C2 完成日期", "work", recognizer="date_text", validator="same_day", fail_msg="完成日期不是当日", value_type="date", **_cell(1, 2)),
+        field("permit", "C3 授权号", "work", validator="regex", fail_msg="授权号不是六位数字", params={"pattern": text.AUTHORIZATION_PATTERN}, value_type="authorization", needs_review=True, **_cell(2, 2), **keyed),
+        field("finding", "C4 发现", "work", validator="contains_english", fail_msg="发现一栏缺英文", **_cell(3, 2, 3), **free),
+        field("remedy", "C5 处理", "work", validator="present", fail_msg="处理一栏空白", **_cell(0, 3, 3), **free),
+        field("hours", "D1 APU累计小时", "apu", validator="number_less_than", fail_msg="APU累计小时过大", params={"max": 5000}, roi_review=True, **_cell(3, 3), **number),
+        field("starts", "D2 APU启动次数", "apu", validator="number_less_than", fail_msg="APU启动次数过大", params={"max": 400}, roi_review_always=True, **_cell(4, 3), **number),
+        field("remark", "E1 英文备注", "handover", recognizer="free_text", validator="english_text", fail_msg="备注不是英文", **_cell(5, 3)),
+        field("both_texts", "E2 双语小结", "handover", validator="bilingual_text", fail_msg="小结不是双语", params={"min_letters": 3, "min_cjk": 2}, **_cell(0, 4, 3), **free),
+        field("licence", "E3 执照号", "handover", validator="regex", fail_msg="执照号格式不对", params={"pattern": text.LICENSE_PATTERN}, value_type="license", needs_review=True, **_cell(3, 4, 2), **keyed),
+        field("witness", "E4 见证人", "handover", validator="name_not_place", fail_msg="没有见证人", **_cell(5, 4), **keyed),
+    ]
+
+
+SAMPLE = _sample()

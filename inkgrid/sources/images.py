@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The margin around a cut-out field, and when a box counts as checked.
 PAD = 6
 DARK, CHECKED_FROM, SURE_FROM = 150, 0.035, 0.12
 #: Weights of blue, green and red in grey.
@@ -34,6 +35,11 @@ def _pixels(data: bytes, height: int, width: int, channels: int) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(height, width, channels)
 
 
+def data_url(content: Column, kind: str = "image/png") -> Column:
+    """The bytes of an encoded image as a data URL."""
+    return F.concat(F.lit(f"data:{kind};base64,"), F.base64(content))
+
+
 @F.pandas_udf(T.BinaryType())
 def cut_out(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series, x: pd.Series, y: pd.Series, w: pd.Series, h: pd.Series) -> pd.Series:
     """The pixels of a box with a small margin, as bytes."""

@@ -21,10 +21,18 @@ def form_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         4: F.concat(F.lit("CAACML"), F.lpad(e.cast("string"), 8, "0")),
         5: F.date_format("ts", "yyyy.MM.dd"),
         6: F.col("event_type"),
+        7: F.lit("replaced oil pump 更换油泵并试车"),
+        8: F.when(e % 3 == 0, "checked").otherwise("勾选"),
+        9: F.lit(""),
+        10: F.concat(F.lit("pump seal leaking at station "), e.cast("string")),
+        11: F.lit("更换前轮胎并完成测试"),
+        12: F.when(e % 3 == 0, "SIGN DATE").otherwise("报告者"),
+        13: F.lit("2024.01.02"),
+        14: F.when(e % 3 == 0, "李冬").otherwise("A. Meyer"),
     }
     text = F.lpad(e.cast("string"), 6, "0")
     for k, made in reversed(kinds.items()):
-        text = F.when(e % 8 == k, made).otherwise(text)
+        text = F.when(e % 16 == k, made).otherwise(text)
     x1, y1 = (e * 37) % 2200, (e * 53) % 1600
     box = {"x1": x1, "y1": y1, "x2": x1 + 20 + e % 90, "y2": y1 + 18 + e % 40}
     return table(spark, sf_dir, "events").select(
@@ -49,11 +57,18 @@ def task_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_orderkey").alias("k"),
         F.col("o_orderstatus").alias("s"),
     )
-    step = lambda kind, delay, cond, error="null": base.filter(cond).select(
+    step = lambda kind, delay, cond, error="null", progress="null", report="null": base.filter(cond).select(
         "task_id", "session_id", F.lit(kind).alias("kind"), (F.col("created") + delay).alias("at"), "filename",
-        F.lit(None).cast("string").alias("progress"), F.expr(error).cast("string").alias("error"), F.lit(None).cast("string").alias("report_path"),
+        F.expr(progress).cast("string").alias("progress"), F.expr(error).cast("string").alias("error"), F.expr(report).cast("string").alias("report_path"),
+        F.col("task_id").alias("run_id"), F.concat(F.lit("/up/"), F.col("task_id"), F.lit("/upload.png")).alias("upload_path"), F.lit(None).cast("string").alias("request_id"),
     )
-    steps = (("created", 0.0, "true", "null"), ("claimed", 60.0, "k % 5 <> 0", "null"), ("progress", 90.0, "k % 7 = 1 and k % 5 <> 0", "null"), ("done", 300.0, "s = 'F' and k % 5 <> 0", "null"), ("failed", 400.0, "s = 'P' and k % 5 <> 0", "'unreadable'"))
+    steps = (
+        ("created", 0.0, "true"),
+        ("claimed", 60.0, "k % 5 <> 0"),
+        ("progress", 90.0, "k % 7 = 1 and k % 5 <> 0", "null", "'{\"stage\": \"reading\"}'"),
+        ("done", 300.0, "s = 'F' and k % 5 <> 0", "null", "null", "concat('/up/', task_id, '/report.json')"),
+        ("failed", 400.0, "s = 'P' and k % 5 <> 0", "'un\"readable'"),
+    )
     out = step(*steps[0])
     for s in steps[1:]:
         out = out.unionByName(step(*s))

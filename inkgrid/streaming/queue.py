@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from inkgrid.config import Settings
 from inkgrid.operators import tasks
@@ -39,6 +41,26 @@ def log_rates(logs: DataFrame, late: str = "10 minutes", width: str = "5 minutes
     return rows.groupBy(F.window("time", width).alias("w"), "level").agg(F.count("*").alias("events")).select(F.col("w.start").alias("start"), "level", "events")
 
 
+def without_repeats(events: DataFrame, by: str, order: str, payload: str) -> DataFrame:
+    """A stream of events without those whose payload (a string) is the one before of their stream; the state is that one payload.
+
+    The events of a micro-batch are taken in their order.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(order, kind="stable")
+        known, last = (True, state.get[0]) if state.exists else (False, None)
+        kept = []
+        for value in rows[payload]:
+            value = None if pd.isna(value) else value
+            kept.append(not known or value != last)
+            known, last = True, value
+        state.update((last,))
+        yield rows[kept]
+
+    return events.groupBy(by).applyInPandasWithState(run, events.schema, "last string", "append", GroupStateTimeout.NoTimeout)
+
+
 def claims(events: DataFrame, settings: Settings, now: float, count: int) -> DataFrame:
     """What a batch of the queue's log lets a worker claim now, stale runs put back first."""
     return tasks.claim(tasks.recover_stale(tasks.current(events, settings), now), now, settings, count)

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
+from inkgrid import config
 from inkgrid.config import Settings
 from inkgrid.functions import text as t
-from inkgrid.operators import caches, clean, logs, match, profile, report, resolve, review, rules, tasks, triage
+from inkgrid.operators import caches, clean, logs, match, policies, profile, registration, report, resolve, review, rules, tasks, triage
 from inkgrid.plans.inspection import inspect
-from inkgrid.sources import catalog, ocr
+from inkgrid.sources import bundles, catalog, images, ocr
 from inkgrid.streaming import queue
 
 BLOCKS = "page_id string, block_seq int, block_id string, text string, score double, x1 double, y1 double, x2 double, y2 double"
@@ -27,23 +29,24 @@ def blocks(spark, *found, page="p"):
 
 
 RULES = [
-    ("int_range", {"min": 0, "max": 4}, "f", [("3", 1), ("5", 0), ("x", 0), ("4 l", 1)]),
-    ("int_range", {"min": 15, "max": 25}, "oil_eng1_qty", [("70.5", 1), ("90.5", 0)]),
-    ("regex", {"pattern": "^CAACML[0-9]{8}$"}, "f", [("CAACML12345678", 1), ("重庆 CAACML20198975", 1), ("CAAC123", 0), ("重庆 CAAC20198975", 0)]),
-    ("regex", {"pattern": "^[0-9]{6}$"}, "f", [("2026.06.29 017867", 1), ("2026.06.29", 0)]),
-    ("same_day", {}, "f", [("2026.07.02", 1), ("26-7-2", 1), ("20260702", 1), ("on 2026 / 7 / 2", 1), ("2026-07-01", 0)]),
-    ("english_text", {}, "f", [("LND AFT CAG ISOL VALVE", 1), ("故障 message", 0)]),
-    ("contains_english", {}, "f", [("周检需要检查 engine oil tube", 1), ("周检需要检查", 0)]),
-    ("bilingual_text", {"min_letters": 1, "min_cjk": 1}, "f", [("更换氧气瓶 replace oxygen cylinder", 1), ("更换氧气瓶", 0), ("replace", 0)]),
-    ("name_not_place", {"not_allow": ["重庆", "渝", "Chongqing"]}, "f", [("李四", 1), ("王小明", 1), ("重庆", 0), ("渝", 0), ("报告者", 0), ("SIGN", 0), ("S/N ON", 0), ("2026.07.01", 0), ("", 0)]),
-    ("exact_text", {"allow": ["重庆", "渝", "Chongqing"]}, "f", [("重庆", 1), ("渝", 1), ("Chongqing", 1), ("成都", 0)]),
-    ("exact_text", {"allow": ["N/A", "NA"]}, "f", [("NA", 1), ("N/A", 1), ("n/a", 1), ("N／A", 1), ("N-A", 1), ("N A", 1), ("MA", 0)]),
-    ("prefix_or_exact", {"prefixes": ["AMM", "TSM", "FLA"], "allow_exact": ["N/A"]}, "f", [("AMM35-22-42", 1), ("TSM21", 1), ("N-A", 1), ("ATA320-05-51-14", 0)]),
-    ("digit_length", {"allow_lengths": [4, 5]}, "f", [("2238", 1), ("12345", 1), ("123", 0)]),
-    ("number_less_than", {"max": 9999}, "f", [("9988", 1), ("9999", 0), ("", 0)]),
+    ("int_range", {"min": 2, "max": 7}, "f", [("2", 1), ("7 qt", 1), ("8", 0), ("-3", 0), ("none", 0)]),
+    ("int_range", {"min": 20, "max": 24}, "oil_eng2_qty", [("73.5", 1), ("79", 0), ("21", 1)]),
+    ("int_range", {}, "f", [("3", 0)]),
+    ("regex", {"pattern": "^CAACML[0-9]{8}$"}, "f", [("no caacml 00112233", 1), ("CAACML0011223", 0), ("", 0)]),
+    ("regex", {"pattern": "^[0-9]{6}$"}, "f", [("no. 445566 of 2025", 1), ("4455667", 0)]),
+    ("same_day", {}, "f", [("2026/7/2", 1), ("26.07.02", 1), ("done 2026-7-2 at noon", 1), ("2026-02-07", 0), ("", 0)]),
+    ("english_text", {}, "f", [("pump ok", 1), ("pump 正常", 0), ("12", 0)]),
+    ("contains_english", {}, "f", [("泵 ok", 1), ("泵", 0)]),
+    ("bilingual_text", {"min_letters": 4, "min_cjk": 2}, "f", [("seal 更换", 1), ("sea 更换", 0), ("seal 更", 0)]),
+    ("name_not_place", {"not_allow": ["成都"]}, "f", [("欧阳", 1), ("K. Lund", 1), ("成都", 0), ("n / a", 0), ("31", 0), ("release sign", 0), ("?", 0)]),
+    ("exact_text", {"allow": ["夜班", "N/A"]}, "f", [("夜 班", 1), ("n-a", 1), ("白班", 0)]),
+    ("exact_text", {"allow": ["渝"]}, "f", [("Chung King", 1), ("重庆", 1)]),
+    ("prefix_or_exact", {"prefixes": ["wb"], "allow_exact": ["none"]}, "f", [("WB-7", 1), ("NONE", 1), ("XWB", 0)]),
+    ("digit_length", {"allow_lengths": [3, 7]}, "f", [("a1b2c3", 1), ("12", 0)]),
+    ("number_less_than", {"max": 50}, "f", [("49.9 h", 1), ("50", 0), ("h", 0)]),
     ("optional", {}, "f", [("", 1)]),
-    ("present", {}, "f", [("x", 1), (" ", 0)]),
-    ("checked", {}, "f", [("Checked", 1), ("勾选", 1), ("no", 0)]),
+    ("present", {}, "f", [("-", 1), ("\u3000", 0)]),
+    ("checked", {}, "f", [("YES", 1), ("已勾选", 1), ("", 0)]),
     ("of my own", {}, "f", [("x", 0)]),
 ]
 
@@ -231,14 +234,18 @@ def test_evidence_box(spark, bbox, image, page, x, y, w, h):
 
 def test_whole_plan(spark):
     fields = catalog.from_fields(spark, catalog.SAMPLE)
-    found = blocks(spark, ("2238", 0.9, (480, 55, 700, 140)), ("重庆", 0.9, (198, 720, 400, 776)), ("边", 0.9, (2300, 1700, 2308, 1715)))
+    at = {f["id"]: f["bbox"] for f in catalog.SAMPLE}
+    inside = lambda id: (at[id][0] + 20, at[id][1] + 20, at[id][0] + 200, at[id][1] + 90)
+    found = blocks(spark, ("22380", 0.9, inside("asset_tag")), ("渝", 0.9, inside("site")), ("边", 0.9, (2300, 1700, 2308, 1715)))
     made = inspect(found, fields, TODAY)
     row = made.reports.first()
-    assert row["summary"]["field_count"] == len(catalog.SAMPLE) and not row["ok"] and len(row["problems"]) == 4
+    assert row["summary"]["field_count"] == len(catalog.SAMPLE) and not row["ok"]
+    assert row["problems"] == [r["text"] for r in made.shown.orderBy("slot").collect()] and len(row["problems"]) == 4
+    assert made.summary.first().asDict() == {"page_id": "p", "ok": row["ok"], **row["summary"].asDict()}
     values = {f["id"]: (f["normalized_value"], f["passed"]) for f in row["fields"]}
-    assert values["reg_no"] == ("2238", True) and values["station"] == ("重庆", True)
+    assert values["asset_tag"] == ("22380", True) and values["site"] == ("重庆", True)
     held = json.loads(report.candidates_json(made.candidates).first()["candidates"])
-    assert held["reg_no"][0]["text"] == "2238" and "rank" not in held["reg_no"][0]
+    assert held["asset_tag"][0]["text"] == "22380" and "rank" not in held["asset_tag"][0]
 
 
 def test_catalogue_from_yaml(spark):
@@ -257,15 +264,62 @@ def test_recogniser_output(spark, tmp_path):
     assert ocr.text_rows(results).count() == 3 and ocr.image_urls(results).first()["url"] == "http://i/1"
 
 
+def state(spark, rows):
+    """Tasks after events (task, kind, at)."""
+    made = spark.createDataFrame([(*r[:1], "s", *r[1:], None, None, "e" if r[1] == "failed" else None, None, r[0], "/up/a.png", None) for r in rows], tasks.EVENTS)
+    return tasks.current(made, Settings())
+
+
 def test_queue(spark):
-    rows = [("a", None, "created", 10.0), ("b", "s", "created", 20.0), ("b", "s", "claimed", 30.0), ("c", "s", "created", 5.0), ("c", "s", "claimed", 6.0), ("c", "s", "done", 9.0)]
-    events = spark.createDataFrame([(*r, None, None, None, None) for r in rows], tasks.EVENTS)
-    now = tasks.current(events, Settings())
+    rows = [("a", "created", 10.0), ("b", "created", 20.0), ("b", "claimed", 30.0), ("c", "created", 5.0), ("c", "claimed", 6.0), ("c", "done", 9.0)]
+    now = state(spark, rows)
     assert {r["task_id"]: r["status"] for r in now.collect()} == {"a": "pending", "b": "running", "c": "done"}
     assert [r["task_id"] for r in tasks.claim(now, 99.0, Settings(), 5).collect()] == ["a"]
     back = {r["task_id"]: (r["status"], r["recovered"]) for r in tasks.recover_stale(now, 30.0 + 1801).collect()}
     assert back == {"a": ("pending", False), "b": ("pending", True), "c": ("done", False)}
-    assert [r["task_id"] for r in tasks.of_session(now, None).collect()] == ["a"]
+    assert {r["task_id"] for r in tasks.of_session(now, " s ").collect()} == {"a", "b", "c"} and tasks.of_session(now, None).count() == 0
+    links = {r["task_id"]: (r["upload_url"], r["report_url"]) for r in tasks.with_links(now).collect()}
+    assert links == {k: (f"/runs/{k}/a.png", None) for k in "abc"}
+    assert tasks.one(now, "b")["status"] == "running"
+    with pytest.raises(KeyError):
+        tasks.one(now, "z")
+    reports = spark.createDataFrame([("/r", "{}")], "report_path string, report string")
+    assert tasks.with_reports(now, reports).filter("report is null").count() == 3
+
+
+@pytest.mark.parametrize("turn", [1, -1])
+def test_events_of_one_moment_have_one_order(spark, turn):
+    """created < recovered < claimed < progress < failed < done, whichever comes first in the table."""
+    rows = [("a", "created", 1.0), ("a", "claimed", 1.0), ("b", "recovered", 1.0), ("b", "claimed", 1.0), ("c", "failed", 1.0), ("c", "done", 1.0), ("d", "claimed", 1.0), ("d", "failed", 1.0)]
+    got = {r["task_id"]: (r["status"], json.loads(r["progress"]).get("stage"), r["error"]) for r in state(spark, rows[::turn]).collect()}
+    assert got == {"a": ("running", "started", None), "b": ("running", "started", None), "c": ("done", "final", None), "d": ("failed", "error", "e")}
+
+
+def test_transitions_are_events(spark):
+    """A task's life written through the functions: each state has the transition's own progress document."""
+    asked = spark.createDataFrame([("t", "  ", None, "/up/x.png", "q")], "task_id string, session_id string, filename string, upload_path string, request_id string")
+    events, settings, seen = tasks.created(asked, 1.0), Settings(), []
+
+    def now():
+        row = tasks.current(events, settings).first()
+        seen.append((row["status"], json.loads(row["progress"]), row["lease_expires_at"], row["error"], row["attempt_count"]))
+        return tasks.current(events, settings)
+
+    first = now().first()
+    assert (first["session_id"], first["filename"], first["run_id"], first["request_id"]) == ("default", "x.png", "t", "q")
+    events = events.unionByName(tasks.claimed(tasks.claim(now(), 2.0, settings), 2.0))
+    events = events.unionByName(tasks.progressed(now().withColumn("progress", F.lit('{"stage": "half"}')), 3.0))
+    events = events.unionByName(tasks.recovered(tasks.recover_stale(now(), 9999.0), 9999.0))
+    events = events.unionByName(tasks.claimed(tasks.claim(now(), 10000.0, settings), 10000.0))
+    events = events.unionByName(tasks.failed(now().withColumn("error", F.lit('a "b"')), 10001.0))
+    now()
+    assert [(s, p["stage"], lease, e, n) for s, p, lease, e, n in seen[1:]] == [
+        ("pending", "pending", None, None, 0), ("running", "started", 1802.0, None, 1), ("running", "half", 1803.0, None, 1), ("pending", "pending", None, None, 1), ("running", "started", 11800.0, None, 2), ("failed", "error", None, 'a "b"', 2),
+    ]
+    assert seen[4][1]["reason"] == "recovered_stale_running_task" and seen[-1][1]["error"] == 'a "b"'
+    done = tasks.current(events.unionByName(tasks.finished(asked.withColumn("report_path", F.lit("/r.json")), 10002.0)), settings)
+    row = tasks.with_links(done).first()
+    assert (row["status"], row["error"], row["report_url"], json.loads(row["progress"])) == ("done", None, "/runs/t/report.json", {"stage": "final", "status": "done"})
 
 
 def test_caches(spark):
@@ -277,11 +331,48 @@ def test_caches(spark):
     assert caches.answered(asked, live).filter("cache_hit").count() == 2
 
 
+def test_cache_entries(spark):
+    """Good readings are saved, timeouts with their time, errors and empty readings never; nothing when caches are off."""
+    rows = [("k1", "a", "v", None, False), ("k2", "b", "", None, False), ("k3", "c", "v", "bad", False), ("k4", "d", "", "late", True), ("k5", "z", "v", None, False), ("k5", "y", "v", None, None), ("k5", "a", "", "late", True)]
+    results = spark.createDataFrame([(*r[:3], None, *r[3:]) for r in rows], "key string, answer string, value string, normalized_value string, error string, timed_out boolean")
+    got = {tuple(r) for r in caches.entries(results, 9.0, Settings()).collect()}
+    assert got == {("k1", "a", None), ("k4", "d", 9.0), ("k5", "y", None)}
+    assert {r["key"] for r in caches.entries(results, 9.0, Settings(cache_ttl_s=0)).collect()} == {"k1", "k5"}
+    off = Settings(caches=False)
+    assert caches.entries(results, 9.0, off).count() == 0 and caches.live(caches.entries(results, 9.0, Settings()), 9.0, off).count() == 0
+
+
+def test_reading_keys_tell_models_apart(spark):
+    rows = catalog.from_fields(spark, [field()]).withColumns({"m": F.lit("m1"), "image": F.lit(b"x")})
+    made = lambda m: rows.select(caches.reading_key(F.lit("p"), F.lit(m).cast("string"), F.col("image"), "v1")).first()[0]
+    assert len({made("m1"), made("m2"), made(None)}) == 3 and made("m1") == made("m1")
+
+
+def test_saved_caches_are_read_again(spark, tmp_path):
+    for k, at in (("k1", 1.0), ("k2", 2.0)):
+        results = spark.createDataFrame([(k, k.upper(), "v", None, None, False)], "key string, answer string, value string, normalized_value string, error string, timed_out boolean")
+        caches.save(results, at, Settings(), str(tmp_path / "c"))
+    asked = spark.createDataFrame([("k2",), ("k3",)], "key string")
+    got = {r["key"]: (r["answer"], r["cache_hit"]) for r in caches.answered(asked, spark.read.parquet(str(tmp_path / "c"))).collect()}
+    assert got == {"k2": ("K2", True), "k3": (None, False)}
+
+
 def test_logs(spark, tmp_path):
-    lines = ['{"line_no": 1, "event": "a", "task_id": "t"}', "no json", '{"line_no": 2, "event": "b", "task_id": "t"}', '{"line_no": 3, "event": "c", "task_id": "u"}']
-    (tmp_path / "log.jsonl").write_text("\n".join(lines))
-    found = logs.read(spark, str(tmp_path / "log.jsonl"))
-    assert [r["event"] for r in logs.tail(found, 5, task_id="t").collect()] == ["a", "b"] and logs.tail(found, 0).count() == 1
+    """Real lines: no numbers, keys of their own, rotated files; what is written is read again without secrets."""
+    old = ['{"event": "a", "task_id": "t", "size": 3, "deep": {"x": [1]}}', "no json", "[1]", '{"event": "b", "task_id": "t"}']
+    (tmp_path / "in").mkdir()
+    for name, rows, when in (("app.log.1", old, 1000), ("app.log", ['{"event": "c", "task_id": "u", "token": "s", "message": ""}', '{"event": "d", "task_id": "t"}'], 2000)):
+        (tmp_path / "in" / name).write_text("\n".join(rows))
+        os.utime(tmp_path / "in" / name, (when, when))
+    found = logs.read(spark, str(tmp_path / "in"))
+    assert [r["event"] for r in logs.tail(found, 9).collect()] == ["a", "b", "c", "d"]
+    assert [r["event"] for r in logs.tail(found, 2, task_id="t").collect()] == ["b", "d"] and logs.tail(found, 0).count() == 1
+    first = found.filter("event = 'a'").first()
+    assert first["payload"]["size"] == "3" and json.loads(first["payload"]["deep"]) == {"x": [1]}
+    logs.write(found.withColumn("ts", F.lit("2024-05-06T00:00:00")), str(tmp_path / "out"))
+    again = {r["event"]: r for r in logs.read(spark, str(tmp_path / "out")).collect()}
+    assert set(again) == set("abcd") and again["c"]["payload"] == {"token": "[redacted]"} and again["c"]["message"] is None
+    assert (tmp_path / "out/day=2024-05-06").is_dir()
     made = spark.createDataFrame([('{"a": [{"Api_Key": "x", "k": 1}], "usage_tokens": 3}',), ("no json",), (None,)], "j string")
     got = [r[0] for r in made.select(logs.redacted_json("j")).collect()]
     assert json.loads(got[0]) == {"a": [{"Api_Key": "[redacted]", "k": 1}], "usage_tokens": "[redacted]"} and got[1:] == ["no json", None]
@@ -290,12 +381,97 @@ def test_logs(spark, tmp_path):
 
 
 def test_profile(spark):
-    found = blocks(spark, ("2024.01.02", 0.9, (0, 0, 10, 10)), ("AMM12", 0.9, (20, 0, 30, 10)), ("12", 0.9, (20, 0, 30, 10)))
-    assert {(r["text"], r["family"]) for r in profile.families(found).collect()} == {("2024.01.02", "date"), ("AMM12", "reference"), ("12", "number")}
+    found = blocks(
+        spark, ("日 2024.01.02", 0.9, (0, 900, 10, 910)), ("amm12-3", 0.91239, (20, 0, 30, 10)), ("123", 0.9, (340, 900, 350, 910)), ("4567", 0.9, (430, 900, 440, 910)), ("12", 0.9, (340, 900, 350, 910)),
+        ("the pump leaks badly", 0.9, (0, 400, 10, 410)), ("2024-01-02", 0.9, (0, 0, 10, 10)),
+    )
+    got = {(r["text"], r["family"]) for r in profile.families(found).collect()}
+    assert got == {("日 2024.01.02", "dates"), ("2024-01-02", "dates"), ("amm12-3", "refs"), ("123", "digit_3_5"), ("4567", "digit_3_5"), ("the pump leaks badly", "english_fault")}
+    guessed = {(r["text"], r["guess"]) for r in profile.guessed(found).collect()}
+    assert guessed == {("日 2024.01.02", "awr_date"), ("amm12-3", "fault_ref"), ("123", "apu_cum_hours"), ("4567", "apu_cum_cycles"), ("the pump leaks badly", "fault_report_en")}
+    row = profile.comparison(found).first()
+    held = json.loads(row["json"])
+    assert held["counts"]["dates"] == 2 and held["field_guesses"]["fault_ref"] == [{"text": "amm12-3", "score": 0.9124, "box": [20.0, 0.0, 30.0, 10.0], "center": [25.0, 5.0]}]
+    assert "- dates: 2" in row["markdown"] and "- fault_ref: `amm12-3`" in row["markdown"]
+
+
+def test_policies(spark):
+    made = lambda c: spark.range(1).select(c.alias("v")).first()["v"]
+    text = lambda v: F.lit(v).cast("string")
+    sure = lambda stated, model, value: made(policies.confidence(text(stated), text(model), text(value), text("")))
+    assert [sure("0", "Fast-OCR", "x"), sure(None, "fast-ocr", ""), sure("-2", "vl", "x"), sure("0.3", "ocr", "x"), sure("high", "ocr", "x")] == [0.72, 0.0, -2.0, 0.3, 0.72]
+    asking = Settings(fallback_model="spare")
+    again = lambda provider, model, value, error: made(policies.asks_again(text(provider), text(model), text(value), text(""), text(error), asking))
+    assert [again("aliyun", "m", "", "late"), again("aliyun", "m", "x", "late"), again("aliyun", "m", "", None), again("aliyun", "spare", "", "late"), again("own", "m", "", "late"), again("aliyun", None, None, "late")] == [True, False, False, False, False, True]
+    assert not made(policies.asks_again(text("aliyun"), text("m"), text(""), text(""), text("late"), Settings()))
+    skips = lambda error, sections, on=True: made(policies.skips_triage(text(error), F.array(*map(F.lit, sections)).cast("array<string>"), Settings(skip_triage_on_error=on)))
+    assert [skips("late", []), skips("", ["oil"]), skips(None, []), skips("late", [], False)] == [True, True, False, False]
+    answers = spark.createDataFrame([('```json\n{"value": "7", "confidence": 0.9}\n```',), ("plain",), ("{bad}",), (None,)], "answer string").withColumn("model", F.lit("m"))
+    got = [(r["value"], r["normalized_value"], r["confidence"], r["error"]) for r in policies.readings(answers).collect()]
+    assert got[:3] == [("7", "7", 0.9, None), ("plain", "plain", 0.5, None), ("", "", 0.0, "unreadable answer")]
+    rows = spark.createDataFrame([("p", "a"), ("p", "b"), ("p", "c")], "page_id string, field_id string")
+    one, two = (spark.createDataFrame(r, "page_id string, field_id string, path string") for r in ([("p", "a", "1a")], [("p", "a", "2a"), ("p", "b", "2b")]))
+    assert {r["field_id"]: r["evidence_path"] for r in policies.evidence_of(rows, one, two).collect()} == {"a": "1a", "b": "2b", "c": None}
+    assert config.switched_on(" Yes ") and not config.switched_on("OFF")
+
+
+def test_finished_results(spark, tmp_path):
+    assert bundles.optional_json(spark, str(tmp_path / "none"), "a int").count() == 0 and bundles.optional_text(spark, str(tmp_path / "none")) == ""
+    row = bundles.run_summary(spark, str(tmp_path)).first()
+    assert not row["exists"] and row["model"] is None
+    (tmp_path / "summary.json").write_text('{"model": "m", "records": 2}')
+    row = bundles.run_summary(spark, str(tmp_path)).first()
+    assert row["exists"] and row["records"] == 2 and row["markdown_files"] == []
+    report_ = {"ok": True, "fields": [{"id": "a", "value": "", "provider": "mock"}, {"id": "b", "value": "x", "needs_review": False, "review_reason": "r", "source_label": "S"}, {"id": "c", "value": "x"}]}
+    (tmp_path / "report.json").write_text(json.dumps(report_))
+    reports = bundles.optional_json(spark, str(tmp_path / "report.json"), bundles.REPORT)
+    got = [(f["id"], f["source_label"], f["needs_review"], f["review_reason"]) for f in bundles.with_defaults(reports, report.source_label(F.col("provider"), F.lit(False)), ("c",)).first()["fields"]]
+    assert got == [("a", "Unresolved", True, bundles.REVIEW_REASON), ("b", "S", False, "r"), ("c", "ROI-VLM", True, bundles.REVIEW_REASON)]
+
+
+def test_registration_record(spark):
+    rows = [("a", [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]], 90, 1.0, ""), ("b", None, None, None, None), ("c", [[1.0, 0.0, 0.0]] * 3, 5, 1.0, "inliers")]
+    made = spark.createDataFrame(rows, "page_id string, homography array<array<double>>, inliers int, rmse double, reject_reason string")
+    got = {r["page_id"]: json.loads(r["registration"]) for r in registration.record(made, "sift").collect()}
+    assert got["a"]["ok"] and got["a"]["reject_reason"] is None and got["c"] == {**got["c"], "ok": False, "reject_reason": "inliers"}
+    assert {k: got["b"][k] for k in ("enabled", "ok", "inliers", "reproj_rmse", "reject_reason")} == {"enabled": False, "ok": False, "inliers": 0, "reproj_rmse": None, "reject_reason": "REGISTRATION_MODE=off"}
+    assert spark.range(1).select(images.data_url(F.lit(b"abc"))).first()[0] == "data:image/png;base64,YWJj"
+
+
+def test_a_models_values_come_in_by_a_hook(spark):
+    """The hook's values stand over the local ones and are checked."""
+    fields = catalog.from_fields(spark, [field("n", "digit_length", params={"allow_lengths": [4]})])
+    found = blocks(spark, ("12", 0.9, (10, 10, 60, 60)))
+    say = lambda rows: rows.select("page_id", "field_id", F.lit("1234").alias("value"), F.lit("1234").alias("normalized_value"), F.lit(0.9).alias("confidence"), F.lit(None).cast("string").alias("error"))
+    settings = Settings(page_width=100, page_height=100)
+    assert [inspect(found, fields, settings, cleaner=c).checks.first()["passed"] for c in (None, say)] == [False, True]
+
+
+def test_derived_forms_reach_both_outcomes(spark):
+    """Every rule but `optional` passes some text of the derived forms and fails another; bodies are joined; reviews have all endings."""
+    from inkgrid import registry
+
+    sf = "/root/testdata/sf0.001"
+    for name in registry.QUERIES:
+        if name.startswith("rule_") and name != "rule_optional":
+            assert {r[0] for r in registry.QUERIES[name](spark, sf).select("passed").distinct().collect()} == {True, False}, name
+    cleaned = registry.QUERIES["local_clean"](spark, sf).filter("value <> ''").groupBy("field_id").count().collect()
+    assert {"remedy", "both_texts", "finding", "remark"} <= {r["field_id"] for r in cleaned}
+
+
+def test_repeats_of_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k, rows in enumerate(([("a", 1, "x"), ("a", 2, "x"), ("b", 1, None)], [("a", 3, "x"), ("a", 4, "y"), ("b", 2, None), ("b", 3, "z")])):
+        (tmp_path / f"in/{k}.json").write_text("\n".join(json.dumps(dict(zip(("s", "n", "p"), r))) for r in rows))
+        os.utime(tmp_path / f"in/{k}.json", (1000 + k, 1000 + k))
+    events = spark.readStream.schema("s string, n int, p string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    made = queue.without_repeats(events, "s", "n", "p").writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    assert made.awaitTermination(120)
+    assert sorted((r["s"], r["n"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1), ("a", 4), ("b", 1), ("b", 3)]
 
 
 def test_streams(spark, tmp_path):
-    line = {"result": {"ocrResults": [{"prunedResult": {"rec_texts": ["2238"], "rec_scores": [0.9], "rec_boxes": [[480, 55, 700, 140]]}}]}}
+    line = {"result": {"ocrResults": [{"prunedResult": {"rec_texts": ["22380"], "rec_scores": [0.9], "rec_boxes": [[60, 70, 300, 140]]}}]}}
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.jsonl").write_text(json.dumps(line))
     results = spark.readStream.schema(f"result {ocr.RESULT}").json(str(tmp_path / "in"))
