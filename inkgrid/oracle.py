@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from inkgrid.functions import text as t
 from inkgrid.operators import profile, rules, triage
-from inkgrid.sources.catalog import OIL_QUANTITIES, SAMPLE
+from inkgrid.sources.catalog import OIL_QUANTITIES, OIL_ROW, SAMPLE
 
 TODAY = "2024-01-02"
 
@@ -323,10 +323,74 @@ merged AS (
     seen AND {compact("coalesce(nullif(normalized_value, ''), value)")} <> '' AND {compact("coalesce(nullif(rnormal, ''), rvalue)")} <> '' AND {compact("coalesce(nullif(normalized_value, ''), value)")} <> {compact("coalesce(nullif(rnormal, ''), rvalue)")} AS changed
   FROM judged)"""
 
+
+def oil_row(blocks: str) -> str:
+    """The bottom row of bare numbers in the oil region: a recursive fold, one number of each page a step."""
+    boxes = [f["assignment"]["search_bbox"] for f in SAMPLE if f["id"] in OIL_ROW]
+    x, y = min(b[0] for b in boxes), min(b[1] for b in boxes)
+    x2, y2 = max(b[0] + b[2] for b in boxes), max(b[1] + b[3] for b in boxes)
+    fits = "abs(u.cy - r.s / r.n) <= greatest(u.h, r.tall) * CAST(0.7 AS DOUBLE)"
+    return f"""span AS (SELECT page_id, greatest(max(x2) * CAST(1.04 AS DOUBLE), CAST(1 AS DOUBLE)) / CAST(2400 AS DOUBLE) AS sx, greatest(max(y2) * CAST(1.04 AS DOUBLE), CAST(1 AS DOUBLE)) / CAST(1784 AS DOUBLE) AS sy FROM {blocks} GROUP BY page_id),
+zone AS (SELECT page_id, {x} * sx AS zx1, {y} * sy AS zy1, {x2} * sx AS zx2, {y2} * sy AS zy2, greatest({x2} * sx - {x} * sx, CAST(1 AS DOUBLE)) AS zw, greatest({y2} * sy - {y} * sy, CAST(1 AS DOUBLE)) AS zh FROM span),
+bare AS (
+  SELECT b.*, (x1 + x2) / 2 AS cx, (y1 + y2) / 2 AS cy, greatest(y2 - y1, CAST(1 AS DOUBLE)) AS h FROM {blocks} b JOIN zone USING (page_id)
+  WHERE {full(compact('text'), t.NUMBER)} AND (x1 + x2) / 2 BETWEEN zx1 - zw * CAST(0.25 AS DOUBLE) AND zx2 + zw * CAST(0.25 AS DOUBLE) AND (y1 + y2) / 2 BETWEEN zy1 - zh * CAST(0.15 AS DOUBLE) AND zy2 + zh * CAST(0.35 AS DOUBLE)),
+turn AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY cy, block_seq) AS i, count(*) OVER (PARTITION BY page_id) AS n_all FROM bare),
+fold AS (
+  SELECT DISTINCT page_id, CAST(0 AS BIGINT) AS i, n_all, CAST([] AS STRUCT(n BIGINT, s DOUBLE, tall DOUBLE, ids BIGINT[])[]) AS found FROM turn WHERE n_all >= 3
+  UNION ALL
+  SELECT page_id, i, n_all, CASE WHEN place = 0 THEN list_append(found, {{'n': CAST(1 AS BIGINT), 's': cy, 'tall': h, 'ids': [CAST(block_seq AS BIGINT)]}})
+      ELSE list_transform(found, lambda r, k: CASE WHEN k = place THEN {{'n': r.n + 1, 's': r.s + cy, 'tall': greatest(r.tall, h), 'ids': list_append(r.ids, CAST(block_seq AS BIGINT))}} ELSE r END) END
+  FROM (SELECT u.*, found, coalesce(list_position(list_transform(found, lambda r: {fits}), TRUE), 0) AS place FROM fold JOIN turn u ON u.page_id = fold.page_id AND u.i = fold.i + 1)),
+lines AS (SELECT page_id, unnest(found) AS r, unnest(range(1, len(found) + 1)) AS k FROM fold WHERE i = n_all),
+lowest AS (SELECT page_id, r.ids AS ids FROM lines QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY r.s / r.n DESC, r.n DESC, k) = 1 AND r.n >= 3),
+oil AS (SELECT u.*, row_number() OVER (PARTITION BY u.page_id ORDER BY cx, block_seq) AS pos FROM turn u JOIN lowest l ON u.page_id = l.page_id AND list_contains(ids, block_seq) QUALIFY pos <= {len(OIL_ROW)}),
+oil_row AS (SELECT *, ({q(OIL_ROW)})[pos] AS field_id FROM oil)"""
+
+
+def _two(x: str, name: str) -> str:
+    """A positive number with two decimals, halves of its decimal form upward."""
+    return f"CASE WHEN {x} > 0 THEN '{name}=' || CAST(CAST(round(CAST(CAST({x} AS VARCHAR) AS DECIMAL(20, 17)), 2) AS DECIMAL(20, 2)) AS VARCHAR) END"
+
+
+#: Candidates with the oil row in front; a block's second entry goes.
+FULL = f"""{oil_row('blocks')},
+every AS (
+  SELECT page_id, field_id, block_id, block_seq, rank, cand_score, concat_ws(',', {_two('overlap', 'overlap')}, CASE WHEN near THEN 'center_near' END, {_two('pattern_score', 'pattern')}) AS reason FROM resolved
+  UNION ALL SELECT page_id, field_id, block_id, block_seq, 0, score + 4, 'oil_pf_row_sequence' FROM oil_row),
+single AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY page_id, field_id, block_id ORDER BY rank) = 1),
+complete AS (SELECT * EXCLUDE (rank), CAST(row_number() OVER (PARTITION BY page_id, field_id ORDER BY rank) AS INTEGER) AS rank FROM single QUALIFY rank <= 8)"""
+
+
+def evidence_box(image_w: int, image_h: int) -> str:
+    """Pixels of an image no wider than twice its height that show a field; no candidate comes from the oil row here."""
+    boxes = ", ".join("(" + ", ".join([q(f["id"]), *map(str, f["bbox"])]) + ")" for f in SAMPLE)
+    numeric = "coalesce(kind = 'numeric', FALSE) OR validator IN ('digit_length', 'int_range')"
+    precise = "roi_always OR roi_review OR prefer_roi OR coalesce(kind IN ('numeric', 'date'), FALSE) OR validator IN ('int_range', 'number_less_than')"
+    over = lambda f, c: f"list_{f}(list_transform(cs[1:4], lambda c: c.{c}))"
+    pixel = lambda c, least, most: f"greatest({least}, least({most}, CAST(round_even({c}, 0) AS INTEGER)))"
+    return f"""own_box AS (SELECT * FROM (VALUES {boxes}) v(field_id, ox, oy, ow, oh)),
+placed AS (
+  SELECT m.page_id, m.field_id, page_w, page_h, {precise} AS precise, ({precise}) AND ({numeric}) AS exact, len(cs) > 0 AS has_cands, NOT ({precise}) AND len(cs) > 0 AS by_cands,
+    ox * (page_w / CAST(2400 AS DOUBLE)) AS fx1, oy * (page_h / CAST(1784 AS DOUBLE)) AS fy1, (ox + ow) * (page_w / CAST(2400 AS DOUBLE)) AS fx2, (oy + oh) * (page_h / CAST(1784 AS DOUBLE)) AS fy2,
+    {over('min', 'x1')} AS cx1, {over('min', 'y1')} AS cy1, {over('max', 'x2')} AS cx2, {over('max', 'y2')} AS cy2
+  FROM messaged m JOIN extent USING (page_id) JOIN own_box USING (field_id)),
+framed AS (
+  SELECT *, CASE WHEN by_cands THEN cx1 ELSE fx1 END AS ax1, CASE WHEN by_cands THEN cy1 ELSE fy1 END AS ay1, CASE WHEN by_cands THEN cx2 ELSE fx2 END AS ax2, CASE WHEN by_cands THEN cy2 ELSE fy2 END AS ay2,
+    CAST(CASE WHEN exact THEN 0.03 WHEN precise THEN 0.25 WHEN has_cands THEN 0.55 ELSE 0.35 END AS DOUBLE) AS l, CAST(CASE WHEN exact THEN 0.08 WHEN precise THEN 0.25 WHEN has_cands THEN 0.55 ELSE 0.35 END AS DOUBLE) AS v,
+    CAST(CASE WHEN exact THEN 0.24 WHEN precise THEN 0.25 WHEN has_cands THEN 0.55 ELSE 0.35 END AS DOUBLE) AS r FROM placed),
+scaled AS (
+  SELECT page_id, field_id, (ax1 - greatest(ax2 - ax1, 1) * l) * sx AS gx1, (ay1 - greatest(ay2 - ay1, 1) * v) * sy AS gy1, (ax2 + greatest(ax2 - ax1, 1) * r) * sx AS gx2, (ay2 + greatest(ay2 - ay1, 1) * v) * sy AS gy2
+  FROM (SELECT *, CAST({image_w} AS DOUBLE) / greatest(page_w, 1) AS sx, CAST({image_h} AS DOUBLE) / greatest(page_h, 1) AS sy FROM framed)),
+corner AS (SELECT *, {pixel('gx1', 0, image_w - 1)} AS x, {pixel('gy1', 0, image_h - 1)} AS y FROM scaled),
+boxed AS (SELECT page_id, field_id, x, y, {pixel('gx2', 'x + 1', image_w)} - x AS w, {pixel('gy2', 'y + 1', image_h)} - y AS h FROM corner)"""
+
+
 #: Up to each step, all that it needs.
 UPTO_TOP = f"WITH {MATCHED}"
 UPTO_RESOLVED = f"{UPTO_TOP},\n{RESOLVED}"
 UPTO_CHECKS = f"{UPTO_RESOLVED},\n{CLEANED}"
+UPTO_FULL = f"{UPTO_RESOLVED},\n{FULL}".replace("WITH", "WITH RECURSIVE", 1)
 UPTO_PLAN = f"{UPTO_CHECKS},\n{PLANNED}"
 UPTO_ISSUES = f"{UPTO_PLAN},\n{RISK}"
 

@@ -90,16 +90,19 @@ def conflict_resolution(spark, sf_dir):
     return _resolved(spark, sf_dir).select("page_id", "field_id", F.col("rank").cast("long").alias("rank"), "block_seq", _r("cand_score"))
 
 
-@query()
+_NEAR = "near AS (SELECT * REPLACE (CASE WHEN o THEN x1 ELSE 150 + x1 % 650 END AS x1, CASE WHEN o THEN y1 ELSE 580 + y1 % 100 END AS y1, CASE WHEN o THEN x2 ELSE 190 + x1 % 650 END AS x2, CASE WHEN o THEN y2 ELSE 600 + y1 % 100 END AS y2) FROM (SELECT *, block_seq % 5 = 0 AS o FROM blocks))"
+
+
+@query(f"WITH RECURSIVE {o.BLOCKS}, {_NEAR}, {o.oil_row('near')} SELECT page_id, field_id, block_seq, text FROM oil_row")
 def row_sequence(spark, sf_dir):
-    """Order-dependent clustering: tested against a plain program instead of SQL."""
+    """The oil row of forms whose blocks lie close together."""
     blocks = tables.form_blocks(spark, sf_dir)
     near = {"x1": 150 + F.col("x1") % 650, "y1": 580 + F.col("y1") % 100, "x2": 190 + F.col("x1") % 650, "y2": 600 + F.col("y1") % 100}
     blocks = blocks.withColumns({c: F.when(F.col("block_seq") % 5 == 0, F.col(c)).otherwise(v) for c, v in near.items()})
     return resolve.oil_row(blocks, _fields(spark), SETTINGS).select("page_id", "field_id", "block_seq", "text")
 
 
-@query()
+@query(f"{o.UPTO_FULL} SELECT page_id, field_id, rank, block_seq, round(cand_score, 6) AS cand_score, reason FROM complete")
 def full_candidates(spark, sf_dir):
     """Candidates with the oil row put in front."""
     return inspection.candidates_of(tables.form_blocks(spark, sf_dir), _fields(spark), SETTINGS).select("page_id", "field_id", "rank", "block_seq", _r("cand_score"), "reason")
@@ -215,9 +218,9 @@ def review_merge(spark, sf_dir):
     return review.merge(planned, readings, SETTINGS).select("page_id", "field_id", "accepted", "normalized_value", "passed", "needs_review", "review_reason", "changed")
 
 
-@query()
+@query(f"{o.UPTO_CHECKS},\n{o.evidence_box(1200, 892)} SELECT page_id, field_id, x, y, w, h FROM boxed")
 def evidence_boxes(spark, sf_dir):
-    """Image boxes of every field: tested against the figures of single forms instead of SQL."""
+    """Image boxes of every field, in images of one size."""
     blocks = tables.form_blocks(spark, sf_dir)
     rows = clean.local_clean(blocks.select("page_id").distinct(), _fields(spark), _resolved(spark, sf_dir)).join(match.page_extent(blocks), "page_id")
     rows = rows.withColumns({"image_w": F.lit(1200), "image_h": F.lit(892)})
