@@ -356,8 +356,8 @@ def _two(x: str, name: str) -> str:
 #: Candidates with the oil row in front; a block's second entry goes.
 FULL = f"""{oil_row('blocks')},
 every AS (
-  SELECT page_id, field_id, block_id, block_seq, rank, cand_score, concat_ws(',', {_two('overlap', 'overlap')}, CASE WHEN near THEN 'center_near' END, {_two('pattern_score', 'pattern')}) AS reason FROM resolved
-  UNION ALL SELECT page_id, field_id, block_id, block_seq, 0, score + 4, 'oil_pf_row_sequence' FROM oil_row),
+  SELECT page_id, field_id, block_id, block_seq, text, x1, y1, x2, y2, cy, rank, cand_score, concat_ws(',', {_two('overlap', 'overlap')}, CASE WHEN near THEN 'center_near' END, {_two('pattern_score', 'pattern')}) AS reason FROM resolved
+  UNION ALL SELECT page_id, field_id, block_id, block_seq, text, x1, y1, x2, y2, cy, 0, score + 4, 'oil_pf_row_sequence' FROM oil_row),
 single AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY page_id, field_id, block_id ORDER BY rank) = 1),
 complete AS (SELECT * EXCLUDE (rank), CAST(row_number() OVER (PARTITION BY page_id, field_id ORDER BY rank) AS INTEGER) AS rank FROM single QUALIFY rank <= 8)"""
 
@@ -393,6 +393,9 @@ UPTO_CHECKS = f"{UPTO_RESOLVED},\n{CLEANED}"
 UPTO_FULL = f"{UPTO_RESOLVED},\n{FULL}".replace("WITH", "WITH RECURSIVE", 1)
 UPTO_PLAN = f"{UPTO_CHECKS},\n{PLANNED}"
 UPTO_ISSUES = f"{UPTO_PLAN},\n{RISK}"
+#: The whole inspection without second readings: candidates with the oil row, and selected values wait for their image.
+UNREAD = "unread AS (SELECT * REPLACE (needs_review OR selected AS needs_review, CASE WHEN selected THEN coalesce(nullif(review_reason, ''), '缺少ROI复核图') ELSE review_reason END AS review_reason) FROM planned)"
+UPTO_REPORT = ",\n".join([UPTO_FULL, CLEANED.replace("FROM resolved GROUP", "FROM complete GROUP"), PLANNED, UNREAD, RISK.replace("FROM planned)", "FROM unread)")])
 
 TASKS = """WITH o AS (SELECT CAST(o_orderkey AS VARCHAR) AS task_id, o_orderpriority AS session_id, CAST(epoch(o_orderdate) AS DOUBLE) AS created_at, o_orderkey AS k, o_orderstatus AS s FROM orders),
 tasks AS (

@@ -270,19 +270,30 @@ def page_report(spark, sf_dir):
     return inspection.inspect(tables.form_blocks(spark, sf_dir), _fields(spark), SETTINGS).reports
 
 
-@query(
-    f"""{o.UPTO_ISSUES}, f AS (SELECT page_id, string_agg(field_id || ':' || passed || ':' || coalesce(normalized_value, ''), '|' ORDER BY field_seq) AS fields, count(*) AS field_count, count(*) FILTER (passed) AS passed_count,
+_FLAT = """f AS (SELECT page_id, string_agg(field_id || ':' || passed || ':' || coalesce(normalized_value, ''), '|' ORDER BY field_seq) AS fields, count(*) AS field_count, count(*) FILTER (passed) AS passed_count,
   count(*) FILTER (NOT passed) AS failed_count, count(*) FILTER (needs_review) AS review_count, count(*) FILTER (NOT passed AND message <> '') = 0 AS ok FROM risked GROUP BY page_id),
 p AS (SELECT page_id, string_agg(itext, '|' ORDER BY slot) AS problems FROM shown GROUP BY page_id)
 SELECT page_id, ok, field_count, passed_count, failed_count, review_count, coalesce(problems, '通过') AS problems, fields FROM f LEFT JOIN p USING (page_id)"""
-)
-def form_document(spark, sf_dir):
-    """The nested document of each form, taken apart; the checks are those before second readings and the row of numbers."""
-    made = report.documents(_unread(spark, sf_dir), SETTINGS)
+
+
+def _flat(made: DataFrame) -> DataFrame:
+    """Nested documents taken apart."""
     field = F.transform("fields", lambda f: F.concat_ws(":", f["id"], f["passed"].cast("string"), F.coalesce(f["normalized_value"], F.lit(""))))
     return made.select("page_id", "ok", "summary.*", F.array_join("problems", "|").alias("problems"), F.array_join(field, "|").alias("fields"))
 
 
+@query(f"{o.UPTO_ISSUES}, {_FLAT}")
+def form_document(spark, sf_dir):
+    """The document of each form; the checks are those before second readings and the row of numbers."""
+    return _flat(report.documents(_unread(spark, sf_dir), SETTINGS))
+
+
+@query(f"{o.UPTO_REPORT}, {_FLAT}")
+def report_document(spark, sf_dir):
+    """The document of each form through the whole plan: page_report taken apart."""
+    return _flat(page_report(spark, sf_dir))
+
+
 @query(
     f"""{o.UPTO_RESOLVED}, l AS (SELECT page_id, field_id, min(field_seq) AS field_seq, string_agg(block_id || ':' || text || ':' || round(cand_score, 4), ',' ORDER BY rank) AS l FROM resolved GROUP BY page_id, field_id)
 SELECT page_id, string_agg(field_id || '=' || l, ';' ORDER BY field_seq) AS listed FROM l GROUP BY page_id"""
