@@ -11,8 +11,11 @@ from math import isqrt
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Buckets of the row numbering, by the leading bits of a row's hash.
-NUMBER_BITS = 10
+#: Fewest and most leading bits of a row's hash that name its bucket in the numbering, and how many rows a bucket aims at.
+BITS, MOST_BITS = 10, 14
+BUCKET_ROWS = 1 << 20
+#: Rows that repeat are written out in runs of at most so many, so that a hot row is spread over tasks.
+RUN = 1 << 14
 ROUNDS = 8
 
 
@@ -65,6 +68,31 @@ def permuted(df: DataFrame, number: str, rows: int, seed: int, out: str) -> Data
     return df
 
 
+def numbered_rows(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
+    """Adds row_no, 0 .. N-1 in the order of (hash of the keys, keys), and says N. `rows` has the keys and no more.
+
+    Equal rows are counted before the shuffle, numbered as one and written out in runs: however often a row repeats, no
+    task gets all its copies. Buckets grow in number with the rows; the numbers do not hang on how many there are.
+    """
+    fine = F.shiftrightunsigned("h", 64 - MOST_BITS).cast("int")
+    rows = rows.withColumn("h", F.xxhash64(*keys)).withColumn("fine", fine)
+    counts = {r["fine"]: r["n"] for r in rows.groupBy("fine").agg(F.count("*").alias("n")).collect()}
+    total = sum(counts.values())
+    bits = min(MOST_BITS, max(BITS, (total // BUCKET_ROWS).bit_length()))
+    before, seen = [], 0
+    for k in range(1 << MOST_BITS):
+        if k % (1 << (MOST_BITS - bits)) == 0:
+            before.append(seen)
+        seen += counts.get(k, 0)
+    distinct = rows.groupBy("h", *keys).agg(F.count("*").alias("n")).withColumn("bucket", F.shiftrightunsigned("h", 64 - bits).cast("int"))
+    in_bucket = Window.partitionBy("bucket").orderBy(F.shiftleft("h", bits), *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.get(F.array(*[F.lit(x).cast("long") for x in before]), F.col("bucket"))
+    distinct = distinct.withColumn("start", F.sum("n").over(in_bucket) - F.col("n") + first)
+    runs = distinct.withColumn("run", F.explode(F.expr(f"sequence(0L, (n - 1) div {RUN})"))).repartition("h", "run")
+    numbers = F.sequence(F.col("start") + F.col("run") * RUN, F.col("start") + F.least(F.col("run") * RUN + RUN, F.col("n")) - 1)
+    return runs.select(*keys, F.explode(numbers).alias("row_no")), total
+
+
 def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
     """Deals all rows of `docs` (doc_id, text) into shards under the law `rows`: counts differ by one at most.
 
@@ -74,19 +102,9 @@ def shard_rows(docs: DataFrame, shards: int = 24, seed: int = 7) -> DataFrame:
     rows gets which does not matter. An empty table gives no rows; null doc_ids and texts are ordinary values; other
     columns are ignored.
     """
-    spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
-    rows = rows.withColumn("h", F.xxhash64("doc_id", "text_crc32", "size"))
-    rows = rows.withColumn("bucket", F.shiftrightunsigned("h", 64 - NUMBER_BITS).cast("int"))
-    counts = {r["bucket"]: r["n"] for r in rows.groupBy("bucket").agg(F.count("*").alias("n")).collect()}
-    before, total = [], 0
-    for k in range(1 << NUMBER_BITS):
-        before.append(total)
-        total += counts.get(k, 0)
-    in_bucket = Window.partitionBy("bucket").orderBy(F.shiftleft("h", NUMBER_BITS), "doc_id", "text_crc32", "size")
-    first = F.get(F.array(*[F.lit(x).cast("long") for x in before]), F.col("bucket"))
-    rows = rows.withColumn("row_no", F.row_number().over(in_bucket) - 1 + first)
+    rows, total = numbered_rows(rows, ["doc_id", "text_crc32", "size"])
     return permuted(rows, "row_no", total, seed, "shuffled").select(
         "doc_id",
         "size",

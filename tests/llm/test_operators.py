@@ -727,6 +727,19 @@ def test_sharding(spark, docs, doubled):
     assert sharding.shard_rows(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize("aim", [1, 1 << 20])
+def test_a_hot_row_is_dealt_in_runs(spark, monkeypatch, aim):
+    found = []
+    for run in (7, 1 << 14):
+        monkeypatch.setattr(sharding, "RUN", run)
+        monkeypatch.setattr(sharding, "BUCKET_ROWS", aim)
+        rows = spark.range(300).selectExpr("if(id % 3 = 0, 5, id) AS doc_id", "if(id % 3 = 0, 'hot', cast(id AS string)) AS text")
+        found.append(sorted((r["row_no"], r["doc_id"], r["text_crc32"]) for r in sharding.shard_rows(rows).collect()))
+    assert found[0] == found[1] and [r[0] for r in found[0]] == list(range(300))
+    at = [k for k, i, crc in found[0] if crc == zlib.crc32(b"hot")]
+    assert len(at) == 100 and at == list(range(at[0], at[0] + 100))
+
+
 @pytest.mark.parametrize("rows", [1, 2, 3, 10, 97, 1000])
 def test_feistel_is_a_permutation(spark, rows):
     made = sharding.permuted(spark.range(rows).withColumnRenamed("id", "n"), "n", rows, 5, "out")
