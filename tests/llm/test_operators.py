@@ -11,6 +11,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from inkgrid.llm import common, decontaminate, fingerprints, license_scan, ngram_join, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
@@ -697,6 +698,24 @@ def test_suffix_dedup_of_long_texts(spark, monkeypatch):
     assert kept.columns == made.columns and all(r["n_chars"] is None or r["n_chars"] == len(r["text"]) for r in kept.collect())
 
 
+@pytest.mark.parametrize("run", [3, 1 << 12])
+def test_fingerprints_of_hot_ids_and_rows(spark, monkeypatch, run):
+    """A third of the rows with one id, a third without, a hot row: the order, by hand, of all rows."""
+    monkeypatch.setattr(fingerprints, "RUN", run)
+    rows = [(k, f"own words of number {k} and no other") for k in range(40)]
+    rows += [(7, f"one of many texts of seven, {k}") for k in range(40)] + [(None, f"without an id, {k}" if k else None) for k in range(40)]
+    rows += [(7, "the very same")] * 30 + [(3, None)] * 5
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), seed=42)) - (1 << 64 if h >> 63 else 0)
+    inf = float("inf")
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (-inf if r[0] is None else r[0], signed(r[1])), reverse=True)
+    want = []
+    for k, (i, t) in enumerate(order):
+        other, half = order[(k + 1) % len(order)][1], len(t) // 2
+        want.append((i if i is not None else -1, len(t), hashlib.sha256((t[: len(t) - half] + other[:half]).encode()).hexdigest()))
+    made = fingerprints.fingerprint_edits(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5))
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in made.collect()) == sorted(want)
+
+
 def test_dedup_texts_keeps_clashing_columns(spark, docs):
     kept = suffix_dedup.dedup_texts(docs)
     assert kept.columns == docs.columns and kept.filter("gid <> -1 or spans <> 'own'").count() == 0
