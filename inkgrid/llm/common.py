@@ -96,3 +96,20 @@ def numbered(docs: DataFrame, out: str = "gid", plain: bool | None = None) -> Da
     at = Window.partitionBy("__piece").orderBy(F.asc_nulls_first("doc_id"), "text")
     first = F.get(F.array(*[F.lit(x).cast("long") for x in before]), F.col("__piece"))
     return rows.withColumn(out, F.row_number().over(at) - 1 + first).drop("__piece").filter(F.col(out).isNotNull())
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote to the shared folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Rows that repeat are written out in runs of at most so many, so that a hot row is spread over tasks.
+RUN = 1 << 14
+
+
+def in_runs(rows: DataFrame, keep: list[str], start: str, n: str, out: str) -> DataFrame:
+    """Every row `n` times with `out` running from `start` on: rows that were counted, written out again, a run to a task."""
+    runs = rows.withColumn("__run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / RUN)))).repartition(start, "__run")
+    numbers = F.sequence(F.col(start) + F.col("__run") * RUN, F.col(start) + F.least(F.col("__run") * RUN + RUN, F.col(n)) - 1)
+    return runs.select(*keep, F.explode(numbers).alias(out))

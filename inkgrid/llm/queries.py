@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.llm import decontaminate, fingerprints, license_scan, ngram_join, quality, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
+from inkgrid.llm import decontaminate, fingerprints, license_scan, ngram_join, quality, resampling, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
 from inkgrid.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op5, what SQL can say too."""
     return op5_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -66,7 +70,7 @@ def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("shard").agg(F.count("*").alias("rows"), (F.max("slot") + 1).alias("slots")).join(rows.agg(F.sum("size").alias("total_size")))
 
 
-PER_OPERATOR = (op1_ngram_join, op2_sentencepiece, op3_quality, op4_license_scan, op5_fingerprints, op6_decontamination, op7_warc, op8_url_filter, op9_suffix_dedup, op10_sharding)
+PER_OPERATOR = (op1_ngram_join, op2_sentencepiece, op3_quality, op4_license_scan, op5_fingerprints, op6_decontamination, op7_warc, op8_url_filter, op9_suffix_dedup, op10_sharding, op11_resampling)
 QUERIES = {f.__name__: f for f in (*PER_OPERATOR, edited_texts, url_rules, shard_sizes)}
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FITS = [(what, host + path, f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')") for what, host, path in sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))]
@@ -81,6 +85,26 @@ SELECT page_id, host, path, CASE {' '.join(f"WHEN {fits} THEN '{name}'" for _, n
     "shard_sizes": """
 WITH n AS (SELECT count(*) AS n, CAST(sum(strlen(coalesce(text, '')) + 8) AS BIGINT) AS total_size FROM documents)
 SELECT CAST(s AS INTEGER) AS shard, CAST(n // 24 + CASE WHEN s < n % 24 THEN 1 ELSE 0 END AS BIGINT) AS rows, CAST(n // 24 + CASE WHEN s < n % 24 THEN 1 ELSE 0 END AS BIGINT) AS slots, total_size FROM n, range(24) r(s)""",
+    "op11_resampling": rf"""
+WITH RECURSIVE half(i, c, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM half WHERE k < 8),
+step AS (SELECT i, c FROM half WHERE k = 8),
+w AS (SELECT side, id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws
+    FROM (SELECT 'raw' AS side, doc_id AS id, text FROM documents UNION ALL SELECT 'target', item_id, text FROM benchmark)),
+g AS (SELECT side, id, f, count(*) AS n FROM (
+    SELECT side, id, unnest(ws) AS f FROM w UNION ALL SELECT side, id, unnest(list_transform(range(1, len(ws)), lambda i: array_to_string(ws[i:i + 1], ' '))) FROM w
+    UNION ALL SELECT side, id, unnest(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) FROM w) GROUP BY ALL),
+h AS (SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM g)),
+crc(f, x, p, c) AS (SELECT f, x, 0, CAST(4294967295 AS BIGINT) FROM h
+    UNION ALL SELECT f, x, p + 1, xor(r.c >> 8, step.c) FROM crc r JOIN step ON step.i = xor(r.c & 255, CAST('0x' || substr(x, 2 * p + 1, 2) AS BIGINT)) WHERE 2 * p < len(x)),
+b AS (SELECT f, xor(c, 4294967295) % 10000 AS bucket FROM crc WHERE 2 * p = len(x)),
+c AS (SELECT side, id, bucket, CAST(sum(n) AS BIGINT) AS n FROM g JOIN b USING (f) GROUP BY ALL),
+k AS (SELECT bucket, coalesce(sum(n) FILTER (side = 'target'), 0) AS t, coalesce(sum(n) FILTER (side = 'raw'), 0) AS s FROM (SELECT side, bucket, n FROM c UNION ALL SELECT 'raw', i, 0 FROM range(10000) r(i)) GROUP BY bucket),
+a AS (SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * ((SELECT sum(s) FROM k) + 10000.0::DOUBLE) / ((s + 1.0::DOUBLE) * ((SELECT sum(t) FROM k) + 10000.0::DOUBLE)))) AS BIGINT) AS gain FROM k),
+d AS (SELECT id, CAST(sum(n) AS BIGINT) AS n_features, CAST(sum(n * gain) AS BIGINT) AS weight FROM c JOIN a USING (bucket) WHERE side = 'raw' GROUP BY id),
+z AS (SELECT id AS doc_id, len(ws) >= 20 AS may, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+    coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM w LEFT JOIN d USING (id) WHERE side = 'raw'),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE may)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * (SELECT count(*) FROM o) // 100 THEN rank END AS rank FROM z LEFT JOIN o USING (doc_id)""",
     "op9_suffix_dedup": """
 WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
 w AS (SELECT doc_id, p, md5(substr(h, 2 * p - 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(1, n - 98)) AS p FROM t)),
