@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.llm import decontaminate, fingerprints, license_scan, ngram_join, quality, resampling, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
+from inkgrid.llm import collocations, decontaminate, fingerprints, license_scan, ngram_join, quality, resampling, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
 from inkgrid.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents")).drop("words")
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op5, what SQL can say too."""
     return op5_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -70,7 +74,7 @@ def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("shard").agg(F.count("*").alias("rows"), (F.max("slot") + 1).alias("slots")).join(rows.agg(F.sum("size").alias("total_size")))
 
 
-PER_OPERATOR = (op1_ngram_join, op2_sentencepiece, op3_quality, op4_license_scan, op5_fingerprints, op6_decontamination, op7_warc, op8_url_filter, op9_suffix_dedup, op10_sharding, op11_resampling)
+PER_OPERATOR = (op1_ngram_join, op2_sentencepiece, op3_quality, op4_license_scan, op5_fingerprints, op6_decontamination, op7_warc, op8_url_filter, op9_suffix_dedup, op10_sharding, op11_resampling, op12_collocations)
 QUERIES = {f.__name__: f for f in (*PER_OPERATOR, edited_texts, url_rules, shard_sizes)}
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FITS = [(what, host + path, f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')") for what, host, path in sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))]
@@ -105,6 +109,17 @@ z AS (SELECT id AS doc_id, len(ws) >= 20 AS may, coalesce(n_features, 0) AS n_fe
     coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM w LEFT JOIN d USING (id) WHERE side = 'raw'),
 o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE may)
 SELECT doc_id, n_features, weight, score, CASE WHEN rank <= 5 * (SELECT count(*) FROM o) // 100 THEN rank END AS rank FROM z LEFT JOIN o USING (doc_id)""",
+    "op12_collocations": rf"""
+WITH p AS (SELECT lang, unnest(regexp_split_to_array(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece FROM (SELECT coalesce(lang, 'und') AS lang, coalesce(text, '') AS text FROM documents)),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+n AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+f AS (SELECT lang, phrase, m, count(*) AS f FROM ({' UNION ALL '.join(f"SELECT lang, {m} AS m, unnest(list_transform(range(1, greatest(len(ws) - {m - 2}, 1)), lambda i: array_to_string(ws[i:i + {m - 1}], ' '))) AS phrase FROM w" for m in range(1, 6))}) GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, phrase, m, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS first, array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest FROM (SELECT *, unnest(range(1, m)) AS k FROM f WHERE m > 1)),
+s AS (SELECT c.lang, c.phrase, c.m, a, k, x.f AS l, y.f AS r, n, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+    FROM c JOIN f x ON x.lang = c.lang AND x.phrase = first JOIN f y ON y.lang = c.lang AND y.phrase = rest JOIN n ON n.lang = c.lang
+    QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1),
+d AS (SELECT DISTINCT s.lang, s.phrase FROM s JOIN f ON f.lang = s.lang AND f.m > s.m AND f.f >= s.a AND contains(' ' || f.phrase || ' ', ' ' || s.phrase || ' '))
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s ANTI JOIN d USING (lang, phrase) QUALIFY rank <= 2000""",
     "op9_suffix_dedup": """
 WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
 w AS (SELECT doc_id, p, md5(substr(h, 2 * p - 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(1, n - 98)) AS p FROM t)),
