@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.llm import collocations, decontaminate, fingerprints, license_scan, ngram_join, quality, resampling, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
+from inkgrid.llm import collocations, decontaminate, fingerprints, license_scan, mixing, ngram_join, quality, resampling, sentencepiece_codec, sharding, suffix_dedup, url_filter, warc
 from inkgrid.llm.common import table
 
 
@@ -57,6 +57,18 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents")).drop("words")
 
 
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op13, what SQL can say too: targets in thousandths, and that the words taken come near."""
+    rows = op13_mixing(spark, sf_dir)
+    by_source = rows.groupBy("source_size", "target").agg(F.count("*").alias("rows"), F.sum("size").alias("words"), F.sum("taken").alias("taken"), F.max(F.col("taken") - 3 * F.col("size")).alias("over"))
+    near = F.abs(F.col("taken") - F.col("target")) < 2 * mixing.BLOCK_WORDS
+    return by_source.select("source_size", F.round(F.col("target") * 1000).cast("long").alias("target"), "rows", "words", near.alias("near"), (F.col("over") <= 0).alias("within"))
+
+
 def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op5, what SQL can say too."""
     return op5_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -74,8 +86,8 @@ def shard_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("shard").agg(F.count("*").alias("rows"), (F.max("slot") + 1).alias("slots")).join(rows.agg(F.sum("size").alias("total_size")))
 
 
-PER_OPERATOR = (op1_ngram_join, op2_sentencepiece, op3_quality, op4_license_scan, op5_fingerprints, op6_decontamination, op7_warc, op8_url_filter, op9_suffix_dedup, op10_sharding, op11_resampling, op12_collocations)
-QUERIES = {f.__name__: f for f in (*PER_OPERATOR, edited_texts, url_rules, shard_sizes)}
+PER_OPERATOR = (op1_ngram_join, op2_sentencepiece, op3_quality, op4_license_scan, op5_fingerprints, op6_decontamination, op7_warc, op8_url_filter, op9_suffix_dedup, op10_sharding, op11_resampling, op12_collocations, op13_mixing)
+QUERIES = {f.__name__: f for f in (*PER_OPERATOR, edited_texts, url_rules, shard_sizes, mix_targets)}
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _FITS = [(what, host + path, f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')") for what, host, path in sorted(url_filter.RULES, key=lambda r: -len(r[1] + r[2]))]
 ORACLE_SQL: dict[str, str] = {
@@ -120,6 +132,13 @@ s AS (SELECT c.lang, c.phrase, c.m, a, k, x.f AS l, y.f AS r, n, CAST(CAST(1000
     QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1),
 d AS (SELECT DISTINCT s.lang, s.phrase FROM s JOIN f ON f.lang = s.lang AND f.m > s.m AND f.f >= s.a AND contains(' ' || f.phrase || ' ', ' ' || s.phrase || ' '))
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM s ANTI JOIN d USING (lang, phrase) QUALIFY rank <= 2000""",
+    "mix_targets": r"""
+WITH d AS (SELECT source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS DOUBLE) AS size, count(*) AS rows, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM d GROUP BY source),
+r AS (SELECT *, 3 * size / w AS ratio, coalesce(sum(3 * size) OVER b, 0) AS capped, sum(w) OVER a AS open FROM s
+    WINDOW b AS (ORDER BY 3 * size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (ORDER BY 3 * size / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+m AS (SELECT arg_min(((SELECT sum(size) FROM s) - capped) / open, ratio) FILTER (((SELECT sum(size) FROM s) - capped) / open <= ratio) AS unit FROM r)
+SELECT CAST(size AS BIGINT) AS source_size, CAST(round(1000 * least(3 * size, w * unit)) AS BIGINT) AS target, sum(rows)::BIGINT AS rows, sum(size)::BIGINT AS words, true AS near, true AS within FROM s, m GROUP BY size, least(3 * size, w * unit)""",
     "op9_suffix_dedup": """
 WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
 w AS (SELECT doc_id, p, md5(substr(h, 2 * p - 1, 200)) AS g FROM (SELECT doc_id, h, unnest(range(1, n - 98)) AS p FROM t)),
