@@ -32,8 +32,9 @@ DERIVED_SCHEMA = (
 
 HIDDEN = ("script", "style", "template", "noscript")
 BREAKS = frozenset("p div br li ul ol tr table h1 h2 h3 h4 h5 h6 section article nav header footer blockquote pre title main aside form dd dt dl hr".split())
-#: A comment's start, a tag (quoted values up to some length may hold its signs), or a declaration; nothing is tried twice.
-_mark = re.compile(r"""<(?:(!--)|(/?)([a-zA-Z][^\s<>/]*+)((?:[^<>"']|"[^"]{0,4000}+"|'[^']{0,4000}+')*+)>|[!?][^<>]*+>)""")
+#: A comment's start, the start of a tag, or a declaration; what a tag has besides its name is read by `_tag_end`.
+_mark = re.compile(r"""<(?:(!--)|(/?)([a-zA-Z][^\s<>/]*+)|[!?][^<>]*+>)""")
+_unquoted = re.compile(r"""[^<>"']*+""")
 _ends = {name: re.compile(rf"</{name}\s*>", re.I) for name in HIDDEN}
 _href, _lang = (re.compile(rf"""(?:^|[\s"'/]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I) for name in ("href", "lang"))
 _spaces = re.compile(r"[^\S\n]+")
@@ -51,18 +52,44 @@ def _value(pattern: re.Pattern, attributes: str) -> str | None:
     return html.unescape(next(g for g in m.groups() if g is not None)) if m else None
 
 
+def _tag_end(page: str, pos: int, dead: dict[int | str, int]) -> int:
+    """Where the tag whose name ends at `pos` has its `>`; -1 if a `<` outside quotes or the end of the page comes first.
+
+    Quoted values may be of any length. `dead` holds the quotes from which no tag was closed, and where a sign stands last once
+    that is known, so that all calls for a page together take linear time.
+    """
+    seen = []
+    while True:
+        pos = _unquoted.match(page, pos).end()
+        sign = page[pos : pos + 1]
+        if sign == ">":
+            return pos
+        known = sign not in ("'", '"') or pos in dead or pos >= dead.get(sign, len(page))
+        close = -1 if known else page.find(sign, pos + 1)
+        if close < 0:
+            dead.update(dict.fromkeys(seen, -1) if known else {**dict.fromkeys(seen, -1), sign: pos})
+            return -1
+        seen.append(pos)
+        pos = close + 1
+
+
 def parsed(page: str) -> Page:
     """The readable text of an HTML page, its title, language and links, in one pass over its marks.
 
     Scripts, styles, templates, what stands in their place, comments and declarations go; blocks end lines; entities are resolved.
     An element or comment that never ends is not hidden: its mark goes (a comment's stays) and the rest is read on.
     """
-    out, links, unended = [], {}, set()
+    out, links, unended, dead = [], {}, set(), {}
     pos, title, language, title_from = 0, None, None, None
     while m := _mark.search(page, pos):
+        comment, closing, name = m.groups()
+        end = _tag_end(page, m.end(), dead) if name else m.end()
+        if end < 0:
+            out.append(page[pos : m.start() + 1])
+            pos = m.start() + 1
+            continue
         out.append(page[pos : m.start()])
-        pos = m.end()
-        comment, closing, name, attributes = m.groups()
+        attributes, pos = page[m.end() : end], end + 1 if name else end
         if comment:
             end = -1 if comment in unended else page.find("-->", pos)
             if end < 0:
