@@ -223,8 +223,11 @@ def _part(words: Column | int, last: bool = False) -> Column:
 
 
 def _looked_up(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """Inner join with a table that has each key once; keys that many rows share are taken out of the shuffle."""
-    return hot_join(rows, table.join(rows.groupBy(key).agg(F.count("*").alias("__size")), key), key, "__size", total)
+    """Inner join with a table that has each key once; keys that many rows share are taken out of the shuffle.
+
+    What was looked up is written, since a hot join reads both sides several times and another one on top would read them all again.
+    """
+    return cut(hot_join(rows, cut(table.join(rows.groupBy(key).agg(F.count("*").alias("__size")), key)), key, "__size", total))
 
 
 def scored(n: DataFrame, made: list[DataFrame]) -> DataFrame:
