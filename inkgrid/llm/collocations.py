@@ -11,12 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid.llm.common import cut, hot_join, partitions
-from inkgrid.llm.words import U, mixed, slices, splitmix, text_bytes
+from inkgrid.llm.words import Powers, U, mixed, slices, splitmix, text_bytes
 
 #: Most words of a phrase, fewest occurrences, rows for each language, and the share in a hundred of a phrase's occurrences that a
 #: longer phrase must account for to stand in its place.
@@ -51,8 +50,17 @@ def _hash(words: list[np.ndarray], lang: np.ndarray) -> np.ndarray:
         return mixed(total + U(len(words)))
 
 
-def _xx(values: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(v) for v in values), U, len(values))
+_powers: dict[int, Powers] = {}
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """Hashes of strings by their bytes, the same wherever they stand."""
+    data, offsets = text_bytes(words)
+    length = 1 << max(16, (len(data) - 1).bit_length())
+    powers = _powers.get(length) or Powers(length, 17)
+    if length <= 4 * SEGMENT:
+        _powers[length] = powers
+    return powers.stretch(powers.prefix(data), offsets[:-1], offsets[1:])
 
 
 class Frequent:
@@ -68,9 +76,8 @@ class Frequent:
 
         def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                parts = [p.encode().split(b" ") for p in batch.column(1).to_pylist()]
-                lang = _xx([x.encode() for x in batch.column(0).to_pylist()])
-                h = _hash([_xx([p[k] for p in parts]) for k in range(words)], lang)
+                parts = [p.split(" ") for p in batch.column(1).to_pylist()]
+                h = _hash([word_hashes(pa.array([p[k] for p in parts], pa.string())) for k in range(words)], word_hashes(batch.column(0)))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
         found = level.select("lang", "phrase").mapInArrow(hashes, "h bigint")
@@ -111,7 +118,7 @@ class Segment:
         self.start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
         self.size = len(self.start)
         self.row = np.searchsorted(offsets, self.start + first, "right") - 1
-        piece = np.cumsum(kind == 2)[self.start] if self.size else self.start
+        piece = np.cumsum(kind == 2, dtype=np.int32)[self.start] if self.size else self.start
         self.joined = np.r_[False, (self.row[1:] == self.row[:-1]) & (piece[1:] == piece[:-1])][: self.size]
         # All words, each with one blank behind: a phrase is a stretch of these bytes.
         lengths = end - self.start
@@ -119,8 +126,16 @@ class Segment:
         self.text = np.full(self.offsets[-1], 32, np.uint8)
         self.text[np.arange(int(inside.sum())) + np.repeat(np.arange(self.size), lengths)] = LOWER[data[inside]]
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), self.size, [None, pa.py_buffer(self.offsets.astype(np.int64)), pa.py_buffer(self.text)]).dictionary_encode()
-        self.word = words.indices.to_numpy()
-        self.kinds = [w[:-1] for w in words.dictionary.to_pylist()]
+        self.word, self.kinds = words.indices.to_numpy(), words.dictionary
+
+    def hashes(self) -> np.ndarray:
+        """Of each different word, as word_hashes gives them: without the blank behind."""
+        data, offsets = text_bytes(self.kinds)
+        sizes = np.diff(offsets) - 1
+        kept = np.ones(len(data), bool)
+        kept[offsets[1:] - 1] = False
+        bounds = np.r_[0, np.cumsum(sizes)]
+        return word_hashes(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data[kept]))]))
 
     def within(self, words: int) -> np.ndarray:
         """Whether so many words that start at each word lie in one piece."""
@@ -185,13 +200,13 @@ def counts(texts: DataFrame, words: int, known: Frequent | None, limit: int = SE
         for batch in slices(batches, 1, limit):
             langs = batch.column(0).dictionary_encode()
             code, names = langs.indices.to_numpy(), langs.dictionary
-            lang_hash = _xx([x.encode() for x in names.to_pylist()])
+            lang_hash = word_hashes(names)
             for part, fresh in segments(batch.column(1), limit):
                 lang = code[part.row]
                 ok = part.within(words)
                 ok[: max(0, fresh - words + 1)] = False
                 if frequent is not None and len(ok):
-                    hashes, of = _xx(part.kinds)[part.word], lang_hash[lang]
+                    hashes, of = part.hashes()[part.word], lang_hash[lang]
                     n = part.size - words + 2
                     there = frequent.has(_hash([hashes[k : k + n] for k in range(words - 1)], of[:n]))
                     ok &= there[:-1] & there[1:]
