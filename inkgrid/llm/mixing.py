@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from inkgrid.llm.common import cut, in_runs
+from inkgrid.llm.common import cut, in_runs, partitions
 from inkgrid.llm.words import U, mixed
 
 #: Words of a block, slots of an output shard, and how often at most a document is taken.
@@ -27,6 +27,8 @@ SEED, ROUNDS = 11, 8
 MOST_SOURCES, MOST_NAMES = 1 << 16, 8 << 20
 #: A source's documents are added up in so many parts by hash, shards in groups of so many.
 PARTS, GROUP = 1 << 10, 1 << 10
+#: Shards whose slots one task makes, where there are more than tasks.
+TASK_SHARDS = 64
 SEPARATORS = r"\x20\x09-\x0D"
 SLOTS = "shard bigint, slot bigint, source_no int, turn int, block bigint"
 
@@ -190,7 +192,10 @@ def slots(spark: SparkSession, made: Plan, shard_slots: int = SHARD_SLOTS, seed:
                     block = permuted(i % blocks[of], blocks[of], mixed(key + turn.astype(U)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(slot + np.arange(n)), pa.array(of.astype(np.int32)), pa.array(turn.astype(np.int32)), pa.array(block)], ["shard", "slot", "source_no", "turn", "block"])
 
-    begun = running(drawn, "source_no", "group", ["shard"], "n", "start")
+    # Rows grow to SHARD_SLOTS slots for each shard: what a task makes is bounded by shards, not by the bytes it reads.
+    shards = -(-made.total // shard_slots)
+    tasks = max(1, min(shards, max(partitions(spark), shards // TASK_SHARDS)))
+    begun = running(drawn, "source_no", "group", ["shard"], "n", "start").repartition(tasks, "shard")
     in_shard = Window.partitionBy("shard").orderBy("source_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     begun = begun.withColumn("slot", F.sum("n").over(in_shard) - F.col("n"))
     return begun.select("shard", "source_no", "n", "start", "slot").mapInArrow(run, SLOTS)
@@ -211,7 +216,8 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOT
     made = plan(rows, block, weights, most)
     held = cut(placed(rows, made))
     uses = slots(docs.sparkSession, made, shard_slots, seed).groupBy("source_no", "block").agg(F.count("*").alias("uses"))
-    taken = parts(held, block).join(uses, ["source_no", "block"]).groupBy("source_no", "first").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    # By hint, since the optimizer takes rows that few shards draw for few rows and would broadcast them.
+    taken = parts(held, block).join(uses.hint("merge"), ["source_no", "block"]).groupBy("source_no", "first").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     full = held.filter("size > 0").join(taken, ["source_no", "first"], "left").withColumn("taken", F.coalesce("taken", F.lit(0).cast("long")))
     shown = ["doc_id", "size", "source_size", "target", "taken"]
     return full.select(*shown).unionByName(held.filter("size = 0").withColumn("taken", F.lit(0).cast("long")).select(*shown))
@@ -232,5 +238,5 @@ def mixed_parts(docs: DataFrame, block: int = BLOCK_WORDS, shard_slots: int = SH
     texts = texts.alias("t").join(names.alias("k"), F.expr("t.source <=> k.source")).select(F.col("doc_id").alias("id"), F.col("source_no").alias("of"), "text", F.col("text_hash").alias("hash"))
     found = pieces.join(texts, F.expr("doc_id <=> id and source_no = of and text_hash = hash"))
     found = found.withColumn("text", F.array_join(F.slice(words, F.col("skip").cast("int") + 1, F.col("words").cast("int")), " "))
-    mixed_in = slots(docs.sparkSession, made, shard_slots, seed).join(found.select("source_no", "block", "place", "doc_id", "text"), ["source_no", "block"])
+    mixed_in = slots(docs.sparkSession, made, shard_slots, seed).hint("merge").join(found.select("source_no", "block", "place", "doc_id", "text"), ["source_no", "block"])
     return mixed_in.join(names, "source_no").select("shard", "slot", "source", "turn", "block", "place", "doc_id", "text")
