@@ -1,8 +1,9 @@
 """Phrases that occur more often than their parts would let expect, mined level by level (Apriori).
 
 Words are counted first. Every further pass over the texts counts the phrases of one more word, and only those whose first words
-and whose last words are both frequent: these are broadcast from the level before. Each pass adds up equal phrases of a segment
-by exact numbers before anything is shuffled. The levels' tables then give each way of cutting a phrase in two its score.
+and whose last words are both frequent: these are broadcast from the level before and numbered, so that a phrase is a pair of
+numbers and no text is shuffled. A level of too many phrases is broadcast as a sieve instead, and its successors are counted as
+texts. The levels' tables then give each way of cutting a phrase in two its score.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,8 +25,10 @@ MOST, LEAST, TOP, COVER = 5, 100, 2000, 100
 NO_LANG = "und"
 #: Bytes of text that are counted at once; longer texts are read in segments that share words.
 SEGMENT = 1 << 20
-#: At most so many frequent phrases of a level are broadcast one by one, as hashes; more go into a sieve of 2^SIEVE_BITS bits.
-EXACT, SIEVE_BITS = 1 << 21, 28
+#: At most so many frequent phrases of a level are broadcast and numbered; more go into a sieve of 2^SIEVE_BITS bits.
+EXACT, SIEVE_BITS = 1 << 20, 28
+#: A segment's words are looked up by a table of languages times words up to this size, else by sorting.
+TABLE = 1 << 24
 PIECE_ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 COUNTS = "lang string, phrase string, f bigint"
 
@@ -63,16 +67,82 @@ def word_hashes(words: pa.Array) -> np.ndarray:
     return powers.stretch(powers.prefix(data), offsets[:-1], offsets[1:])
 
 
-class Frequent:
-    """The frequent phrases of one level: a sieve of bits that lets all of them through, and their hashes where they are few."""
-
-    def __init__(self, bits: np.ndarray, exact: np.ndarray | None):
-        self.bits, self.exact = bits, exact
-        self.mask = U(len(bits) * 8 - 1)
+def _found(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The place of each wanted value in the sorted keys; -1 if it is not there."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+class Numbered:
+    """The frequent phrases of the levels so far, each by its place in its level: of words in the order of their hashes, of longer phrases in that of their pairs."""
+
+    def __init__(self):
+        self.langs: list[pa.Array] = []
+        self.phrases: list[pa.Array] = []
+        self.keys: list[np.ndarray] = []
+        self.spaced: pa.Array | None = None  # the words with one blank behind, as segments have them
+
+    def take(self, level: DataFrame) -> bool:
+        """Adds a level's table (lang, phrase, key); not if two words have one hash, so that numbers always tell them apart."""
+        held = level.select("lang", "phrase", "key").toArrow().combine_chunks()
+        lang, phrase = (held.column(c).combine_chunks().cast(pa.large_string()) for c in ("lang", "phrase"))
+        keys = held.column("key").to_numpy() if self.keys else _hash([word_hashes(phrase)], word_hashes(lang))
+        if not self.keys:
+            empty, blank = (pa.scalar(x, pa.large_string()) for x in ("", " "))
+            self.spaced = pc.binary_join_element_wise(phrase, empty, blank).cast(pa.large_binary()).take(pa.array(np.argsort(keys)))
+        order = np.argsort(keys)
+        if len(np.unique(keys)) < len(keys):
+            return False
+        self.langs.append(lang.take(pa.array(order)))
+        self.phrases.append(phrase.take(pa.array(order)))
+        self.keys.append(keys[order])
+        return True
+
+    def _words(self, part: Segment, lang: np.ndarray, langs: pa.Array) -> np.ndarray:
+        """The number of each word of a segment, -1 for rare ones; equal hashes are confirmed by the bytes."""
+        pair = lang.astype(np.int64) * len(part.kinds) + part.word
+        size = len(langs) * len(part.kinds)
+        if size <= TABLE:
+            there = np.zeros(size, bool)
+            there[pair] = True
+            kinds, back = np.flatnonzero(there), pair
+        else:
+            kinds, back = np.unique(pair, return_inverse=True)
+        of, word = kinds // max(1, len(part.kinds)), kinds % max(1, len(part.kinds))
+        at = _found(self.keys[0], _hash([part.hashes()[word]], word_hashes(langs)[of]))
+        some = np.flatnonzero(at >= 0)
+        same = pc.and_(pc.equal(self.spaced.take(pa.array(at[some])), part.kinds.take(pa.array(word[some]))), pc.equal(self.langs[0].take(pa.array(at[some])), langs.cast(pa.large_string()).take(pa.array(of[some]))))
+        at[some[~same.to_numpy(zero_copy_only=False)]] = -1
+        if size <= TABLE:
+            table = np.full(size, -1)
+            table[kinds] = at
+            return table[back]
+        return at[back]
+
+    def pairs(self, part: Segment, lang: np.ndarray, langs: pa.Array) -> np.ndarray:
+        """For each place the pair of numbers of the two phrases of the last level that start there and a word later; -1 unless both are frequent."""
+        ids = self._words(part, lang, langs)
+        for keys in [*self.keys[1:], None]:
+            pair = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), (ids[:-1] << 32) | ids[1:], -1)
+            if keys is None:
+                return pair
+            ids = np.full(len(pair), -1)
+            some = np.flatnonzero(pair >= 0)
+            ids[some] = _found(keys, pair[some])
+        return pair
+
+
+class Sieve:
+    """The frequent phrases of a level as bits: it lets all of them through, and a few others, which their counts then tell."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits, self.mask = bits, U(len(bits) * 8 - 1)
 
     @classmethod
-    def of(cls, level: DataFrame, words: int, most: int = EXACT) -> Frequent:
-        """From (lang, phrase): what reaches the driver is at most `most` hashes, or the bits of the sieve, made by the executors."""
+    def of(cls, level: DataFrame, words: int) -> Sieve:
+        """From (lang, phrase). Executors set the bits; what reaches the driver is the sieve."""
 
         def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -80,29 +150,16 @@ class Frequent:
                 h = _hash([word_hashes(pa.array([p[k] for p in parts], pa.string())) for k in range(words)], word_hashes(batch.column(0)))
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], ["h"])
 
-        found = level.select("lang", "phrase").mapInArrow(hashes, "h bigint")
-        count = level.count()
-        if count <= most:
-            exact = np.unique(found.toArrow().column("h").to_numpy().view(U))
-            bits = np.zeros(max(1 << 10, 1 << (count * 2).bit_length()), np.uint8)
-            at = exact & U(len(bits) * 8 - 1)
-            np.bitwise_or.at(bits, at >> U(3), (np.uint8(1) << (at & U(7)).astype(np.uint8)))
-            return cls(bits, exact)
         place = F.col("h").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
-        cells = found.groupBy(F.shiftright(place, 5).cast("int").alias("cell")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(h & 31 as int))")).alias("b"))
-        held = cells.toArrow()
+        cells = level.select("lang", "phrase").mapInArrow(hashes, "h bigint").groupBy(F.shiftright(place, 5).cast("int").alias("cell"))
+        held = cells.agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 31 as int))")).alias("b")).toArrow()
         bits = np.zeros(1 << (SIEVE_BITS - 5), np.uint32)
         bits[held.column("cell").to_numpy()] = held.column("b").to_numpy().astype(np.uint32)
-        return cls(bits.view(np.uint8), None)
+        return cls(bits.view(np.uint8))
 
     def has(self, h: np.ndarray) -> np.ndarray:
         at = h & self.mask
-        found = (self.bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
-        if self.exact is not None:
-            some = np.flatnonzero(found)
-            where = np.searchsorted(self.exact, h[some])
-            found[some] = len(self.exact) and self.exact[np.minimum(where, len(self.exact) - 1)] == h[some]
-        return found
+        return (self.bits[at >> U(3)] >> (at & U(7)).astype(np.uint8)) & 1 == 1
 
 
 class Segment:
@@ -188,7 +245,7 @@ def segments(column: pa.Array, limit: int = SEGMENT) -> Iterator[tuple[Segment,
         at, shared = (to, 0) if offsets[row + 1] == to else (max(back, int(offsets[row])), to - max(back, int(offsets[row])))
 
 
-def counts(texts: DataFrame, words: int, known: Frequent | None, limit: int = SEGMENT) -> DataFrame:
+def counts(texts: DataFrame, words: int, known: Sieve | None, limit: int = SEGMENT) -> DataFrame:
     """(lang, phrase, f) of all phrases of so many words whose two parts of one word less are in `known`.
 
     Of single words all are counted; and f beside a null phrase is the number of all words of the language.
@@ -200,13 +257,12 @@ def counts(texts: DataFrame, words: int, known: Frequent | None, limit: int = SE
         for batch in slices(batches, 1, limit):
             langs = batch.column(0).dictionary_encode()
             code, names = langs.indices.to_numpy(), langs.dictionary
-            lang_hash = word_hashes(names)
             for part, fresh in segments(batch.column(1), limit):
                 lang = code[part.row]
                 ok = part.within(words)
                 ok[: max(0, fresh - words + 1)] = False
                 if frequent is not None and len(ok):
-                    hashes, of = part.hashes()[part.word], lang_hash[lang]
+                    hashes, of = part.hashes()[part.word], word_hashes(names)[lang]
                     n = part.size - words + 2
                     there = frequent.has(_hash([hashes[k : k + n] for k in range(words - 1)], of[:n]))
                     ok &= there[:-1] & there[1:]
@@ -220,15 +276,49 @@ def counts(texts: DataFrame, words: int, known: Frequent | None, limit: int = SE
     return texts.mapInArrow(run, COUNTS).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
+def pair_counts(texts: DataFrame, words: int, known: Numbered, least: int, limit: int = SEGMENT) -> DataFrame:
+    """(lang, phrase, f, key) of the phrases of so many words that occur `least` times, counted as pairs of frequent phrases."""
+    held = texts.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        frequent = held.value
+        for batch in slices(batches, 1, limit):
+            langs = batch.column(0).dictionary_encode()
+            code = langs.indices.to_numpy()
+            for part, fresh in segments(batch.column(1), limit):
+                ok = part.within(words)
+                ok[: max(0, fresh - words + 1)] = False
+                if len(ok):
+                    pair = frequent.pairs(part, code[part.row], langs.dictionary)[: len(ok)]
+                    keys, f = np.unique(pair[ok & (pair >= 0)], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(f.astype(np.int64))], ["key", "f"])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs, phrases = held.value.langs[-1], held.value.phrases[-1]
+        for batch in batches:
+            pair = batch.column(0).to_numpy()
+            first, rest = pa.array(pair >> 32), pa.array(pair & 0xFFFFFFFF)
+            last = pc.replace_substring_regex(phrases.take(rest).cast(pa.string()), r"(?s)\A.* ", "")
+            phrase = pc.binary_join_element_wise(phrases.take(first).cast(pa.string()), last, " ")
+            yield pa.RecordBatch.from_arrays([langs.take(first).cast(pa.string()), phrase, batch.column(1), batch.column(0)], ["lang", "phrase", "f", "key"])
+
+    counted = texts.mapInArrow(run, "key bigint, f bigint").groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    return counted.mapInArrow(named, f"{COUNTS}, key bigint")
+
+
 def levels(docs: DataFrame, most: int = MOST, least: int = LEAST, exact: int = EXACT, limit: int = SEGMENT) -> tuple[DataFrame, list[DataFrame]]:
     """((lang, n) with the number of all words, the frequent phrases (lang, phrase, f) of 1, 2, .. words)."""
     texts = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    ones = cut(counts(texts, 1, None, limit).filter(F.col("phrase").isNull() | (F.col("f") >= least)))
+    ones = cut(counts(texts, 1, None, limit).filter(F.col("phrase").isNull() | (F.col("f") >= least)).withColumn("key", F.lit(None).cast("long")))
     made = [ones.filter("phrase is not null")]
+    known = Numbered()
     for words in range(2, most + 1):
-        known = Frequent.of(made[-1], words - 1, exact)
-        made.append(cut(counts(texts, words, known, limit).filter(F.col("f") >= least)))
-    return ones.filter("phrase is null").select("lang", F.col("f").alias("n")), made
+        if known is not None and made[-1].count() <= exact and known.take(made[-1]):
+            made.append(cut(pair_counts(texts, words, known, least, limit)))
+        else:
+            known = None
+            made.append(cut(counts(texts, words, Sieve.of(made[-1], words - 1), limit).filter(F.col("f") >= least)))
+    return ones.filter("phrase is null").select("lang", F.col("f").alias("n")), [level.select("lang", "phrase", "f") for level in made]
 
 
 def _part(words: Column | int, last: bool = False) -> Column:

@@ -132,10 +132,11 @@ def plain_phrases(rows, least, top, most=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("exact, limit", [(1 << 21, 1 << 20), (0, 40)])
-def test_collocations_against_plain_version(docs, exact, limit, monkeypatch):
-    """With the hashes of a level one by one and with the sieve alone; in one segment and in segments of forty bytes."""
+@pytest.mark.parametrize("exact, limit, table", [(1 << 21, 1 << 20, 1 << 24), (1 << 21, 40, 0), (0, 40, 0), (12, 1 << 20, 0)])
+def test_collocations_against_plain_version(docs, exact, limit, table, monkeypatch):
+    """With all levels numbered, with sieves, and with sieves from the second level on; in one segment and in segments of forty bytes."""
     monkeypatch.setattr(collocations, "SIEVE_BITS", 12)
+    monkeypatch.setattr(collocations, "TABLE", table)
     found = collocations.collocations(docs, least=12, top=30, exact=exact, limit=limit).drop("words")
     assert sorted(map(tuple, found.collect())) == plain_phrases([(r[1], r[2]) for r in sample()], 12, 30)
 
