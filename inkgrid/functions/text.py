@@ -23,6 +23,8 @@ DROPPED_WORDS = ("FAULT", "FAULTMSG", "FAULTMSGE", "MESSAGE", "MSG")
 NUMBER = r"[0-9]+(?:[.][0-9]+)?"
 DATE_INSIDE = r"20[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}"
 CJK = r"[一-鿿]"
+#: White space as Unicode has it, which is what a `(?U)` pattern's `\\s` matches.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 AUTHORIZATION_PATTERN = "^[0-9]{6}$"
 LICENSE_PATTERN = "^CAACML[0-9]{8}$"
 
@@ -33,7 +35,7 @@ def whole(c: Column, pattern: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\A\s+|\s+\z", "")
+    return F.btrim(F.coalesce(c, F.lit("")), F.lit(SPACE))
 
 
 def first_filled(a: Column, b: Column) -> Column:
@@ -46,11 +48,12 @@ def normalized(c: Column) -> Column:
 
 
 def compact(c: Column) -> Column:
-    return F.regexp_replace(normalized(c), r"(?U)\s+", "")
+    """The normalised text without any white space: signs that `translate` has no partner for go."""
+    return F.translate(F.coalesce(c, F.lit("")), "：／" + SPACE, ":/")
 
 
 def with_na(c: Column) -> Column:
-    bare = F.regexp_replace(F.upper(normalized(c)), r"(?U)[\s/-]+", "")
+    bare = F.translate(F.upper(compact(c)), "/-", "")
     return F.when(bare == "NA", F.lit("N/A")).otherwise(normalized(c))
 
 
@@ -146,7 +149,7 @@ def digits_or_empty(c: Column) -> Column:
 
 
 def problem_key(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)\s+", "")
+    return F.translate(F.lower(F.coalesce(c, F.lit(""))), SPACE, "")
 
 
 def without_index(c: Column) -> Column:

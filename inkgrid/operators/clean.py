@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.functions import text as t
-from inkgrid.functions.once import computed_once
+from inkgrid.functions.once import computed_once, dealt
 from inkgrid.operators.rules import repaired_range
 
 REVIEW_REASON = "需人工复核"
@@ -84,7 +84,7 @@ def local_clean(pages: DataFrame, fields: DataFrame, candidates: DataFrame, prov
     """
     found = candidates.select("page_id", F.struct("field_id", _entry().alias("c")).alias("found"))
     kind = found.schema["found"].dataType.simpleString()
-    every = found.unionByName(pages.select("page_id", F.lit(None).cast(kind).alias("found")))
+    every = dealt(found.unionByName(pages.select("page_id", F.lit(None).cast(kind).alias("found"))), "page_id")
     rows = every.groupBy("page_id").agg(F.collect_list("found").alias("found")).crossJoin(F.broadcast(fields))
     own = F.transform(F.filter("found", lambda x: x["field_id"] == F.col("field_id")), lambda x: x["c"])
     rows = rows.withColumn("cands", F.array_sort(own)).drop("found")
@@ -125,13 +125,28 @@ def requests(rows: DataFrame) -> DataFrame:
     return asked.groupBy("page_id", "section").agg(F.to_json(F.array_sort(F.collect_list(entry))).alias("payload"))
 
 
+#: What a model's value or a second reading says.
+READING = ("value", "normalized_value", "confidence", "error")
+
+
+def one_of_each(readings: DataFrame, columns: tuple[str, ...] = READING) -> DataFrame:
+    """One reading for each (page_id, field_id), its columns as __<name>: the last by the column `seq` where there is one.
+
+    Of several with one seq, or without that column, one without an error comes first, then the surest, then the greater text.
+    """
+    seq = [F.col("seq")] if "seq" in readings.columns else []
+    order = F.struct(*seq, F.col("error").isNull(), F.coalesce("confidence", F.lit(0.0)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    rows = readings.groupBy("page_id", "field_id").agg(F.max_by(F.struct(*columns), order).alias("__r"))
+    return rows.select("page_id", "field_id", *[F.col(f"__r.{c}").alias(f"__{c}") for c in columns])
+
+
 def overlay(local: DataFrame, cleaned: DataFrame) -> DataFrame:
     """Puts a model's values (page_id, field_id, value, normalized_value, confidence, error) over the local ones.
 
-    A row with an error keeps the local value, which needs review below 0.8.
+    A row with an error keeps the local value, which needs review below 0.8. Of several values of a field one counts, as
+    one_of_each has it.
     """
-    new = cleaned.select("page_id", "field_id", *[F.col(c).alias(f"__{c}") for c in ("value", "normalized_value", "confidence", "error")])
-    rows = local.join(new, ["page_id", "field_id"], "left")
+    rows = local.join(one_of_each(cleaned), ["page_id", "field_id"], "left")
     failed, done = F.col("__error").isNotNull(), F.col("__value").isNotNull() & F.col("__error").isNull()
     rows = rows.withColumns({c: F.when(done, F.coalesce(f"__{c}", c)).otherwise(F.col(c)) for c in ("value", "normalized_value", "confidence")})
     rows = rows.withColumn("needs_review", F.when(failed, F.col("needs_review") | (F.col("confidence") < 0.8)).otherwise(F.col("needs_review")))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from inkgrid.config import Settings
 from inkgrid.functions import geometry as g
 from inkgrid.functions import text as t
+from inkgrid.functions.once import dealt
 
 BLOCK_COLUMNS = ("page_id", "block_seq", "block_id", "text", "score", "x1", "y1", "x2", "y2", "cx", "cy")
 MARGIN = 1.04
@@ -24,10 +25,9 @@ def page_extent(blocks: DataFrame) -> DataFrame:
 
 
 def with_extent(blocks: DataFrame) -> DataFrame:
-    """Blocks with the extent of their page; one shuffle by page, which later steps keep."""
-    page = Window.partitionBy("page_id")
-    end = lambda c: F.greatest(F.max(c).over(page) * MARGIN, F.lit(1.0))
-    return blocks.withColumns({"page_w": end("x2"), "page_h": end("y2")})
+    """Blocks with the extent of their page: maxima are taken where the blocks lie and joined back, so that no page is one task's."""
+    extent = page_extent(blocks).withColumnRenamed("page_id", "__page")
+    return blocks.join(extent, F.col("page_id").eqNullSafe(F.col("__page"))).drop("__page")
 
 
 def with_text_facts(blocks: DataFrame) -> DataFrame:
@@ -145,5 +145,5 @@ def candidates(pairs: DataFrame, settings: Settings) -> DataFrame:
 
 
 def match(blocks: DataFrame, fields: DataFrame, settings: Settings) -> DataFrame:
-    """Blocks to ranked candidates."""
-    return candidates(scored(spatial_match(blocks, fields, settings)), settings)
+    """Blocks to ranked candidates. What matched is dealt out by page once; all that follows is local to a page."""
+    return candidates(dealt(scored(spatial_match(blocks, fields, settings)), "page_id"), settings)

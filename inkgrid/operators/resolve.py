@@ -38,7 +38,8 @@ def oil_row(blocks: DataFrame, fields: DataFrame, settings: Settings) -> DataFra
     Needs all five oil fields, three numbers in the region and three in the row. Rows form from top to bottom: a number
     joins the first row whose mean middle is within 0.7 of the taller height.
     """
-    target = F.broadcast(fields.filter(F.col("field_id").isin(*OIL_ROW)).agg(F.countDistinct("field_id").alias("known"), *(f(e).alias(n) for n, f, e in (("rx1", F.min, F.col("target.x")), ("ry1", F.min, F.col("target.y")), ("rx2", F.max, F.col("target.x") + F.col("target.w")), ("ry2", F.max, F.col("target.y") + F.col("target.h"))))))
+    oil = fields.coalesce(1).filter(F.col("field_id").isin(*OIL_ROW))
+    target = F.broadcast(oil.agg(F.size(F.collect_set("field_id")).alias("known"), *(f(e).alias(n) for n, f, e in (("rx1", F.min, F.col("target.x")), ("ry1", F.min, F.col("target.y")), ("rx2", F.max, F.col("target.x") + F.col("target.w")), ("ry2", F.max, F.col("target.y") + F.col("target.h"))))))
     spots = with_extent(blocks).withColumns({"cx": (F.col("x1") + F.col("x2")) / 2.0, "cy": (F.col("y1") + F.col("y2")) / 2.0})
     spots = spots.join(target, F.col("known") == len(OIL_ROW))
     sx, sy = F.col("page_w") / F.lit(settings.page_width), F.col("page_h") / F.lit(settings.page_height)

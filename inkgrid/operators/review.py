@@ -10,7 +10,7 @@ from inkgrid.functions import geometry as g
 from inkgrid.functions import text as t
 from inkgrid.functions.once import computed_once
 from inkgrid.operators import rules
-from inkgrid.operators.clean import normal_value
+from inkgrid.operators.clean import READING, normal_value, one_of_each
 
 NUMERIC_RULES = ("digit_length", "int_range", "number_less_than")
 HIGH_RISK = "授权号|执照号|APU|滑油|签名"
@@ -93,12 +93,13 @@ def merge(checks: DataFrame, reviews: DataFrame | None, settings: Settings) -> D
     """Takes a second reading (page_id, field_id, value, normalized_value, confidence, provider, model, error) of selected values into account.
 
     A reading that passes with enough confidence replaces the value; one that passes without leaves it and says so; one that
-    fails leaves it. A selected value without a reading lacks its image. Adds reviewed, accepted, changed.
+    fails leaves it. A selected value without a reading lacks its image. Of several readings of a field one counts, as
+    clean.one_of_each has it. Adds reviewed, accepted, changed.
     """
     if reviews is None:
         rows = checks.withColumns({c: F.lit(None).cast(kind) for c, kind in _READING.items()})
     else:
-        new = reviews.select("page_id", "field_id", F.lit(True).alias("__seen"), *[F.col(c).alias(f"__{c}") for c in ("value", "normalized_value", "confidence", "provider", "model", "error")])
+        new = one_of_each(reviews, (*READING, "provider", "model")).withColumn("__seen", F.lit(True))
         rows = checks.join(new, ["page_id", "field_id"], "left")
     rows = computed_once(rows.withColumn("__normal", normal_value(t.first_filled(F.col("__normalized_value"), F.col("__value")))))
     seen = F.col("selected") & F.coalesce("__seen", F.lit(False))

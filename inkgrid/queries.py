@@ -52,7 +52,7 @@ def _resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id")).distinct()
+    pages = tables.form_blocks(spark, sf_dir).select("page_id")
     return inspection.checked(pages, _fields(spark), _resolved(spark, sf_dir), SETTINGS)
 
 
@@ -110,7 +110,7 @@ def full_candidates(spark, sf_dir):
 
 @query(f"{o.UPTO_CHECKS} SELECT page_id, field_id, value, normalized_value, round(confidence, 6) AS confidence, needs0 AS needs_review FROM messaged")
 def local_clean(spark, sf_dir):
-    pages = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id")).distinct()
+    pages = tables.form_blocks(spark, sf_dir).select("page_id")
     rows = clean.local_clean(pages, _fields(spark), _resolved(spark, sf_dir))
     return rows.select("page_id", "field_id", "value", "normalized_value", _r("confidence"), "needs_review")
 
@@ -169,14 +169,34 @@ def sanitize_english(spark, sf_dir):
     return tables.table(spark, sf_dir, "documents").select("doc_id", t.english_only(F.col("text")).alias("english"))
 
 
-@query(f"SELECT doc_id, {o.label('text')} AS is_label FROM documents")
+_PRINTED = "CASE doc_id % 6 WHEN 0 THEN text || ' REPORTED BY' WHEN 1 THEN text || ' FINAL signs' WHEN 2 THEN '授权号' || text WHEN 3 THEN text || ' FIN: 2' WHEN 4 THEN 'undated ' || text ELSE text END"
+
+
+@query(f"SELECT doc_id, {o.label('s')} AS is_label FROM (SELECT doc_id, {_PRINTED} AS s FROM documents)")
 def label_noise(spark, sf_dir):
-    return tables.table(spark, sf_dir, "documents").select("doc_id", t.is_label(F.col("text")).alias("is_label"))
+    """Texts with words of the form in them, words that only hold such words, and neither."""
+    return tables.table(spark, sf_dir, "documents").select("doc_id", t.is_label(F.expr(_PRINTED)).alias("is_label"))
+
+
+_SAID = "CASE turn % 7 WHEN 1 THEN 'AMM32-' || conv_id WHEN 2 THEN '2024.01.02' WHEN 3 THEN ' 渝 ' WHEN 4 THEN 'n / a' WHEN 5 THEN text || ' 报告者' WHEN 6 THEN substr(text, 1, 11) ELSE text END"
 
 
-@query(f"SELECT conv_id, turn, {o.body('text')} AS is_body FROM conversations")
+@query(f"SELECT conv_id, turn, {o.body('s')} AS is_body FROM (SELECT conv_id, turn, {_SAID} AS s FROM conversations)")
 def body_text(spark, sf_dir):
-    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", t.is_body(F.col("text")).alias("is_body"))
+    """Texts that read like a body, and references, dates, places, labels and short ones."""
+    return tables.table(spark, sf_dir, "conversations").select("conv_id", "turn", t.is_body(F.expr(_SAID)).alias("is_body"))
+
+
+_QUANTITY = "CASE event_id % 4 WHEN 0 THEN ' 7' || CAST(event_id % 10 AS {0}) || '.5' WHEN 1 THEN '7' || CAST(event_id % 10 AS {0}) WHEN 2 THEN CAST(event_id % 97 AS {0}) ELSE '7x' END"
+_OIL = "oil_eng1_qty"
+
+
+@query(f"WITH {o.fields()}, q AS (SELECT event_id, {_QUANTITY.format('VARCHAR')} AS s FROM events) SELECT event_id, {o.repaired('s')} AS repaired, {o.number(o.repaired('s'))} BETWEEN pmin AND pmax AS passed FROM q, fields WHERE field_id = '{_OIL}' AND event_id % 4 < 3")
+def oil_repair(spark, sf_dir):
+    """Oil quantities, those read 7x for 2x put right where that is in range."""
+    field = F.broadcast(_fields(spark).filter(F.col("field_id") == _OIL))
+    rows = tables.table(spark, sf_dir, "events").filter("event_id % 4 < 3").select("event_id", F.expr(_QUANTITY.format("string")).alias("s")).crossJoin(field)
+    return rows.select("event_id", rules.repaired_range(F.col("s")).alias("repaired"), rules.REGISTRY["int_range"](F.col("s"), SETTINGS).alias("passed"))
 
 
 @query(f"SELECT event_id, {o.six('s')} AS six FROM (SELECT event_id, event_type || lpad(CAST(event_id AS VARCHAR), 6, '0') || '-' || CAST(event_id * 7 AS VARCHAR) AS s FROM events)")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkgrid.functions.once import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,7 +37,7 @@ def form_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         text = F.when(e % 16 == k, made).otherwise(text)
     x1, y1 = (e * 37) % 2200, (e * 53) % 1600
     box = {"x1": x1, "y1": y1, "x2": x1 + 20 + e % 90, "y2": y1 + 18 + e % 40}
-    return table(spark, sf_dir, "events").select(
+    return spread(table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts"), "event_id").select(
         F.col("user_id").alias("page_id"),
         e.alias("block_seq"),
         F.concat(F.lit("b"), e.cast("string")).alias("block_id"),
