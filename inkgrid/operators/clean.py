@@ -143,12 +143,17 @@ def one_of_each(readings: DataFrame, columns: tuple[str, ...] = READING) -> Data
 def overlay(local: DataFrame, cleaned: DataFrame) -> DataFrame:
     """Puts a model's values (page_id, field_id, value, normalized_value, confidence, error) over the local ones.
 
-    A row with an error keeps the local value, which needs review below 0.8. Of several values of a field one counts, as
+    A row with an error keeps the local value, which needs review below 0.8. Where they have needs_review and reason too, these
+    say whether the model's value needs review, besides the catalogue. Of several values of a field one counts, as
     one_of_each has it.
     """
-    rows = local.join(one_of_each(cleaned), ["page_id", "field_id"], "left")
+    own = tuple(c for c in ("needs_review", "reason") if c in cleaned.columns)
+    rows = local.join(one_of_each(cleaned, READING + own), ["page_id", "field_id"], "left")
     failed, done = F.col("__error").isNotNull(), F.col("__value").isNotNull() & F.col("__error").isNull()
     rows = rows.withColumns({c: F.when(done, F.coalesce(f"__{c}", c)).otherwise(F.col(c)) for c in ("value", "normalized_value", "confidence")})
     rows = rows.withColumn("needs_review", F.when(failed, F.col("needs_review") | (F.col("confidence") < 0.8)).otherwise(F.col("needs_review")))
     rows = rows.withColumn("review_reason", F.when(failed & (F.col("review_reason") == ""), SLOW_REASON).otherwise(F.col("review_reason")))
-    return rows.drop("__value", "__normalized_value", "__confidence", "__error")
+    if own == ("needs_review", "reason"):
+        asked = F.coalesce("__needs_review", F.lit(False)) | F.coalesce("assignment.needs_review", F.lit(False))
+        rows = rows.withColumns({"needs_review": F.when(done, asked).otherwise(F.col("needs_review")), "review_reason": F.when(done, F.coalesce("__reason", F.lit(""))).otherwise(F.col("review_reason"))})
+    return rows.drop(*[f"__{c}" for c in READING + own])

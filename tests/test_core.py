@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import os
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,10 +13,11 @@ from pyspark.sql import functions as F
 from inkgrid import config
 from inkgrid.config import Settings
 from inkgrid.functions import text as t
-from inkgrid.operators import caches, clean, logs, match, policies, profile, registration, report, resolve, review, rules, tasks, triage
+from inkgrid.operators import asking, caches, clean, logs, match, policies, profile, registration, report, resolve, review, rules, tasks, triage
 from inkgrid.plans.inspection import inspect
 from inkgrid.sources import bundles, catalog, images, ocr
 from inkgrid.streaming import queue
+from inkgrid.streaming.leases import task_changes
 
 BLOCKS = "page_id string, block_seq int, block_id string, text string, score double, x1 double, y1 double, x2 double, y2 double"
 TODAY = Settings(today="2026-07-02")
@@ -481,3 +484,117 @@ def test_streams(spark, tmp_path):
     query.awaitTermination(90)
     row = spark.read.parquet(str(tmp_path / "out")).first()
     assert row["summary"]["field_count"] == 1 and row["page_id"] == "a"
+
+
+def _ask(prompt):
+    """A model that knows fields by name: one is slow, one breaks, one mumbles."""
+    shown = {f["id"]: f for f in json.loads(prompt[len(asking.INSTRUCTION) :])}
+    if "slow" in shown:
+        time.sleep(30)
+    if "broken" in shown:
+        raise RuntimeError("no service")
+    if "mumbled" in shown:
+        return "I can't say"
+    return "```json\n" + json.dumps({"fields": {k: {"value": "1234", "confidence": "0.9", "needs_review": False, "reason": ""} for k in shown if k != "unsaid"}}) + "\n```"
+
+
+def test_a_slow_model_leaves_local_values(spark):
+    """What comes in time replaces local values; sections that are late, break or can't be read keep theirs, and the page is not held up."""
+    names = ["fine", "unsaid", "slow", "broken", "mumbled"]
+    fields = catalog.from_fields(spark, [field(n, "digit_length", params={"allow_lengths": [4]}) | {"section": "fine" if n == "unsaid" else n} for n in names])
+    found = blocks(spark, ("12", 0.9, (10, 10, 60, 60)))
+    settings = Settings(page_width=100, page_height=100)
+    rows = clean.local_clean(found.select("page_id"), fields, match.match(found, fields, settings))
+    made = {r["field_id"]: r for r in clean.overlay(rows, asking.cleaner(_ask, asking.Budget(call_s=1.0, page_s=5.0))(rows)).collect()}
+    took = {r["section"]: (r["timed_out"], r["duration_ms"]) for r in asking.asked(asking.prompts(rows), _ask, asking.Budget(call_s=1.0, page_s=5.0)).collect()}
+    assert took["slow"][0] and took["slow"][1] < 4000 and not took["fine"][0]
+    assert {k: r["value"] for k, r in made.items()} == {"fine": "1234", "unsaid": "12", "slow": "12", "broken": "12", "mumbled": "12"}
+    assert made["fine"]["confidence"] == 0.9 and not made["fine"]["needs_review"]
+    assert all(made[k]["review_reason"] == clean.SLOW_REASON for k in ("slow", "broken", "mumbled")) and made["fine"]["review_reason"] == ""
+
+
+def test_budgets_of_calls_and_pages():
+    slow = lambda p: time.sleep(float(p)) or p
+    got = asking._page(["5", "0", "0.1", "5"], slow, asking.Budget(call_s=0.5, page_s=30, at_once=1))
+    assert [(a, e, late) for a, e, late, _ in got] == [(None, asking.SLOW, True), ("0", None, False), ("0.1", None, False), (None, asking.SLOW, True)]
+    began = time.time()
+    got = asking._page(["9", "9", "0"], slow, asking.Budget(call_s=20, page_s=0.3, at_once=2))
+    assert [e for _, e, _, _ in got] == [asking.OUT_OF_TIME] * 3 and time.time() - began < 2
+    assert asking._page([], slow, asking.Budget()) == []
+    most, now, lock = [0], [0], threading.Lock()
+
+    def counted(p):
+        with lock:
+            now[0] += 1
+            most[0] = max(most[0], now[0])
+        time.sleep(0.05)
+        with lock:
+            now[0] -= 1
+        return p
+
+    assert [a for a, *_ in asking._page(list("abcdef"), counted, asking.Budget(at_once=2))] == list("abcdef") and most[0] == 2
+
+
+def test_answers_are_cached(spark):
+    settings, cache = Settings(), spark.createDataFrame([], "key string, answer string, cached_at double")
+    wanted = spark.createDataFrame([(1, "a", "p"), (1, "late", "q"), (2, "a", "p"), (2, "bad", None)], "page_id bigint, section string, prompt string")
+
+    def ask(prompt):
+        if prompt == "q":
+            time.sleep(20)
+        if not prompt:
+            raise ValueError("nothing to ask")
+        return prompt.upper()
+
+    through = lambda cache, now: asking.through_cache(wanted, cache, ask, asking.Budget(call_s=0.5), settings, now, "p", "m")
+    answers, new = through(cache, 1000.0)
+    assert {(r["page_id"], r["section"]): (r["answer"], r["timed_out"]) for r in answers.collect()} == {(1, "a"): ("P", False), (1, "late"): (None, True), (2, "a"): ("P", False), (2, "bad"): (None, False)}
+    saved = spark.createDataFrame(new.collect(), new.schema)
+    assert sorted((r["answer"] or "", r["cached_at"]) for r in saved.collect()) == [("", 1000.0), ("P", None)]
+    hit = lambda now: {(r["page_id"], r["section"]): r["cache_hit"] for r in through(saved, now)[0].collect()}
+    assert hit(1001.0) == {(1, "a"): True, (1, "late"): True, (2, "a"): True, (2, "bad"): False} and not hit(99999.0)[(1, "late")]
+
+
+def test_of_several_readings_one_counts(spark):
+    made = checks(spark, (field("apu", "number_less_than", label="23 APU", params={"max": 99999}, roi_review_always=True), "348", True, True, 0.9))
+    planned = review.budgeted(made, Settings())
+    two = [("p", "apu", "3481", None, 0.9, "v", "m", None), ("p", "apu", "3482", None, 0.8, "v", "m", None), ("p", "apu", None, None, 0.99, "v", "m", "unread")]
+    rows = spark.createDataFrame(two, READING)
+    assert [r["value"] for r in review.merge(planned, rows, Settings()).collect()] == ["3481"]
+    later = rows.withColumn("seq", F.when(F.col("value") == "3482", 2).otherwise(1))
+    assert [r["value"] for r in review.merge(planned, later, Settings()).collect()] == ["3482"]
+    local = spark.createDataFrame([("p", "apu", "1", "1", 0.5, False, "")], "page_id string, field_id string, value string, normalized_value string, confidence double, needs_review boolean, review_reason string")
+    assert [r["value"] for r in clean.overlay(local, later).collect()] == ["3482"]
+
+
+def test_leases_run_out_without_an_event(spark, tmp_path):
+    """The stream's states after its timers are those of the batch: current, then recover_stale."""
+    now, settings = time.time(), Settings(lease_s=60)
+    rows = [("old", "created", now - 900), ("old", "claimed", now - 800), ("live", "created", now - 90), ("live", "claimed", now - 20), ("renewed", "claimed", now - 500), ("renewed", "progress", now - 5)]
+    rows += [("done", "claimed", now - 700), ("done", "done", now - 600), ("new", "created", now - 1), ("twice", "claimed", now - 900), ("twice", "recovered", now - 500), ("twice", "claimed", now - 400)]
+    events = spark.createDataFrame(rows, "task_id string, kind string, at double")
+    events.write.parquet(str(tmp_path / "in"))
+    seen = {}
+
+    def keep(batch, number):
+        for r in batch.collect():
+            seen[r["task_id"]] = (r["status"], r["attempt_count"], r["lease_expires_at"] is not None)
+
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+        run = task_changes(stream, settings).writeStream.outputMode("update").trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / "cp")).foreachBatch(keep).start()
+        until = time.time() + 90
+        while time.time() < until and not {"old", "twice"} <= {k for k, v in seen.items() if v[0] == "pending"}:
+            assert run.isActive, run.exception()
+            time.sleep(0.5)
+        run.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    full = events
+    for c in [f.split()[0] for f in tasks.EVENTS.split(", ") if f.split()[0] not in events.columns]:
+        full = full.withColumn(c, F.lit(None).cast("string"))
+    batch = tasks.recover_stale(tasks.current(full, settings), now).collect()
+    assert {r["task_id"]: (r["status"], r["attempt_count"]) for r in batch} == {k: v[:2] for k, v in seen.items()}
+    assert seen["live"][2] and seen["renewed"][2] and not seen["old"][2]
