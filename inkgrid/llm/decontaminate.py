@@ -278,9 +278,8 @@ def drop_leaks(docs: DataFrame, items: DataFrame, broadcast_chars: int | None =
     Rows with null or empty texts stay, repeated rows stay or go together, no items drop nothing.
     """
     if not _is_small(items, BLOCK_CHARS if broadcast_chars is None else broadcast_chars):
-        rows = numbered(docs, "__gid")
-        found = _joined(rows.select(F.col("__gid").alias("gid"), "text"), items).select(F.col("gid").alias("__gid")).distinct()
-        return rows.join(found, "__gid", "left_anti").select(*docs.columns)
+        rows = numbered(docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")))
+        return rows.join(_joined(rows.select("gid", "text"), items).select("gid").distinct(), "gid", "left_anti").select("row.*")
     held, at = _held(items), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

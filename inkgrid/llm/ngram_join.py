@@ -145,7 +145,9 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     values, owner = values[order], owner[order]
     first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
     size = np.diff(np.r_[first, len(values)])
-    total = np.zeros((n, n), np.float32)
+    # Counts in floats are exact below 2^24, which a set has to reach first.
+    kind = np.float32 if max(map(len, sets), default=0) < 1 << 24 else np.float64
+    total = np.zeros((n, n), kind)
     rare = RARE if n > 64 else 1
     for k in range(2, rare + 1):
         if (size == k).any():
@@ -156,7 +158,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
     owner, column = owner[keep], (np.cumsum(size > rare) - 1).repeat(size)[keep]
     for at in range(0, int((size > rare).sum()), STRIP):
         a, b = np.searchsorted(column, [at, at + STRIP])
-        strip = np.zeros((n, int(column[b - 1]) + 1 - at), np.float32)
+        strip = np.zeros((n, int(column[b - 1]) + 1 - at), kind)
         strip[owner[a:b], column[a:b] - at] = 1
         total += strip @ strip.T
     return total
@@ -164,7 +166,7 @@ def common_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 def _compare(gid: int, nodes: list[bytes], blocks: list[int], groups: list[np.ndarray], weights: list[int], sets: list[np.ndarray]) -> list[tuple[bytes, bytes, int, bool]]:
     """(node, least node that it is linked to here, texts linked to it here for the first time, whether it is elsewhere too)."""
-    size = np.array([len(s) for s in sets], np.float32)
+    size = np.array([len(s) for s in sets], np.float64)
     common = common_counts(sets)
     linked = common >= THRESHOLD * (size[:, None] + size[None, :] - common) - 1e-3
     np.fill_diagonal(linked, False)
@@ -236,9 +238,12 @@ def groups_of(nodes: DataFrame) -> DataFrame:
     groups = members.groupBy("gid").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"), who(1).alias("x"), who(2).alias("y")).filter("size > 1")
     groups = groups.groupBy("size", "shingles", "x", "y").agg(F.min("gid").alias("gid"))
     held = cut(hot_join(members.select("node", "gid"), groups.select("gid", "size", "shingles", F.col("size").alias("rows")), "gid", "rows", total))
-    lists = held.groupBy("node").agg(F.collect_list(F.struct("gid", "size")).alias("own")).filter("size(own) > 1")  # TREES * LABEL at most
-    pairs = lists.select(F.explode("own").alias("g"), "own").select("g", F.explode("own").alias("h")).filter("g.size < h.size")
-    within = pairs.groupBy("g.gid", "g.size", F.col("h.gid").alias("other")).count().filter("count = size").select("gid").distinct()
+    # A group within another one lies within the least of its members' largest groups, or else is kept: no pair of groups is a row.
+    top = held.groupBy("node").agg(F.max(F.struct("size", "gid")).alias("top"))
+    inside = held.join(top, "node").groupBy("gid").agg(F.first("size").alias("size"), F.min("top").alias("top")).filter("top.size > size")
+    inside = cut(inside.select("gid", "size", F.col("top.gid").alias("other"), F.col("size").alias("rows")))
+    asked = hot_join(held.select("node", "gid"), inside, "gid", "rows", total).join(held.select("node", F.col("gid").alias("other")), ["node", "other"], "left_semi")
+    within = asked.groupBy("gid").agg(F.count("*").alias("n"), F.first("size").alias("size")).filter("n = size").select("gid")
     left = cut(held.groupBy("gid").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles")).join(within, "gid", "left_anti"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK_TEXTS), F.ceil(F.col("shingles") * 8 / BLOCK_BYTES)).cast("int")
     sized = left.select("gid", blocks.alias("blocks"), F.col("size").alias("rows"))
@@ -307,12 +312,13 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     Null and empty texts are one class. An empty table gives no rows.
     """
     best = _known(docs).groupBy("root").agg(F.min(F.struct(F.col("first_doc").isNull().alias("no"), F.col("first_doc").alias("doc"), F.col("id").alias("id"))).alias("b"))
-    kept = best.select(F.col("b.id").alias("__id"), F.xxhash64("b.doc").alias("__doc"))
+    kept = best.select("b.id", F.xxhash64("b.doc").alias("doc"))
+    # The caller's columns are one column here, so that no name of theirs can clash.
+    own: Column = F.struct(*docs.columns)
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("__id", F.unhex(F.md5(text))).withColumn("__doc", F.xxhash64("doc_id"))
-    repeated = marked.groupBy("__id", "__doc").count().filter("count > 1").limit(1).count()
-    out = marked.join(kept, ["__id", "__doc"], "left_semi")
+    marked = docs.select(own.alias("row"), F.unhex(F.md5(text)).alias("id"), F.xxhash64("doc_id").alias("doc"))
+    repeated = marked.groupBy("id", "doc").count().filter("count > 1").limit(1).count()
+    out = marked.join(kept, ["id", "doc"], "left_semi")
     if repeated:
-        own: Column = F.struct(*docs.columns)
-        out = out.groupBy("__id", "__doc").agg(F.min_by(own, F.to_json(own)).alias("__row")).select("__row.*")
-    return out.select(*docs.columns)
+        out = out.groupBy("id", "doc").agg(F.min_by("row", F.to_json("row")).alias("row"))
+    return out.select("row.*")

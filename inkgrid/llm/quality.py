@@ -158,7 +158,8 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Repeated rows stay or go together; a null or an empty text goes by the score of an empty piece.
     """
-    names = ("__score", "__predicted")
+    free = [n for n in (f"__own{k}" for k in range(len(docs.columns) + 2)) if n not in docs.columns]
+    names = (free[0], free[1])
     model = fit(docs, labels)
     if not model.weights:
         logging.getLogger(__name__).warning("too few labelled texts of both classes for a classifier: no document is rejected")

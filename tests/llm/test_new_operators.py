@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from inkgrid.llm import collocations, mixing, resampling
+from inkgrid.llm import collocations, decontaminate, mixing, ngram_join, quality, resampling
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_words string"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -240,3 +240,40 @@ def test_many_sources_are_refused(docs, monkeypatch):
     monkeypatch.setattr(mixing, "MOST_SOURCES", 2)
     with pytest.raises(ValueError):
         mixing.mix(docs)
+
+
+def test_callers_columns_clash_with_nothing(spark):
+    """Names that the operators use inside come back with the caller's values and types."""
+    texts = ["one two three four five six seven"] * 2 + ["the quick brown fox jumps over the lazy dog again", None]
+    own = ["__id", "__doc", "__row", "__gid", "__score", "__predicted", "__own0", "__piece", "gid", "id", "row", "node"]
+    rows = spark.createDataFrame([(k, t, *[f"{c}{k}" for c in own]) for k, t in enumerate(texts)], f"doc_id bigint, text string, {', '.join(f'`{c}` string' for c in own)}")
+    items = spark.createDataFrame([(1, "quick brown fox jumps")], "item_id bigint, text string")
+    labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
+    for kept, ids in (
+        (ngram_join.one_of_each(rows), {0, 2, 3}),
+        (ngram_join.one_of_each(rows.union(rows)), {0, 2, 3}),
+        (decontaminate.drop_leaks(rows, items), {0, 1, 3}),
+        (decontaminate.drop_leaks(rows, items, broadcast_chars=0), {0, 1, 3}),
+        (quality.keep_good(rows, labels), {0, 1, 2, 3}),
+    ):
+        found = kept.collect()
+        assert kept.columns == rows.columns and sorted(r["doc_id"] for r in found) == sorted(ids)
+        assert all(r[c] == f"{c}{r['doc_id']}" for r in found for c in own)
+
+
+def test_groups_within_groups_go(spark):
+    """Of nested groups only the largest is compared, and every pair of members is still in some group."""
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(999)}" for _ in range(60)]
+    made = []
+    for k in range(40):
+        words = list(base)
+        for _ in range(rng.choice([0, 0, 1])):
+            words[rng.randrange(60)] = f"x{k}"
+        made.append((k, " ".join(words), None, None, None))
+    docs = spark.createDataFrame(made, DOCS)
+    shingles = {i: frozenset(tuple(t.split()[j : j + 5]) for j in range(len(t.split()) - 4)) for i, t, *_ in made}
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.near_duplicates(docs).collect()}
+    for i, s in shingles.items():
+        texts = {made[j][1] for j, o in shingles.items() if made[j][1] != made[i][1] and len(s & o) >= 0.8 * len(s | o)}
+        assert got[i] == len(texts)
