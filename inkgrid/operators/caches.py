@@ -61,6 +61,40 @@ def entries(results: DataFrame, now: float, settings: Settings) -> DataFrame:
     return kept.groupBy("key").agg(best).select("key", "b.answer", F.col("b.at").alias("cached_at"))
 
 
+def _bucketed(rows: DataFrame, buckets: int):
+    return rows.select("key", "answer", "cached_at").repartition(buckets, "key").write.bucketBy(buckets, "key").sortBy("key")
+
+
+def save_table(results: DataFrame, now: float, settings: Settings, name: str, buckets: int = 64) -> None:
+    """Adds what may be saved to a cache table in buckets by key, which is made at the first time; each key stays one row.
+
+    Joins with the table by key (`hits`, `misses`, `answered`) leave it where it lies: only the other side is shuffled. What is
+    there already and still counts is not saved again, so that a step that is repeated changes nothing. An expired entry stays
+    until `compact`; a good answer to its key is added beside it and counts.
+    """
+    spark, new = results.sparkSession, entries(results, now, settings)
+    if spark.catalog.tableExists(name):
+        known = live(spark.table(name), now, settings).select("key", F.col("cached_at").alias("__since"))
+        # A good answer may follow a timeout; nothing follows a good answer.
+        held = known.groupBy("key").agg(F.bool_or(F.col("__since").isNull()).alias("__good"))
+        new = new.join(held, "key", "left").filter(F.col("__good").isNull() | (~F.col("__good") & F.col("cached_at").isNull()))
+        rows = spark.createDataFrame([], new.schema) if new.isEmpty() else new
+        _bucketed(rows, buckets).mode("append").saveAsTable(name)
+    else:
+        _bucketed(new, buckets).saveAsTable(name)
+
+
+def compact(spark: SparkSession, now: float, settings: Settings, name: str, buckets: int = 64) -> None:
+    """Rewrites a cache table with one row for each key, good answers before timeouts, without what has expired.
+
+    The new table is complete before it takes the old one's name.
+    """
+    rows = live(spark.table(name), now, settings).groupBy("key").agg(F.min(F.struct(F.col("cached_at").isNotNull().alias("late"), (-F.coalesce("cached_at", F.lit(0.0))).alias("at"), "answer", "cached_at")).alias("b"))
+    _bucketed(rows.select("key", "b.answer", "b.cached_at"), buckets).mode("overwrite").saveAsTable(f"{name}_compacted")
+    spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"ALTER TABLE {name}_compacted RENAME TO {name.rsplit('.', 1)[-1]}")
+
+
 def save(results: DataFrame, now: float, settings: Settings, path: str) -> None:
     """Adds what may be saved to a cache table."""
     entries(results, now, settings).write.mode("append").parquet(path)

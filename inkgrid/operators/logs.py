@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,7 +17,7 @@ REDACTED = "[redacted]"
 KNOWN = ("ts", "level", "event", "message", "request_id", "task_id", "run_id", "session_id")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
+def read(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Log lines: line_no (orderable), the columns KNOWN, and `payload`, a map of all other keys; lines that are no JSON object go.
 
     line_no follows the files by time of change, then the lines of each, so that rotated files come before the newest one.
@@ -37,6 +39,40 @@ def tail(logs: DataFrame, limit: int = 200, **ids: str | None) -> DataFrame:
     return logs.orderBy(F.desc("line_no")).limit(max(1, min(limit, 1000))).orderBy("line_no")
 
 
+def _files(spark: SparkSession, path: str) -> Iterator[str]:
+    """The log's files, the newest day's first and of a day the last changed; days are looked into one at a time."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = list(system.listStatus(root))
+    shown = lambda f: not f.getPath().getName().startswith(("_", "."))
+    for day in sorted((f for f in found if f.isDirectory() and shown(f)), key=lambda f: f.getPath().getName(), reverse=True):
+        inside = [f for f in system.listStatus(day.getPath()) if f.isFile() and shown(f)]
+        yield from (f.getPath().toString() for f in sorted(inside, key=lambda f: (f.getModificationTime(), f.getPath().toString()), reverse=True))
+    plain = [f for f in found if f.isFile() and shown(f)]
+    yield from (f.getPath().toString() for f in sorted(plain, key=lambda f: (f.getModificationTime(), f.getPath().toString()), reverse=True))
+
+
+def tail_of(spark: SparkSession, path: str, limit: int = 200, **ids: str | None) -> DataFrame:
+    """The last lines of a log that `write` lays out by day, as `tail` gives them, without reading all of it.
+
+    Files are read from the newest on, twice as many each time, and no more once they hold enough lines with the ids given.
+    Days come in the order of their names, a day's files in that of their last change. A log without files gives no rows.
+    """
+    limit, files, read_, steps = max(1, min(limit, 1000)), _files(spark, path), [], 1
+    made, held = None, 0
+    while held < limit and (more := list(islice(files, steps))):
+        # Numbered by how near the end its files are: the line numbers of single reads don't know of each other.
+        lines_ = read(spark, more).withColumn("line_no", F.struct(F.lit(-len(read_)).alias("step"), F.col("line_no").alias("line")))
+        lines_ = tail(lines_, limit, **ids)
+        held += lines_.count()
+        made = lines_ if made is None else made.unionByName(lines_)
+        read_ += more
+        steps *= 2
+    if made is None:
+        return tail(read(spark, path), limit, **ids)
+    return tail(made, limit)
+
+
 def cleaned(payload: Column) -> Column:
     """A string map without nulls and empty texts."""
     return F.map_filter(payload, lambda k, v: v.isNotNull() & (v != ""))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from inkgrid import oracle as o
 from inkgrid.config import Settings
 from inkgrid.functions import text as t
-from inkgrid.operators import caches, clean, logs, match, policies, profile, report, resolve, review, rules, tasks, triage
+from inkgrid.operators import asking, caches, clean, homography, logs, match, policies, profile, report, resolve, review, rules, tasks, triage
 from inkgrid.plans import inspection
 from inkgrid.sources import catalog, ocr, tables
 
@@ -392,6 +393,47 @@ def log_redact_json(spark, sf_dir):
     return made.select("line_no", F.get_json_object("j", "$.a[0].k").alias("k"), F.get_json_object("j", "$.a[0].API_KEY_2").alias("secret"))
 
 
+def _model(prompt: str) -> str:
+    """Stands for a model: it names each field and its rule, is lost with one section and mumbles at another."""
+    shown = json.loads(prompt[len(asking.INSTRUCTION) :])
+    if any(f["id"].startswith("oil") for f in shown):
+        raise TimeoutError("no answer")
+    if any(f["validator"] == "same_day" for f in shown):
+        return "not today"
+    return json.dumps({"fields": {f["id"]: {"value": f"{f['id']}: {f['validator']}", "confidence": 0.5} for f in shown}})
+
+
+@query(
+    f"""{o.UPTO_CHECKS}, shown AS (SELECT page_id, section, field_id, validator FROM messaged WHERE recognizer <> 'checkbox' AND len(cs) > 0),
+s AS (SELECT page_id, section, CASE WHEN bool_or(starts_with(field_id, 'oil')) THEN 'TimeoutError: no answer' WHEN bool_or(validator = 'same_day') THEN 'invalid_cleaner_response' END AS error FROM shown GROUP BY page_id, section)
+SELECT page_id, field_id, CASE WHEN error IS NULL THEN field_id || ': ' || validator ELSE '' END AS value, CASE WHEN error IS NULL THEN 0.5 ELSE 0 END::DOUBLE AS confidence, error FROM shown JOIN s USING (page_id, section)"""
+)
+def model_values(spark, sf_dir):
+    """What a model says of each field, or why it said nothing: sections are asked within a budget of time."""
+    rows = clean.local_clean(tables.form_blocks(spark, sf_dir).select("page_id"), _fields(spark), _resolved(spark, sf_dir))
+    made = asking.values(asking.asked(asking.prompts(rows), _model), rows)
+    return made.select("page_id", "field_id", "value", "confidence", "error")
+
+
+_POINT = "substr(sha256('s' || {0}), 1, {1})"
+_WORD64 = "CAST('0x' || substr({0}, {1}, 16) AS UBIGINT)"
+
+
+@query(
+    f"""WITH t AS (SELECT s_suppkey AS k, {_POINT.format('s_suppkey', 64)} AS d FROM supplier), p AS (SELECT user_id AS page_id, event_id AS x, {_POINT.format('(event_id % 13 + 1)', 48)} || substr(sha256('e' || event_id), 1, 16) AS d FROM events),
+a AS (SELECT page_id, x, k, CAST({' + '.join(f"CAST(bit_count(xor({_WORD64.format('p.d', i)}, {_WORD64.format('t.d', i)})) AS INTEGER)" for i in (1, 17, 33, 49))} AS INTEGER) AS apart FROM p, t),
+n AS (SELECT *, row_number() OVER w AS place, lead(apart) OVER w AS second FROM a WINDOW w AS (PARTITION BY x ORDER BY apart, k))
+SELECT page_id, CAST(x AS DOUBLE) AS x, CAST(k AS DOUBLE) AS tx, apart AS distance FROM n WHERE place = 1 AND apart < 0.8 * second"""
+)
+def keypoint_matches(spark, sf_dir):
+    """Keypoints of pages with their match among a template's: descriptors by hash, a quarter of their bits another's."""
+    point = lambda k, n: F.substring(F.sha2(F.concat(F.lit("s"), k.cast("string")).cast("binary"), 256), 1, n)
+    template = tables.table(spark, sf_dir, "supplier").orderBy("s_suppkey").select(F.col("s_suppkey").alias("x"), F.lit(0).alias("y"), F.unhex(point(F.col("s_suppkey"), 64)).alias("descriptor"))
+    own = F.substring(F.sha2(F.concat(F.lit("e"), F.col("event_id").cast("string")).cast("binary"), 256), 1, 16)
+    points = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("x"), F.lit(0).alias("y"), F.unhex(F.concat(point(F.col("event_id") % 13 + 1, 48), own)).alias("descriptor"))
+    return homography.matches(points, template).select("page_id", "x", "tx", "distance")
+
+
 @query("SELECT user_id AS task_id, event_id FROM (SELECT *, lag(event_type) OVER w AS before, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE n = 1 OR before IS DISTINCT FROM event_type")
 def event_dedup(spark, sf_dir):
     events = tables.table(spark, sf_dir, "events")

@@ -598,3 +598,46 @@ def test_leases_run_out_without_an_event(spark, tmp_path):
     batch = tasks.recover_stale(tasks.current(full, settings), now).collect()
     assert {r["task_id"]: (r["status"], r["attempt_count"]) for r in batch} == {k: v[:2] for k, v in seen.items()}
     assert seen["live"][2] and seen["renewed"][2] and not seen["old"][2]
+
+
+def test_a_tail_reads_few_files(spark, tmp_path):
+    """The newest days' files are enough; the lines are those of a tail over the whole log."""
+    for day in range(1, 31):
+        rows = [(f"2024-01-{day:02d}T{k:02d}:00:00", "info", "e", "a" if k % 5 == 0 else "b", {"n": str(day * 100 + k)}) for k in range(20)]
+        logs.write(spark.createDataFrame(rows, "ts string, level string, event string, task_id string, payload map<string,string>").coalesce(1), str(tmp_path))
+    numbers = lambda rows: [int(r["payload"]["n"]) for r in rows.collect()]
+    for limit, ids, most in ((5, {}, 1), (30, {}, 3), (10, {"task_id": "a"}, 3), (1000, {"task_id": "a"}, 30), (3, {"task_id": "none"}, 30)):
+        found = logs.tail_of(spark, str(tmp_path), limit, **ids)
+        assert len(found.inputFiles()) <= most
+        every = [d * 100 + k for d in range(1, 31) for k in range(20) if not ids or (ids["task_id"] == "a" and k % 5 == 0)]
+        assert numbers(found) == every[-limit:]
+    (tmp_path / "none").mkdir()
+    assert logs.tail_of(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_a_cache_table_stays_where_it_lies(spark):
+    name, settings = f"cache_{os.getpid()}", Settings()
+    result = "key string, answer string, value string, normalized_value string, error string, timed_out boolean"
+    results = spark.createDataFrame([(f"k{k}", f"a{k}", "v", None, None, k % 10 == 0) for k in range(200)], result)
+    for _ in range(2):
+        caches.save_table(results, 1000.0, settings, name, 4)
+    cache = spark.table(name)
+    assert cache.count() == 200 == cache.select("key").distinct().count()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        asked = spark.createDataFrame([("k1",), ("k999",)], "key string").repartition(3)
+        missed = caches.misses(asked, spark.table(name))
+        assert [r["key"] for r in missed.collect()] == ["k999"]
+        plan = missed._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        scan = plan[: plan.rindex("FileScan")].split("SortMergeJoin")[-1]
+        assert "Bucketed: true" in plan and plan.count("Exchange hashpartitioning(key") == 1 and "Exchange" not in scan.split("\n")[-2]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    caches.save_table(results.filter("key = 'k10'").withColumn("timed_out", F.lit(False)), 1001.0, settings, name, 4)
+    assert spark.table(name).filter("key = 'k10'").count() == 2
+    assert {r["cached_at"] for r in spark.table(name).filter("key = 'k20'").collect()} == {1000.0}
+    caches.compact(spark, 1002.0, settings, name, 4)
+    assert spark.table(name).count() == 200 and spark.table(name).filter("key = 'k10'").first()["cached_at"] is None
+    caches.compact(spark, 9999.0, settings, name, 4)
+    assert spark.table(name).count() == 181
+    spark.sql(f"DROP TABLE {name}")
