@@ -16,6 +16,8 @@ from inkgrid.functions.once import dealt
 
 BLOCK_COLUMNS = ("page_id", "block_seq", "block_id", "text", "score", "x1", "y1", "x2", "y2", "cx", "cy")
 MARGIN = 1.04
+#: A catalogue of more fields is matched by cells of the page, of this side in the catalogue's pixels.
+MANY, CELL = 512, 160.0
 
 
 def page_extent(blocks: DataFrame) -> DataFrame:
@@ -107,11 +109,40 @@ def pattern_score() -> Column:
     )
 
 
-def spatial_match(blocks: DataFrame, fields: DataFrame, settings: Settings) -> DataFrame:
+def _cells(low: Column, high: Column) -> Column:
+    """The cells of the canonical page that a stretch reaches into; a hair beyond each end, since the two sides are scaled apart."""
+    return F.sequence(F.floor((F.least(low, high) - 1e-6) / CELL), F.floor((F.greatest(low, high) + 1e-6) / CELL))
+
+
+def _in_cells(rows: DataFrame, box: tuple[Column, ...], name: str) -> DataFrame:
+    """The rows once for each cell that their box reaches into, with the least of them."""
+    rows = rows.withColumns({f"__{name}x": _cells(box[0], box[2]), f"__{name}y": _cells(box[1], box[3])})
+    rows = rows.withColumns({f"__{name}x0": F.col(f"__{name}x")[0], f"__{name}y0": F.col(f"__{name}y")[0]})
+    rows = rows.withColumn("__cx", F.explode(f"__{name}x")).withColumn("__cy", F.explode(f"__{name}y"))
+    return rows.drop(f"__{name}x", f"__{name}y")
+
+
+def _by_cell(spots: DataFrame, fields: DataFrame, shared: list[str]) -> DataFrame:
+    """Blocks and fields that share a cell, each pair once: in the least cell that both reach into."""
+    around = F.coalesce("assignment.expand", F.lit(0.18))
+    box = g.scaled(F.col("target.x"), F.col("target.y"), F.col("target.w"), F.col("target.h"), F.lit(1.0), F.lit(1.0))
+    wide = g.widened(box, around, around, around, around)
+    reach = (F.least(box[0], wide[0]), F.least(box[1], wide[1]), F.greatest(box[2], wide[2]), F.greatest(box[3], wide[3]))
+    own = (F.col("x1") / F.col("sx"), F.col("y1") / F.col("sy"), F.col("x2") / F.col("sx"), F.col("y2") / F.col("sy"))
+    left, right = _in_cells(spots, own, "b"), _in_cells(fields, reach, "f")
+    pairs = left.join(right, [*shared, "__cx", "__cy"])
+    first = (F.col("__cx") == F.greatest("__bx0", "__fx0")) & (F.col("__cy") == F.greatest("__by0", "__fy0"))
+    return pairs.filter(first).drop("__cx", "__cy", "__bx0", "__by0", "__fx0", "__fy0")
+
+
+def spatial_match(blocks: DataFrame, fields: DataFrame, settings: Settings, by_cell: bool | None = None) -> DataFrame:
     """Every (field, block) pair that overlaps, or is near enough, and is no misfit: overlap, near, distance, pattern.
 
-    A theta join: the catalogue, some tens of rows, is broadcast, and the geometry is the join's condition.
+    A catalogue of some tens of rows is broadcast, and the geometry is the join's condition. One of more than MANY rows, such
+    as that of many forms, meets the blocks by equal cells of the page first: no block is held against every field. Where both
+    sides have a template_id, only fields of the block's template are asked. Either way gives the same rows.
     """
+    shared = [c for c in ("template_id",) if c in blocks.columns and c in fields.columns]
     spots = with_text_facts(with_extent(blocks)).withColumns({"sx": F.col("page_w") / F.lit(settings.page_width), "sy": F.col("page_h") / F.lit(settings.page_height)})
     box = g.scaled(F.col("target.x"), F.col("target.y"), F.col("target.w"), F.col("target.h"), F.col("sx"), F.col("sy"))
     around = F.coalesce("assignment.expand", F.lit(0.18))
@@ -119,7 +150,14 @@ def spatial_match(blocks: DataFrame, fields: DataFrame, settings: Settings) -> D
     block = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
     near = g.inside(F.col("cx"), F.col("cy"), wide)
     noisy = F.col("f_label") & (F.col("recognizer") != "checkbox")
-    pairs = spots.join(F.broadcast(fields), ((g.covered(block, box) > 0) | near) & ~noisy)
+    fits = ((g.covered(block, box) > 0) | near) & ~noisy
+    if by_cell if by_cell is not None else fields.limit(MANY + 1).count() > MANY:
+        pairs = _by_cell(spots, fields, shared).filter(fits)
+    else:
+        known = fields.withColumnsRenamed({c: f"__{c}" for c in shared})
+        for c in shared:
+            fits = (F.col(c) == F.col(f"__{c}")) & fits
+        pairs = spots.join(F.broadcast(known), fits).drop(*[f"__{c}" for c in shared])
     pairs = pairs.withColumns({"overlap": g.covered(block, box), "near": near, "distance": g.nearness(F.col("cx"), F.col("cy"), box), "pattern": pattern_score()}).filter(~vetoed())
     return pairs.withColumns({"field_y1": box[1], "field_h": F.greatest(box[3] - box[1], F.lit(1.0))})
 

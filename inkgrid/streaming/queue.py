@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -61,6 +61,17 @@ def without_repeats(events: DataFrame, by: str, order: str, payload: str) -> Dat
     return events.groupBy(by).applyInPandasWithState(run, events.schema, "last string", "append", GroupStateTimeout.NoTimeout)
 
 
+def write_once(events: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """A stream written as Parquet so that every row is there once: a batch's folder is named by its number, and a batch that is
+    done again after a failure replaces it. `written` reads what is there."""
+    return drain(events, lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}"), checkpoint)
+
+
+def written(spark: SparkSession, out: str) -> DataFrame:
+    """What write_once has written, without the batches' numbers; a batch that is still being written is not seen."""
+    return spark.read.option("basePath", out).parquet(f"{out}/batch=*").drop("batch")
+
+
 def claims(events: DataFrame, settings: Settings, now: float, count: int) -> DataFrame:
     """What a batch of the queue's log lets a worker claim now, stale runs put back first."""
     return tasks.claim(tasks.recover_stale(tasks.current(events, settings), now), now, settings, count)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import random
 import threading
 import time
 
@@ -641,3 +642,37 @@ def test_a_cache_table_stays_where_it_lies(spark):
     caches.compact(spark, 9999.0, settings, name, 4)
     assert spark.table(name).count() == 181
     spark.sql(f"DROP TABLE {name}")
+
+
+def test_many_forms_are_matched_by_cell(spark):
+    """The same pairs by cells as by the broadcast join, on boxes that touch, hang over edges and have no area; no nested loop in the plan."""
+    rng = random.Random(12)
+    side = lambda: rng.choice([0, 1, 40, 159, 160, 161, 700])
+    made = []
+    for k in range(60):
+        extra = rng.choice([{}, {"expand": 0.0}, {"expand": 1.5}])
+        made.append(field(f"f{k:02d}", bbox=(rng.choice([0, 160, 320, rng.randrange(2300)]), rng.choice([0, 160, rng.randrange(1700)]), side(), side()), **extra))
+    fields = catalog.from_fields(spark, made)
+    spots = [(f"t{k}", 0.5, (x, y, x + side(), y + side())) for k in range(150) for x, y in [(rng.choice([0, 160, 320, rng.randrange(2300)]), rng.choice([0, 160, rng.randrange(1700)]))]]
+    found = blocks(spark, *spots).unionByName(blocks(spark, *spots[:20], page="q"))
+    shown = lambda m: sorted((r["page_id"], r["field_id"], r["block_seq"], r["overlap"], r["near"], r["distance"]) for r in m.collect())
+    one, other = match.spatial_match(found, fields, Settings(), False), match.spatial_match(found, fields, Settings(), True)
+    assert len(shown(one)) > 300 and shown(one) == shown(other)
+    assert "NestedLoop" not in other._jdf.queryExecution().executedPlan().toString() and "NestedLoop" in one._jdf.queryExecution().executedPlan().toString()
+    named = fields.withColumn("template_id", F.col("field_seq") % 2), found.withColumn("template_id", F.col("block_seq") % 2)
+    one, other = (match.spatial_match(named[1], named[0], Settings(), way) for way in (False, True))
+    assert shown(one) == shown(other) and 0 < one.count() < 300 + len(spots) * 60 and one.filter("field_seq % 2 <> block_seq % 2").count() == 0
+
+
+def test_a_stream_is_written_once(spark, tmp_path):
+    """A batch that is done again, as after a failure between writing and committing, changes nothing."""
+    source, out, state = (str(tmp_path / n) for n in ("in", "out", "cp"))
+    for k in range(3):
+        spark.range(k * 10, k * 10 + 10).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("id long").parquet(source)
+        queue.write_once(stream, out, state).awaitTermination()
+    last = max((tmp_path / "cp" / "commits").glob("[0-9]*"), key=lambda p: int(p.name))
+    for p in (last, last.with_name(f".{last.name}.crc")):
+        p.unlink(missing_ok=True)
+    queue.write_once(spark.readStream.schema("id long").parquet(source), out, state).awaitTermination()
+    assert sorted(r["id"] for r in queue.written(spark, out).collect()) == list(range(30))
