@@ -17,7 +17,10 @@ from inkgrid.llm.common import cut
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Most labelled URLs that the trees are fitted on, and of ten parts of all URLs by hash the one that is held out of them.
 SAMPLE, PARTS, HELD_OUT = 20_000, 10, 7
-TREES, DEPTH, STEP = 20, 4, 0.2
+TREES, DEPTH, STEP = 30, 3, 0.1
+#: Features that a split may choose from, so that no one suffix decides alone.
+SUBSET = "sqrt"
+#: Where rules and trees are compared; the cut for URLs without a rule is `cut_to_prior`'s.
 BLOCK_FROM = 0.5
 #: Suffixes are counted in so many cells, by hash: what is broadcast of them never grows beyond that.
 CELLS = 1 << 18
@@ -103,7 +106,7 @@ def _labelled(pages: DataFrame, rules) -> DataFrame:
 
 
 def fitted(rows: DataFrame, counts: DataFrame, sample: int = SAMPLE):
-    """The trees, from at most `sample` URLs that have a `by_rule`, without the part held out; None if all of them agree.
+    """(trees, share of `block`), from at most `sample` URLs that have a `by_rule`, without the part held out; None if all of them agree.
 
     Both verdicts weigh the same together, so that a score of a half says that a URL looks as much like one as like the other,
     whichever is commoner.
@@ -114,8 +117,8 @@ def fitted(rows: DataFrame, counts: DataFrame, sample: int = SAMPLE):
     if not n or blocked in (0.0, n):
         return None
     weighed = with_shares(with_features(few), counts).withColumn("weight", F.when(F.col("label") == 1, n / (2 * blocked)).otherwise(n / (2 * (n - blocked))))
-    trees = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=3)
-    return trees.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(weighed).select("features", "label", "weight"))
+    trees = GBTClassifier(labelCol="label", weightCol="weight", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, featureSubsetStrategy=SUBSET, seed=3)
+    return trees.fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(weighed).select("features", "label", "weight")), blocked / n
 
 
 def scored(rows: DataFrame, counts: DataFrame, trees) -> DataFrame:
@@ -128,7 +131,7 @@ def agreement(pages: DataFrame, rules=RULES) -> tuple[int, float, float, float]:
     """Over the rule-labelled URLs held out: how many, the share on which trees and rules agree, the mean of that share over both verdicts, and the share of the commoner verdict."""
     rows = _labelled(pages.select("page_id", "url"), rules)
     counts = suffix_counts(rows)
-    trees = fitted(rows, counts)
+    trees, _ = fitted(rows, counts)
     out = rows.filter(F.col("by_rule").isNotNull() & (F.pmod(F.xxhash64("url"), F.lit(PARTS)) == HELD_OUT))
     same = ((F.col("score") >= BLOCK_FROM) == (F.col("by_rule") == "block")).cast("double")
     by = {r["by_rule"]: (r["n"], r["same"]) for r in scored(out, counts, trees).groupBy("by_rule").agg(F.count("*").alias("n"), F.sum(same).alias("same")).collect()}
@@ -136,19 +139,32 @@ def agreement(pages: DataFrame, rules=RULES) -> tuple[int, float, float, float]:
     return n, sum(x[1] for x in by.values()) / n, sum(x[1] / x[0] for x in by.values()) / len(by), max(x[0] for x in by.values()) / n
 
 
+def cut_to_prior(score: DataFrame, prior: float) -> float:
+    """The score from which on URLs are blocked, so that their share comes as near to the rules' share as equal scores allow."""
+    at = score.agg(F.percentile_approx("score", 1 - prior, 100_000).alias("v"), F.count("*").alias("n")).first()
+    if not at["n"]:
+        return BLOCK_FROM
+    above, least, both = score.agg(F.count_if(F.col("score") > at["v"]), F.min(F.when(F.col("score") > at["v"], F.col("score"))), F.count_if(F.col("score") >= at["v"])).first()
+    nearer = least is not None and abs(above / at["n"] - prior) <= abs(both / at["n"] - prior)
+    return least if nearer else at["v"]
+
+
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and score (the trees' chance of `block`) of every row.
 
     A fitting rule's verdict stands, the longest rule's first. Other URLs are judged by trees fitted on at most SAMPLE
-    rule-labelled URLs; what they see of suffixes is how many of all pages have them, never a label. If all labels agree or
-    there are none, the verdict of the rest is the labels' (allow without labels) and score is null. Null and odd URLs have
+    rule-labelled URLs; what they see of suffixes is how many of all pages have them, never a label. Of the URLs without a rule
+    those that look most like blocked ones are blocked, as large a share as the rules block. If all labels agree or there are
+    none, the verdict of the rest is the labels' (allow without labels) and score is null. Null and odd URLs have
     empty parts and are judged like any other; repeated rows stay; other columns are ignored.
     """
     rows = _labelled(pages.select("page_id", "url"), rules)
     counts = suffix_counts(rows)
-    trees = fitted(rows, counts)
-    if trees is None:
+    made = fitted(rows, counts)
+    if made is None:
         first = rows.filter("by_rule is not null").select("by_rule").first()
         return rows.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit(first[0] if first else "allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
-    by_trees = F.when(F.col("score") >= BLOCK_FROM, "block").otherwise("allow")
-    return scored(rows, counts, trees).select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_trees).alias("verdict"), "score")
+    trees, prior = made
+    held = cut(scored(rows, counts, trees).select("page_id", "host", "path", "rule", "by_rule", "score"))
+    by_trees = F.when(F.col("score") >= cut_to_prior(held.filter("by_rule is null"), prior), "block").otherwise("allow")
+    return held.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_trees).alias("verdict"), "score")

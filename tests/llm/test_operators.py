@@ -682,6 +682,15 @@ def test_url_trees_agree_with_labels_held_out(spark):
     made = spark.createDataFrame([(k, u, None) for k, u in enumerate(urls)], PAGES)
     n, share, balanced, prior = url_filter.agreement(made, rules)
     assert n > 100 and share > 0.95 and balanced > 0.95 and prior < 0.7
+    got = url_filter.judge(made, rules).collect()
+    ruled, others = [[r["verdict"] for r in got if (r["rule"] is None) == free] for free in (False, True)]
+    assert abs(ruled.count("block") / len(ruled) - others.count("block") / len(others)) < 0.15
+
+
+def test_cuts_come_near_the_prior(spark):
+    cut = lambda scores, prior: url_filter.cut_to_prior(spark.createDataFrame([(s,) for s in scores], "score double"), prior)
+    assert cut([0.1, 0.2, 0.3, 0.4], 0.25) == 0.4 and cut([0.1, 0.2, 0.3, 0.4], 0.5) == 0.3
+    assert cut([0.1] + [0.9] * 9, 0.8) == 0.9 and cut([0.9] * 5, 0.8) == 0.9 and cut([], 0.3) == url_filter.BLOCK_FROM
 
 
 def brute_removed(rows):
