@@ -14,13 +14,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid.config import Settings, clamp
 from inkgrid.functions import text as t
 from inkgrid.functions.once import dealt
-from inkgrid.operators import caches, clean
+from inkgrid.operators import caches, clean, triage
 from inkgrid.operators.rules import repaired_range
 
 ANSWERS = "page_id {0}, section string, answer string, error string, timed_out boolean, duration_ms bigint"
@@ -33,6 +33,26 @@ INSTRUCTION = (
     'answer with one JSON object {"fields": {"<id>": {"value": "", "normalized_value": "", "confidence": 0.0, "needs_review": false, "reason": ""}}}.\n'
 )
 
+FIELD_ANSWER = 'Read this field alone, not its neighbours; an empty field has empty values. Answer with one JSON object {"value": "", "normalized_value": "", "confidence": 0.0}.'
+KIND_HINTS = {
+    "numeric_text": "Give digits only; of several numbers the one that belongs to the field's name. ",
+    "date_text": "Give the date, as YYYY-MM-DD if it can be read so, without its caption. ",
+    "free_text": "Give what is written by hand in the languages it is in, without lines and captions that are printed. ",
+    "signature_or_text": "Give the name that is signed; a signature that can't be read is SIGN_PRESENT. ",
+}
+ANY_KIND = "Give what was filled in, without the field's caption. "
+RULE_HINTS = {
+    "name_not_place": "It is a person's name or signature: no place, date, number or release statement. ",
+    "exact_text": "It is one of few values; spellings of one value are the same. ",
+    "contains_english": "The English part of the report is wanted; what is Chinese may be left out. ",
+    "bilingual_text": "Both the Chinese and the English part of the report are wanted, without part numbers and captions. ",
+}
+TRIAGE_INSTRUCTION = (
+    "You help a person who audits forms and has little time. From the issues below choose at most {} to show, the riskiest and those whose evidence is weakest first; "
+    "merge repeated ones, change no verdict, and call a review_pending issue something to review, never a violation. "
+    'Answer with one JSON object {{"problem_items": [{{"field_id": "", "kind": "failure or review", "text": ""}}], "reason": ""}} with ids from the list.\n'
+)
+
 
 @dataclass(frozen=True)
 class Budget:
@@ -134,6 +154,51 @@ def prompts(rows: DataFrame, instruction: str = INSTRUCTION) -> DataFrame:
     return clean.requests(rows).select("page_id", "section", F.concat(F.lit(instruction), "payload").alias("prompt"))
 
 
+def _rule() -> Column:
+    """What a field's rule wants, in words, and the rule itself with its parameters."""
+    low, high = (F.coalesce(F.col(f"params.{k}").cast("string"), F.lit("any")) for k in ("min", "max"))
+    special = F.when(F.col("validator") == "int_range", F.concat(F.lit("It is a number from "), low, F.lit(" to "), high, F.lit(". "))).otherwise("")
+    for name, hint in RULE_HINTS.items():
+        special = F.when(F.col("validator") == name, F.lit(hint)).otherwise(special)
+    return F.concat(special, F.lit("Rule: "), "validator", F.lit(" "), F.to_json("params"), F.lit(". "))
+
+
+def field_prompts(checks: DataFrame) -> DataFrame:
+    """Checks (field_id, label, recognizer, validator, params) with the prompt for a reading of the field's own image."""
+    kind = F.lit(ANY_KIND)
+    for name, hint in KIND_HINTS.items():
+        kind = F.when(F.col("recognizer") == name, F.lit(hint)).otherwise(kind)
+    return checks.withColumn("prompt", F.concat(F.lit("The image shows one field of a form: "), "label", F.lit(". "), kind, _rule(), F.lit(FIELD_ANSWER)))
+
+
+def triage_prompts(checks: DataFrame, settings: Settings) -> DataFrame:
+    """page_id, section, prompt: which few of a page's issues to show, as `asked` takes them. Pages without issues have none."""
+    opening = TRIAGE_INSTRUCTION.format(settings.issues)
+    return triage.requests(checks).select("page_id", F.lit("triage").alias("section"), F.concat(F.lit(opening), "payload").alias("prompt"))
+
+
+def triage_items(answers: DataFrame) -> DataFrame:
+    """page_id, pos, field_id, kind, text of the items in answers to triage_prompts, as triage.accepted_items takes them.
+
+    An answer that failed or has no items gives no rows: the page keeps its ranking by rule.
+    """
+    body = F.from_json(t.json_inside(t.unfenced(F.col("answer"))), "problem_items array<struct<field_id:string,kind:string,text:string>>")
+    rows = answers.filter("error is null").select("page_id", F.posexplode(body["problem_items"]).alias("pos", "i"))
+    return rows.filter("i is not null").select("page_id", "pos", *[F.coalesce(F.col(f"i.{c}"), F.lit("")).alias(c) for c in ("field_id", "kind", "text")])
+
+
+def triaged(checks: DataFrame, ask: Callable[[str], str], settings: Settings, budget: Budget = Budget()) -> DataFrame:
+    """The issues shown for each page: those a model chose that are issues of the page, or by rule where it chose none."""
+    kind = F.when(F.col("kind") == 0, "failure").otherwise("review").alias("kind")
+    by_rule = triage.top_issues(checks, settings).select("page_id", "slot", "text", "field_id", "label", kind, "risk_level", "evidence_state")
+    answers = asked(triage_prompts(checks, settings), ask, budget)
+    chosen = triage.accepted_items(triage_items(answers), checks, settings)
+    rows = chosen.withColumn("__way", F.lit(0)).unionByName(by_rule.withColumn("__way", F.lit(1)))
+    # One pass over both: a model whose answers were looked at twice would be asked twice, and may say something else.
+    best = F.min("__way").over(Window.partitionBy("page_id"))
+    return rows.withColumn("__best", best).filter("__way = __best").drop("__way", "__best")
+
+
 def cleaning_key(section: Column, provider: str, model: str, prompt: Column, version: str) -> Column:
     """The key of a section's answer: the section, who was asked, and what (fields, candidates and instruction are in the prompt)."""
     return caches.key(section, F.lit(provider), F.lit(model), prompt, F.lit(version))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from inkgrid import oracle as o
 from inkgrid.config import Settings
 from inkgrid.functions import text as t
-from inkgrid.operators import asking, caches, clean, homography, logs, match, policies, profile, report, resolve, review, rules, tasks, triage
+from inkgrid.operators import asking, caches, clean, homography, layout, logs, match, policies, profile, report, resolve, review, rules, tasks, triage
 from inkgrid.plans import inspection
-from inkgrid.sources import catalog, ocr, tables
+from inkgrid.sources import catalog, jobs, ocr, scans, tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -626,3 +626,61 @@ def nested_extract(spark, sf_dir):
 def block_round_trip(spark, sf_dir):
     blocks = tables.form_blocks(spark, sf_dir).withColumns({"cx": (F.col("x1") + F.col("x2")) / 2, "cy": (F.col("y1") + F.col("y2")) / 2, "source": F.lit("derived")})
     return ocr.blocks_from_json(ocr.block_json(blocks)).select("page_id", "block_seq", "text", "score", "cx")
+
+
+@query(
+    f"""WITH {o.BLOCKS}, n AS (SELECT page_id, count(*) FILTER (block_seq % 11 <> 0 AND text <> '') AS n FROM blocks GROUP BY page_id),
+p AS (SELECT *, page_id % 5 = 0 AND page_id % 10 <> 0 AS hit, page_id % 7 AS k FROM n),
+e AS (SELECT *, CASE WHEN hit THEN NULL WHEN k = 2 THEN 'no job' WHEN k = 3 THEN 'unreadable job.json' WHEN k = 0 THEN 'too dark' WHEN k = 1 THEN 'expired' WHEN k = 4 THEN 'ppocr_job_failed'
+  WHEN page_id % 11 = 0 THEN 'no result.jsonl' WHEN page_id % 13 = 0 THEN 'unreadable lines in result.jsonl: 2' END AS error FROM p)
+SELECT page_id, hit OR error IS NULL AS ok, error, CASE WHEN hit THEN 'cache' WHEN k IN (5, 6) THEN 'j' || page_id END AS job_id, hit AS cache_hit, CAST(CASE WHEN hit THEN 2 WHEN error IS NULL THEN n ELSE 0 END AS INTEGER) AS n_blocks FROM e"""
+)
+def ingest_jobs(spark, sf_dir):
+    """What became of each page's recogniser job, of those that the cache lacks: failed, unreadable, missing, broken and fine ones."""
+    results, k = tables.recogniser_results(spark, sf_dir), F.col("page_id") % 7
+    pages = results.select("page_id", caches.content_key(F.col("page_id").cast("string")).alias("key"))
+    job = (
+        F.when(k == 0, '{"ok": false, "state": "failed", "error": "too dark"}').when(k == 1, '{"ok": false, "state": "expired", "error": ""}').when(k == 3, '{"ok": tr')
+        .when(k == 4, '{"state": null}').otherwise(F.concat(F.lit('{"ok": true, "job_id": "j'), F.col("page_id").cast("string"), F.lit('", "pages": [1]}')))
+    )
+    made = results.filter(k != 2).select("page_id", job.alias("value"), (F.col("page_id") % 11 != 0).alias("has_result"))
+    noise = F.when(F.col("page_id") % 13 == 0, F.array(F.lit('{"result": {'), F.lit(" "), F.lit("null and void"))).otherwise(F.array(F.lit(""), F.lit("{}")))
+    lines = results.select("page_id", F.posexplode(F.concat(F.array(F.to_json(F.struct("result"))), noise)).alias("line_no", "value"))
+    known = F.when(F.col("page_id") % 10 == 0, '[{"id": "b0000"}').otherwise('[{"id": "b0000", "text": "x", "box": [1, 2, 3, 4]}, {"id": "b0001", "text": "y"}]')
+    cache = pages.filter("page_id % 5 = 0").select("key", known.alias("answer"), F.lit(None).cast("double").alias("cached_at"))
+    rows = jobs.ingested(pages, made, lines, cache, 0.0, SETTINGS)[0]
+    return rows.select("page_id", "ok", "error", "job_id", "cache_hit", F.size("blocks").alias("n_blocks"))
+
+
+@query(
+    r"""WITH a AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '```json' || chr(10) || '{"summary": "s' || event_id || '", "field_candidates": {"a": {"value": "' || event_type || '", "near": [{"b": 1}]}, "b": ' || event_id || '}, "blocks": [1, [2], {}]}' || chr(10) || '```'
+  WHEN 1 THEN 'It says {"field_candidates": {"a": {"score": 1}, "b": true}, "blocks": {"x": {"y": 1}}} so far' WHEN 2 THEN event_type || ' only' WHEN 3 THEN '{"field_candidates": ["a"], "summary": "s"}' END AS content FROM events),
+j AS (SELECT *, try_cast(nullif(regexp_extract(content, '(?s)[{].*[}]'), '') AS JSON) AS j FROM a),
+f AS (SELECT *, coalesce(json_type(j, '$.field_candidates') = 'OBJECT', FALSE) AS found FROM j)
+SELECT event_id, CASE WHEN found THEN j->>'$.summary' END AS summary, CAST(CASE WHEN found THEN CASE json_type(j, '$.blocks') WHEN 'ARRAY' THEN json_array_length(j, '$.blocks') ELSE len(json_keys(j, '$.blocks')) END END AS INTEGER) AS block_count,
+  CASE WHEN found THEN j->>'$.field_candidates.a.value' END AS a, CASE WHEN found THEN j->>'$.field_candidates.b' END AS b, CASE WHEN NOT found THEN coalesce(content, 'raw ' || event_id) END AS raw_preview FROM f"""
+)
+def layout_summary(spark, sf_dir):
+    """What a layout model says of pages, summed up: fenced, among words, without JSON, with no object of fields, nothing at all."""
+    k, n = F.col("event_id") % 5, F.col("event_id").cast("string")
+    full = ['```json\n{"summary": "s', n, '", "field_candidates": {"a": {"value": "', F.col("event_type"), '", "near": [{"b": 1}]}, "b": ', n, '}, "blocks": [1, [2], {}]}\n```']
+    content = (
+        F.when(k == 0, F.concat(*[F.lit(c) if isinstance(c, str) else c for c in full]))
+        .when(k == 1, 'It says {"field_candidates": {"a": {"score": 1}, "b": true}, "blocks": {"x": {"y": 1}}} so far')
+        .when(k == 2, F.concat("event_type", F.lit(" only")))
+        .when(k == 3, '{"field_candidates": ["a"], "summary": "s"}')
+    )
+    rows = tables.table(spark, sf_dir, "events").select("event_id", content.alias("content"), F.concat(F.lit("raw "), n).alias("raw"))
+    made = layout.summaries(rows)
+    return made.select("event_id", "summary", "block_count", *[F.col("field_candidates")[c].alias(c) for c in "ab"], "raw_preview")
+
+
+@query(
+    """WITH h AS (SELECT c_custkey AS page_id, sha256(CAST(c_custkey AS VARCHAR)) AS h FROM customer), p AS (SELECT page_id, list_transform(range(32), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS INTEGER)) AS p FROM h)
+SELECT page_id, array_to_string(list_transform(range(8), lambda k: printf('%02X', CAST(round_even((p[16 * (k // 4) + 2 * (k % 4) + 1] + p[16 * (k // 4) + 2 * (k % 4) + 2] + p[16 * (k // 4) + 2 * (k % 4) + 9] + p[16 * (k // 4) + 2 * (k % 4) + 10]) / 4, 0) AS INTEGER))), '') AS pixels FROM p"""
+)
+def smaller_images(spark, sf_dir):
+    """Images of eight by four grey pixels, by hash, at half their size."""
+    data = F.unhex(F.sha2(F.col("c_custkey").cast("string").cast("binary"), 256))
+    rows = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.lit(4).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
+    return scans.smaller(rows, 4).select("page_id", F.hex("data").alias("pixels"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RESULT = "struct<ocrResults:array<struct<prunedResult:struct<rec_texts:array<string>,rec_scores:array<double>,rec_boxes:array<array<double>>>,ocrImage:string>>>"
+#: Where blocks come from that don't say it.
+SOURCE = "ppocrv6"
 BLOCKS = "page_id string, block_seq int, block_id string, text string, score double, x1 double, y1 double, x2 double, y2 double, cx double, cy double, source string"
 
 
@@ -16,7 +18,7 @@ def read_results(spark: SparkSession, path: str, page: str = "_metadata.file_pat
     return rows.withColumn("record_no", F.row_number().over(Window.partitionBy("page_id").orderBy(F.expr("_metadata.file_block_start"), F.monotonically_increasing_id())))
 
 
-def blocks(results: DataFrame, source: str = "ppocrv6") -> DataFrame:
+def blocks(results: DataFrame, source: str = SOURCE) -> DataFrame:
     """(page_id, record_no, result) to blocks: texts, scores and boxes side by side, as far as all three go.
 
     Empty texts are left out and not counted; ids number what is left of a page, b0000 on; a missing score is 0.
@@ -79,5 +81,5 @@ def blocks_from_json(rows: DataFrame) -> DataFrame:
     x1, y1, x2, y2 = (F.get("b.box", F.lit(k)) for k in range(4))
     return parsed.select(
         "page_id", "block_seq", F.col("b.id").alias("block_id"), "b.text", F.coalesce("b.score", F.lit(0.0)).alias("score"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"),
-        F.coalesce(F.get("b.center", F.lit(0)), (x1 + x2) / 2).alias("cx"), F.coalesce(F.get("b.center", F.lit(1)), (y1 + y2) / 2).alias("cy"), F.coalesce("b.source", F.lit("ppocrv6")).alias("source"),
+        F.coalesce(F.get("b.center", F.lit(0)), (x1 + x2) / 2).alias("cx"), F.coalesce(F.get("b.center", F.lit(1)), (y1 + y2) / 2).alias("cy"), F.coalesce("b.source", F.lit(SOURCE)).alias("source"),
     )

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from inkgrid.operators.homography import mapped
+from inkgrid.sources.images import fitted
 
 WHITE = 255.0
 #: Output pixels worked out at once.
@@ -153,3 +154,8 @@ def straightened(images: DataFrame, width: int = 2400) -> DataFrame:
 def cleaned(images: DataFrame, binary: bool = True) -> DataFrame:
     """Images in one channel, evenly lit, and black and white if asked."""
     return _each(images, lambda image, row: (black_white(evened(grey(image))) if binary else evened(grey(image)))[:, :, None], [])
+
+
+def smaller(images: DataFrame, longest: int) -> DataFrame:
+    """Images with no side longer than given; those that fit stay as they are."""
+    return _each(images, lambda image, row: fitted(image, max(1, longest)), [])
