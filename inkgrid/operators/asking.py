@@ -14,7 +14,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.config import Settings, clamp
@@ -189,14 +189,7 @@ def triage_items(answers: DataFrame) -> DataFrame:
 
 def triaged(checks: DataFrame, ask: Callable[[str], str], settings: Settings, budget: Budget = Budget()) -> DataFrame:
     """The issues shown for each page: those a model chose that are issues of the page, or by rule where it chose none."""
-    kind = F.when(F.col("kind") == 0, "failure").otherwise("review").alias("kind")
-    by_rule = triage.top_issues(checks, settings).select("page_id", "slot", "text", "field_id", "label", kind, "risk_level", "evidence_state")
-    answers = asked(triage_prompts(checks, settings), ask, budget)
-    chosen = triage.accepted_items(triage_items(answers), checks, settings)
-    rows = chosen.withColumn("__way", F.lit(0)).unionByName(by_rule.withColumn("__way", F.lit(1)))
-    # One pass over both: a model whose answers were looked at twice would be asked twice, and may say something else.
-    best = F.min("__way").over(Window.partitionBy("page_id"))
-    return rows.withColumn("__best", best).filter("__way = __best").drop("__way", "__best")
+    return triage.chosen(triage_items(asked(triage_prompts(checks, settings), ask, budget)), checks, settings)
 
 
 def cleaning_key(section: Column, provider: str, model: str, prompt: Column, version: str) -> Column:

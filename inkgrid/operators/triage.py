@@ -136,3 +136,22 @@ def accepted_items(items: DataFrame, checks: DataFrame, settings: Settings) -> D
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("page_id", "field_id").orderBy("pos"))).filter("n = 1")
     rows = rows.withColumn("slot", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).filter(F.col("slot") <= settings.issues)
     return rows.select("page_id", "slot", "text", "field_id", "label", F.when(F.col("own_kind") == 0, "failure").otherwise("review").alias("kind"), "risk_level", "evidence_state")
+
+
+def chosen(items: DataFrame, checks: DataFrame, settings: Settings) -> DataFrame:
+    """The issues shown: those that accepted_items takes of a model's answer, by rule for pages of which it takes none.
+
+    Both are told from one ranking of the issues, so that checks are worked out once.
+    """
+    ranked = with_slots(checks).filter("slot is not null").select("page_id", "field_id", F.col("kind").alias("own_kind"), F.col("text").alias("own_text"), "label", "risk_level", "evidence_state", F.col("slot").alias("own_slot"))
+    rows = ranked.join(items.withColumn("field_id", t.strip(F.col("field_id"))), ["page_id", "field_id"], "left")
+    said = F.lower(t.strip(F.col("kind")))
+    wrong = ((F.col("own_kind") == 0) & said.isin("review", "review_pending", "needs_review")) | ((F.col("own_kind") == 1) & said.isin("failure", "fail", "failed"))
+    rows = rows.withColumn("__pos", F.when(~wrong, F.col("pos")))
+    one = F.row_number().over(Window.partitionBy("page_id", "field_id").orderBy(F.asc_nulls_last("__pos")))
+    rows = rows.withColumn("__n", one).filter("__n = 1")
+    page, place = Window.partitionBy("page_id"), Window.partitionBy("page_id").orderBy(F.asc_nulls_last("__pos"), "own_slot")
+    rows = rows.withColumn("__any", F.min("__pos").over(page).isNotNull()).withColumn("slot", F.row_number().over(place))
+    rows = rows.filter((F.col("slot") <= settings.issues) & (~F.col("__any") | F.col("__pos").isNotNull()))
+    text = F.when(F.col("__any"), t.first_filled(t.strip(F.col("text")), F.col("own_text"))).otherwise(F.col("own_text")).alias("text")
+    return rows.select("page_id", "slot", text, "field_id", "label", F.when(F.col("own_kind") == 0, "failure").otherwise("review").alias("kind"), "risk_level", "evidence_state")

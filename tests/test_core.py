@@ -226,6 +226,15 @@ def test_triage(spark):
     assert got == {0: ("apu", "review"), 1: ("lic", "failure"), 2: ("", "summary")}
     items = spark.createDataFrame([("p", 0, "nope", "failure", "x"), ("p", 1, "apu", "failure", "x"), ("p", 2, "lic", "", ""), ("p", 3, "lic", "", "again")], "page_id string, pos int, field_id string, kind string, text string")
     assert [(r["field_id"], r["text"]) for r in triage.accepted_items(items, made, Settings()).collect()] == [("lic", "lic fails")]
+    for answer, want in (
+        ('{"problem_items": [{"field_id": "apu", "kind": "review", "text": "see apu"}, {"field_id": "at"}, {"field_id": "zz", "kind": "failure", "text": "x"}]}', [(1, "apu", "see apu", "review"), (2, "at", "at fails", "failure")]),
+        ('{"problem_items": [{"field_id": "zz", "kind": "failure", "text": "x"}]}', [(1, "lic", "lic fails", "failure"), (2, "day", "day fails", "failure")]),
+        ("no", [(1, "lic", "lic fails", "failure"), (2, "day", "day fails", "failure")]),
+    ):
+        got = asking.triaged(made, lambda prompt, answer=answer: answer, Settings(issue_limit=2)).orderBy("slot").collect()
+        assert [(r["slot"], r["field_id"], r["text"], r["kind"]) for r in got] == want
+    shown = asking.triage_prompts(made, Settings(issue_limit=3)).first()["prompt"]
+    assert "at most 3" in shown.split("\n")[0] and [i["id"] for i in json.loads(shown.split("\n", 1)[1])] == ["at", "lic", "day", "apu"]
 
 
 @pytest.mark.parametrize(("bbox", "image", "page", "x", "y", "w", "h"), [((690, 1678, 230, 100), (1200, 892), (2400.0, 1784.0), (338, 346), (820, 836), (140, 155), (55, 70))])
