@@ -19,32 +19,92 @@ from inkgrid.operators import registration
 #: A nearest descriptor counts if it is so much nearer than the second; points this near their image are inliers.
 RATIO, REACH = 0.8, 4.0
 #: Fewest keypoints of a page and fewest matches for an estimate; most keypoints of a template, which is broadcast.
-LEAST_POINTS, LEAST_MATCHES, MOST_TEMPLATE = 20, 8, 1 << 16
-#: Descriptors compared at once, draws of four matches at once, and most of such rounds; a round more is not drawn once an all-inlier draw is this likely.
-BLOCK, DRAWS, ROUNDS, SURE = 512, 256, 16, 0.9999
+LEAST_POINTS, LEAST_MATCHES, MOST_TEMPLATE = 20, 8, 1 << 20
+#: Comparisons at once, draws of four matches at once, and most of such rounds; a round more is not drawn once an all-inlier draw is this likely.
+BLOCK, DRAWS, ROUNDS, SURE = 1 << 18, 256, 16, 0.9999
 WORDS = 4
+#: Descriptors tried of those that have one of the 16-bit pieces; beyond this distance around a descriptor lie too many others to look only there.
+TRIED, WIDE = 4, 112
 MATCHES = "page_id {0}, x double, y double, tx double, ty double, distance int"
 ESTIMATE = "page_id {0}, homography array<array<double>>, matches int, inliers int, rmse double"
 
 
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of rows of 64-bit words, word by word, so that what is held stays small."""
+    apart = np.bitwise_count(a[..., 0] ^ b[..., 0]).astype(np.int16)
+    for k in range(1, WORDS):
+        apart += np.bitwise_count(a[..., k] ^ b[..., k])
+    return apart
+
+
 def nearest_two(asked: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(nearest, its Hamming distance, the second's) of rows of 64-bit words among others; the first of equals is the nearest."""
+    """(nearest, its Hamming distance, the second's) of rows of 64-bit words among others; the first of equals is the nearest.
+
+    Where there is no second, its distance is beyond any.
+    """
     at, first, second = (np.zeros(len(asked), np.int64) for _ in range(3))
-    for k in range(0, len(asked), BLOCK):
-        apart = np.bitwise_count(asked[k : k + BLOCK, None, :] ^ known[None, :, :]).sum(2, dtype=np.int64)
+    step = max(1, BLOCK // len(known))
+    for k in range(0, len(asked), step):
+        apart = _apart(asked[k : k + step, None, :], known[None, :, :])
         rows = np.arange(len(apart))
-        at[k : k + BLOCK] = apart.argmin(1)
-        first[k : k + BLOCK] = apart[rows, at[k : k + BLOCK]]
-        apart[rows, at[k : k + BLOCK]] = 1 << 30
-        second[k : k + BLOCK] = apart.min(1)
+        at[k : k + step] = apart.argmin(1)
+        first[k : k + step] = apart[rows, at[k : k + step]]
+        apart[rows, at[k : k + step]] = np.iinfo(np.int16).max
+        second[k : k + step] = apart.min(1)
     return at, first, second
 
 
+class Template:
+    """Descriptors of a template that tell exactly which others match one of them, mostly without comparing with all.
+
+    A descriptor's guess is the nearest of a few that share 16 bits in one place with it. By the triangle inequality, what could
+    be nearer, or near enough for a second, lies around the guess: a guess that has no such neighbour is the match, else only
+    these neighbours are compared. A bad guess, with much around it, is no guess: then all are compared.
+    """
+
+    def __init__(self, known: np.ndarray, ratio: float):
+        self.known, self.ratio, self.more = known, ratio, 1 + max(1.0, 1 / ratio)
+        pieces = known.view(np.uint16)
+        self.order = [np.argsort(p, kind="stable") for p in pieces.T]
+        self.start = [np.concatenate([[0], np.bincount(p, minlength=1 << 16).cumsum()]) for p in pieces.T]
+        self.alone = np.full(len(known), -1, np.int64)
+
+    def _guessed(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at, apart = np.zeros(len(asked), np.int64), np.full(len(asked), 64 * WORDS, np.int64)
+        for piece, order, start in zip(asked.view(np.uint16).T, self.order, self.start):
+            low, high = start[piece], start[piece.astype(np.int64) + 1]
+            for k in range(TRIED):
+                rows = np.flatnonzero(low + k < high)
+                found = order[low[rows] + k]
+                off = _apart(asked[rows], self.known[found])
+                nearer = off < apart[rows]
+                at[rows[nearer]], apart[rows[nearer]] = found[nearer], off[nearer]
+        return at, apart
+
+    def matched(self, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of those asked that have a match, whom they match, the distance), as nearest_two and the ratio have it."""
+        at, first = self._guessed(asked)
+        around = first * self.more + 1
+        known = np.unique(at[around < WIDE])
+        new = known[self.alone[known] < 0]
+        self.alone[new] = nearest_two(self.known[new], self.known)[2]
+        kept = around < self.alone[at]
+        left = np.flatnonzero(~kept)
+        left = left[np.argsort(at[left], kind="stable")]
+        near, far = left[around[left] < WIDE], left[around[left] >= WIDE]
+        groups = np.split(near, np.flatnonzero(np.diff(at[near])) + 1) if len(near) else []
+        for rows, others in [(g, np.flatnonzero(_apart(self.known, self.known[at[g[0]]]) <= around[g].max())) for g in groups] + [(far, np.arange(len(self.known)))]:
+            which, least, second = nearest_two(asked[rows], self.known[others])
+            at[rows], first[rows], kept[rows] = others[which], least, least < self.ratio * second
+        rows = np.flatnonzero(kept)
+        return rows, at[rows], first[rows]
+
+
 def matches(points: DataFrame, template: DataFrame, ratio: float = RATIO) -> DataFrame:
     """page_id, x, y, tx, ty, distance of keypoints (page_id, x, y, descriptor of 32 bytes) that have one template keypoint (x, y, descriptor) to themselves.
 
     The template is one image's keypoints: more than MOST_TEMPLATE are an error. Descriptors that are null or of another size
-    match nothing; a template of fewer than two keypoints has no second and matches nothing.
+    match nothing; a template of fewer than two keypoints has no second and matches nothing. See Template for how they are found.
     """
     held = template.filter(F.octet_length("descriptor") == 8 * WORDS).select("x", "y", "descriptor").limit(MOST_TEMPLATE + 1).toArrow()
     if held.num_rows > MOST_TEMPLATE:
@@ -54,13 +114,13 @@ def matches(points: DataFrame, template: DataFrame, ratio: float = RATIO) -> Dat
     kind = points.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Template(known, ratio) if len(known) > 1 else None
         for batch in batches:
-            if batch.num_rows and len(known) > 1:
+            if batch.num_rows and held:
                 asked = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint64).reshape(-1, WORDS)
-                at, first, second = nearest_two(asked, known)
-                kept = np.flatnonzero(first < ratio * second)
+                kept, at, first = held.matched(asked)
                 own = [batch.column(k).take(pa.array(kept)) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(x[at[kept]]), pa.array(y[at[kept]]), pa.array(first[kept].astype(np.int32))], [c.split()[0] for c in MATCHES.split(", ")])
+                yield pa.RecordBatch.from_arrays([*own, pa.array(x[at]), pa.array(y[at]), pa.array(first.astype(np.int32))], [c.split()[0] for c in MATCHES.split(", ")])
 
     rows = points.filter(F.octet_length("descriptor") == 8 * WORDS)
     return rows.select("page_id", F.col("x").cast("double"), F.col("y").cast("double"), "descriptor").mapInArrow(run, MATCHES.format(kind))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from inkgrid import oracle as o
 from inkgrid.config import Settings
 from inkgrid.functions import text as t
+from inkgrid.functions.once import spread
 from inkgrid.operators import asking, caches, clean, homography, layout, logs, match, policies, profile, report, resolve, review, rules, tasks, triage
 from inkgrid.plans import inspection
 from inkgrid.sources import catalog, jobs, ocr, scans, tables
@@ -449,7 +450,8 @@ def keypoint_matches(spark, sf_dir):
     point = lambda k, n: F.substring(F.sha2(F.concat(F.lit("s"), k.cast("string")).cast("binary"), 256), 1, n)
     template = tables.table(spark, sf_dir, "supplier").orderBy("s_suppkey").select(F.col("s_suppkey").alias("x"), F.lit(0).alias("y"), F.unhex(point(F.col("s_suppkey"), 64)).alias("descriptor"))
     own = F.substring(F.sha2(F.concat(F.lit("e"), F.col("event_id").cast("string")).cast("binary"), 256), 1, 16)
-    points = tables.table(spark, sf_dir, "events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("x"), F.lit(0).alias("y"), F.unhex(F.concat(point(F.col("event_id") % 13 + 1, 48), own)).alias("descriptor"))
+    events = spread(tables.table(spark, sf_dir, "events").select("event_id", "user_id"), "event_id")
+    points = events.select(F.col("user_id").alias("page_id"), F.col("event_id").alias("x"), F.lit(0).alias("y"), F.unhex(F.concat(point(F.col("event_id") % 13 + 1, 48), own)).alias("descriptor"))
     return homography.matches(points, template).select("page_id", "x", "tx", "distance")
 
 

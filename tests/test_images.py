@@ -102,6 +102,22 @@ def test_registration_from_keypoints(spark):
     assert homography.matches(points, frame.limit(1)).count() == 0
 
 
+def test_matches_of_a_large_template():
+    """Points near one descriptor, between two, of twins and near none: as if compared with all, and mostly without doing so."""
+    rng = np.random.default_rng(8)
+    known = rng.integers(0, 1 << 64, (5000, 4), dtype=np.uint64)
+    known[1] = known[0]
+    known[3] = known[2] ^ np.uint64(0xFFF)
+    flips = lambda n: np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (n, 4, 12), dtype=np.uint64), 2)
+    asked = np.concatenate([known[rng.integers(0, 40, 3000)] ^ (flips(3000) & np.array([0, 0, 0, (1 << 64) - 1], np.uint64)), known[:800] ^ flips(800), rng.integers(0, 1 << 64, (200, 4), dtype=np.uint64), known[:9]])
+    for ratio in (0.5, 0.8, 1.0, 1.3):
+        at, first, second = homography.nearest_two(asked, known)
+        kept = np.flatnonzero(first < ratio * second)
+        got = homography.Template(known, ratio).matched(asked)
+        assert all(map(np.array_equal, got, (kept, at[kept], first[kept])))
+    assert homography.MOST_TEMPLATE >= 360_000
+
+
 def plain_warp(image, h, width, height):
     back, out = np.linalg.inv(h), np.empty((height, width, image.shape[2]), np.uint8)
     at = lambda r, c: image[r, c].astype(float) if 0 <= r < image.shape[0] and 0 <= c < image.shape[1] else np.full(image.shape[2], 255.0)
