@@ -703,5 +703,5 @@ SELECT page_id, array_to_string(list_transform(range(8), lambda k: printf('%02X'
 def smaller_images(spark, sf_dir):
     """Images of eight by four grey pixels, by hash, at half their size."""
     data = F.unhex(F.sha2(F.col("c_custkey").cast("string").cast("binary"), 256))
-    rows = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("page_id"), F.lit(4).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
+    rows = spread(tables.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("page_id"), F.lit(4).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), data.alias("data"))
     return scans.smaller(rows, 4).select("page_id", F.hex("data").alias("pixels"))

@@ -99,19 +99,30 @@ def _narrowed(image: np.ndarray, size: int) -> np.ndarray:
     return (upto[1:] - upto[:-1]) * (size / rows)
 
 
+def all_resized(images: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Images of one size (n, height, width, channels) at another; a pixel is the mean of the area it covers, halves to even."""
+    n, high, wide, channels = images.shape
+    down = _narrowed(images.astype(float).transpose(1, 0, 2, 3).reshape(high, n * wide, channels), height)
+    made = _narrowed(down.reshape(height, n, wide, channels).transpose(2, 1, 0, 3).reshape(wide, n * height, channels), width)
+    return np.clip(np.rint(made.reshape(width, n, height, channels).transpose(1, 2, 0, 3)), 0, 255).astype(np.uint8)
+
+
 def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """The image at another size; a pixel is the mean of the area it covers, halves to even."""
-    down = _narrowed(image.astype(float), height)
-    return np.clip(np.rint(_narrowed(down.swapaxes(0, 1), width).swapaxes(0, 1)), 0, 255).astype(np.uint8)
+    return all_resized(image[None], width, height)[0]
 
 
-def fitted(image: np.ndarray, longest: int) -> np.ndarray:
-    """The image made smaller so that no side is longer; as it is where none is."""
-    height, width = image.shape[:2]
+def all_fitted(images: np.ndarray, longest: int) -> np.ndarray:
+    """Images of one size made smaller so that no side is longer; as they are where none is."""
+    height, width = images.shape[1:3]
     if max(height, width) <= longest:
-        return image
+        return images
     share = longest / max(height, width)
-    return resized(image, max(1, round(width * share)), max(1, round(height * share)))
+    return all_resized(images, max(1, round(width * share)), max(1, round(height * share)))
+
+
+def fitted(image: np.ndarray, longest: int) -> np.ndarray:
+    """The image made smaller so that no side is longer; as it is where none is."""
+    return image if max(image.shape[:2]) <= longest else all_fitted(image[None], longest)[0]
 
 
 def png(image: np.ndarray) -> bytes | None:
@@ -127,14 +138,14 @@ def png(image: np.ndarray) -> bytes | None:
     return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", head) + part(b"IDAT", zlib.compress(lines.tobytes(), 6)) + part(b"IEND", b"")
 
 
-def _none(data: bytes | None, height: int, width: int, channels: int) -> bool:
+def none(data: bytes | None, height: int, width: int, channels: int) -> bool:
     return data is None or not (height > 0 and width > 0 and channels > 0) or len(data) != height * width * channels
 
 
 @F.pandas_udf(T.BinaryType())
 def as_png(data: pd.Series, height: pd.Series, width: pd.Series, channels: pd.Series, longest: pd.Series) -> pd.Series:
     """The image as PNG, no side longer than given; null for what is no image."""
-    return pd.Series([None if _none(*row[:4]) else png(fitted(_pixels(*row[:4]), int(row[4]))) for row in zip(data, height, width, channels, longest)], dtype=object)
+    return pd.Series([None if none(*row[:4]) else png(fitted(_pixels(*row[:4]), int(row[4]))) for row in zip(data, height, width, channels, longest)], dtype=object)
 
 
 def payloads(images: DataFrame, longest: int = MAX_SIDE) -> DataFrame:
@@ -158,7 +169,7 @@ def field_images(images: DataFrame) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                image = None if _none(row.data, row.height, row.width, row.channels) else _pixels(row.data, row.height, row.width, row.channels)
+                image = None if none(row.data, row.height, row.width, row.channels) else _pixels(row.data, row.height, row.width, row.channels)
                 made = [(row.page_id, b["field_id"], None if image is None else png(_cut(image, b, PAD))) for b in (row.boxes if row.boxes is not None else [])]
                 yield pd.DataFrame(made, columns=["page_id", "field_id", "png"])
 
@@ -193,8 +204,8 @@ def grids(images: DataFrame) -> DataFrame:
             for row in frame.itertuples(index=False):
                 boxes = list(row.boxes) if row.boxes is not None else []
                 cells = [{"field_id": b["field_id"], "x": k % ACROSS * CELL_W, "y": k // ACROSS * CELL_H} for k, b in enumerate(boxes)]
-                none = not boxes or _none(row.data, row.height, row.width, row.channels)
-                made = None if none else png(grid(_pixels(row.data, row.height, row.width, row.channels), boxes))
+                empty = not boxes or none(row.data, row.height, row.width, row.channels)
+                made = None if empty else png(grid(_pixels(row.data, row.height, row.width, row.channels), boxes))
                 yield pd.DataFrame([(row.page_id, made, cells)], columns=["page_id", "png", "cells"])
 
     return images.select("page_id", "height", "width", "channels", "data", "boxes").mapInPandas(run, schema)

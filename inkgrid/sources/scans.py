@@ -5,6 +5,8 @@ Windows are summed by integral images, so that no filter's cost hangs on its siz
 
 from __future__ import annotations
 
+import math
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,11 +14,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from inkgrid.operators.homography import mapped
-from inkgrid.sources.images import fitted
+from inkgrid.sources.images import all_fitted, none
 
 WHITE = 255.0
 #: Output pixels worked out at once.
 STRIP = 1 << 18
+#: Values of images that are made smaller at once.
+STACKED = 1 << 20
 #: The side of the window whose mean is the paper's brightness, and of the one that tells ink from paper, with the margin.
 LIGHT, INK, MARGIN = 81, 41, 11
 # How bright and how colourful a page's pixels are, and what share of an image a page and its quadrilateral cover.
@@ -157,5 +161,25 @@ def cleaned(images: DataFrame, binary: bool = True) -> DataFrame:
 
 
 def smaller(images: DataFrame, longest: int) -> DataFrame:
-    """Images with no side longer than given; those that fit stay as they are."""
-    return _each(images, lambda image, row: fitted(image, max(1, longest)), [])
+    """Images with no side longer than given; those that fit stay as they are, what is no image has -1 sizes.
+
+    Images of one size are made smaller together, as many as have STACKED values.
+    """
+    names = ["page_id", "height", "width", "channels", "data"]
+    schema = f"page_id {images.schema['page_id'].dataType.simpleString()}, height int, width int, channels int, data binary"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            page, data, sizes = frame["page_id"], frame["data"].to_numpy(), defaultdict(list)
+            for k, row in enumerate(zip(data, frame["height"], frame["width"], frame["channels"])):
+                sizes[None if none(*row) else tuple(map(int, row[1:]))].append(k)
+            for size, rows in sizes.items():
+                if size is None:
+                    yield pd.DataFrame({"page_id": page.iloc[rows], **dict.fromkeys(names[1:4], -1), "data": None}, columns=names)
+                    continue
+                step = max(1, STACKED // math.prod(size))
+                for some in (rows[k : k + step] for k in range(0, len(rows), step)):
+                    made = all_fitted(np.frombuffer(b"".join(data[some]), np.uint8).reshape(-1, *size), max(1, longest))
+                    yield pd.DataFrame({"page_id": page.iloc[some], **dict(zip(names[1:4], made.shape[1:])), "data": [image.tobytes() for image in made]}, columns=names)
+
+    return images.select(*names).mapInPandas(run, schema)

@@ -124,6 +124,24 @@ def test_images_out(spark, tmp_path):
     assert (small["a"]["width"], small["a"]["height"]) == (100, 1) and small["b"]["data"] is None
 
 
+def test_smaller_images_together(spark):
+    """Images of one size are made smaller in one piece, with the pixels that each alone would get; other sizes and what is no image go beside them."""
+    rng = np.random.default_rng(6)
+    sizes = [(4, 8, 1), (7, 5, 3), (3, 2, 1)]
+    stacks = [rng.integers(0, 256, (9, *size), dtype=np.uint8) for size in sizes]
+    for stack in stacks:
+        assert np.array_equal(images.all_fitted(stack, 4), [images.fitted(image, 4) for image in stack])
+        plain = [plain_resized(image, 4, 2) for image in stack]
+        assert np.abs(images.all_resized(stack, 4, 2) - np.array(plain)).max() <= 0.5 + 1e-9
+    rows = [(f"{k}.{n}", *image.shape, image.tobytes()) for n in range(9) for k, image in enumerate(s[n] for s in stacks)] + [("none", -1, -1, -1, None), ("null", None, 1, 1, b"1"), ("short", 2, 2, 1, b"123")]
+    got = {r["page_id"]: r for r in scans.smaller(spark.createDataFrame(rows, IMAGE), 4).collect()}
+    assert len(got) == len(rows) and all(got[c]["data"] is None and got[c]["width"] == -1 for c in ("none", "null", "short"))
+    for n in range(9):
+        for k, stack in enumerate(stacks):
+            one, row = images.fitted(stack[n], 4), got[f"{k}.{n}"]
+            assert (row["height"], row["width"], row["channels"]) == one.shape and bytes(row["data"]) == one.tobytes()
+
+
 def test_fields_of_an_image(spark):
     image = (np.arange(200 * 400 * 3) % 251).astype(np.uint8).reshape(200, 400, 3)
     boxes = [("big", 0, 0, 400, 200), ("corner", 390, 190, 50, 50), ("outside", 900, 900, 5, 5), ("thin", 50, 50, 2, 1)]
