@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from inkgrid.config import Settings
 from inkgrid.functions import geometry as g
 from inkgrid.functions import text as t
-from inkgrid.functions.once import dealt
+from inkgrid.functions.once import computed_once, dealt
 
 BLOCK_COLUMNS = ("page_id", "block_seq", "block_id", "text", "score", "x1", "y1", "x2", "y2", "cx", "cy")
 MARGIN = 1.04
@@ -33,24 +33,30 @@ def with_extent(blocks: DataFrame) -> DataFrame:
 
 
 def with_text_facts(blocks: DataFrame) -> DataFrame:
-    """What scoring asks of a block's text, as columns."""
+    """What scoring asks of a block's text, as columns.
+
+    In steps with fences between them: in one piece the code that Spark makes of all this is more than the JVM compiles.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    blocks = blocks.withColumns({"text": text, "compact": t.compact(F.col("text")), "exact": t.exact_value(F.col("text"))})
+    blocks = computed_once(blocks.withColumn("text", text))
+    blocks = computed_once(blocks.withColumns({"compact": t.compact(F.col("text")), "exact": t.exact_value(F.col("text"))}))
     blocks = blocks.withColumns({"upper": F.upper("compact"), "comparable": t.comparable(F.col("text"))})
-    return blocks.withColumns(
-        {
-            "f_number": t.whole(F.col("compact"), t.NUMBER),
-            "f_date": t.is_date(F.col("text")),
-            "f_label": t.is_label(F.col("text")),
-            "f_station": F.col("exact") == t.STATION,
-            "f_release": t.is_release_statement(F.col("text")),
-            "f_date_inside": F.col("text").rlike(t.DATE_INSIDE),
-            "f_latin": F.col("text").rlike("[A-Za-z]"),
-            "f_cjk": F.col("text").rlike(t.CJK),
-            "f_authorization": t.last_six_digits(F.col("text")) != "",
-            "cx": (F.col("x1") + F.col("x2")) / 2.0,
-            "cy": (F.col("y1") + F.col("y2")) / 2.0,
-        }
+    blocks = computed_once(blocks.withColumns({"f_date": t.is_date(F.col("text")), "f_label": t.is_label(F.col("text")), "f_release": t.is_release_statement(F.col("text"))}))
+    return computed_once(
+        blocks.withColumns(
+            {
+                "f_number": t.whole(F.col("compact"), t.NUMBER),
+                # Only what may be a number is cast: a failed cast is an exception, which takes long.
+                "f_value": F.when(F.col("compact").rlike("(?i)[0-9]|nan|inf"), F.col("compact").try_cast("double")),
+                "f_station": F.col("exact") == t.STATION,
+                "f_date_inside": F.col("text").rlike(t.DATE_INSIDE),
+                "f_latin": F.col("text").rlike("[A-Za-z]"),
+                "f_cjk": F.col("text").rlike(t.CJK),
+                "f_authorization": t.last_six_digits(F.col("text")) != "",
+                "cx": (F.col("x1") + F.col("x2")) / 2.0,
+                "cy": (F.col("y1") + F.col("y2")) / 2.0,
+            }
+        )
     )
 
 
@@ -80,7 +86,7 @@ def pattern_score() -> Column:
     """How well the text's shape suits the field, 0 to 1."""
     rule, kind, upper = F.col("validator"), F.col("assignment.value_type"), F.col("upper")
     noisy = F.col("f_label") & (F.col("recognizer") != "checkbox")
-    number = F.col("compact").try_cast("double")
+    number = F.col("f_value")
     latin, cjk = F.col("f_latin"), F.col("f_cjk")
     by_kind = (
         F.when(kind == "signature", F.when(vetoed(), 0.0).otherwise(0.55))
@@ -158,8 +164,11 @@ def spatial_match(blocks: DataFrame, fields: DataFrame, settings: Settings, by_c
         for c in shared:
             fits = (F.col(c) == F.col(f"__{c}")) & fits
         pairs = spots.join(F.broadcast(known), fits).drop(*[f"__{c}" for c in shared])
-    pairs = pairs.withColumns({"overlap": g.covered(block, box), "near": near, "distance": g.nearness(F.col("cx"), F.col("cy"), box), "pattern": pattern_score()}).filter(~vetoed())
-    return pairs.withColumns({"field_y1": box[1], "field_h": F.greatest(box[3] - box[1], F.lit(1.0))})
+    # The fence keeps filters on scores out of the join's condition, where every block would be scored for every field.
+    pairs = computed_once(pairs.withColumns({f"__box{k}": c for k, c in enumerate(box)} | {"near": near}).drop("sx", "sy", "page_w", "page_h"))
+    box = tuple(F.col(f"__box{k}") for k in range(4))
+    pairs = pairs.withColumns({"overlap": g.covered(block, box), "distance": g.nearness(F.col("cx"), F.col("cy"), box), "pattern": pattern_score()}).filter(~vetoed())
+    return pairs.withColumns({"field_y1": box[1], "field_h": F.greatest(box[3] - box[1], F.lit(1.0))}).drop(*[f"__box{k}" for k in range(4)])
 
 
 def scored(pairs: DataFrame) -> DataFrame:

@@ -685,3 +685,11 @@ def test_a_stream_is_written_once(spark, tmp_path):
         p.unlink(missing_ok=True)
     queue.write_once(spark.readStream.schema("id long").parquet(source), out, state).awaitTermination()
     assert sorted(r["id"] for r in queue.written(spark, out).collect()) == list(range(30))
+
+
+def test_scores_stay_out_of_the_join(spark):
+    """The join of blocks and fields asks for geometry and labels alone: no text is matched or cast for each pair that is tried."""
+    made = match.match(spark.createDataFrame([("p", 1, "b", "7", 0.5, 0.0, 0.0, 9.0, 9.0)], "page_id string, block_seq long, block_id string, text string, score double, x1 double, y1 double, x2 double, y2 double"), catalog.from_fields(spark, catalog.SAMPLE), Settings())
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join Inner" in line and "recognizer" in line]
+    assert joins and not any(word in line for line in joins for word in ("RLIKE", "array_contains", "validator", "f_number"))
