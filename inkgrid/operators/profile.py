@@ -91,10 +91,15 @@ def probes(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def model_matrix(checks: DataFrame, models: DataFrame) -> DataFrame:
-    """Every field of every page against every model; checkboxes, read by one rule, once. Whether the models are broadcast is left to Spark."""
-    read = checks.filter("recognizer <> 'checkbox'").crossJoin(models)
-    boxes = checks.filter("recognizer = 'checkbox'").withColumn("model_name", F.lit("vision-rule"))
-    return read.unionByName(boxes)
+    """Every field of every page against every model; checkboxes, read by one rule, once.
+
+    Both kinds of rows are told apart in one join, so that checks are worked out once. The models, some few names, are broadcast:
+    a product of two dealt tables works out the one for every piece of the other.
+    """
+    known = models.select("model_name", F.lit(False).alias("__box"))
+    rule = checks.sparkSession.range(1).select(F.lit("vision-rule").alias("model_name"), F.lit(True).alias("__box"))
+    asked = F.broadcast(known.unionByName(rule))
+    return checks.join(asked, (F.col("recognizer") == "checkbox") == F.col("__box")).drop("__box")
 
 
 def model_summary(matrix: DataFrame) -> DataFrame:

@@ -693,3 +693,15 @@ def test_scores_stay_out_of_the_join(spark):
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     joins = [line for line in plan.splitlines() if "Join Inner" in line and "recognizer" in line]
     assert joins and not any(word in line for line in joins for word in ("RLIKE", "array_contains", "validator", "f_number"))
+
+
+def test_models_are_held_against_checks_that_are_worked_out_once(spark):
+    from inkgrid.operators import profile
+
+    checks = spark.createDataFrame([(1, "a", "text", True), (1, "b", "checkbox", False), (2, "c", None, True)], "page_id long, field_id string, recognizer string, passed boolean").repartition(3)
+    models = spark.createDataFrame([("m",), ("n",)], "model_name string")
+    made = profile.model_matrix(checks, models)
+    assert made.columns == [*checks.columns, "model_name"]
+    assert sorted(tuple(r) for r in made.select("field_id", "model_name").collect()) == [("a", "m"), ("a", "n"), ("b", "vision-rule")]
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") + plan.count("Repartition ") == 1 and "CartesianProduct" not in made._jdf.queryExecution().executedPlan().toString()
