@@ -80,11 +80,11 @@ def normal_value(value: Column) -> Column:
 def local_clean(pages: DataFrame, fields: DataFrame, candidates: DataFrame, provider: str = "local", model: str = "rules") -> DataFrame:
     """A recognition for every field of every page (repeated or not), with the catalogue's columns; fields without candidates need review.
 
-    Pages and candidates are grouped once, by page, where each field finds its own; what follows is local to a page.
+    Repeated pages are made one where they lie. Pages and candidates are grouped once, by page, where each field finds its own; what follows is local to a page.
     """
     found = candidates.select("page_id", F.struct("field_id", _entry().alias("c")).alias("found"))
     kind = found.schema["found"].dataType.simpleString()
-    every = dealt(found.unionByName(pages.select("page_id", F.lit(None).cast(kind).alias("found"))), "page_id")
+    every = dealt(found.unionByName(pages.select("page_id").distinct().select("page_id", F.lit(None).cast(kind).alias("found"))), "page_id")
     rows = every.groupBy("page_id").agg(F.collect_list("found").alias("found")).crossJoin(F.broadcast(fields))
     own = F.transform(F.filter("found", lambda x: x["field_id"] == F.col("field_id")), lambda x: x["c"])
     rows = rows.withColumn("cands", F.array_sort(own)).drop("found")

@@ -46,8 +46,7 @@ def with_text_facts(blocks: DataFrame) -> DataFrame:
         blocks.withColumns(
             {
                 "f_number": t.whole(F.col("compact"), t.NUMBER),
-                # Only what may be a number is cast: a failed cast is an exception, which takes long.
-                "f_value": F.when(F.col("compact").rlike("(?i)[0-9]|nan|inf"), F.col("compact").try_cast("double")),
+                "f_value": F.when(F.col("compact").rlike(t.DOUBLE), F.col("compact").try_cast("double")),
                 "f_station": F.col("exact") == t.STATION,
                 "f_date_inside": F.col("text").rlike(t.DATE_INSIDE),
                 "f_latin": F.col("text").rlike("[A-Za-z]"),
@@ -149,21 +148,22 @@ def spatial_match(blocks: DataFrame, fields: DataFrame, settings: Settings, by_c
     sides have a template_id, only fields of the block's template are asked. Either way gives the same rows.
     """
     shared = [c for c in ("template_id",) if c in blocks.columns and c in fields.columns]
-    spots = with_text_facts(with_extent(blocks)).withColumns({"sx": F.col("page_w") / F.lit(settings.page_width), "sy": F.col("page_h") / F.lit(settings.page_height)})
+    spots = with_extent(blocks).withColumns({"sx": F.col("page_w") / F.lit(settings.page_width), "sy": F.col("page_h") / F.lit(settings.page_height)})
     box = g.scaled(F.col("target.x"), F.col("target.y"), F.col("target.w"), F.col("target.h"), F.col("sx"), F.col("sy"))
     around = F.coalesce("assignment.expand", F.lit(0.18))
     wide = g.widened(box, around, around, around, around)
     block = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
-    near = g.inside(F.col("cx"), F.col("cy"), wide)
+    near = g.inside((F.col("x1") + F.col("x2")) / 2.0, (F.col("y1") + F.col("y2")) / 2.0, wide)
     noisy = F.col("f_label") & (F.col("recognizer") != "checkbox")
-    fits = ((g.covered(block, box) > 0) | near) & ~noisy
+    there = (g.covered(block, box) > 0) | near
     if by_cell if by_cell is not None else fields.limit(MANY + 1).count() > MANY:
-        pairs = _by_cell(spots, fields, shared).filter(fits)
+        pairs = _by_cell(with_text_facts(spots), fields, shared).filter(there & ~noisy)
     else:
-        known = fields.withColumnsRenamed({c: f"__{c}" for c in shared})
+        known = F.broadcast(fields.withColumnsRenamed({c: f"__{c}" for c in shared}))
         for c in shared:
-            fits = (F.col(c) == F.col(f"__{c}")) & fits
-        pairs = spots.join(F.broadcast(known), fits).drop(*[f"__{c}" for c in shared])
+            there = (F.col(c) == F.col(f"__{c}")) & there
+        # Most blocks lie at no field: their texts are not looked at.
+        pairs = with_text_facts(spots.join(known, there, "left_semi")).join(known, there & ~noisy).drop(*[f"__{c}" for c in shared])
     # The fence keeps filters on scores out of the join's condition, where every block would be scored for every field.
     pairs = computed_once(pairs.withColumns({f"__box{k}": c for k, c in enumerate(box)} | {"near": near}).drop("sx", "sy", "page_w", "page_h"))
     box = tuple(F.col(f"__box{k}") for k in range(4))

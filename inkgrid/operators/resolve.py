@@ -23,8 +23,9 @@ def resolve_conflicts(candidates: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     by_field = Window.partitionBy("page_id", "field_id").orderBy("rank")
     contest = Window.partitionBy("page_id", "block_id").orderBy(F.desc("claims"), F.desc("cand_score"), "field_seq")
     now = candidates
-    for _ in range(rounds):
-        now = now.withColumn("rank", F.row_number().over(by_field))
+    for k in range(rounds):
+        # Candidates come with their field's ranks from 1, which hold until some are lost.
+        now = now.withColumn("rank", F.row_number().over(by_field)) if k else now
         claims = (F.col("rank") == 1) & ~F.col("validator").isin(*MAY_SHARE)
         # Claims on a block come first in its order, so a claim behind another claim has lost it.
         now = now.withColumn("claims", claims.cast("int")).withColumn("turn", F.row_number().over(contest))
