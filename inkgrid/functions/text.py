@@ -27,6 +27,8 @@ DATE_INSIDE = r"20[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2}"
 CJK = r"[一-鿿]"
 #: White space as Unicode has it, which is what a `(?U)` pattern's `\\s` matches.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: The same as a pattern; printed ASCII and all beyond U+3000 are told by two ranges, before the signs are asked one by one.
+BLANK = f"[[^!-~\u3001-\uffff]&&[{SPACE}]]+"
 AUTHORIZATION_PATTERN = "^[0-9]{6}$"
 LICENSE_PATTERN = "^CAACML[0-9]{8}$"
 
@@ -45,27 +47,36 @@ def first_filled(a: Column, b: Column) -> Column:
     return F.coalesce(F.nullif(a, F.lit("")), b, F.lit(""))
 
 
+def _half_width(c: Column) -> Column:
+    # By `replace`, which leaves a text without the sign as it is: `translate` takes texts apart, sign by sign.
+    return F.replace(F.replace(c, F.lit("："), F.lit(":")), F.lit("／"), F.lit("/"))
+
+
 def normalized(c: Column) -> Column:
-    return F.translate(strip(c), "：／", ":/")
+    return _half_width(strip(c))
 
 
 def compact(c: Column) -> Column:
-    """The normalised text without any white space: signs that `translate` has no partner for go."""
-    return F.translate(F.coalesce(c, F.lit("")), "：／" + SPACE, ":/")
+    """The normalised text without any white space."""
+    return _half_width(F.regexp_replace(F.coalesce(c, F.lit("")), BLANK, ""))
+
+
+def _is_na(bare: Column) -> Column:
+    return whole(F.upper(bare), "[/-]*N[/-]*A[/-]*")
 
 
 def with_na(c: Column) -> Column:
-    bare = F.translate(F.upper(compact(c)), "/-", "")
-    return F.when(bare == "NA", F.lit("N/A")).otherwise(normalized(c))
+    return F.when(_is_na(compact(c)), F.lit("N/A")).otherwise(normalized(c))
 
 
 def with_station(c: Column) -> Column:
     return F.when(F.lower(compact(c)).isin(*STATION_SPELLINGS), F.lit(STATION)).otherwise(normalized(c))
 
 
-def exact_value(c: Column) -> Column:
-    """N/A in any spelling is N/A, the station in any spelling is the station, else the normalised text."""
-    return F.when(with_na(c) == "N/A", F.lit("N/A")).otherwise(with_station(c))
+def exact_value(c: Column, bare: Column | None = None) -> Column:
+    """N/A in any spelling is N/A, the station in any spelling is the station, else the normalised text; `bare` is the compact text, where it is known."""
+    bare = compact(c) if bare is None else bare
+    return F.when(_is_na(bare), F.lit("N/A")).when(F.lower(bare).isin(*STATION_SPELLINGS), F.lit(STATION)).otherwise(normalized(c))
 
 
 def comparable(c: Column) -> Column:
@@ -88,9 +99,12 @@ def date_text(c: Column) -> Column:
     return F.coalesce(built(rf"\A([0-9]{{4}})-{month}-{day}\z"), built(rf"\A([0-9]{{2}})-{month}-{day}\z", "20"), built(rf"\A([0-9]{{4}}){month}{day}\z"), inside, text)
 
 
+SIX_DIGITS = r"(?<![0-9])([0-9]{6})(?![0-9])"
+
+
 def last_six_digits(c: Column) -> Column:
     """The last run of exactly six digits, or empty."""
-    found = F.regexp_extract_all(c, F.lit(r"(?<![0-9])([0-9]{6})(?![0-9])"), F.lit(1))
+    found = F.regexp_extract_all(c, F.lit(SIX_DIGITS), F.lit(1))
     return F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))
 
 
@@ -121,7 +135,8 @@ def _label_pattern() -> str:
         tails.setdefault(word[0], []).append(word[1:].replace(".", "[.]"))
     for word in LABEL_WHOLE_WORDS:
         tails.setdefault(word[0], []).append(f"(?<![A-Z].){word[1:]}(?![A-Z])")
-    return f"(?=[{''.join(tails)}])(?:{'|'.join(f'{head}(?:{"|".join(rest)})' for head, rest in tails.items())})"
+    # All other first letters are CJK, told by one range.
+    return f"(?=[{''.join(c for c in tails if c < '一')}一-鿿])(?:{'|'.join(f'{head}(?:{"|".join(rest)})' for head, rest in tails.items())})"
 
 
 LABEL = _label_pattern()

@@ -39,9 +39,10 @@ def with_text_facts(blocks: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     blocks = computed_once(blocks.withColumn("text", text))
-    blocks = computed_once(blocks.withColumns({"compact": t.compact(F.col("text")), "exact": t.exact_value(F.col("text"))}))
-    blocks = blocks.withColumns({"upper": F.upper("compact"), "comparable": t.comparable(F.col("text"))})
-    blocks = computed_once(blocks.withColumns({"f_date": t.is_date(F.col("text")), "f_label": t.is_label(F.col("text")), "f_release": t.is_release_statement(F.col("text"))}))
+    blocks = computed_once(blocks.withColumn("compact", t.compact(F.col("text"))))
+    blocks = computed_once(blocks.withColumn("exact", t.exact_value(F.col("text"), F.col("compact"))))
+    blocks = blocks.withColumns({"upper": F.upper("compact"), "comparable": F.lower(t.compact(F.col("exact")))})
+    blocks = computed_once(blocks.withColumns({"f_date": t.is_date(F.col("compact")), "f_label": t.is_label(F.col("text")), "f_release": t.is_release_statement(F.col("text"))}))
     return computed_once(
         blocks.withColumns(
             {
@@ -51,7 +52,7 @@ def with_text_facts(blocks: DataFrame) -> DataFrame:
                 "f_date_inside": F.col("text").rlike(t.DATE_INSIDE),
                 "f_latin": F.col("text").rlike("[A-Za-z]"),
                 "f_cjk": F.col("text").rlike(t.CJK),
-                "f_authorization": t.last_six_digits(F.col("text")) != "",
+                "f_authorization": F.col("text").rlike(t.SIX_DIGITS),
                 "cx": (F.col("x1") + F.col("x2")) / 2.0,
                 "cy": (F.col("y1") + F.col("y2")) / 2.0,
             }
@@ -149,8 +150,11 @@ def spatial_match(blocks: DataFrame, fields: DataFrame, settings: Settings, by_c
     """
     shared = [c for c in ("template_id",) if c in blocks.columns and c in fields.columns]
     spots = with_extent(blocks).withColumns({"sx": F.col("page_w") / F.lit(settings.page_width), "sy": F.col("page_h") / F.lit(settings.page_height)})
-    box = g.scaled(F.col("target.x"), F.col("target.y"), F.col("target.w"), F.col("target.h"), F.col("sx"), F.col("sy"))
-    around = F.coalesce("assignment.expand", F.lit(0.18))
+    # What the geometry asks of a field is worked out for each field, not for each pair.
+    ends = (F.col("target.x"), F.col("target.y"), F.col("target.x") + F.col("target.w"), F.col("target.y") + F.col("target.h"))
+    fields = fields.withColumns({f"__end{k}": c.cast("double") for k, c in enumerate(ends)} | {"__around": F.coalesce("assignment.expand", F.lit(0.18))})
+    box = tuple(F.col(f"__end{k}") * F.col(("sx", "sy")[k % 2]) for k in range(4))
+    around = F.col("__around")
     wide = g.widened(box, around, around, around, around)
     block = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
     near = g.inside((F.col("x1") + F.col("x2")) / 2.0, (F.col("y1") + F.col("y2")) / 2.0, wide)
@@ -165,7 +169,8 @@ def spatial_match(blocks: DataFrame, fields: DataFrame, settings: Settings, by_c
         # Most blocks lie at no field: their texts are not looked at.
         pairs = with_text_facts(spots.join(known, there, "left_semi")).join(known, there & ~noisy).drop(*[f"__{c}" for c in shared])
     # The fence keeps filters on scores out of the join's condition, where every block would be scored for every field.
-    pairs = computed_once(pairs.withColumns({f"__box{k}": c for k, c in enumerate(box)} | {"near": near}).drop("sx", "sy", "page_w", "page_h"))
+    worked_out = [*[f"__end{k}" for k in range(4)], "__around"]
+    pairs = computed_once(pairs.withColumns({f"__box{k}": c for k, c in enumerate(box)} | {"near": near}).drop("sx", "sy", "page_w", "page_h", *worked_out))
     box = tuple(F.col(f"__box{k}") for k in range(4))
     pairs = pairs.withColumns({"overlap": g.covered(block, box), "distance": g.nearness(F.col("cx"), F.col("cy"), box), "pattern": pattern_score()}).filter(~vetoed())
     return pairs.withColumns({"field_y1": box[1], "field_h": F.greatest(box[3] - box[1], F.lit(1.0))}).drop(*[f"__box{k}" for k in range(4)])

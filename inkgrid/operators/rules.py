@@ -28,7 +28,8 @@ def rule(*names: str) -> Callable[[Rule], Rule]:
 
 
 def first_number(value: Column) -> Column:
-    return F.regexp_extract(value, SIGNED_NUMBER, 1).try_cast("double")
+    # An empty text is not cast: a failed cast is an exception, which takes long.
+    return F.nullif(F.regexp_extract(value, SIGNED_NUMBER, 1), F.lit("")).try_cast("double")
 
 
 def repaired_range(value: Column) -> Column:

@@ -705,3 +705,32 @@ def test_models_are_held_against_checks_that_are_worked_out_once(spark):
     assert sorted(tuple(r) for r in made.select("field_id", "model_name").collect()) == [("a", "m"), ("a", "n"), ("b", "vision-rule")]
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") + plan.count("Repartition ") == 1 and "CartesianProduct" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def _final_plan(df):
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+def test_review_merge_works_checks_out_once(spark):
+    from inkgrid import registry
+
+    plan = _final_plan(registry.QUERIES["review_merge"](spark, "/root/testdata/sf0.001"))
+    assert plan.count("LeftSemi") == 1
+
+
+def test_texts_are_looked_at_only_where_fields_are(spark):
+    from inkgrid import registry
+
+    plan = _final_plan(registry.QUERIES["spatial_match"](spark, "/root/testdata/sf0.001"))
+    joins = [line for line in plan.split("\n") if "BroadcastNestedLoopJoin" in line]
+    assert any("LeftSemi" in j for j in joins)
+    assert not any("target" in j for j in joins), "a field's ends are worked out for each field, not for each pair"
+
+
+def test_cheap_text_patterns(spark):
+    cases = ["", " ", "1", "1.", ".5", "1e5", "-1d", "0x1p3", "inf", "-Infinity", "NaN", "AMM123", "2024.01.02", "\t7\x00", "1_0", "+", "1e", "٣", "infinit"]
+    numbers = spark.createDataFrame([(k,) for k in cases], "c string").select(F.col("c").try_cast("double").isNotNull().alias("a"), F.col("c").rlike(t.DOUBLE).alias("b")).collect()
+    assert all(r.a == r.b for r in numbers)
+    blank = spark.createDataFrame([(f"a{k}b、／：中{k}",) for k in [*t.SPACE, "​", "﻿", ""]], "c string").select(t.compact(F.col("c")).alias("v")).collect()
+    assert {r.v for r in blank} == {"ab、/:中", "a​b、/:中​", "a﻿b、/:中﻿"}
