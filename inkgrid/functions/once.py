@@ -9,15 +9,16 @@ from pyspark.sql import functions as F
 KEY = "page_id"
 
 
-def computed_once(df: DataFrame) -> DataFrame:
-    """The same rows; what their columns are made of is no longer visible to what follows.
+def computed_once(df: DataFrame, *made: str) -> DataFrame:
+    """The same rows; what their columns, or those that are named, are made of is no longer visible to what follows.
 
     The optimizer moves a filter below projections by writing out the columns it names. Over columns that are made of columns
     that are made of columns, such texts grow without end. A generator, here of one row for each row, stops that. KEY goes past
-    the fence: rows that are dealt by it stay so, and what follows needs no shuffle.
+    the fence: rows that are dealt by it stay so, and what follows needs no shuffle. So do columns that are not named, where
+    some are: those that nothing asks for any more are dropped before the fence, not carried on.
     """
-    held = [F.col(c) for c in df.columns if c != KEY]
-    return df.select(*[c for c in df.columns if c == KEY], F.inline(F.array(F.struct(*held)))).select(*df.columns)
+    held = [c for c in df.columns if (c in made if made else c != KEY)]
+    return df.select(*[c for c in df.columns if c not in held], F.inline(F.array(F.struct(*held)))).select(*df.columns)
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:

@@ -73,14 +73,21 @@ def with_station(c: Column) -> Column:
     return F.when(F.lower(compact(c)).isin(*STATION_SPELLINGS), F.lit(STATION)).otherwise(normalized(c))
 
 
-def exact_value(c: Column, bare: Column | None = None) -> Column:
-    """N/A in any spelling is N/A, the station in any spelling is the station, else the normalised text; `bare` is the compact text, where it is known."""
-    bare = compact(c) if bare is None else bare
+def exact_value(c: Column) -> Column:
+    """N/A in any spelling is N/A, the station in any spelling is the station, else the normalised text."""
+    bare = compact(c)
     return F.when(_is_na(bare), F.lit("N/A")).when(F.lower(bare).isin(*STATION_SPELLINGS), F.lit(STATION)).otherwise(normalized(c))
 
 
+def comparable_bare(bare: Column) -> Column:
+    """What `comparable` makes of a compact text."""
+    lower = F.lower(bare)
+    return F.when(_is_na(bare), F.lit("n/a")).when(lower.isin(*STATION_SPELLINGS), F.lit(STATION)).otherwise(lower)
+
+
 def comparable(c: Column) -> Column:
-    return F.lower(compact(exact_value(c)))
+    """The exact value without white space, in lower case."""
+    return comparable_bare(compact(c))
 
 
 def date_text(c: Column) -> Column:
@@ -124,8 +131,12 @@ def is_number(c: Column) -> Column:
     return whole(compact(c), NUMBER)
 
 
+def is_bare_date(bare: Column) -> Column:
+    return whole(bare, rf"{DATE_INSIDE}|20[0-9]{{6}}")
+
+
 def is_date(c: Column) -> Column:
-    return whole(compact(c), rf"{DATE_INSIDE}|20[0-9]{{6}}")
+    return is_bare_date(compact(c))
 
 
 def _label_pattern() -> str:

@@ -63,8 +63,8 @@ def best_text(cands: Column) -> Column:
 
 
 def normal_value(value: Column) -> Column:
-    """A value in the form its rule compares."""
-    rule, text = F.col("validator"), t.strip(value)
+    """A value in the form its rule compares. White space at its ends never counts; each form sees to that itself."""
+    rule, text = F.col("validator"), F.coalesce(value, F.lit(""))
     return (
         F.when(rule.isin("english_text", "contains_english"), t.english_only(text))
         .when(rule == "exact_text", t.exact_value(text))
@@ -73,21 +73,22 @@ def normal_value(value: Column) -> Column:
         .when(rule == "regex", t.for_pattern(text, F.coalesce("params.pattern", F.lit(""))))
         .when(rule == "same_day", t.date_text(text))
         .when(rule.isin("digit_length", "number_less_than"), F.regexp_replace(text, "[^0-9]", ""))
-        .otherwise(text)
+        .otherwise(t.strip(text))
     )
 
 
 def local_clean(pages: DataFrame, fields: DataFrame, candidates: DataFrame, provider: str = "local", model: str = "rules") -> DataFrame:
     """A recognition for every field of every page (repeated or not), with the catalogue's columns; fields without candidates need review.
 
-    Repeated pages are made one where they lie. Pages and candidates are grouped once, by page, where each field finds its own; what follows is local to a page.
+    Repeated pages are made one where they lie. Candidates are grouped by field, then fields by page, in a map where each field finds
+    its own; what follows is local to a page.
     """
-    found = candidates.select("page_id", F.struct("field_id", _entry().alias("c")).alias("found"))
-    kind = found.schema["found"].dataType.simpleString()
-    every = dealt(found.unionByName(pages.select("page_id").distinct().select("page_id", F.lit(None).cast(kind).alias("found"))), "page_id")
-    rows = every.groupBy("page_id").agg(F.collect_list("found").alias("found")).crossJoin(F.broadcast(fields))
-    own = F.transform(F.filter("found", lambda x: x["field_id"] == F.col("field_id")), lambda x: x["c"])
-    rows = rows.withColumn("cands", F.array_sort(own)).drop("found")
+    own = gathered(dealt(candidates, "page_id")).select("page_id", F.struct("field_id", "cands").alias("own"))
+    kind, cands = own.schema["own"].dataType.simpleString(), own.schema["own"].dataType["cands"].dataType.simpleString()
+    every = own.unionByName(dealt(pages.select("page_id").distinct().select("page_id", F.lit(None).cast(kind).alias("own")), "page_id"))
+    found = every.groupBy("page_id").agg(F.map_from_entries(F.collect_list("own")).alias("found"))
+    rows = found.crossJoin(F.broadcast(fields)).withColumn("cands", F.coalesce(F.try_element_at("found", F.col("field_id")), F.array().cast(cands))).drop("found")
+    rows = computed_once(rows, "cands")
     some = F.size("cands") > 0
     rows = rows.withColumns(
         {
@@ -97,10 +98,10 @@ def local_clean(pages: DataFrame, fields: DataFrame, candidates: DataFrame, prov
             "model": F.lit(model),
         }
     )
-    rows = computed_once(rows)
+    rows = computed_once(rows, "value", "confidence")
     review = F.coalesce("assignment.needs_review", F.lit(False)) | ~some | (F.col("confidence") < 0.45)
     rows = rows.withColumns({"normalized_value": normal_value(F.col("value")), "needs_review": review})
-    return computed_once(rows.withColumn("review_reason", F.when(F.col("needs_review"), REVIEW_REASON).otherwise("")))
+    return computed_once(rows.withColumn("review_reason", F.when(F.col("needs_review"), REVIEW_REASON).otherwise("")), "normalized_value", "needs_review", "review_reason")
 
 
 def sections(rows: DataFrame) -> DataFrame:

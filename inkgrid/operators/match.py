@@ -1,11 +1,13 @@
 """Matching blocks to fields: a broadcast spatial join, a score, and the best few candidates of each field.
 
-Blocks come as (page_id, block_seq, block_id, text, score, x1, y1, x2, y2[, source]). What depends on a block's text alone is
-computed once for each block, before it meets the fields; what depends on a field alone is in the catalogue.
+Blocks come as (page_id, block_seq, block_id, text, score, x1, y1, x2, y2[, source]). A text is looked at where its block lies at
+a field, and only for what that field's rule asks; what depends on a field alone is in the catalogue.
 """
 
 from __future__ import annotations
 
+from types import SimpleNamespace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,65 +34,57 @@ def with_extent(blocks: DataFrame) -> DataFrame:
     return blocks.join(extent, F.col("page_id").eqNullSafe(F.col("__page"))).drop("__page")
 
 
-def with_text_facts(blocks: DataFrame) -> DataFrame:
-    """What scoring asks of a block's text, as columns.
-
-    In steps with fences between them: in one piece the code that Spark makes of all this is more than the JVM compiles.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    blocks = computed_once(blocks.withColumn("text", text))
-    blocks = computed_once(blocks.withColumn("compact", t.compact(F.col("text"))))
-    blocks = computed_once(blocks.withColumn("exact", t.exact_value(F.col("text"), F.col("compact"))))
-    blocks = blocks.withColumns({"upper": F.upper("compact"), "comparable": F.lower(t.compact(F.col("exact")))})
-    blocks = computed_once(blocks.withColumns({"f_date": t.is_date(F.col("compact")), "f_label": t.is_label(F.col("text")), "f_release": t.is_release_statement(F.col("text"))}))
-    return computed_once(
-        blocks.withColumns(
-            {
-                "f_number": t.whole(F.col("compact"), t.NUMBER),
-                "f_value": F.when(F.col("compact").rlike(t.DOUBLE), F.col("compact").try_cast("double")),
-                "f_station": F.col("exact") == t.STATION,
-                "f_date_inside": F.col("text").rlike(t.DATE_INSIDE),
-                "f_latin": F.col("text").rlike("[A-Za-z]"),
-                "f_cjk": F.col("text").rlike(t.CJK),
-                "f_authorization": F.col("text").rlike(t.SIX_DIGITS),
-                "cx": (F.col("x1") + F.col("x2")) / 2.0,
-                "cy": (F.col("y1") + F.col("y2")) / 2.0,
-            }
-        )
+def facts() -> SimpleNamespace:
+    """What a rule may ask of a pair's `text` and `compact` text. Expressions, not columns: most fields ask one or two of them."""
+    text, compact = F.col("text"), F.col("compact")
+    return SimpleNamespace(
+        upper=F.upper(compact),
+        station=F.lower(compact).isin(*t.STATION_SPELLINGS),
+        comparable=t.comparable_bare(compact),
+        number=t.whole(compact, t.NUMBER),
+        value=F.when(compact.rlike(t.DOUBLE), compact.try_cast("double")),
+        date=t.is_bare_date(compact),
+        date_inside=text.rlike(t.DATE_INSIDE),
+        latin=text.rlike("[A-Za-z]"),
+        cjk=text.rlike(t.CJK),
+        authorization=text.rlike(t.SIX_DIGITS),
+        release=t.is_release_statement(text),
     )
 
 
 def _matches_pattern() -> Column:
     pattern = F.col("params.pattern")
-    return pattern.isNotNull() & F.rlike(F.col("upper"), F.concat(F.lit(r"\A(?:"), pattern, F.lit(r")\z")))
+    return pattern.isNotNull() & F.rlike(facts().upper, F.concat(F.lit(r"\A(?:"), pattern, F.lit(r")\z")))
+
+
+def with_label(blocks: DataFrame) -> DataFrame:
+    """Adds f_label: whether the text holds words of the form, which no field but a checkbox takes."""
+    return computed_once(blocks.withColumn("f_label", t.is_label(F.coalesce("text", F.lit("")))), "f_label")
 
 
 def vetoed() -> Column:
-    """Whether a text can't be this field's value; the kind of value is asked before the rule."""
-    kind, rule = F.col("assignment.value_type"), F.col("validator")
-    noisy = F.col("f_label") & (F.col("recognizer") != "checkbox")
+    """Whether a text that is not noisy can't be this field's value; the kind of value is asked before the rule."""
+    kind, rule, says = F.col("assignment.value_type"), F.col("validator"), facts()
     return (
-        F.when(kind == "signature", noisy | F.col("f_station") | F.col("f_date") | F.col("f_number") | F.col("f_release"))
-        .when(kind == "authorization", ~F.col("f_authorization"))
-        .when(kind == "license", ~F.col("upper").rlike("CA|[0-9]{4,8}"))
-        .when(kind == "text", F.col("f_station") | F.col("f_date"))
-        .when(rule.isin("int_range", "digit_length", "number_less_than"), ~F.col("f_number"))
-        .when(rule == "same_day", ~F.col("f_date_inside"))
-        .when(rule == "regex", ~_matches_pattern() & ~F.col("upper").rlike("CAAC|AUTH|授权|[0-9]{6}"))
-        .when(rule == "exact_text", (F.size("allowed") > 0) & ~F.array_contains("allowed", F.col("comparable")))
+        F.when(kind == "signature", says.station | says.date | says.number | says.release)
+        .when(kind == "authorization", ~says.authorization)
+        .when(kind == "license", ~says.upper.rlike("CA|[0-9]{4,8}"))
+        .when(kind == "text", says.station | says.date)
+        .when(rule.isin("int_range", "digit_length", "number_less_than"), ~says.number)
+        .when(rule == "same_day", ~says.date_inside)
+        .when(rule == "regex", ~_matches_pattern() & ~says.upper.rlike("CAAC|AUTH|授权|[0-9]{6}"))
+        .when(rule == "exact_text", (F.size("allowed") > 0) & ~F.array_contains("allowed", says.comparable))
         .otherwise(False)
     )
 
 
 def pattern_score() -> Column:
-    """How well the text's shape suits the field, 0 to 1."""
-    rule, kind, upper = F.col("validator"), F.col("assignment.value_type"), F.col("upper")
-    noisy = F.col("f_label") & (F.col("recognizer") != "checkbox")
-    number = F.col("f_value")
-    latin, cjk = F.col("f_latin"), F.col("f_cjk")
+    """How well the shape of a text that is neither noisy nor vetoed suits the field, 0 to 1."""
+    rule, kind, says = F.col("validator"), F.col("assignment.value_type"), facts()
+    upper, number, latin, cjk = says.upper, says.value, says.latin, says.cjk
     by_kind = (
-        F.when(kind == "signature", F.when(vetoed(), 0.0).otherwise(0.55))
-        .when(kind == "authorization", F.when(F.col("f_authorization"), 0.8).otherwise(0.0))
+        F.when(kind == "signature", 0.55)
+        .when(kind == "authorization", F.when(says.authorization, 0.8).otherwise(0.0))
         .when((kind == "license") & upper.startswith("CAAC"), 0.8)
         .when((kind == "license") & (upper.startswith("CA") | t.whole(upper, "[0-9]{4,8}")), 0.45)
         .otherwise(0.0)
@@ -99,18 +93,17 @@ def pattern_score() -> Column:
         F.when(F.col("recognizer") == "checkbox", 0.0)
         .when((rule == "regex") & _matches_pattern(), 1.0)
         .when((rule == "regex") & upper.rlike("CAAC|[0-9]{6}"), 0.65)
-        .when((rule == "prefix_or_exact") & (F.array_contains("allowed_exact", F.upper("comparable")) | F.exists("prefixes", lambda p: upper.startswith(p))), 1.0)
+        .when((rule == "prefix_or_exact") & (F.array_contains("allowed_exact", F.upper(says.comparable)) | F.exists("prefixes", lambda p: upper.startswith(p))), 1.0)
         .when((rule == "prefix_or_exact") & upper.rlike("AMM|TSM|FLA"), 0.85)
         .when((rule == "prefix_or_exact") & upper.rlike("[A-Z]{2,}[0-9]"), 0.35)
-        .when(rule == "same_day", F.when(F.col("f_date_inside"), 1.0).otherwise(0.0))
+        .when(rule == "same_day", F.when(says.date_inside, 1.0).otherwise(0.0))
         .when(rule == "int_range", F.when(number.between(F.col("params.min"), F.col("params.max")), 1.0).when(number.isNotNull() & F.col("params.min").isNotNull() & F.col("params.max").isNotNull(), 0.08).otherwise(0.0))
-        .when(rule.isin("digit_length", "number_less_than"), F.when(F.col("f_number"), 0.9).otherwise(0.0))
-        .when(rule.isin("bilingual_text", "contains_english") & noisy, 0.0)
+        .when(rule.isin("digit_length", "number_less_than"), F.when(says.number, 0.9).otherwise(0.0))
         .when(rule == "bilingual_text", F.when(latin & cjk, 0.9).when(latin | cjk, 0.45).otherwise(0.0))
         .when(rule == "contains_english", F.when(latin, 0.8).otherwise(0.0))
         .when(rule == "english_text", F.when(latin & ~cjk, 0.8).when(latin, 0.35).otherwise(0.0))
-        .when((rule == "exact_text") & F.array_contains("allowed", F.col("comparable")), 1.0)
-        .when(rule == "name_not_place", F.when((F.col("compact") != "") & ~F.col("f_station"), 0.6).otherwise(0.0))
+        .when((rule == "exact_text") & F.array_contains("allowed", says.comparable), 1.0)
+        .when(rule == "name_not_place", F.when((F.col("compact") != "") & ~says.station, 0.6).otherwise(0.0))
         .otherwise(by_kind)
     )
 
@@ -158,22 +151,25 @@ def spatial_match(blocks: DataFrame, fields: DataFrame, settings: Settings, by_c
     wide = g.widened(box, around, around, around, around)
     block = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2"))
     near = g.inside((F.col("x1") + F.col("x2")) / 2.0, (F.col("y1") + F.col("y2")) / 2.0, wide)
-    noisy = F.col("f_label") & (F.col("recognizer") != "checkbox")
     there = (g.covered(block, box) > 0) | near
+    noisy = F.col("f_label") & (F.col("recognizer") != "checkbox")
     if by_cell if by_cell is not None else fields.limit(MANY + 1).count() > MANY:
-        pairs = _by_cell(with_text_facts(spots), fields, shared).filter(there & ~noisy)
+        pairs = _by_cell(with_label(spots), fields, shared).filter(there & ~noisy)
     else:
         known = F.broadcast(fields.withColumnsRenamed({c: f"__{c}" for c in shared}))
         for c in shared:
             there = (F.col(c) == F.col(f"__{c}")) & there
-        # Most blocks lie at no field: their texts are not looked at.
-        pairs = with_text_facts(spots.join(known, there, "left_semi")).join(known, there & ~noisy).drop(*[f"__{c}" for c in shared])
-    # The fence keeps filters on scores out of the join's condition, where every block would be scored for every field.
+        # Blocks that lie at no field, as most may, have their texts not looked at.
+        pairs = with_label(spots.join(known, there, "left_semi")).join(known, there & ~noisy).drop(*[f"__{c}" for c in shared])
+    # Fences keep what follows out of the join's condition, where every block would be asked for every field, and scores from being
+    # worked out again in filters on them. What they are made of, texts in steps, is more than the JVM compiles in one piece.
     worked_out = [*[f"__end{k}" for k in range(4)], "__around"]
-    pairs = computed_once(pairs.withColumns({f"__box{k}": c for k, c in enumerate(box)} | {"near": near}).drop("sx", "sy", "page_w", "page_h", *worked_out))
+    made = {f"__box{k}": c for k, c in enumerate(box)} | {"near": near, "text": F.coalesce("text", F.lit("")), "cx": (F.col("x1") + F.col("x2")) / 2.0, "cy": (F.col("y1") + F.col("y2")) / 2.0}
+    pairs = computed_once(pairs.withColumns(made).drop("sx", "sy", "page_w", "page_h", *worked_out), *made)
+    pairs = computed_once(pairs.withColumn("compact", t.compact(F.col("text"))), "compact").filter(~vetoed())
     box = tuple(F.col(f"__box{k}") for k in range(4))
-    pairs = pairs.withColumns({"overlap": g.covered(block, box), "distance": g.nearness(F.col("cx"), F.col("cy"), box), "pattern": pattern_score()}).filter(~vetoed())
-    return pairs.withColumns({"field_y1": box[1], "field_h": F.greatest(box[3] - box[1], F.lit(1.0))}).drop(*[f"__box{k}" for k in range(4)])
+    made = {"overlap": g.covered(block, box), "distance": g.nearness(F.col("cx"), F.col("cy"), box), "pattern": pattern_score(), "field_y1": box[1], "field_h": F.greatest(box[3] - box[1], F.lit(1.0))}
+    return computed_once(pairs.withColumns(made), *made).drop("compact", "f_label", *[f"__box{k}" for k in range(4)])
 
 
 def scored(pairs: DataFrame) -> DataFrame:
@@ -184,7 +180,8 @@ def scored(pairs: DataFrame) -> DataFrame:
     depth = F.greatest(F.lit(0.0), F.least((c("cy") - c("field_y1")) / c("field_h"), F.lit(1.0))) * 0.55
     score = score + F.when(c("assignment.row") == "last", depth).otherwise(0.0)
     score = score * F.when((c("validator") == "int_range") & (c("pattern") < 0.2), 0.45).otherwise(1.0)
-    part = lambda name: F.when(c(name) > 0, F.format_string(f"{name}=%.2f", c(name)))
+    # A cast rounds halves up, as a format of two places does, and is cheaper.
+    part = lambda name: F.when(c(name) > 0, F.concat(F.lit(f"{name}="), c(name).cast("decimal(12,2)").cast("string")))
     reason = F.concat_ws(",", part("overlap"), F.when(c("near"), "center_near"), part("pattern"))
     return pairs.withColumns({"cand_score": score, "reason": reason}).filter("cand_score > 0")
 

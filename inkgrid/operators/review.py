@@ -35,7 +35,7 @@ def ambiguity(cands: Column) -> Column:
 
 
 def with_ambiguity(rows: DataFrame) -> DataFrame:
-    rows = computed_once(rows.withColumn("__why", ambiguity(F.col("cands"))))
+    rows = computed_once(rows.withColumn("__why", ambiguity(F.col("cands"))), "__why")
     rows = rows.withColumn("needs_review", F.col("needs_review") | (F.col("__why") != ""))
     return rows.withColumn("review_reason", t.first_filled(F.col("review_reason"), F.col("__why"))).drop("__why")
 
@@ -64,7 +64,7 @@ def priority() -> Column:
 
 def budgeted(checks: DataFrame, settings: Settings) -> DataFrame:
     """Adds eligible, priority, review_turn (in a page, by priority) and selected (within the page's budget)."""
-    checks = computed_once(checks.withColumns({"eligible": wants_review(settings), "priority": priority()}))
+    checks = computed_once(checks.withColumns({"eligible": wants_review(settings), "priority": priority()}), "eligible", "priority")
     turn = Window.partitionBy("page_id", "eligible").orderBy(F.desc("priority"), "field_seq")
     checks = checks.withColumn("review_turn", F.when(F.col("eligible"), F.row_number().over(turn)))
     within = F.lit(True) if settings.reviews == 0 else F.col("review_turn") <= settings.reviews
@@ -101,11 +101,11 @@ def merge(checks: DataFrame, reviews: DataFrame | None, settings: Settings) -> D
     else:
         new = one_of_each(reviews, (*READING, "provider", "model")).withColumn("__seen", F.lit(True))
         rows = checks.join(new, ["page_id", "field_id"], "left")
-    rows = computed_once(rows.withColumn("__normal", normal_value(t.first_filled(F.col("__normalized_value"), F.col("__value")))))
+    rows = computed_once(rows.withColumn("__normal", normal_value(t.first_filled(F.col("__normalized_value"), F.col("__value")))), "__normal")
     seen = F.col("selected") & F.coalesce("__seen", F.lit(False))
     fault = seen & F.col("__error").isNotNull()
-    rows = computed_once(rows.withColumn("__read", t.normalized(t.first_filled(F.col("__normal"), F.col("__value")))))
-    rows = computed_once(rows.withColumn("__passed", rules.passed(F.col("__read"), settings)))
+    rows = computed_once(rows.withColumn("__read", t.normalized(t.first_filled(F.col("__normal"), F.col("__value")))), "__read")
+    rows = computed_once(rows.withColumn("__passed", rules.passed(F.col("__read"), settings)), "__passed")
     sure = F.coalesce("__confidence", F.lit(0.0)) >= settings.confidence
     before, after = t.compact(t.first_filled(F.col("normalized_value"), F.col("value"))), t.compact(t.first_filled(F.col("__normal"), F.col("__value")))
     rows = rows.withColumns(

@@ -129,6 +129,6 @@ def passed(value: Column, settings: Settings) -> Column:
 
 def validate(recognitions: DataFrame, settings: Settings) -> DataFrame:
     """Adds passed and message to recognitions that carry their field's catalogue columns."""
-    df = computed_once(recognitions.withColumn("__value", t.normalized(t.first_filled(F.col("normalized_value"), F.col("value")))))
-    df = computed_once(df.withColumn("passed", passed(F.col("__value"), settings)).drop("__value"))
+    df = computed_once(recognitions.withColumn("__value", t.normalized(t.first_filled(F.col("normalized_value"), F.col("value")))), "__value")
+    df = computed_once(df.withColumn("passed", passed(F.col("__value"), settings)).drop("__value"), "passed")
     return df.withColumn("message", F.when(F.col("passed"), "").otherwise(F.col("fail_msg")))

@@ -55,7 +55,7 @@ def review_message() -> Column:
 
 
 def with_risk(checks: DataFrame) -> DataFrame:
-    checks = computed_once(checks.withColumn("risk", risk_score()))
+    checks = computed_once(checks.withColumn("risk", risk_score()), "risk")
     return checks.withColumns({"risk_level": risk_level(F.col("risk")), "evidence_state": evidence_state(), "review_state": review_state()})
 
 
@@ -63,7 +63,7 @@ def with_kind(checks: DataFrame) -> DataFrame:
     """Adds kind and text: failures with a message (0) and passed values that need review (1); null for what is no issue."""
     kind = F.when(~F.col("passed"), 0).when(F.col("needs_review"), 1)
     text = F.when(F.col("passed"), review_message()).otherwise(F.col("message"))
-    rows = computed_once(with_risk(checks).withColumns({"kind": kind, "text": text}))
+    rows = computed_once(with_risk(checks).withColumns({"kind": kind, "text": text}), "kind", "text")
     return rows.withColumn("kind", F.when(F.col("text") != "", F.col("kind")))
 
 

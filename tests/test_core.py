@@ -734,3 +734,41 @@ def test_cheap_text_patterns(spark):
     assert all(r.a == r.b for r in numbers)
     blank = spark.createDataFrame([(f"a{k}b、／：中{k}",) for k in [*t.SPACE, "​", "﻿", ""]], "c string").select(t.compact(F.col("c")).alias("v")).collect()
     assert {r.v for r in blank} == {"ab、/:中", "a​b、/:中​", "a﻿b、/:中﻿"}
+
+
+def _optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_are_worked_out_once(spark):
+    fields = catalog.from_fields(spark, [field("n", "prefix_or_exact", params={"prefixes": ["WB"], "allow_exact": ["N/A"]}), field("m", "exact_text", params={"allow": ["N/A", "渝"]}), field("o", "name_not_place", value_type="signature")])
+    found = blocks(spark, ("wb 7", 0.9, (0, 0, 60, 40)), (" n／a", 0.8, (40, 0, 100, 40)), ("Chong Qing", 0.7, (0, 50, 100, 90)), ("SIGN", 0.9, (0, 50, 100, 90)), (None, 0.5, (0, 0, 90, 90)), ("李冬", 0.9, (500, 500, 600, 600)))
+    made = match.scored(match.spatial_match(found, fields, Settings(page_width=100, page_height=100)))
+    assert _optimized(made.select("page_id", "cand_score")).count("AMM|TSM|FLA") == 1
+    got = {(r["field_id"], r["text"], round(r["pattern"], 2)) for r in match.spatial_match(found, fields, Settings(page_width=600, page_height=600)).collect()}
+    assert got == {("n", "wb 7", 1.0), ("n", " n／a", 1.0), ("n", "Chong Qing", 0.0), ("n", "", 0.0), ("m", " n／a", 1.0), ("m", "Chong Qing", 1.0), ("o", "wb 7", 0.6), ("o", " n／a", 0.6), ("o", "", 0.0)}
+
+
+def test_reasons_round_halves_up(spark):
+    fields = catalog.from_fields(spark, [field("n", "optional", bbox=(0, 0, 100, 100))])
+    made = match.scored(match.spatial_match(blocks(spark, ("x", 0.9, (60, 0, 380, 10)), ("y", 0.9, (0, 0, 1000, 1000))), fields, Settings(page_width=1040, page_height=1040)))
+    assert {r["text"]: r["reason"] for r in made.collect()} == {"x": "overlap=0.13", "y": "overlap=0.01"}
+
+
+def test_catalogue_columns_go_where_nothing_asks_for_them(spark):
+    fields = catalog.from_fields(spark, [field("a", "present"), field("b", "digit_length", params={"allow_lengths": [2]})])
+    found = blocks(spark, ("12", 0.9, (10, 10, 60, 60)), ("　x y ", 0.8, (20, 20, 70, 70)))
+    settings = Settings(page_width=100, page_height=100)
+    local = clean.local_clean(found.select("page_id"), fields, match.match(found, fields, settings))
+    # Behind the fences; the catalogue itself, a relation of rows, names all of them.
+    generated = [line for line in _optimized(triage.with_risk(review.budgeted(rules.validate(local, settings), settings).withColumns({"reviewed": F.lit(False), "changed": F.lit(False), "review_skipped": F.lit(False)})).select("page_id", "field_id", "risk")).splitlines() if "Generate inline" in line]
+    assert generated and not any("fail_msg" in line or "forbidden" in line and "Window" in line or "bbox" in line for line in generated)
+    assert {r["field_id"]: (r["value"], r["normalized_value"], len(r["cands"])) for r in local.collect()} == {"a": ("12", "12", 2), "b": ("12", "12", 1)}
+    none = clean.local_clean(spark.createDataFrame([("q",), ("q",), (None,)], "page_id string"), fields, match.match(found, fields, settings)).filter("page_id is null or page_id = 'q'").collect()
+    assert [(r["value"], list(r["cands"])) for r in none] == [("", [])] * 4
+
+
+@pytest.mark.parametrize("text", [" N-a ", "重 庆", "Chong King", "a：B／c", "", "　", None])
+def test_comparable_of_a_compact_text(spark, text):
+    row = spark.createDataFrame([(text,)], "c string").select(t.comparable_bare(t.compact(F.col("c"))).alias("a"), F.lower(t.compact(t.exact_value(F.col("c")))).alias("b")).first()
+    assert row["a"] == row["b"]
